@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from . import sharding
 from .chat_format import format_chats
 from .common import table
+from .html_extract import extract_pages
+from .pii import find_pii
+from .sentencepiece_bpe import encode_documents
 from .url_filter import filter_urls, host_path_rule, pattern_rule
 
 #: Fixed host/path rules of the contract.
@@ -31,10 +34,32 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return format_chats(table(spark, sf_dir, "conversations"))
 
 
+def op5_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(table(spark, sf_dir, "pages"))
+
+
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_documents(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_pii(table(spark, sf_dir, "documents"))
+
+
+def tokenizer_path(name: str) -> str:
+    """Place of a public tokenizer's file on this machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_feistel_sharding": op2_feistel_sharding,
     "op3_url_filter": op3_url_filter,
     "op4_chat_format": op4_chat_format,
+    "op5_html_extract": op5_html_extract,
+    "op7_sentencepiece": op7_sentencepiece,
+    "op9_pii": op9_pii,
 }
 
 
