@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from . import sharding
 from .chat_format import format_chats
 from .common import table
+from .decontaminate import find_contamination
+from .hamming_search import search_embeddings
 from .html_extract import extract_pages
 from .pii import find_pii
 from .sentencepiece_bpe import encode_documents
@@ -21,6 +23,10 @@ BLOCK_WORDS = ("ads", "adserver", "bets", "betting", "casino", "escort", "jackpo
 BLOCK_PATTERNS = (*(f"^{w}^" for w in BLOCK_WORDS), "||tracker-*.", "/popunder^")
 
 
+def op1_hamming_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search_embeddings(table(spark, sf_dir, "embeddings"), k=10, every=100)
+
+
 def op2_feistel_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), n_shards=24).drop("row_number")
 
@@ -42,6 +48,10 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_pii(table(spark, sf_dir, "documents"))
 
@@ -54,11 +64,13 @@ def tokenizer_path(name: str) -> str:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_hamming_topk": op1_hamming_topk,
     "op2_feistel_sharding": op2_feistel_sharding,
     "op3_url_filter": op3_url_filter,
     "op4_chat_format": op4_chat_format,
     "op5_html_extract": op5_html_extract,
     "op7_sentencepiece": op7_sentencepiece,
+    "op8_decontamination": op8_decontamination,
     "op9_pii": op9_pii,
 }
 
@@ -132,4 +144,26 @@ whole as (select chain, rendered, n_turns, min(conv_id) as conv_id, count(*) as
 select conv_id, n_turns::int as n_turns, n_copies, rendered from whole
 where chain not in (select chain from prefixes where k < n_turns)"""
 
-ORACLES: dict[str, str] = {"op2_feistel_sharding": _op2_sql(), "op3_url_filter": OP3_SQL, "op4_chat_format": OP4_SQL}
+OP1_SQL = """
+with pairs as (
+  select q.vec_id as query_id, r.vec_id as id,
+    list_sum(list_transform(range(1, 65), lambda i: (coalesce(q.embedding[i] > 0, false) <> coalesce(r.embedding[i] > 0, false))::int))::int as distance
+  from embeddings q, embeddings r where q.vec_id % 100 = 0)
+select query_id, row_number() over (partition by query_id order by distance, id) as rank, id, distance from pairs
+qualify rank <= 10"""
+
+_SHINGLES = "select distinct {id}, array_to_string(words[i:i + 4], ' ') as shingle from (select {id}, list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '') as words from {t}), unnest(range(1, len(words) - 3)) r(i)"
+OP8_SQL = f"""
+with held as ({_SHINGLES.format(id="doc_id", t="documents")}), items as ({_SHINGLES.format(id="item_id", t="benchmark")}),
+sizes as (select item_id, count(*) as n from items group by item_id)
+select doc_id, item_id, count(*) / any_value(n) as containment
+from held join items using (shingle) join sizes using (item_id)
+group by doc_id, item_id having count(*) >= 0.8 * any_value(n) - 1e-9"""
+
+ORACLES: dict[str, str] = {
+    "op1_hamming_topk": OP1_SQL,
+    "op2_feistel_sharding": _op2_sql(),
+    "op3_url_filter": OP3_SQL,
+    "op4_chat_format": OP4_SQL,
+    "op8_decontamination": OP8_SQL,
+}
