@@ -12,6 +12,7 @@ from .common import table
 from .decontaminate import find_contamination
 from .hamming_search import search_embeddings
 from .html_extract import extract_pages
+from .near_dedup import near_duplicates
 from .pii import find_pii
 from .sentencepiece_bpe import encode_documents
 from .url_filter import filter_urls, host_path_rule, pattern_rule
@@ -56,6 +57,10 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_pii(table(spark, sf_dir, "documents"))
 
 
+def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def tokenizer_path(name: str) -> str:
     """Place of a public tokenizer's file on this machine."""
     import public_tokenizers
@@ -72,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_sentencepiece": op7_sentencepiece,
     "op8_decontamination": op8_decontamination,
     "op9_pii": op9_pii,
+    "op10_order_minhash": op10_order_minhash,
 }
 
 
