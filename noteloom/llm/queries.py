@@ -14,6 +14,7 @@ from .hamming_search import search_embeddings
 from .html_extract import extract_pages
 from .near_dedup import near_duplicates
 from .pii import find_pii
+from .quality import judge
 from .sentencepiece_bpe import encode_documents
 from .url_filter import filter_urls, host_path_rule, pattern_rule
 
@@ -49,6 +50,10 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op6_kneser_ney_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -74,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_url_filter": op3_url_filter,
     "op4_chat_format": op4_chat_format,
     "op5_html_extract": op5_html_extract,
+    "op6_kneser_ney_quality": op6_kneser_ney_quality,
     "op7_sentencepiece": op7_sentencepiece,
     "op8_decontamination": op8_decontamination,
     "op9_pii": op9_pii,
