@@ -26,26 +26,27 @@ def item_words(text: Column) -> Column:
 
 
 def _windows(words: Column, make) -> Column:
-    at = F.when(F.size(words) >= WORDS, F.sequence(F.lit(1), F.size(words) - (WORDS - 1))).otherwise(F.array().cast("array<int>"))
-    return F.array_distinct(F.transform(at, make))
+    """Values of ``make`` over the shingles; the words are bound first, so that they are split once."""
+    start = lambda w: F.when(F.size(w) >= WORDS, F.sequence(F.lit(1), F.size(w) - (WORDS - 1))).otherwise(F.array().cast("array<int>"))
+    return F.transform(F.array(words), lambda w: F.transform(start(w), lambda i: make(F.slice(w, i, WORDS))))[0]
 
 
 def shingle_hashes(words: Column) -> Column:
-    """Distinct 64-bit hashes of the five-word shingles."""
-    return _windows(words, lambda i: F.xxhash64(*[F.get(words, i + (k - 1)) for k in range(WORDS)]))
+    """64-bit hashes of the five-word shingles, repeats included."""
+    return _windows(words, F.xxhash64)
 
 
 def shingle_texts(words: Column) -> Column:
     """Distinct five-word shingles as text."""
-    return _windows(words, lambda i: F.array_join(F.slice(words, i, WORDS), " "))
+    return F.array_distinct(_windows(words, lambda s: F.array_join(s, " ")))
 
 
 def sketches(items: DataFrame, threshold: float) -> DataFrame:
-    """item_id, n (shingles), hash: the least hashes of each item; their number follows the upper bound of its size partition (a power of two)."""
+    """item_id, hash: the least hashes of each item; their number follows the upper bound of its size partition (a power of two)."""
     sized = items.select("item_id", F.size("hashes").alias("n"), F.sort_array("hashes").alias("hashes")).where("n > 0")
     upper = F.pow(F.lit(2), F.ceil(F.log2("n"))).cast("int")
     need = F.floor(F.lit(round(1 - threshold, 9)) * upper).cast("int") + 1
-    return sized.select("item_id", "n", F.explode(F.slice("hashes", F.lit(1), F.least(need, F.col("n")))).alias("hash"))
+    return sized.select("item_id", F.explode(F.slice("hashes", F.lit(1), F.least(need, F.col("n")))).alias("hash"))
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -57,17 +58,16 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, threshold: float =
     """
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     items = benchmark.select(F.col(item_col).alias("item_id"), item_words(F.col(item_text_col)).alias("words"))
-    items = materialize(items.select("item_id", shingle_hashes(F.col("words")).alias("hashes"), shingle_texts(F.col("words")).alias("shingles")))
+    items = materialize(items.select("item_id", F.array_distinct(shingle_hashes(F.col("words"))).alias("hashes"), shingle_texts(F.col("words")).alias("shingles")))
     sketch = materialize(sketches(items, threshold))
     stats = sketch.agg(F.count("*").alias("n"), F.max("hash").alias("top")).first()
     wide = stats["n"] > BROADCAST_HASHES
     sketch = sketch if wide else F.broadcast(sketch)
 
-    words = source.select("doc_id", item_words(F.col("text")).alias("words"))
-    hashes = words.select("doc_id", shingle_hashes(F.col("words")).alias("hashes"))
-    # No sketch holds a hash above the greatest, so most shingles go before they become rows.
-    met = hashes.select("doc_id", F.size("hashes").alias("held"), F.explode(F.filter("hashes", lambda h: h <= F.lit(stats["top"]))).alias("hash"))
-    met = met.join(sketch, "hash").where(F.col("held") >= F.lit(threshold) * F.col("n") - 1e-9)
+    # No sketch holds a hash above the greatest, so most shingles go before they become rows. An inner explode would
+    # compute the array a second time, to test its size.
+    low = F.filter(shingle_hashes(item_words(F.col("text"))), lambda h: h <= F.lit(stats["top"]))
+    met = source.select("doc_id", F.explode_outer(low).alias("hash")).join(sketch, "hash")
     pairs = materialize(met.select("doc_id", "item_id").distinct())
     few = pairs.count() <= BROADCAST_PAIRS
 
