@@ -11,6 +11,7 @@ from operator import and_
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..schema import KIND_OPERATORS, KIND_SUFFIX, KIND_TYPE
 from .text import hex_key
@@ -103,7 +104,7 @@ def canonical_json(value) -> str:
     return json.dumps(value, ensure_ascii=False)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def canonical_json_text(value: pd.Series) -> pd.Series:
     """Canonical text of JSON objects; Spark's own writer neither sorts keys nor prints numbers alike."""
     return value.map(lambda s: None if s is None else canonical_json(json.loads(s)))

@@ -75,7 +75,7 @@ def relative_path(directory: Column, path: Column) -> Column:
 
 def path_list(setting: Column, root_allowed: bool) -> Column:
     """Trimmed distinct lines of a settings text; ``/`` means the root where allowed; absolute and dotted paths become null."""
-    lines = F.array_distinct(F.filter(F.transform(F.split(setting, "\n"), F.trim), lambda p: p != ""))
+    lines = F.array_distinct(F.filter(F.transform(F.split(setting, "\n"), lambda p: F.trim(p)), lambda p: p != ""))
     bad = lambda p: F.startswith(p, F.lit("/")) | p.rlike("^[A-Za-z]:") | F.exists(F.split(F.replace(p, F.lit("\\"), F.lit("/")), "/"), lambda x: x.isin(".", ".."))
     tidy = lambda p: F.when(F.lit(root_allowed) & (p == "/"), F.lit("")).when(~bad(p), p)
     return F.transform(lines, tidy)

@@ -548,7 +548,7 @@ _GAP = 6 * 3600
 
 
 @query(f"""
-with marked as (select user_id, ts, event_id, case when ts - lag(ts) over (partition by user_id order by ts) < interval '{_GAP} seconds' then 0 else 1 end as fresh from events),
+with marked as (select user_id, ts, event_id, case when ts - lag(ts) over (partition by user_id order by ts) <= interval '{_GAP} seconds' then 0 else 1 end as fresh from events),
 numbered as (select *, sum(fresh) over (partition by user_id order by ts rows unbounded preceding) as s from marked)
 select user_id, count(*) as changes, arg_max(event_id, ts) as event_id, epoch_us(min(ts)) as first_us, epoch_us(max(ts)) as last_us from numbered group by user_id, s""")
 def debounce_sessions(spark: SparkSession, d: str) -> DataFrame:

@@ -8,6 +8,7 @@ import json
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.properties import canonical_json
 from ..functions.text import canonical_text, frontmatter, newlines, normalize_tags, strip_frontmatter
@@ -41,7 +42,7 @@ def _plain(x):
     raise TypeError(f"no JSON form for {type(x).__name__}")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def frontmatter_json(block: pd.Series) -> pd.Series:
     return block.map(yaml_value)
 
