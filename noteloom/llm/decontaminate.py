@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 WORDS = 5
-#: Up to this many sketch hashes (16 bytes each and an item's id) are broadcast; beyond, the join is shuffled.
-BROADCAST_HASHES = 1_000_000
+#: Up to this many sketch hashes (16 bytes each) are broadcast, and the shingles of their items with them (about five to
+#: a hash, 40 bytes each); beyond, the joins are shuffled.
+BROADCAST_HASHES = 200_000
 #: Up to this many candidate pairs (16 bytes each) are broadcast to the verification.
 BROADCAST_PAIRS = 1_000_000
 
@@ -71,15 +72,15 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, threshold: float =
     pairs = materialize(met.select("doc_id", "item_id").distinct())
     few = pairs.count() <= BROADCAST_PAIRS
 
-    exact = items.select("item_id", "shingles")
-    exact = exact if wide else F.broadcast(exact)
-    named = pairs.alias("p").join(exact.alias("i"), F.expr("p.item_id <=> i.item_id")).select("p.doc_id", "p.item_id", "i.shingles")
     by_doc = pairs.select("doc_id").distinct()
     kept = source.alias("s").join(F.broadcast(by_doc.alias("c")) if few else by_doc.alias("c"), F.expr("s.doc_id <=> c.doc_id"), "left_semi")
     texts = kept.select("doc_id", shingle_texts(item_words(F.col("text"))).alias("held"))
-    share = F.size(F.array_intersect("held", "shingles")) / F.size("shingles")
-    joined = texts.alias("t").join(F.broadcast(named.alias("n")) if few and not wide else named.alias("n"), F.expr("t.doc_id <=> n.doc_id")).select("t.doc_id", "n.item_id", share.alias("containment"))
-    return joined.groupBy("doc_id", "item_id").agg(F.max("containment").alias("containment")).where(F.col("containment") >= threshold - 1e-9)
+    met = texts.alias("t").join(F.broadcast(pairs.alias("p")) if few else pairs.alias("p"), F.expr("t.doc_id <=> p.doc_id")).select("t.doc_id", "p.item_id", "t.held")
+    exact = items.where(F.size("shingles") > 0).select("item_id", "shingles")
+    joined = met.alias("m").join((exact if wide else F.broadcast(exact)).alias("i"), F.expr("m.item_id <=> i.item_id"))
+    share = F.size(F.array_intersect("m.held", "i.shingles")) / F.nullif(F.size("i.shingles"), F.lit(0))
+    shares = joined.select("m.doc_id", "m.item_id", share.alias("containment"))
+    return shares.groupBy("doc_id", "item_id").agg(F.max("containment").alias("containment")).where(F.col("containment") >= threshold - 1e-9)
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8) -> DataFrame:

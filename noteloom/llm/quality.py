@@ -235,8 +235,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 def judge(docs: DataFrame, labels: DataFrame, order: int = ORDER) -> DataFrame:
     """A row for each row of ``docs``: doc_id, lang, n_chars, perplexity (per character), keep.
 
-    Trusted documents are those whose labels are all quality 1 and toxic 0. A null text counts as empty; empty texts are
-    scored on their end alone, and a null language is one of its own. Without any trusted held-out document every row
+    Trusted documents are those whose labels are all quality 1 and toxic 0. A null text counts as empty, and an empty
+    text, which has nothing to judge, is kept; a null language is one of its own. Without any trusted held-out document every row
     is kept. Repeated rows give a row each; null ids stay null and are never trusted; other columns are not read.
     """
     trusted = labels.where("doc_id is not null").groupBy("doc_id").agg(F.min((F.col("quality") == 1) & (F.col("toxic") == 0)).alias("ok")).where("ok").select("doc_id", F.lit(True).alias("trusted"))
@@ -261,7 +261,7 @@ def judge(docs: DataFrame, labels: DataFrame, order: int = ORDER) -> DataFrame:
     bound = F.percentile_approx(offset, HIGH, 100_000)
     bounds = {r["lang"]: r["b"] for r in shrunk(held.drop("loss")).groupBy("lang").agg(bound.alias("b")).collect() if means[r["lang"]]["n"] >= LEAST_HELD_OUT}
     most = _by_lang(F.col("lang"), bounds, shrunk(held.drop("loss")).agg(bound.alias("b")).first()["b"])
-    keep = F.coalesce(offset <= most, F.lit(True))
+    keep = F.coalesce((F.col("n_chars") == 0) | (offset <= most), F.lit(True))
     return shrunk(scored).select("doc_id", "lang", "n_chars", F.exp("loss").alias("perplexity"), keep.alias("keep"))
 
 
