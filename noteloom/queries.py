@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -603,3 +605,26 @@ def late_chunk_vectors(spark: SparkSession, d: str) -> DataFrame:
     passages = chunk_notes(notes, "conv_id", "text", e.context_limit, e.count, e.encode, late=True)
     return embed_late(notes, passages, "conv_id", "text", e)
 
+
+@query()
+def stream_debounce(spark: SparkSession, d: str) -> DataFrame:
+    """Bursts of a user's events from a stream that reads all there is and stops; bursts still open at its end stay in the state."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="noteloom-")
+    base = f"{shared}/noteloom-stream-{uuid.uuid4().hex}"
+    schema = spark.read.parquet(f"{d}/events.parquet").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    events = stream.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "1 hour")
+    bursts = C.debounce_sessions(events, "user_id", "ts", _GAP, "event_id")
+    job = bursts.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{base}/state").option("path", f"{base}/out").trigger(availableNow=True).start()
+    job.awaitTermination()
+    return spark.read.schema(bursts.schema).parquet(f"{base}/out")
+
+
+@query("""
+select conv_id::varchar as note_id, (sum(length(text) + length(role) + 7) + length('# conv-' || conv_id) + 2)::bigint as chars, count(*) + 1 as headings from conversations group by conv_id""")
+def heading_ancestry(spark: SparkSession, d: str) -> DataFrame:
+    """Length and headings of the chunked Markdown: the chunks cover every character, and headings nest."""
+    e = HashingEmbedder(context_limit=100_000)
+    chunks = chunk_notes(_markdown(spark, d), "conv_id", "text", e.context_limit, e.count)
+    own = F.regexp_count("body", F.lit(r"(?m)^#{1,2} \S"))
+    return chunks.groupBy("note_id").agg(F.sum(F.length("body")).alias("chars"), F.sum(own).alias("headings"))
