@@ -63,7 +63,7 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents")).drop("copy_id")
 
 
 def tokenizer_path(name: str) -> str:
@@ -161,7 +161,7 @@ with pairs as (
   select q.vec_id as query_id, r.vec_id as id,
     list_sum(list_transform(range(1, 65), lambda i: (coalesce(q.embedding[i] > 0, false) <> coalesce(r.embedding[i] > 0, false))::int))::int as distance
   from embeddings q, embeddings r where q.vec_id % 100 = 0)
-select query_id, row_number() over (partition by query_id order by distance, id) as rank, id, distance from pairs
+select query_id, row_number() over (partition by query_id order by distance, id)::int as rank, id, distance from pairs
 qualify rank <= 10"""
 
 _SHINGLES = "select distinct {id}, array_to_string(words[i:i + 4], ' ') as shingle from (select {id}, list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '') as words from {t}), unnest(range(1, len(words) - 3)) r(i)"

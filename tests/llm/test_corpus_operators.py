@@ -8,7 +8,7 @@ import pytest
 from noteloom.llm import components, decontaminate, near_dedup, quality, text_hash
 
 WORDS = [f"w{i}" for i in range(400)]
-DOCS = "doc_id long, text string, lang string, source string, n_chars long, group_id string, keep int"
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, class_id string, keep int"
 
 
 def prose(r, n):
@@ -98,14 +98,14 @@ def test_near_duplicates_against_all_pairs(spark):
     got = near_dedup.near_duplicates(frame(spark, texts).repartition(4)).collect()
     assert len(got) == len(texts)
     words = {i: (t or "").split() for i, t in texts if i is not None}
-    group = {x.doc_id: x.group_id for x in got if x.doc_id is not None}
+    group = {x.doc_id: x.class_id for x in got if x.doc_id is not None}
     for a in words:
         for b in words:
             if words[a] and words[b] and near_dedup.near(words[a], words[b]):
                 assert group[a] == group[b], (a, b)
     assert group[400] == group[401] == 400 and group[402] == 402 and group[404] == group[405] == 404
     assert len({group[300 + i] for i in range(8)}) == 8
-    assert {x.class_id for x in got if x.doc_id is None} == {2, None}
+    assert {x.copy_id for x in got if x.doc_id is None} == {2, None}
     kept = near_dedup.keep_one(frame(spark, texts))
     ids = [x.doc_id for x in kept.collect()]
     assert kept.columns == frame(spark, texts).columns and 200 not in ids and 101 not in ids and 0 in ids and ids.count(7) == 2 and ids.count(None) == 2
@@ -117,7 +117,7 @@ def test_a_large_group_stays_linear(spark):
     base = prose(r, 80)
     texts = [(i, edited(r, base, 0.03)) for i in range(300)] + [(1000 + i, base) for i in range(300)]
     got = near_dedup.near_duplicates(frame(spark, texts))
-    assert got.select("group_id").distinct().count() == 1
+    assert got.select("class_id").distinct().count() == 1
 
 
 # --- Decontamination
