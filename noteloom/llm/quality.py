@@ -17,14 +17,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_materialized, materialize
+from .common import drop_materialized, materialize, release_memory
 from .text_hash import seeds
 
 ORDER = 4
 #: Padding before a text, and its end.
 BEGIN, END = "\x02", "\x03"
 #: Code points of one block; a longer text is a block of its own. Within a block so many are scored at once.
-BLOCK_CHARS, STEP_CHARS = 24_000_000, 2_000_000
+BLOCK_CHARS, STEP_CHARS = 24_000_000, 500_000
 #: One trusted document in so many is held out of training, by a hash of its text.
 FOLDS = 10
 #: Weight of the language's mean score, in characters: short texts are judged with care.
@@ -93,9 +93,9 @@ def _blocks(batches: Iterator[pa.RecordBatch], text_at: int) -> Iterator[tuple[i
     part, k, held, texts, size = TaskContext.get().partitionId(), 0, [], [], 0
     for batch in batches:
         at = 0
-        for i, t in enumerate(batch.column(text_at).to_pylist()):
-            texts.append(t or "")
-            size += len(t or "")
+        for i, value in enumerate(batch.column(text_at)):
+            texts.append(value.as_py() or "")
+            size += len(texts[-1])
             if size >= BLOCK_CHARS:
                 held.append(batch.slice(at, i + 1 - at))
                 yield (part << 24) + k, pa.Table.from_batches(held), texts
@@ -113,6 +113,7 @@ def train_counts(texts: DataFrame, order: int) -> DataFrame:
         for _, _, some in _blocks(batches, 0):
             counts = gram_counts(some, order)
             yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["gram", "c"])
+        release_memory()
 
     return texts.select("text").mapInArrow(run, "gram string, c long").groupBy("gram").agg(F.sum("c").alias("c"))
 
@@ -191,6 +192,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         for block, _, texts in _blocks(batches, at):
             grams = list(gram_counts(texts, order))
             yield pa.RecordBatch.from_arrays([pa.array([block] * len(grams), pa.int64()), pa.array(grams, pa.string())], ["block", "gram"])
+        release_memory()
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, rows, _ in _blocks(batches, at):
@@ -198,6 +200,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
                 out.write_table(rows)
             yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["block", "payload"])
+        release_memory()
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -223,6 +226,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                     count[start : start + len(some)] = np.bincount(owner, minlength=len(some))
                 out = rows.drop_columns(["text"]).append_column("n_scored", pa.array(count)).append_column("logp", pa.array(total))
                 yield from out.combine_chunks().to_batches()
+        release_memory()
 
     asked = materialize(docs.mapInArrow(named, "block long, gram string"))
     answers = resolve(asked.select("gram").distinct(), model)

@@ -17,6 +17,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import release_memory
+
 SPACE = "▁"
 NONE = np.iinfo(np.int32).max
 #: Words whose encodings a worker remembers; when full it starts anew, so memory stays bounded.
@@ -263,6 +265,8 @@ def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", t
                     ids.append(hashlib.sha256(line.encode()).hexdigest())
                     text.append(hashlib.sha256(encoder.decoded(words).encode("utf-8", "surrogatepass")).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(text, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        del encoder
+        release_memory()
 
     source = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
     kind = source.schema["doc_id"].dataType.simpleString()
