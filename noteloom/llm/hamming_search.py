@@ -1,8 +1,9 @@
 """Exact top-k search over binary codes by incremental multi-index hashing.
 
-A code of up to 64 bits is cut into four segments, each with a table of its own. Two codes within distance
-4*s + 3 agree on some segment up to s bits; so the search probes every segment at radius 0, 1, 2 ... and a query is
-done as soon as its k-th verified distance is covered in that sense.
+A code of up to 64 bits is cut into four segments, each with a table of its own. Once segments 0 to j have been probed
+at radius s and the others at s - 1, every code within distance 4*s + j has been met, for a code further off differs
+too much in each. The radii grow segment by segment, and a query is done as soon as its k-th verified distance is
+covered in that sense.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import drop_materialized, materialize
+from .common import drop_materialized, materialize, partitions
 
 SEGMENTS, SEGMENT_BITS = 4, 16
 #: Ranks of one code's rows are taken in this many parts first, so that a repeated vector fills no single task.
@@ -33,6 +34,12 @@ def _segments(code: Column) -> Column:
     return F.array(*[F.struct(F.lit(j).alias("segment"), part(j).alias("key")) for j in range(SEGMENTS)])
 
 
+def schedule() -> list[tuple[list[tuple[int, int]], int]]:
+    """Steps as (probes, covered distance); a probe is (segment, radius). Small radii are probed together, larger ones a segment at a time."""
+    steps = [([(j, s) for s in range(3) for j in range(SEGMENTS)], SEGMENTS * 2 + SEGMENTS - 1)]
+    return steps + [([(j, s)], SEGMENTS * s + j) for s in range(3, SEGMENT_BITS + 1) for j in range(SEGMENTS)]
+
+
 def masks(radius: int) -> Column:
     """All segment values with exactly ``radius`` bits set, 12,870 at most; a constant of the plan."""
     return F.filter(F.sequence(F.lit(0), F.lit((1 << SEGMENT_BITS) - 1)), lambda x: F.bit_count(x) == radius)
@@ -51,23 +58,30 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     salted = _first(rows.withColumn("_salt", F.pmod(F.xxhash64("id"), F.lit(SALT))), ["code", "_salt"], [F.col("id")], k)
     least = _first(salted.drop("_rank"), ["code"], [F.col("id")], k)
     index = materialize(least.groupBy("code").agg(F.sort_array(F.collect_list(F.struct("id", "_rank"))).alias("ids")))
-    probed = index.select("code", "ids", F.explode(_segments(F.col("code"))).alias("s")).select(F.col("s.segment").alias("segment"), F.col("s.key").alias("key"), "code", "ids")
+    probed = index.select("code", "ids", F.explode(_segments(F.col("code"))).alias("s")).select(F.col("s.segment").alias("_segment"), F.col("s.key").alias("_key"), "code", "ids")
     wanted = min(k, rows.limit(k).count())
-    active = materialize(queries.select(F.col("code").alias("q")).distinct())
+    # A query's bound is its k-th verified distance so far: what lies further off is dropped in the join itself.
+    active = materialize(queries.select(F.col("code").alias("q"), F.lit(64).alias("bound")).distinct())
     best, done = None, []
-    for radius in range(SEGMENT_BITS + 1):
+    for probe, cover in schedule():
         if not wanted or active.isEmpty():
             break
-        probes = active.select("q", F.explode(_segments(F.col("q"))).alias("s")).select("q", F.col("s.segment").alias("segment"), F.col("s.key").alias("at"), F.explode(masks(radius)).alias("flip"))
-        probes = probes.select("q", "segment", F.col("at").bitwiseXOR(F.col("flip")).alias("key"))
-        found = probes.join(probed, ["segment", "key"]).select("q", "code", "ids").dropDuplicates(["q", "code"])
-        near = found.select("q", F.bit_count(F.col("q").bitwiseXOR(F.col("code"))).cast("int").alias("distance"), F.explode("ids").alias("i")).select("q", "distance", "i.id", F.col("i._rank").alias("_copy"))
+        spread = active.repartition(partitions(active), "q")
+        flips = F.array(*[F.struct(F.lit(j).alias("segment"), masks(s).alias("flips")) for j, s in probe])
+        probes = spread.select("q", "bound", F.explode(flips).alias("f")).select("q", "bound", "f.segment", F.explode("f.flips").alias("flip"))
+        probes = probes.select("q", "bound", "segment", F.call_function("shiftrightunsigned", "q", F.col("segment") * SEGMENT_BITS).bitwiseAND(F.lit((1 << SEGMENT_BITS) - 1)).cast("int").bitwiseXOR(F.col("flip")).alias("key"))
+        # Spark takes the probes for as few as the queries; a merge join keeps it from broadcasting them.
+        distance = F.bit_count(F.col("q").bitwiseXOR(F.col("code"))).cast("int")
+        agree = (F.col("segment") == F.col("_segment")) & (F.col("key") == F.col("_key")) & (distance <= F.col("bound"))
+        found = probes.join(probed.hint("merge"), agree).select("q", "code", "ids").dropDuplicates(["q", "code"])
+        near = found.select("q", distance.alias("distance"), F.explode("ids").alias("i")).select("q", "distance", "i.id", F.col("i._rank").alias("_copy"))
         if best is not None:
             near = near.unionByName(best.join(active, "q", "left_semi").drop("_rank")).distinct()
         now = materialize(_first(near, ["q"], [F.col("distance"), F.col("id"), F.col("_copy")], k))
-        covered = now.where((F.col("_rank") == wanted) & (F.col("distance") <= SEGMENTS * radius + SEGMENTS - 1)).select("q") if radius < SEGMENT_BITS else active
-        done.append(now.join(covered, "q", "left_semi"))
-        after = materialize(active.join(covered, "q", "left_anti"))
+        full = now.where(F.col("_rank") == wanted).select("q", "distance")
+        done.append(now.join(full.where(F.col("distance") <= cover), "q", "left_semi"))
+        after = active.join(full, "q", "left").where(F.col("distance").isNull() | (F.col("distance") > cover))
+        after = materialize(after.select("q", F.coalesce("distance", "bound").alias("bound")))
         drop_materialized(active)
         active, best = after, now
     if not done:
