@@ -68,11 +68,11 @@ def filter_urls(pages: DataFrame, rules: list[Rule], default: str = "allow", id_
     the order of text is named. Each distinct URL is judged once; repeated rows, null ids and other columns do no harm.
     """
     spark = pages.sparkSession
-    # The URL's whole host and path are the tokens' source; the empty token fetches rules that have no literal token.
     host, path = url_parts(F.col("url"))
-    urls = pages.select(F.col(url_col).alias("url")).where("url is not null").distinct().withColumns({"host": host, "path": path}).withColumn("_at", F.concat("host", "path"))
+    urls = pages.select(F.col(url_col).alias("url")).where("url is not null").distinct().select("url", F.concat(host, path).alias("_at"))
+    # The leading dot gives every URL the empty token, which fetches rules that have no literal token.
     tokens = F.array_distinct(F.split(F.concat(F.lit("."), F.lower("_at")), "[^a-z0-9]+"))
-    seen = urls.select("url", "host", "path", "_at", F.explode(tokens).alias("token"))
+    seen = urls.select("url", "_at", F.explode(tokens).alias("token"))
 
     literal = sorted({t for r in rules for t in r.tokens})
     known = spark.createDataFrame([(t,) for t in literal], "token string")
@@ -88,9 +88,7 @@ def filter_urls(pages: DataFrame, rules: list[Rule], default: str = "allow", id_
     kind = lambda ranked, verdict: F.when((F.col("ranked") == ranked) & (F.col("rule_verdict") == verdict), F.col("name"))
     best = F.max(F.when(F.col("ranked"), F.struct("length", F.col("name").alias("rule"), F.col("rule_verdict").alias("verdict"))))
     judged = fits.groupBy("url").agg(best.alias("_best"), F.min(kind(False, "allow")).alias("_allow"), F.min(kind(False, "block")).alias("_block"))
-    host, path = url_parts(F.col(url_col))
     named = F.when(F.col("_best").isNull(), F.coalesce("_allow", "_block"))
     verdict = F.coalesce(F.col("_best.verdict"), F.when(F.col("_allow").isNotNull(), F.lit("allow")).when(F.col("_block").isNotNull(), F.lit("block")), F.lit(default))
     left = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"))
-    host, path = url_parts(F.col("url"))
     return left.join(judged, "url", "left").select("page_id", host.alias("host"), path.alias("path"), F.col("_best.rule").alias("rule"), verdict.alias("verdict"), named.alias("pattern"))
