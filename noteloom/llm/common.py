@@ -35,6 +35,12 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def in_small_batches(df: DataFrame, size: str = "8m") -> DataFrame:
+    """The frame itself, after limiting the session's Arrow batches by bytes: ten thousand long texts are too much for one."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+    return df
+
+
 def release_memory() -> None:
     """Give freed memory back to the system at a task's end: Python workers live on from stage to stage."""
     import ctypes

@@ -14,6 +14,8 @@ from html.parser import HTMLParser
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import in_small_batches
+
 #: Elements without article text.
 SKIP = frozenset("aside audio button canvas datalist dialog fieldset footer form head header iframe input label map menu nav noscript object option script select style svg template textarea title video".split())
 #: Elements that begin and end a block.
@@ -185,4 +187,4 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
 
     source = pages.select(pages[id_col].alias("page_id"), pages[url_col].alias("url"), pages[html_col].alias("html"))
     kinds = [source.schema[c].dataType.simpleString() for c in ("page_id", "url")]
-    return source.mapInArrow(run, f"page_id {kinds[0]}, url {kinds[1]}, text string, n_chars long")
+    return in_small_batches(source).mapInArrow(run, f"page_id {kinds[0]}, url {kinds[1]}, text string, n_chars long")

@@ -13,6 +13,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import in_small_batches
+
 #: Kinds of the contract, in their order, and those that the cues add.
 BASE = ("email", "ip", "card", "phone")
 ADDED = ("account", "iban", "login_url", "secret")
@@ -231,7 +233,7 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     source = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
     kind = source.schema["doc_id"].dataType.simpleString()
-    return source.mapInArrow(run, f"doc_id {kind}, {', '.join(f'n_{k} long' for k in BASE)}, base_sha256 string, spans string")
+    return in_small_batches(source).mapInArrow(run, f"doc_id {kind}, {', '.join(f'n_{k} long' for k in BASE)}, base_sha256 string, spans string")
 
 
 def redact_text(text: str, anchors) -> str:
@@ -260,4 +262,4 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
             new = pa.array([redact_text(t.as_py(), anchors) if t.is_valid else None for t in batch.column(at)], pa.string())
             yield pa.RecordBatch.from_arrays([new if i == at else batch.column(i) for i in range(batch.num_columns)], batch.schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return in_small_batches(docs).mapInArrow(run, schema)

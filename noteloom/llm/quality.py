@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_materialized, materialize, release_memory
+from .common import drop_materialized, in_small_batches, materialize, release_memory
 from .text_hash import seeds
 
 ORDER = 4
@@ -115,7 +115,7 @@ def train_counts(texts: DataFrame, order: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["gram", "c"])
         release_memory()
 
-    return texts.select("text").mapInArrow(run, "gram string, c long").groupBy("gram").agg(F.sum("c").alias("c"))
+    return in_small_batches(texts.select("text")).mapInArrow(run, "gram string, c long").groupBy("gram").agg(F.sum("c").alias("c"))
 
 
 @dataclass
@@ -228,7 +228,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 yield from out.combine_chunks().to_batches()
         release_memory()
 
-    asked = materialize(docs.mapInArrow(named, "block long, gram string"))
+    asked = materialize(in_small_batches(docs).mapInArrow(named, "block long, gram string"))
     answers = resolve(asked.select("gram").distinct(), model)
     replies = asked.join(answers, "gram").groupBy("block").agg(F.collect_list(F.struct("gram", "logp")).alias("answers"))
     joined = docs.mapInArrow(packed, "block long, payload binary").join(replies, "block").select("payload", "answers")

@@ -17,14 +17,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import release_memory
+from .common import in_small_batches, release_memory
 
 SPACE = "▁"
 NONE = np.iinfo(np.int32).max
 #: Words whose encodings a worker remembers; when full it starts anew, so memory stays bounded.
-CACHE_WORDS = 400_000
-#: Bytes of text that are encoded at once.
-CHUNK_BYTES = 4_000_000
+CACHE_WORDS = 150_000
+#: Characters of text that are encoded at once, or one longer text.
+CHUNK_BYTES = 1_000_000
 
 
 class PieceModel:
@@ -270,4 +270,4 @@ def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", t
 
     source = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
     kind = source.schema["doc_id"].dataType.simpleString()
-    return source.mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return in_small_batches(source).mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
