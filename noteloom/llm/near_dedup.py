@@ -3,7 +3,9 @@
 For each of ``SKETCHES`` hash functions a document gives the two least of its five-word runs (labelled by occurrence,
 so that repeats count), kept in text order: sketches agree for texts that agree in content and in order. Documents that
 share a sketch are candidates; they are near duplicates where the word edit distance is at most a fifth of the longer
-text. Equal texts are one class from the start. Groups are the connected components of verified pairs.
+text. Equal texts are one class from the start. Groups are the connected components of verified pairs. Bucket mates
+meet the bucket's least text first; all pairs it leaves in different groups are compared by counts of hashed words, a
+lower bound of the distance, and verified unless that bound excludes them.
 """
 
 from __future__ import annotations
@@ -16,15 +18,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import in_small_batches, materialize, release_memory
+from .common import in_small_batches, materialize, partitions, release_memory
 from .components import connected_components
 from .sharding import row_numbers
 from .text_hash import mix, run_hashes, seeds, word_hashes
 
 WORDS = 5
 SKETCHES = 32
-#: Second sketches by which a bucket is split where its first representative is no near duplicate.
-FINER = 3
+#: Words of a text are counted in this many bins (a byte each); the counts of two texts bound their edit distance below.
+BINS = 256
+#: Members of a bucket are compared in blocks of about this many, each pair of blocks on its own.
+BLOCK = 1024
 #: Up to this many ids (24 bytes each) are broadcast to pick the texts that need verification.
 BROADCAST_IDS = 1_000_000
 _SEEDS = seeds(SKETCHES, 3000)[:, None]
@@ -160,6 +164,104 @@ def _stars(rows: DataFrame) -> DataFrame:
     return rows.join(leads, "key").where("node > v").select(F.col("node").alias("u"), "v", "key")
 
 
+def word_counts(text: str) -> bytes:
+    """Numbers of a text's words by hash, in ``BINS`` bins of a byte each; counts above 255 are 255."""
+    bins = (word_hashes(text.split()) & np.uint64(BINS - 1)).astype(np.int64)
+    return np.minimum(np.bincount(bins, minlength=BINS), 255).astype(np.uint8).tobytes()
+
+
+def _counted(texts: DataFrame) -> DataFrame:
+    """node, size (words), counts of every text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            size = pa.array([len(t.split()) for t in texts], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), size, pa.array([word_counts(t) for t in texts], pa.binary())], ["node", "size", "counts"])
+        release_memory()
+
+    return in_small_batches(texts.select("node", "text")).mapInArrow(run, "node long, size long, counts binary")
+
+
+def possible_pairs(node: np.ndarray, part: np.ndarray, size: np.ndarray, counts: np.ndarray, side: np.ndarray, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Pairs of rows of different parts that may be near duplicates, as greater node, lesser node, least distance.
+
+    Rows of side 0 meet those of side 1; without a side 1 they meet each other. A word edit changes one count of each
+    text by one at most, so the counts that one text has beyond the other bound the distance below; bounding counts to
+    a byte lowers that bound only.
+    """
+    order = np.argsort(size, kind="stable")
+    node, part, size, counts, side = node[order], part[order], size[order], counts[order], side[order]
+    total = counts.sum(axis=1, dtype=np.int64)
+    alone = not side.any()
+    to = np.arange(len(node)) if alone else np.flatnonzero(side == 1)
+    to_size, to_part = size[to], part[to]
+    for i in np.flatnonzero(side == 0):
+        # Texts whose lengths differ too much are no near duplicates; alone, each pair is met from its longer text.
+        low = np.searchsorted(to_size, int(similarity * size[i] - 1e-6))
+        high = i if alone else np.searchsorted(to_size, int(size[i] / similarity + 1e-6) + 1, side="right")
+        j = to[low:high][to_part[low:high] != part[i]]
+        if not len(j):
+            continue
+        shared = np.minimum(counts[j], counts[i]).sum(axis=1, dtype=np.int64)
+        apart = np.maximum(total[j], total[i]) - shared
+        ok = apart <= ((1 - similarity) * np.maximum(size[j], size[i]) + 1e-9).astype(np.int64)
+        if ok.any():
+            j = j[ok]
+            yield np.maximum(node[j], node[i]), np.minimum(node[j], node[i]), apart[ok]
+
+
+def _mates(stars: DataFrame, parts: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (u, v, apart) of all members of a bucket, its least node aside, that are of different parts and may be near duplicates."""
+    members = materialize(_label(stars.select(F.col("u").alias("node"), "key"), parts, "node", "part"))
+    mixed = members.groupBy("key").agg(F.count("*").alias("n"), F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high")
+    mixed = materialize(mixed.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")))
+    rows = members.join(mixed, "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    rows = materialize(rows)
+    counted = materialize(_counted(texts.join(rows.select("node").distinct(), "node")))
+    # Each member goes to the pairs of its own block with every block of the bucket.
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("key", F.least("own", "other").alias("b0"), F.greatest("own", "other").alias("b1"), (F.col("own") > F.col("other")).cast("int").alias("side"), "node", "part")
+    rows = rows.join(counted, "node").select("key", "b0", "b1", "side", "node", "part", "size", "counts")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def pairs() -> Iterator[pa.RecordBatch]:
+            node, part, size, side, counts = (np.concatenate([h[k] for h in held]) for k in range(5))
+            for u, v, apart in possible_pairs(node, part, size, counts, side, similarity):
+                found.append((u, v, apart))
+                if len(found) >= 1024:
+                    yield flush()
+
+        def flush() -> pa.RecordBatch:
+            columns = [np.concatenate([f[k] for f in found]) for k in range(3)]
+            found.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["u", "v", "apart"])
+
+        found: list = []
+        group, held = None, []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key, b0, b1, side, node, part, size = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(7))
+            counts = np.frombuffer(b"".join(batch.column(7).to_pylist()), np.uint8).reshape(-1, BINS)
+            starts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (b0[1:] != b0[:-1]) | (b1[1:] != b1[:-1])])
+            for start, stop in zip(starts, np.r_[starts[1:], len(key)]):
+                name = (key[start], b0[start], b1[start])
+                if name != group:
+                    if held:
+                        yield from pairs()
+                    group, held = name, []
+                held.append((node[start:stop], part[start:stop], size[start:stop], side[start:stop], counts[start:stop]))
+        if held:
+            yield from pairs()
+        if found:
+            yield flush()
+        release_memory()
+
+    dealt = rows.repartition(partitions(rows), "key", "b0", "b1").sortWithinPartitions("key", "b0", "b1")
+    return in_small_batches(dealt).mapInArrow(run, "u long, v long, apart long").groupBy("u", "v").agg(F.min("apart").alias("apart"))
+
+
 def _label(rows: DataFrame, parts: DataFrame, node: str, name: str) -> DataFrame:
     """Adds the component of a node column; a node without verified pairs is its own."""
     return rows.join(parts.select(F.col("node").alias(node), F.col("component").alias("_part")), node, "left").withColumn(name, F.coalesce("_part", F.col(node))).drop("_part")
@@ -196,17 +298,14 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc
     edges = materialize(edges.unionByName(_verified(open_pairs, texts, similarity)))
     parts = materialize(connected_components(edges))
 
-    # Members that a bucket's representative did not take in meet again in buckets of two sketches.
-    left = _label(_label(first, parts, "u", "pu"), parts, "v", "pv").where("pu <> pv").select(F.col("u").alias("node"), "key").distinct()
-    sketches = nodes.select("node", "sketch")
-    at = F.array_position("sketch", F.col("key")).cast("int")
-    finer = left.join(sketches, "node").select("node", F.explode(F.transform(F.sequence(F.lit(1), F.lit(FINER)), lambda s: F.xxhash64("key", F.get("sketch", F.pmod(at - 1 + s, F.lit(SKETCHES)))))).alias("key"))
-    again = _stars(materialize(finer)).select("u", "v").distinct()
-    again = again.join(best.select("u", "v"), ["u", "v"], "left_anti")
-    again = _label(_label(again, parts, "u", "pu"), parts, "v", "pv").where("pu <> pv").select("u", "v")
-    more = materialize(_verified(again, texts, similarity))
-    if not more.isEmpty():
-        parts = materialize(connected_components(edges.unionByName(more)))
+    # Members that a bucket's representative left in different groups meet each other, likeliest pair first.
+    mates = materialize(_mates(first, parts, texts, similarity))
+    likely = materialize(mates.groupBy("u").agg(F.min(F.struct("apart", "v")).alias("m")).select("u", F.col("m.v").alias("v")))
+    for again in (lambda: likely, lambda: mates.select("u", "v").join(likely, ["u", "v"], "left_anti")):
+        more = materialize(_verified(_label(_label(again(), parts, "u", "pu"), parts, "v", "pv").where("pu <> pv").select("u", "v"), texts, similarity))
+        if not more.isEmpty():
+            edges = edges.unionByName(more)
+            parts = materialize(connected_components(edges))
 
     named = _label(nodes.select("node", "h1", "h2", "copy_id"), parts, "node", "part")
     heads = materialize(named.groupBy("part").agg(F.min("copy_id").alias("class_id")))

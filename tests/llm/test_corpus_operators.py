@@ -120,6 +120,43 @@ def test_a_large_group_stays_linear(spark):
     assert got.select("class_id").distinct().count() == 1
 
 
+def linked(texts):
+    """Groups of texts that a chain of near duplicates with a common sketch links, by plain comparison of all pairs."""
+    words, sketch = [t.split() for t in texts], [set(near_dedup.order_minhash(t).tolist()) for t in texts]
+    head = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if head[i] != head[j] and not sketch[i].isdisjoint(sketch[j]) and near_dedup.near(words[i], words[j]):
+                old, new = max(head[i], head[j]), min(head[i], head[j])
+                head = [new if h == old else h for h in head]
+    return head
+
+
+def test_a_hub_of_the_greatest_id_keeps_its_copies(spark, monkeypatch):
+    r = random.Random(14)
+    hub = prose(r, 200)
+    texts = [edited(r, hub, 0.14) for _ in range(150)] + [hub]
+    want = linked(texts)
+    assert max(Counter(want).values()) > 120
+    monkeypatch.setattr(near_dedup, "BLOCK", 16)
+    got = {x.doc_id: x.class_id for x in near_dedup.near_duplicates(frame(spark, list(enumerate(texts)))).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+
+
+def test_counts_bound_the_distance():
+    r = random.Random(15)
+    texts = [t for base in (prose(r, 40), prose(r, 700), " ".join(["w1"] * 600)) for t in [base, *(edited(r, base, s / 40) for s in range(12))]]
+    size = np.array([len(t.split()) for t in texts])
+    counts = np.frombuffer(b"".join(map(near_dedup.word_counts, texts)), np.uint8).reshape(len(texts), -1)
+    at = np.arange(len(texts))
+    for side in (np.zeros(len(texts), int), at % 2):
+        got = {(int(u), int(v)) for us, vs, _ in near_dedup.possible_pairs(at, at, size, counts, side, 0.8) for u, v in zip(us, vs)}
+        for i in range(len(texts)):
+            for j in range(i):
+                if (not side.any() or side[i] != side[j]) and near_dedup.near(texts[i].split(), texts[j].split()):
+                    assert (i, j) in got
+
+
 # --- Decontamination
 
 
