@@ -22,7 +22,7 @@ SKIP = frozenset("aside audio button canvas datalist dialog fieldset footer form
 BLOCK = frozenset("address article aside blockquote body caption center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 REGION = frozenset("article body div main section table td".split())
-ARTICLE = frozenset("article main".split())
+ARTICLE = {"main": 1, "article": 2}
 #: Words of class, id and role that mark parts beside the article.
 MARKS = frozenset(
     "ad ads advert advertisement adverts alert banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright disclaimer disqus footer gdpr header masthead menu modal nav navbar navigation newsletter notice "
@@ -47,12 +47,12 @@ def _marked(attrs: list[tuple[str, str | None]]) -> bool:
 
 
 class Lines(HTMLParser):
-    """Collects lines: text, number of tags, linked characters, region, and whether an article holds it."""
+    """Collects lines: text, number of tags, linked characters, region, and whether a main (1) or an article (2) holds it."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, int, int, bool]] = []
-        self.stack: list[tuple[str, bool, int, bool]] = []  # name, starts a skipped part, region, in an article
+        self.lines: list[tuple[str, int, int, int, int]] = []
+        self.stack: list[tuple[str, bool, int, int]] = []  # name, starts a skipped part, region, in a main (1) or an article (2)
         self.skip = self.tags = self.linked = self.regions = self.links = 0
         self.parts: list[str] = []
 
@@ -60,7 +60,7 @@ class Lines(HTMLParser):
         text = " ".join("".join(self.parts).split())
         self.parts.clear()
         if text:
-            region, article = (self.stack[-1][2], self.stack[-1][3]) if self.stack else (0, False)
+            region, article = (self.stack[-1][2], self.stack[-1][3]) if self.stack else (0, 0)
             self.lines.append((text, self.tags, self.linked, region, article))
         self.tags = self.linked = 0
 
@@ -86,11 +86,13 @@ class Lines(HTMLParser):
         self.push(tag, tag in SKIP or _marked(attrs))
 
     def push(self, tag: str, skips: bool) -> None:
-        region, article = (self.stack[-1][2], self.stack[-1][3]) if self.stack else (0, False)
-        if tag in REGION:
+        region, article = (self.stack[-1][2], self.stack[-1][3]) if self.stack else (0, 0)
+        level = ARTICLE.get(tag, 0)
+        # A main and each outermost article is one region with all the containers in it.
+        if tag in REGION and (not article or level > article):
             self.regions += 1
             region = self.regions
-        article = article or tag in ARTICLE
+        article = max(article, level)
         self.stack.append((tag, skips, region, article))
         self.skip += skips
         self.links += tag == "a"

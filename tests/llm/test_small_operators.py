@@ -123,6 +123,19 @@ def test_hamming_topk_is_exact(spark):
 # --- HTML
 
 
+def test_html_keeps_containers_of_an_article():
+    long, short = ["long words " * 45 + str(i) for i in range(6)], [f"short {i} " * 15 + "." for i in range(3)]
+    table = "<table>" + "".join(f"<tr><td>a{i}</td><td>b{i}</td></tr>" for i in range(3)) + "</table>"
+    cells = [f"{c}{i}" for i in range(3) for c in "ab"]
+    for inner in ("section", "div"):
+        body = "".join(f"<p>{x}</p>" for x in long) + f"<{inner}>" + "".join(f"<p>{x}</p>" for x in short) + f"</{inner}>" + table
+        want = [" ".join(x.split()) for x in long + short] + cells
+        for page in (f"<article>{body}</article>", f"<main>{body}</main>", f"<body><div>x</div><main><article><div>{body}</div></article></main></body>"):
+            assert html_extract.main_text(page).split("\n") == want
+    teaser = "<main><article>" + "".join(f"<p>{x}</p>" for x in long) + "</article>" + "<p><a href=x>more</a></p>" * 6 + "</main>"
+    assert "more" not in html_extract.main_text(teaser)
+
+
 def test_html(spark):
     article = "<html><title>t</title><nav>menu</nav><header>h</header><article><h1>T&amp;t</h1><p>One <b>bold</b>\n two<p>Three<script>x('<p>')</script>!<aside>no</aside><form>f<p>g</form></article><div class='comments'><p>c</div><footer>f</footer>"
     plain = "<body><div id=menu><a href=1>a</a> <a href=2>b</a></div><div><h1>Title</h1><p>A long text with many words that reads on and on for a while.</p><p>Short</p></div><div><a href=1>x</a><a href=2>y</a></div>"
