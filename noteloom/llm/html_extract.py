@@ -28,18 +28,30 @@ MARKS = frozenset(
     "ad ads advert advertisement adverts alert banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright disclaimer disqus footer gdpr header masthead menu modal nav navbar navigation newsletter notice "
     "notification pager pagination paywall popup promo promoted related replies respond share sharing sidebar signup social sponsor sponsored subscribe toolbar widget banner complementary contentinfo search".split()
 )
+#: Elements that hold the page or its article: class words do not mark them.
+WHOLE = frozenset("html body main article".split())
+#: Last parts of a class name that leave its meaning to the part before (ad-slot, related-posts), and first ones that speak of another element.
+HOLDERS = frozenset("bar block box buttons form item items links list panel posts section slot unit".split())
+ABOUT = frozenset("has no with without".split())
 #: Elements that a new one of these closes when their end tag is left out.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "p": {"p"}}
 SIGMA = 1.5
 
 
-def _marked(attrs: list[tuple[str, str | None]]) -> bool:
+def _names_mark(name: str) -> bool:
+    """Whether a class name is a mark or ends in one; a mark further ahead (search-results, sidebar-layout) says nothing of the element."""
+    parts = "".join(c if c.isalnum() else " " for c in name).split()
+    while len(parts) > 1 and parts[-1] in HOLDERS:
+        parts.pop()
+    return bool(parts) and parts[-1] in MARKS and parts[0] not in ABOUT
+
+
+def _marked(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
     for name, value in attrs:
         if name in ("hidden",) or (name == "aria-hidden" and value == "true"):
             return True
-        if name in ("class", "id", "role") and value:
-            tokens = "".join(c if c.isalnum() else " " for c in value.lower()).split()
-            if not MARKS.isdisjoint(tokens):
+        if name in ("class", "id", "role") and value and tag not in WHOLE:
+            if any(_names_mark(x) for x in value.lower().split()):
                 return True
         if name == "style" and value and "display:none" in value.replace(" ", "").lower():
             return True
@@ -78,12 +90,12 @@ class Lines(HTMLParser):
         if tag in VOID:
             return
         if tag not in BLOCK and tag not in SKIP and tag != "a":
-            if _marked(attrs):
+            if _marked(tag, attrs):
                 self.push(tag, True)
             elif self.skip == 0 and tag in ("span", "em", "strong"):
                 self.push(tag, False)
             return
-        self.push(tag, tag in SKIP or _marked(attrs))
+        self.push(tag, tag in SKIP or _marked(tag, attrs))
 
     def push(self, tag: str, skips: bool) -> None:
         region, article = (self.stack[-1][2], self.stack[-1][3]) if self.stack else (0, 0)

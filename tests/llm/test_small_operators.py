@@ -136,6 +136,18 @@ def test_html_keeps_containers_of_an_article():
     assert "more" not in html_extract.main_text(teaser)
 
 
+def test_html_class_names():
+    text = "Words of the page " * 20
+    want = text.strip()
+    for name in ("right-sidebar", "search-results", "has-banner", "no-menu", "sidebar", "notice"):
+        for tag in ("html", "body", "main", "article"):
+            assert html_extract.main_text(f'<{tag} class="x {name}"><p>{text}</p></{tag}>') == want, (tag, name)
+    for name in ("search-results", "has-banner", "sidebar-layout", "menu_page"):
+        assert html_extract.main_text(f'<div class="{name}"><p>{text}</p></div>') == want, name
+    for name in ("ad", "ad-slot", "right-sidebar", "cookie_notice", "related-posts", "x comments"):
+        assert html_extract.main_text(f'<article><p>{text}</p><div class="{name}"><p>{text}</p></div></article>') == want, name
+
+
 def test_html(spark):
     article = "<html><title>t</title><nav>menu</nav><header>h</header><article><h1>T&amp;t</h1><p>One <b>bold</b>\n two<p>Three<script>x('<p>')</script>!<aside>no</aside><form>f<p>g</form></article><div class='comments'><p>c</div><footer>f</footer>"
     plain = "<body><div id=menu><a href=1>a</a> <a href=2>b</a></div><div><h1>Title</h1><p>A long text with many words that reads on and on for a while.</p><p>Short</p></div><div><a href=1>x</a><a href=2>y</a></div>"
