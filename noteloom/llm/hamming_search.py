@@ -74,12 +74,12 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
         distance = F.bit_count(F.col("q").bitwiseXOR(F.col("code"))).cast("int")
         agree = (F.col("segment") == F.col("_segment")) & (F.col("key") == F.col("_key")) & (distance <= F.col("bound"))
         found = probes.join(probed.hint("merge"), agree).select("q", "code", "ids").dropDuplicates(["q", "code"])
-        near = found.select("q", distance.alias("distance"), F.explode("ids").alias("i")).select("q", "distance", "i.id", F.col("i._rank").alias("_copy"))
+        near = found.select("q", "code", distance.alias("distance"), F.explode("ids").alias("i")).select("q", "code", "distance", "i.id", F.col("i._rank").alias("_copy"))
         if best is not None:
             near = near.unionByName(best.join(active, "q", "left_semi").drop("_rank")).distinct()
-        now = materialize(_first(near, ["q"], [F.col("distance"), F.col("id"), F.col("_copy")], k))
+        now = materialize(_first(near, ["q"], [F.col("distance"), F.col("id"), F.col("code"), F.col("_copy")], k))
         full = now.where(F.col("_rank") == wanted).select("q", "distance")
-        done.append(now.join(full.where(F.col("distance") <= cover), "q", "left_semi"))
+        done.append(now.drop("code").join(full.where(F.col("distance") <= cover), "q", "left_semi"))
         after = active.join(full, "q", "left").where(F.col("distance").isNull() | (F.col("distance") > cover))
         after = materialize(after.select("q", F.coalesce("distance", "bound").alias("bound")))
         drop_materialized(active)

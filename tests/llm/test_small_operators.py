@@ -123,6 +123,12 @@ def test_hamming_topk_is_exact(spark):
 # --- HTML
 
 
+def test_hamming_rows_that_share_an_id(spark):
+    codes = spark.createDataFrame([(5, 1), (5, 2), (None, 4), (None, 8), (9, 0x0007000700070007)], "id long, code long")
+    got = hamming_search.nearest(codes, spark.createDataFrame([(0, 0)], "query_id long, code long"), 5).orderBy("rank").collect()
+    assert [(x.id, x.distance) for x in got] == [(None, 1), (None, 1), (5, 1), (5, 1), (9, 12)]
+
+
 def test_html_keeps_containers_of_an_article():
     long, short = ["long words " * 45 + str(i) for i in range(6)], [f"short {i} " * 15 + "." for i in range(3)]
     table = "<table>" + "".join(f"<tr><td>a{i}</td><td>b{i}</td></tr>" for i in range(3)) + "</table>"
