@@ -1,4 +1,7 @@
 import hashlib
+import html
+import html.parser
+import math
 import random
 import re
 import zlib
@@ -167,6 +170,207 @@ def test_html(spark):
     assert html_extract.extract_pages(df.limit(0)).count() == 0
 
 
+class Node:
+    def __init__(self, tag, attrs=(), up=None):
+        self.tag, self.attrs, self.up, self.inner = tag, dict(attrs), up, []
+
+
+class Tree(html.parser.HTMLParser):
+    """A page as nested nodes; end tags stay as marks among the children, for their number counts."""
+
+    def __init__(self):
+        super().__init__()
+        self.root = self.at = Node("")
+
+    def handle_starttag(self, tag, attrs):
+        if tag in html_extract.BLOCK and (self.at.tag in html_extract.CLOSES.get(tag, ()) or (self.at.tag == "p" and tag != "p")):
+            self.at = self.at.up
+        node = Node(tag, attrs, self.at)
+        self.at.inner.append(node)
+        if tag not in html_extract.VOID and (tag in html_extract.BLOCK or html_extract.standing(tag, attrs) or tag in ("a", "em", "span", "strong")):
+            self.at = node
+
+    def handle_endtag(self, tag):
+        node, opened = self.at, []
+        while node.up and node.tag != tag and (tag in html_extract.BLOCK or node.tag not in html_extract.BLOCK):
+            opened.append(node)
+            node = node.up
+        closes = node.up is not None and node.tag == tag
+        self.at.inner.append(("end", tag))
+        if closes:
+            self.at = node.up
+
+    def handle_data(self, data):
+        self.at.inner.append(data)
+
+
+def plain_main_text(page):
+    """The contract of main_text by a walk over nested nodes and plain loops."""
+    tree = Tree()
+    tree.feed(page)
+    tree.close()
+    H = html_extract
+    own = lambda n: H.standing(n.tag, list(n.attrs.items()))
+    lines, state = [], {"tags": 0, "linked": 0, "parts": []}
+
+    def up(n):
+        while n:
+            yield n
+            n = n.up
+
+    def flush():
+        seen = []
+        for owner, _ in state["parts"]:
+            if owner not in seen:
+                seen.append(owner)
+        for owner in seen:
+            text = " ".join("".join(t for o, t in state["parts"] if o is owner).split())
+            if text:
+                lines.append((text, state["tags"], min(state["linked"], len(text)), owner))
+        state.update(tags=0, linked=0, parts=[])
+
+    def owner(n):
+        return next(x for x in up(n) if not x.up or x.tag in H.BLOCK or own(x))
+
+    def walk(n):
+        for x in n.inner:
+            if isinstance(x, str):
+                if not any(own(y) == H.NO_TEXT for y in up(n)):
+                    state["parts"].append((owner(n), x))
+                    state["linked"] += len(x) * any(y.tag == "a" for y in up(n))
+            elif isinstance(x, tuple):
+                if x[1] in H.BLOCK:
+                    flush()
+                state["tags"] += 1
+            else:
+                if x.tag in H.BLOCK:
+                    flush()
+                elif x.tag == "br":
+                    state["parts"].append((owner(n), " "))
+                state["tags"] += 1
+                walk(x)
+                if x.tag in H.BLOCK and x.tag not in H.VOID:
+                    flush()
+
+    walk(tree.root)
+    flush()
+
+    def holds(n, tags):
+        return any(isinstance(x, Node) and (x.tag in tags or holds(x, tags)) for x in n.inner)
+
+    def beside(n):
+        return any(own(x) == H.BESIDE_IT or (own(x) == H.NAMED and not (x.tag in ("h1", "main") or holds(x, ("h1", "main")))) for x in up(n))
+
+    n = len(lines)
+    mine = [0 if beside(o) else len(t) - k for t, _, k, o in lines]
+    value = [math.log(1 + m / max(1, g)) for m, (_, g, _, _) in zip(mine, lines)]
+    reach = int(3 * H.SIGMA)
+    smooth = []
+    for i in range(n):
+        near = [(math.exp(-((i - j) ** 2) / (2 * H.SIGMA**2)), value[j]) for j in range(n) if abs(i - j) <= reach]
+        smooth.append(sum(w * v for w, v in near) / sum(w for w, _ in near))
+    free = [i for i in range(n) if not beside(lines[i][3])]
+    if not free:
+        return ""
+    low, high = min(smooth), max(smooth)
+    for _ in range(50):
+        a, b = [v for v in smooth if v < (low + high) / 2], [v for v in smooth if v >= (low + high) / 2]
+        low, high = (sum(a) / len(a) if a else low), sum(b) / len(b)
+    cut = (low + high) / 2 if a else min(smooth)
+    able = [i for i in free if mine[i] > len(lines[i][0]) / 2] or free
+    chosen = [i for i in able if smooth[i] >= cut] or [i for i in able if smooth[i] == max(smooth[j] for j in able)]
+    article = lambda i: next((x for x in reversed(list(up(lines[i][3]))) if x.tag == "article"), None)
+    total = lambda some: sum(len(lines[i][0]) for i in some)
+    inside = [i for i in chosen if article(i)]
+    if inside and total(inside) >= 0.2 * total(chosen):
+        keep = [i for i in free if article(i) and any(article(i) is article(j) for j in inside)]
+    else:
+        chains = [list(up(lines[i][3])) for i in chosen]
+        root = next(x for x in chains[0] if all(any(x is y for y in c) for c in chains))
+        box = lambda i: next((x for x in up(lines[i][3]) if x.tag in H.REGION), tree.root)
+        keep = []
+        for i in free:
+            if any(x is root for x in up(lines[i][3])):
+                mates = [j for j in free if box(j) is box(i)]
+                if any(j in chosen for j in mates) or sum(lines[j][2] for j in mates) * 2 <= total(mates):
+                    keep.append(i)
+    return "\n".join(lines[i][0] for i in keep)
+
+
+def test_html_equals_the_plain_walk():
+    r = random.Random(31)
+    prose = lambda n: " ".join(r.choice(["long", "words", "a", "of", "text,", "reads&amp;on"]) for _ in range(n))
+    classes = ["", "", "", " class=ad", " class='x menu'", " id=sidebar", " class='post-body'", " role=navigation", " hidden", " id='market-share'"]
+
+    def piece(depth):
+        kind = r.choice(["p", "p", "p", "links", "a", "table", "div", "section", "article", "ul", "nav", "footer", "h1", "span", "script", "aside", "main", "raw"])
+        mark = r.choice(classes)
+        if kind in ("div", "section", "article", "aside", "main", "nav", "footer") and depth:
+            return f"<{kind}{mark}>" + "".join(piece(depth - 1) for _ in range(r.randint(0, 4))) + r.choice([f"</{kind}>", f"</{kind}>", ""])
+        if kind == "links":
+            return f"<div{mark}>" + f"<a href=x>{prose(2)}</a> " * r.randint(1, 4) + "</div>"
+        if kind == "table":
+            return "<table><tr>" + "".join(f"<td{r.choice(classes)}>{prose(2)}" for _ in range(3)) + "</table>"
+        if kind == "ul":
+            return "<ul>" + "".join(f"<li>{r.choice(['<a href=y>', ''])}{prose(3)}</a>" for _ in range(3)) + "</ul>"
+        if kind == "script":
+            return "<script>if (a<b) x('<p>')</script>"
+        if kind == "raw":
+            return prose(3) + r.choice(["<br>", "</b>", "</div>", "<!-- no -->", "<hr>"])
+        return f"<p{mark}>{prose(r.choice([2, 8, 60]))} <b>x</b> <span{r.choice(classes)}>y</span>{r.choice(['</p>', ''])}" if kind in ("p", "span", "h1") else f"<{kind}{mark}>{prose(4)}</{kind}>"
+
+    changed = 0
+    for _ in range(1500):
+        page = "<body>" + "".join(piece(3) for _ in range(r.randint(0, 7)))
+        assert html_extract.main_text(page) == plain_main_text(page), page
+        parser = html_extract.Lines()
+        parser.feed(page)
+        parser.close()
+        parser.flush()
+        changed += html_extract.main_text(page) != "\n".join(x.text for x in parser.lines)
+    assert changed > 800
+
+
+def test_html_pages_give_their_articles(spark):
+    """Every page of the table against the text between its article tags, and what the method leaves out."""
+    left_out = 0
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "html").collect()
+    for p in pages:
+        blocks = (re.split("</?(?:p|h1)>", a.replace("<br>", " ")) for a in re.findall("<article>(.*?)</article>", p.html, re.S))
+        want = [" ".join(html.unescape(re.sub("<[^>]+>", "", b)).split()) for some in blocks for b in some]
+        assert html_extract.main_text(p.html) == "\n".join(b for b in want if b), p.page_id
+        parser = html_extract.Lines()
+        parser.feed(p.html)
+        parser.close()
+        left_out += len(html_extract.content_lines(parser.elements, parser.lines)) < len(parser.lines)
+    assert left_out == len(pages)
+
+
+def test_html_loses_no_article_text():
+    text = "Words of a text that reads on and on. " * 9
+    want = text.strip()
+    for page in (
+        f'<body class="home has-sidebar"><p>{text}</p></body>',
+        f'<body class="page search-open"><p>{text}</p>',
+        f'<article class="post has-comments"><p>{text}</p></article>',
+        f'<div class="ad">{text}</div><nav>{text}</nav><article><p>{text}</p></article><footer>{text}</footer>',
+        f'<div class="comments-area"><h1>{text}</h1></div>',
+        f"<div>{text}</div><div class=comments><article class=comment><p>{text * 4}</p></article></div>",
+    ):
+        assert html_extract.main_text(page) == want, page
+    for extra, lines in (
+        ("<table><tr><td>a<td>b</table>", ["a", "b"]),
+        ("<section><p>short</p></section>", ["short"]),
+        ('<p id="market-share">share</p>', ["share"]),
+        ("<p><a href=x>all of it is a link</a></p>", ["all of it is a link"]),
+    ):
+        for page in (f"<article><p>{text}</p>{extra}<p>{text}</p></article>", f"<main><p>{text}</p>{extra}<p>{text}</p></main>"):
+            assert html_extract.main_text(page).split("\n") == [want, *lines, want], page
+    assert html_extract.main_text(f"<div><p>{text}</p></div><div>{text}</div><div>short</div>").split("\n") == [want, want, "short"]
+    assert html_extract.main_text("<nav>menu</nav><footer>foot</footer>") == "" and html_extract.main_text("<article><p>Von.</p></article>") == "Von."
+    assert html_extract.main_text(f"<article><p>{text}</p><p>one <span class=ad>buy</span> two</p><p>{text}</p></article>").split("\n")[1] == "one two"
+
+
 # --- SentencePiece
 
 
