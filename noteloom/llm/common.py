@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from functools import lru_cache
+from collections.abc import Callable
+from functools import lru_cache, wraps
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -15,8 +16,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that the driver and all executors share: ``spark.checkpoint.dir``, or one of our own where it is unset."""
-    return spark.conf.get("spark.checkpoint.dir", None) or _own_dir(spark.sparkContext.applicationId)
+    """Folder that the driver and all executors share: ``spark.checkpoint.dir``. A session on one machine may do without and gets a folder of its own."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    return named or _own_dir(spark.sparkContext.applicationId)
 
 
 @lru_cache
@@ -24,6 +28,36 @@ def _own_dir(application: str) -> str:
     return tempfile.mkdtemp(prefix="noteloom-")
 
 
+#: Folders that each running operator has written, innermost last.
+_written: list[list[str]] = []
+
+
+def tidy(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """Deletes the tables that an operator has written, at its end, save those that its result still reads."""
+
+    @wraps(operator)
+    def run(*args, **kwargs) -> DataFrame:
+        _written.append([])
+        try:
+            result = operator(*args, **kwargs)
+        finally:
+            folders = _written.pop()
+        needed = {f.rsplit("/", 2)[1] for f in result.inputFiles()}
+        for folder in folders:
+            if folder.rsplit("/", 1)[1] not in needed:
+                _delete(result.sparkSession, folder)
+            elif _written:
+                _written[-1].append(folder)
+        return result
+
+    return run
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage is cut, and a lost executor loses no data.
 
@@ -32,12 +66,21 @@ def materialize(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/noteloom-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if _written:
+        _written[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def in_small_batches(df: DataFrame, size: str = "8m") -> DataFrame:
-    """The frame itself, after limiting the session's Arrow batches by bytes: ten thousand long texts are too much for one."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+    """The frame itself, after a bound in bytes on the session's Arrow batches: ten thousand long texts are too much for one.
+
+    The setting is read when the frame runs, which may be after the operator returns, so it stays; one that is smaller
+    already is left as it is.
+    """
+    key, conf = "spark.sql.execution.arrow.maxBytesPerBatch", df.sparkSession.conf
+    as_bytes = df.sparkSession.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes
+    if as_bytes(conf.get(key, "64m")) > as_bytes(size):
+        conf.set(key, size)
     return df
 
 
@@ -58,12 +101,14 @@ def release_memory() -> None:
 def drop_materialized(*frames: DataFrame) -> None:
     """Delete the files behind frames that ``materialize`` returned and that nothing reads any more."""
     for df in frames:
-        jvm = df.sparkSession.sparkContext._jvm
-        conf = df.sparkSession.sparkContext._jsc.hadoopConfiguration()
         for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
             if "/noteloom-" in folder:
-                path = jvm.org.apache.hadoop.fs.Path(folder)
-                path.getFileSystem(conf).delete(path, True)
+                _delete(df.sparkSession, folder)
+
+
+def text_key(text: Column) -> tuple[Column, Column]:
+    """Two 64-bit hashes that stand for a text (null has its own): rows of one text share them, whatever their ids."""
+    return F.xxhash64(F.lit(1), text), F.xxhash64(F.lit(2), text)
 
 
 def partitions(df: DataFrame, least: int = 1) -> int:

@@ -10,6 +10,7 @@ lower bound of the distance, and verified unless that bound excludes them.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import in_small_batches, materialize, partitions, release_memory
+from .common import in_small_batches, materialize, partitions, release_memory, text_key, tidy
 from .components import connected_components
 from .sharding import row_numbers
 from .text_hash import mix, run_hashes, seeds, word_hashes
@@ -27,6 +28,12 @@ WORDS = 5
 SKETCHES = 32
 #: Words of a text are counted in this many bins (a byte each); the counts of two texts bound their edit distance below.
 BINS = 256
+#: Hash values of a text that are held at once, 8 bytes each.
+VALUES = 1 << 20
+#: Word bits of the band's columns that are held at once.
+MASK_BITS = 1 << 28
+#: Pairs with one lead that a task verifies together, and for which the lead's text is sent once.
+PAIRS_OF_LEAD = 256
 #: Members of a bucket are compared in blocks of about this many, each pair of blocks on its own.
 BLOCK = 1024
 #: Up to this many ids (24 bytes each) are broadcast to pick the texts that need verification.
@@ -52,18 +59,21 @@ def order_minhash(text: str) -> np.ndarray | None:
         occurrence = np.empty(len(runs), np.uint64)
         occurrence[order] = at - np.maximum.accumulate(np.where(fresh, at, 0))
         labelled = mix(runs + occurrence * _ROW)
-    value = (labelled[None, :] ^ _SEEDS) * _LEFT
-    value ^= value >> np.uint64(32)
-    value *= _RIGHT
-    rows = np.arange(SKETCHES)
-    first = value.argmin(axis=1)
-    if len(runs) > 1:
-        value[rows, first] = np.uint64(0xFFFFFFFFFFFFFFFF)
-        second = value.argmin(axis=1)
-    else:
-        second = first
+    first, second = np.empty(SKETCHES, np.int64), np.empty(SKETCHES, np.int64)
+    # As many functions at once as give a million values, one at least.
+    step = max(1, min(SKETCHES, VALUES // len(runs)))
+    for at in range(0, SKETCHES, step):
+        some = slice(at, min(at + step, SKETCHES))
+        value = labelled[None, :] ^ _SEEDS[some]
+        value *= _LEFT
+        value ^= value >> np.uint64(32)
+        value *= _RIGHT
+        first[some] = second[some] = value.argmin(axis=1)
+        if len(runs) > 1:
+            value[np.arange(len(value)), first[some]] = np.uint64(0xFFFFFFFFFFFFFFFF)
+            second[some] = value.argmin(axis=1)
     low, high = np.minimum(first, second), np.maximum(first, second)
-    return mix(mix(runs[low] * _LEFT + rows.astype(np.uint64)) + runs[high] * _RIGHT).view(np.int64)
+    return mix(mix(runs[low] * _LEFT + np.arange(SKETCHES, dtype=np.uint64)) + runs[high] * _RIGHT).view(np.int64)
 
 
 def banded_distance(a: list, b: list, most: int) -> int:
@@ -76,35 +86,51 @@ def banded_distance(a: list, b: list, most: int) -> int:
         return most + 1
     if not m or not n:
         return max(m, n)
-    where: dict = {}
-    for i, x in enumerate(a):
-        where[x] = where.get(x, 0) | (1 << i)
-    full = (1 << (2 * most + 1)) - 1
-    top = 1 << (2 * most)
+    width = 2 * most + 1
+    full, top = (1 << width) - 1, 1 << (2 * most)
     rise, fall = ((1 << most) - 1) << (most + 1), 0
     goal = most + m - n
     distance = max(m - n, 0)
-    get = where.get
-    for j, x in enumerate(b, 1):
-        hit = get(x, 0)
-        shift = j - most - 1
-        hit = (hit >> shift if shift > 0 else hit << -shift) & full
-        up = rise if j == 1 else rise | top
-        if j == 1:
-            up, fall = (rise >> 1) | top, 0
-        flat = ((((hit & up) + up) ^ up) | hit | fall) & full
-        more = fall | (full & ~(flat | up))
-        less = flat & up
-        distance += not (flat >> goal) & 1
-        if distance > most:
-            return most + 1
-        # The window moves on by a row, so the row above is at the same bit.
-        moved = flat >> 1
-        rise = less | (full & ~(moved | more))
-        fall = moved & more
+    where: dict[object, list[int]] = {}
+    for i, x in enumerate(a):
+        where.setdefault(x, []).append(i)
+    block = max(16, MASK_BITS // (width + min(n, 4096)))
+    for begin in range(1, n + 1, block):
+        # Rows that the band meets in these columns, as bits of the words in these columns alone.
+        stop = min(begin + block, n + 1)
+        low, high = max(0, begin - most - 1), min(m, stop + most)
+        masks = {x: _mask(where[x], low, high) for x in set(b[begin - 1 : stop - 1]) if x in where}
+        for j in range(begin, stop):
+            hit = masks.get(b[j - 1], 0)
+            shift = j - most - 1 - low
+            hit = (hit >> shift if shift > 0 else hit << -shift) & full
+            if j == 1:
+                up, fall = (rise >> 1) | top, 0
+            else:
+                up = rise | top
+            flat = ((((hit & up) + up) ^ up) | hit | fall) & full
+            more = fall | (full & ~(flat | up))
+            less = flat & up
+            distance += not (flat >> goal) & 1
+            if distance > most:
+                return most + 1
+            # The window moves on by a row, so the row above is at the same bit.
+            moved = flat >> 1
+            rise = less | (full & ~(moved | more))
+            fall = moved & more
     return distance
 
 
+def _mask(places: list[int], low: int, high: int) -> int:
+    """Bits of the places from ``low`` on and below ``high``, the lowest first."""
+    some = places[bisect_left(places, low) : bisect_left(places, high)]
+    if len(some) < 64:
+        return sum(1 << (i - low) for i in some)
+    bits = np.zeros(high - low, np.uint8)
+    bits[np.array(some) - low] = 1
+    return int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little")
+
+
 def near(a: list[str], b: list[str], similarity: float = 0.8) -> bool:
     """Whether the word edit distance is at most (1 - similarity) of the longer text; equal ends are cut off first."""
     longer = max(len(a), len(b))
@@ -122,7 +148,13 @@ def near(a: list[str], b: list[str], similarity: float = 0.8) -> bool:
     shared = sum((Counter(a) & Counter(b)).values())
     if max(len(a), len(b)) - shared > most:
         return False
-    return banded_distance(a, b, min(most, max(len(a), len(b)))) <= most
+    most = min(most, max(len(a), len(b)))
+    band = 64
+    while band < most:  # near copies end in a narrow band
+        if banded_distance(a, b, band) <= band:
+            return True
+        band *= 4
+    return banded_distance(a, b, most) <= most
 
 
 def _sketched(docs: DataFrame) -> DataFrame:
@@ -139,23 +171,32 @@ def _sketched(docs: DataFrame) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """Those pairs (u, v) of nodes whose texts are near duplicates."""
+    """Those pairs (u, v) of nodes whose texts are near duplicates.
+
+    The pairs of a lead v are dealt to groups of about ``PAIRS_OF_LEAD``; a group gets the lead's text once, first.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lead, lead_words = None, []
+        lead: list[str] = []
         for batch in batches:
-            u, v = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            keep = []
+            u, v, keep = batch.column(1).to_pylist(), batch.column(0).to_pylist(), []
             for i in range(batch.num_rows):
-                if lead != v[i]:
-                    lead, lead_words = v[i], batch.column(3)[i].as_py().split()
-                keep.append(near(batch.column(2)[i].as_py().split(), lead_words, similarity))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["u", "v"]).filter(pa.array(keep, pa.bool_()))
+                words = batch.column(2)[i].as_py().split()
+                if u[i] is None:
+                    lead = words
+                else:
+                    keep.append((u[i], v[i])) if near(words, lead, similarity) else None
+            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in keep], pa.int64()) for k in range(2)], ["u", "v"])
         release_memory()
 
-    one = pairs.join(texts.select(F.col("node").alias("u"), F.col("text").alias("text_u")), "u")
-    two = one.join(texts.select(F.col("node").alias("v"), F.col("text").alias("text_v")), "v")
-    return in_small_batches(two.select("u", "v", "text_u", "text_v")).mapInArrow(run, "u long, v long").distinct()
+    pairs = materialize(pairs)
+    leads = pairs.groupBy("v").agg(F.ceil(F.count("*") / PAIRS_OF_LEAD).cast("int").alias("groups"))
+    members = pairs.join(leads, "v").select("v", F.pmod(F.xxhash64("u"), F.col("groups")).cast("int").alias("group"), "u")
+    members = members.join(texts, members["u"] == texts["node"]).select("v", "group", "u", "text")
+    heads = leads.select("v", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("group"), F.lit(None).cast("long").alias("u"))
+    heads = heads.join(texts, heads["v"] == texts["node"]).select("v", "group", "u", "text")
+    dealt = heads.unionByName(members).repartition(partitions(pairs), "v", "group").sortWithinPartitions("v", "group", "u")
+    return in_small_batches(dealt.select("v", "u", "text")).mapInArrow(run, "u long, v long")
 
 
 def _stars(rows: DataFrame) -> DataFrame:
@@ -267,15 +308,10 @@ def _label(rows: DataFrame, parts: DataFrame, node: str, name: str) -> DataFrame
     return rows.join(parts.select(F.col("node").alias(node), F.col("component").alias("_part")), node, "left").withColumn(name, F.coalesce("_part", F.col(node))).drop("_part")
 
 
-def near_duplicates(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row for each row of ``docs``: doc_id, class_id (the least id of its class of near duplicates), copy_id (the least id with an equal text).
-
-    A null text equals other null texts only and is nobody's near duplicate; neither is a text without words, but equal
-    texts always share a class. Null ids stay null and name no class that has another id. Repeated rows give a row
-    each. An empty table gives no rows; other columns are not read.
-    """
-    text = F.col(text_col)
-    source = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.lit(1), text).alias("h1"), F.xxhash64(F.lit(2), text).alias("h2"), text.alias("text"))
+def _classes(docs: DataFrame, similarity: float, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """All rows as (id, h1, h2), and for each distinct text (h1, h2) its part, class_id and copy_id."""
+    h1, h2 = text_key(F.col(text_col))
+    source = docs.select(F.col(id_col).alias("id"), h1.alias("h1"), h2.alias("h2"), F.col(text_col).alias("text"))
     rows = materialize(_sketched(source.withColumn("text", F.coalesce("text", F.lit("")))))
     classes = rows.groupBy("h1", "h2").agg(F.min("id").alias("copy_id"), F.first("sketch").alias("sketch"))
     nodes = materialize(row_numbers(classes, ["copy_id", "h1", "h2"], "node"))
@@ -287,9 +323,11 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc
 
     # The finer buckets' members are among the same nodes, so their texts are all that will be needed.
     needed = materialize(first.select(F.col("u").alias("node")).unionByName(first.select(F.col("v").alias("node"))).distinct().join(nodes.select("node", "copy_id", "h1", "h2"), "node"))
-    wanted = F.broadcast(needed) if needed.count() <= BROADCAST_IDS else needed
-    texts = source.alias("s").join(wanted.alias("w"), F.expr("s.id <=> w.copy_id and s.h1 = w.h1 and s.h2 = w.h2")).select("w.node", "s.text")
-    texts = materialize(texts)
+    n_needed = needed.count()
+    wanted = F.broadcast(needed) if n_needed <= BROADCAST_IDS else needed
+    texts = materialize(source.alias("s").join(wanted.alias("w"), F.expr("s.id <=> w.copy_id and s.h1 = w.h1 and s.h2 = w.h2")).select("w.node", "s.text"))
+    if texts.count() > n_needed:  # rows of one id and one text
+        texts = materialize(texts.groupBy("node").agg(F.first("text").alias("text")))
 
     # Each node meets its likeliest representative first; other pairs are verified only where they would join groups.
     edges = materialize(_verified(best.where("_r = 1").select("u", "v"), texts, similarity))
@@ -308,13 +346,42 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc
             parts = materialize(connected_components(edges))
 
     named = _label(nodes.select("node", "h1", "h2", "copy_id"), parts, "node", "part")
-    heads = materialize(named.groupBy("part").agg(F.min("copy_id").alias("class_id")))
-    result = materialize(named.join(heads, "part").select("h1", "h2", "class_id", "copy_id"))
-    return rows.select("id", "h1", "h2").join(result, ["h1", "h2"]).select(F.col("id").alias("doc_id"), "class_id", "copy_id")
+    heads = materialize(named.groupBy("part").agg(F.min("copy_id").alias("class_id"), F.min("node").alias("head")))
+    return rows.select("id", "h1", "h2"), materialize(named.join(heads, "part").select("h1", "h2", "part", "class_id", "copy_id"))
+
+
+@tidy
+def near_duplicates(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """A row for each row of ``docs``: doc_id, class_id (the least id of its class of near duplicates), copy_id (the least id with an equal text).
+
+    A null text equals other null texts only and is nobody's near duplicate; neither is a text without words, but equal
+    texts always share a class. Null ids stay null and name no class that has another id. Repeated rows give a row
+    each. An empty table gives no rows; other columns are not read.
+    """
+    rows, classes = _classes(docs, similarity, id_col, text_col)
+    return rows.join(classes, ["h1", "h2"]).select(F.col("id").alias("doc_id"), "class_id", "copy_id")
 
 
+@tidy
 def keep_one(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
-    """One document of each class, with all columns: that of the class's least id. Rows whose class has no id all stay."""
-    found = near_duplicates(docs, similarity)
-    others = materialize(found.where("doc_id <> class_id").select("doc_id").distinct())
-    return docs.join(others, "doc_id", "left_anti")
+    """Exactly one row of each class of near duplicates, with all columns: that of the least id, nulls last.
+
+    Rows are told apart by id and text, not by id alone, so a text under another's id stays. Of several rows with the
+    same id and text one stays, by a hash of its other columns. Null texts are one class, and so are empty ones. An
+    empty table gives no rows.
+    """
+    rows, classes = _classes(docs, similarity, "doc_id", "text")
+    one = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h1", "h2")).alias("one")
+    named = rows.join(classes.select("h1", "h2", "part"), ["h1", "h2"])
+    counted = materialize(named.groupBy("part", "id", "h1", "h2").agg(F.count("*").alias("n")))
+    chosen = counted.join(counted.groupBy("part").agg(one), "part").withColumn("stays", F.expr("id <=> one.id and h1 = one.h1 and h2 = one.h2"))
+    # Most rows stay, so those that go are named; rows that stand several times are looked at by themselves.
+    marked = materialize(chosen.where("not stays or n > 1").select(F.col("id").alias("_id"), F.col("h1").alias("_h1"), F.col("h2").alias("_h2"), "stays"))
+    h1, h2 = text_key(F.col("d.text"))
+    same = F.expr("d.doc_id <=> m._id") & (h1 == F.col("m._h1")) & (h2 == F.col("m._h2"))
+    single = docs.alias("d").join(marked.alias("m"), same, "left_anti")
+    repeated = marked.where("stays")
+    if repeated.isEmpty():
+        return single
+    several = docs.alias("d").join(repeated.alias("m"), same).select(F.struct("d.*").alias("row"), "m._id", "m._h1", "m._h2", F.xxhash64("d.*").alias("_at"))
+    return single.unionByName(several.groupBy("_id", "_h1", "_h2").agg(F.min_by("row", "_at").alias("row")).select("row.*"))

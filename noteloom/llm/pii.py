@@ -177,6 +177,7 @@ def find_spans(text: str, anchors) -> dict[str, list[tuple[int, int]]]:
     found: dict[str, list[tuple[int, int]]] = {}
     n = len(text)
     at_end = ip_end = card_end = phone_end = iban_end = run_end = 0
+    cue_end = {"login_url": 0, "account": 0, "secret": 0}
     add = lambda kind, span: found.setdefault(kind, []).append(span)
     for last, (kind, size) in anchors.iter(text):
         at = last - size + 1
@@ -207,8 +208,9 @@ def find_spans(text: str, anchors) -> dict[str, list[tuple[int, int]]]:
         else:
             span = _login(text, at, n) if kind == "scheme" else (_account if kind == "account" else _secret)(text, last + 1, n)
             name = "login_url" if kind == "scheme" else kind
-            if span and span[0] >= max((b for _, b in found.get(name, ())), default=0):
+            if span and span[0] >= cue_end[name]:
                 add(name, span)
+                cue_end[name] = span[1]
     return found
 
 

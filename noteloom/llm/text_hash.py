@@ -34,10 +34,29 @@ def _power_tables(n: int) -> list[np.ndarray]:
     return _powers
 
 
+#: Bytes that are hashed at once.
+CHUNK = 1 << 20
+
+
 def word_hashes(words: list[str]) -> np.ndarray:
-    """A hash for each word: a polynomial over its bytes, from differences of one running sum."""
-    if not words:
-        return np.zeros(0, np.uint64)
+    """A hash for each word: a polynomial over its bytes, from differences of one running sum. Memory is bounded by chunks of words, and of bytes in a longer word."""
+    out = np.empty(len(words), np.uint64)
+    start = size = 0
+    for i, word in enumerate(words):
+        size += 4 * len(word) + 1
+        if size > CHUNK:
+            if i > start:
+                out[start:i] = _some_hashes(words[start:i])
+            start, size = i, 4 * len(word) + 1
+            if size > CHUNK:
+                out[i] = _long_hash(word)
+                start, size = i + 1, 0
+    if start < len(words):
+        out[start:] = _some_hashes(words[start:])
+    return out
+
+
+def _some_hashes(words: list[str]) -> np.ndarray:
     data = np.frombuffer(" ".join(words).encode("utf-8", "surrogatepass"), np.uint8)
     power, inverse = _power_tables(len(data) + 1)
     total = np.r_[np.uint64(0), np.cumsum(_BYTES[data] * power[: len(data)], dtype=np.uint64)]
@@ -46,6 +65,15 @@ def word_hashes(words: list[str]) -> np.ndarray:
     return mix((total[end] - total[start]) * inverse[start])
 
 
+def _long_hash(word: str) -> np.uint64:
+    data = np.frombuffer(word.encode("utf-8", "surrogatepass"), np.uint8)
+    power, total = _power_tables(CHUNK)[0][:CHUNK], 0
+    for at in range(0, len(data), CHUNK):
+        part = data[at : at + CHUNK]
+        total += int((_BYTES[part] * power[: len(part)]).sum(dtype=np.uint64)) * pow(_BASE, at, 1 << 64)
+    return mix(np.array([total & ((1 << 64) - 1)], np.uint64))[0]
+
+
 def run_hashes(hashes: np.ndarray, k: int) -> np.ndarray:
     """Hashes of all runs of k consecutive words; none if there are fewer words."""
     if len(hashes) < k:
