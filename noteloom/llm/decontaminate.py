@@ -1,24 +1,31 @@
 """Benchmark decontamination by size-partitioned MinHash containment search.
 
 Test items are short and documents long, so similarity is the item's containment in the document. Items are put into
-partitions by their number of shingles. An item's sketch holds its least shingle hashes, as many as its partition
-needs so that a document that contains the required share of the item must contain one of them. Whole documents are
-streamed past the sketches; what meets one is verified by exact shingle containment. DataFrame operations only.
+partitions by their number of shingles (powers of two). An item's signature holds its least shingle hashes: all of them
+in the small partitions, ``SIGNATURE`` in the others. A document's signature holds those of its shingle hashes that some
+partition's signatures can hold. A pair is a candidate if the signatures share as many hashes as its partition asks for:
+that number follows from the containment and the partition's size. Candidates are verified by exact shingle
+containment. DataFrame operations only.
 """
 
 from __future__ import annotations
 
+from math import comb
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, text_key, tidy
 
 WORDS = 5
-#: Up to this many sketch hashes (16 bytes each) are broadcast, and the shingles of their items with them (about five to
-#: a hash, 40 bytes each); beyond, the joins are shuffled.
+#: Hashes of a signature; an item of fewer shingles has them all.
+SIGNATURE = 32
+#: Chance that a pair of the required containment shares too few hashes of its signatures.
+MISS = 1e-9
+#: Slots of the bit map of signature hashes for each hash, and bounds of its size in bits (64 kB, 2 MB as a constant of the plan).
+SLOTS, LEAST_BITS, MOST_BITS = 64, 1 << 19, 1 << 24
+#: Up to this many signature hashes (24 bytes each) are broadcast; beyond, the join is shuffled by hash.
 BROADCAST_HASHES = 200_000
-#: Up to this many candidate pairs (16 bytes each) are broadcast to the verification.
-BROADCAST_PAIRS = 1_000_000
 
 
 def item_words(text: Column) -> Column:
@@ -26,64 +33,119 @@ def item_words(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
-def _windows(words: Column, make) -> Column:
-    """Values of ``make`` over the shingles; the words are bound first, so that they are split once."""
-    start = lambda w: F.when(F.size(w) >= WORDS, F.sequence(F.lit(1), F.size(w) - (WORDS - 1))).otherwise(F.array().cast("array<int>"))
-    return F.transform(F.array(words), lambda w: F.transform(start(w), lambda i: make(F.slice(w, i, WORDS))))[0]
+def _windows(words: Column, size: Column, make) -> Column:
+    """Values of ``make`` over all runs of ``size`` words; words and size are bound first, so that they are computed once."""
+    starts = lambda b: F.when(F.size(b["w"]) >= b["k"], F.sequence(F.lit(1), F.size(b["w"]) - b["k"] + 1)).otherwise(F.array().cast("array<int>"))
+    return F.transform(F.array(F.struct(words.alias("w"), size.alias("k"))), lambda b: F.transform(starts(b), lambda i: make(F.slice(b["w"], i, b["k"]))))[0]
+
 
+def shingles(words: Column, sizes: list[int], make) -> Column:
+    """Values of ``make`` over the runs of each of the given sizes, repeats included."""
+    if len(sizes) == 1:
+        return _windows(words, F.lit(sizes[0]), make)
+    return F.transform(F.array(words), lambda w: F.concat(*[_windows(w, F.lit(k), make) for k in sizes]))[0]
 
-def shingle_hashes(words: Column) -> Column:
-    """64-bit hashes of the five-word shingles, repeats included."""
-    return _windows(words, F.xxhash64)
 
+def _text(words: Column) -> Column:
+    return F.array_join(words, " ")
 
-def shingle_texts(words: Column) -> Column:
-    """Distinct five-word shingles as text."""
-    return F.array_distinct(_windows(words, lambda s: F.array_join(s, " ")))
 
+def least_matches(size: int, threshold: float) -> int:
+    """Hashes that the signature of an item of up to ``size`` shingles shares with a document that holds ``threshold`` of them, but for a chance of ``MISS``."""
+    held = size - int((1 - threshold) * size + 1e-9)
+    chance, total = 0.0, comb(size, SIGNATURE)
+    for k in range(SIGNATURE + 1):
+        chance += comb(held, k) * comb(size - held, SIGNATURE - k) / total if k <= held and SIGNATURE - k <= size - held else 0.0
+        if chance > MISS:
+            return max(k, 1)
+    return SIGNATURE
 
-def sketches(items: DataFrame, threshold: float) -> DataFrame:
-    """item_id, hash: the least hashes of each item; their number follows the upper bound of its size partition (a power of two)."""
-    sized = items.select("item_id", F.size("hashes").alias("n"), F.sort_array("hashes").alias("hashes")).where("n > 0")
-    upper = F.pow(F.lit(2), F.ceil(F.log2("n"))).cast("int")
-    need = F.floor(F.lit(round(1 - threshold, 9)) * upper).cast("int") + 1
-    return sized.select("item_id", F.explode(F.slice("hashes", F.lit(1), F.least(need, F.col("n")))).alias("hash"))
 
+def signatures(items: DataFrame, threshold: float) -> DataFrame:
+    """item, hash, need: the signature of each item (item, hashes) and the number of its hashes that a document must hold.
 
+    Small partitions (up to ``SIGNATURE`` shingles) need exactly what containment asks for; each larger partition's need
+    is that of its upper bound, up to 2**40 shingles.
+    """
+    sized = items.select("item", F.size("hashes").alias("n"), F.sort_array("hashes").alias("hashes")).where("n > 0")
+    partition = F.ceil(F.log2("n")).cast("int")
+    whole = F.ceil(F.lit(threshold) * F.col("n") - 1e-9).cast("int")
+    need = F.when(F.col("n") <= SIGNATURE, F.greatest(whole, F.lit(1)))
+    top = SIGNATURE.bit_length() - 1
+    for p in range(top + 1, 41):
+        # Beyond 4,096 shingles the chance changes no more in its first nine digits' power.
+        need = need.when(partition == p, F.lit(least_matches(1 << min(p, 12), threshold)))
+    return sized.select("item", F.explode(F.slice("hashes", 1, SIGNATURE)).alias("hash"), need.alias("need"))
+
+
+def _bit_map(hashes: DataFrame, n: int) -> tuple[Column, int]:
+    """A constant array of 64-bit words with a bit for each hash, and its number of bits; its size is bounded, whatever the number of hashes."""
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (max(n, 1) * SLOTS).bit_length()))
+    slot = F.pmod("hash", F.lit(bits))
+    rows = hashes.select(F.shiftright(slot, 6).cast("int").alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(slot, F.lit(64)).cast("int")).alias("bit"))
+    words = [0] * (bits // 64)
+    for r in rows.groupBy("word").agg(F.bit_or("bit").alias("bits")).collect():  # MOST_BITS / 64 rows at most
+        words[r["word"]] = r["bits"]
+    return F.split(F.lit(",".join(map(str, words))), ",").cast("array<long>"), bits
+
+
+def _held(hash_: Column, bit_map: Column, bits: int) -> Column:
+    slot = hash_.bitwiseAND(F.lit(bits - 1))
+    word = F.get(bit_map, F.shiftright(slot, 6).cast("int"))
+    return F.call_function("shiftright", word, slot.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1
+
+
+def _search(docs: DataFrame, benchmark: DataFrame, threshold: float, text_col: str, item_col: str, item_text_col: str) -> DataFrame:
+    """h1, h2, item_id, containment for the texts of ``docs``, each distinct text once."""
+    words = item_words(F.col(item_text_col))
+    items = benchmark.select(F.col(item_col).alias("item_id"), words.alias("words")).where(F.size("words") > 0).withColumn("item", F.monotonically_increasing_id())
+    own = F.least(F.size("words"), F.lit(WORDS))
+    hashed = _windows(F.col("words"), own, F.xxhash64)
+    items = materialize(items.select("item", "item_id", own.alias("size"), F.array_distinct(hashed).alias("hashes"), F.array_distinct(_windows(F.col("words"), own, _text)).alias("shingles")))
+    sizes = sorted(r["size"] for r in items.select("size").distinct().collect()) or [WORDS]  # five rows at most
+    signed = materialize(signatures(items, threshold))
+    n = signed.count()
+    bit_map, bits = _bit_map(signed, n)
+
+    h1, h2 = text_key(F.col(text_col))
+    source = docs.select(h1.alias("h1"), h2.alias("h2"), F.col(text_col).alias("text"))
+    # An inner explode would compute the array a second time, to test its size.
+    kept = F.array_distinct(F.filter(shingles(item_words(F.col("text")), sizes, F.xxhash64), lambda h: _held(h, bit_map, bits)))
+    met = source.select("h1", "h2", F.explode_outer(kept).alias("hash")).join(F.broadcast(signed) if n <= BROADCAST_HASHES else signed, "hash")
+    shared = met.groupBy("h1", "h2", "item").agg(F.count_distinct("hash").alias("shared"), F.first("need").alias("need"))
+    pairs = materialize(shared.where("shared >= need").select("h1", "h2", "item"))
+
+    # Shingles of the candidate texts meet those of their items under the key of both, so no common shingle gathers rows.
+    wanted = pairs.join(items.select("item", F.explode("shingles").alias("shingle")), "item")
+    texts = source.join(pairs.select("h1", "h2").distinct(), ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(F.first("text").alias("text"))
+    held = texts.select("h1", "h2", F.explode_outer(F.array_distinct(shingles(item_words(F.col("text")), sizes, _text))).alias("shingle"))
+    found = wanted.join(held, ["h1", "h2", "shingle"]).groupBy("h1", "h2", "item").agg(F.count_distinct("shingle").alias("found"))
+    share = F.col("found") / F.size("shingles")
+    return found.join(items.select("item", "item_id", "shingles"), "item").select("h1", "h2", "item_id", share.alias("containment")).where(F.col("containment") >= threshold - 1e-9)
+
+
+@tidy
 def find_contamination(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """Pairs of a document and a test item of whose distinct five-word shingles it holds ``threshold`` or more.
 
-    Returns doc_id, item_id, containment. Words are runs of letters and digits in lower case. Null and short texts
-    (under five words) hold no shingle and match nothing, on either side. Repeated rows of an id give one pair with the
-    greatest containment; null ids stay null. Empty tables give no rows; other columns are not read.
+    Returns doc_id, item_id, containment. Words are runs of letters and digits in lower case. An item of fewer than five
+    words has one shingle, all of its words. Null texts and texts without words match nothing, on either side. Repeated
+    rows of an id give one pair with the greatest containment; null ids stay null. Empty tables give no rows; other
+    columns are not read.
     """
-    source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    items = benchmark.select(F.col(item_col).alias("item_id"), item_words(F.col(item_text_col)).alias("words"))
-    items = materialize(items.select("item_id", F.array_distinct(shingle_hashes(F.col("words"))).alias("hashes"), shingle_texts(F.col("words")).alias("shingles")))
-    sketch = materialize(sketches(items, threshold))
-    stats = sketch.agg(F.count("*").alias("n"), F.max("hash").alias("top")).first()
-    wide = stats["n"] > BROADCAST_HASHES
-    sketch = sketch if wide else F.broadcast(sketch)
-
-    # No sketch holds a hash above the greatest, so most shingles go before they become rows. An inner explode would
-    # compute the array a second time, to test its size.
-    low = F.filter(shingle_hashes(item_words(F.col("text"))), lambda h: h <= F.lit(stats["top"]))
-    met = source.select("doc_id", F.explode_outer(low).alias("hash")).join(sketch, "hash")
-    pairs = materialize(met.select("doc_id", "item_id").distinct())
-    few = pairs.count() <= BROADCAST_PAIRS
-
-    by_doc = pairs.select("doc_id").distinct()
-    kept = source.alias("s").join(F.broadcast(by_doc.alias("c")) if few else by_doc.alias("c"), F.expr("s.doc_id <=> c.doc_id"), "left_semi")
-    texts = kept.select("doc_id", shingle_texts(item_words(F.col("text"))).alias("held"))
-    met = texts.alias("t").join(F.broadcast(pairs.alias("p")) if few else pairs.alias("p"), F.expr("t.doc_id <=> p.doc_id")).select("t.doc_id", "p.item_id", "t.held")
-    exact = items.where(F.size("shingles") > 0).select("item_id", "shingles")
-    joined = met.alias("m").join((exact if wide else F.broadcast(exact)).alias("i"), F.expr("m.item_id <=> i.item_id"))
-    share = F.size(F.array_intersect("m.held", "i.shingles")) / F.nullif(F.size("i.shingles"), F.lit(0))
-    shares = joined.select("m.doc_id", "m.item_id", share.alias("containment"))
-    return shares.groupBy("doc_id", "item_id").agg(F.max("containment").alias("containment")).where(F.col("containment") >= threshold - 1e-9)
+    found = materialize(_search(docs, benchmark, threshold, text_col, item_col, item_text_col))
+    h1, h2 = text_key(F.col(text_col))
+    rows = docs.select(F.col(id_col).alias("doc_id"), h1.alias("h1"), h2.alias("h2"))
+    return rows.join(found, ["h1", "h2"]).groupBy("doc_id", "item_id").agg(F.max("containment").alias("containment"))
 
 
+@tidy
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """The rows of ``docs`` (all columns) that hold no test item."""
-    found = materialize(find_contamination(docs, benchmark, threshold).select("doc_id").distinct())
-    return docs.alias("d").join(found.alias("f"), F.expr("d.doc_id <=> f.doc_id"), "left_anti")
+    """The rows of ``docs`` (all columns) whose own text holds no test item.
+
+    Rows are judged by their text: a clean row stays even under the id of a contaminated one, and each repeat of a
+    contaminated text goes. Null and empty texts stay. An empty benchmark removes nothing.
+    """
+    found = materialize(_search(docs, benchmark, threshold, "text", "item_id", "text").select(F.col("h1").alias("_h1"), F.col("h2").alias("_h2")).distinct())
+    h1, h2 = text_key(F.col("d.text"))
+    return docs.alias("d").join(found.alias("f"), (h1 == F.col("f._h1")) & (h2 == F.col("f._h2")), "left_anti")

@@ -164,12 +164,16 @@ with pairs as (
 select query_id, row_number() over (partition by query_id order by distance, id)::int as rank, id, distance from pairs
 qualify rank <= 10"""
 
-_SHINGLES = "select distinct {id}, array_to_string(words[i:i + 4], ' ') as shingle from (select {id}, list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '') as words from {t}), unnest(range(1, len(words) - 3)) r(i)"
+_WORDS_OF = "select {id}, list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '') as words from {t}"
 OP8_SQL = f"""
-with held as ({_SHINGLES.format(id="doc_id", t="documents")}), items as ({_SHINGLES.format(id="item_id", t="benchmark")}),
-sizes as (select item_id, count(*) as n from items group by item_id)
+with item_words as ({_WORDS_OF.format(id="item_id", t="benchmark")}), doc_words as ({_WORDS_OF.format(id="doc_id", t="documents")}),
+sizes as (select distinct least(len(words), 5) as k from item_words where len(words) > 0),
+items as (
+  select distinct item_id, array_to_string(words[i:i + least(len(words), 5) - 1], ' ') as shingle from item_words, unnest(range(1, len(words) - least(len(words), 5) + 2)) r(i) where len(words) > 0),
+held as (select distinct doc_id, array_to_string(words[i:i + k - 1], ' ') as shingle from doc_words, sizes, unnest(range(1, len(words) - k + 2)) r(i)),
+counts as (select item_id, count(*) as n from items group by item_id)
 select doc_id, item_id, count(*) / any_value(n) as containment
-from held join items using (shingle) join sizes using (item_id)
+from held join items using (shingle) join counts using (item_id)
 group by doc_id, item_id having count(*) >= 0.8 * any_value(n) - 1e-9"""
 
 ORACLES: dict[str, str] = {

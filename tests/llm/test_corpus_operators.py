@@ -5,6 +5,8 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
+
 from noteloom.llm import components, decontaminate, near_dedup, quality, text_hash
 
 WORDS = [f"w{i}" for i in range(400)]
@@ -204,29 +206,76 @@ def test_counts_bound_the_distance():
 # --- Decontamination
 
 
-def shingles(text):
-    w = [x for x in re.split(r"[\W_]+", (text or "").lower()) if x]
-    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+def words_of(text):
+    return [x for x in re.split(r"[\W_]+", (text or "").lower()) if x]
+
+
+def shingles(words, k):
+    return {tuple(words[i : i + k]) for i in range(len(words) - k + 1)}
+
+
+def contained(texts, items):
+    """(place of the text, place of the item): containment, by comparison of all pairs."""
+    out = {}
+    for a, (_, t) in enumerate(texts):
+        for b, (_, x) in enumerate(items):
+            w = words_of(x)
+            k = min(5, len(w))
+            if k and (share := len(shingles(w, k) & shingles(words_of(t), k)) / len(shingles(w, k))) >= 0.8 - 1e-9:
+                out[a, b] = share
+    return out
 
 
 def test_decontamination_against_all_pairs(spark):
     r = random.Random(11)
-    items = [(i, prose(r, r.randint(6, 60))) for i in range(20)] + [(90, "too short"), (91, None), (None, prose(r, 20)), (3, "x")]
-    texts = [(i, f"{prose(r, 200)} {edited(r, items[i % 20][1], (i % 5) * 0.02).upper()}. {prose(r, 3000 if i == 4 else 50)}") for i in range(40)] + [(50, None), (51, ""), (None, items[22][1]), (52, "too short"), (7, items[8][1])]
+    items = [(i, prose(r, r.randint(6, 60))) for i in range(20)] + [(90, "too short"), (91, None), (None, prose(r, 20)), (3, "Zyx"), (92, "")]
+    texts = [(i, f"{prose(r, 200)} {edited(r, items[i % 20][1], (i % 5) * 0.02).upper()}. {prose(r, 3000 if i == 4 else 50)}") for i in range(40)]
+    texts += [(50, None), (51, ""), (None, items[22][1]), (52, "a text too-short for more"), (7, items[8][1]), (7, "clean text under a soiled id"), (None, "clean text without an id"), (53, "it says zyx"), (54, "zyxt")]
+    texts += [texts[0], texts[0], texts[43]]
     bench = spark.createDataFrame([(i, t, "d") for i, t in items], "item_id long, text string, doc_id string")
+    pairs = contained(texts, items)
     expect = defaultdict(float)
-    for i, t in texts:
-        for k, x in items:
-            own = shingles(x)
-            if own and (share := len(own & shingles(t)) / len(own)) >= 0.8:
-                expect[i, k] = max(expect[i, k], share)
-    got = decontaminate.find_contamination(frame(spark, texts), bench)
-    assert {(x.doc_id, x.item_id): pytest.approx(x.containment) for x in got.collect()} == expect and len(expect) > 10
-    kept = decontaminate.remove_contaminated(frame(spark, texts), bench)
-    assert Counter(x.doc_id for x in kept.collect()) == Counter(i for i, _ in texts if not any(i == a for a, _ in expect))
-    assert kept.columns == frame(spark, texts).columns
+    for (a, b), share in pairs.items():
+        key = texts[a][0], items[b][0]
+        expect[key] = max(expect[key], share)
+    docs = frame(spark, texts).withColumn("_h1", F.lit(0)).withColumn("item", F.lit(1))
+    got = decontaminate.find_contamination(docs, bench)
+    assert {(x.doc_id, x.item_id): pytest.approx(x.containment) for x in got.collect()} == expect and len(expect) > 10 and (53, 3) in expect and (52, 90) in expect
+    kept = decontaminate.remove_contaminated(docs, bench)
+    soiled = {a for a, _ in pairs}
+    assert Counter((x.doc_id, x.text) for x in kept.collect()) == Counter(row for a, row in enumerate(texts) if a not in soiled)
+    assert (7, "clean text under a soiled id") in {(x.doc_id, x.text) for x in kept.collect()}
+    assert kept.columns == docs.columns
     assert decontaminate.find_contamination(frame(spark, []), bench).count() == 0
     assert decontaminate.find_contamination(frame(spark, texts), bench.limit(0)).count() == 0
+    assert decontaminate.remove_contaminated(frame(spark, texts), bench.limit(0)).count() == len(texts)
+
+
+@pytest.mark.parametrize("wide", [False, True])
+def test_decontamination_finds_every_size(spark, monkeypatch, wide):
+    """Recall over items of 1 to 60 and of 400 words, at any containment near the threshold, with the joins broadcast or shuffled."""
+    if wide:
+        monkeypatch.setattr(decontaminate, "BROADCAST_HASHES", 0)
+    r = random.Random(12)
+    vocabulary = [f"v{i}" for i in range(3000)]
+    items = [(i, " ".join(r.choice(vocabulary) for _ in range(400 if i >= 235 else 1 + i % 60))) for i in range(240)]
+    texts = []
+    for i, t in items:
+        w, n = t.split(), len(t.split())
+        gone = r.randint(0, max(0, n // 4))
+        cut = w[: n - gone] if i % 2 else w[gone:]
+        texts.append((i, " ".join([*(r.choice(vocabulary) for _ in range(150)), *cut, *(r.choice(vocabulary) for _ in range(100))])))
+    pairs = contained(texts, items)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(x.doc_id, x.item_id): pytest.approx(x.containment) for x in decontaminate.find_contamination(frame(spark, texts), bench).collect()}
+    assert got == pairs and len(pairs) > 200
+
+
+def test_a_long_text_and_matches_needed():
+    assert decontaminate.least_matches(64, 0.8) > decontaminate.least_matches(4096, 0.8) >= 9
+    n, held, draws = 64, 52, 20_000
+    r = random.Random(3)
+    assert min(sum(x < held for x in r.sample(range(n), decontaminate.SIGNATURE)) for _ in range(draws)) >= decontaminate.least_matches(64, 0.8)
 
 
 # --- Quality
