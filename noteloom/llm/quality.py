@@ -1,9 +1,10 @@
 """Quality classifier: an interpolated modified Kneser-Ney model of character n-grams, trained on trusted text.
 
-Counts of all trusted training text are joined order by order into probabilities. Documents travel in blocks: a block
-names its distinct n-grams once, these meet the model's tables in joins that are sharded by n-gram, and the answers go
-back to the block, where every position of every whole text is scored. A document is kept if its score is
-at most a quantile of its language's trusted documents that were held out of training.
+Documents are halved by a hash of their text, and each half's trusted texts train a model: a document is scored by the
+model of the other half, which has not seen it, trusted or not. Counts are joined order by order into probabilities.
+Documents travel in blocks: a block names its distinct n-grams once, these meet the models' tables in joins that are
+sharded by n-gram, and the answers go back to the block, where every position of every whole text is scored. A document
+is kept if its score lies between two quantiles of the trusted documents of its language.
 """
 
 from __future__ import annotations
@@ -14,25 +15,25 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_materialized, in_small_batches, materialize, release_memory
+from .common import drop_materialized, in_small_batches, materialize, release_memory, text_key, tidy
 from .text_hash import seeds
 
 ORDER = 4
 #: Padding before a text, and its end.
 BEGIN, END = "\x02", "\x03"
 #: Code points of one block; a longer text is a block of its own. Within a block so many are scored at once.
-BLOCK_CHARS, STEP_CHARS = 24_000_000, 500_000
-#: One trusted document in so many is held out of training, by a hash of its text.
-FOLDS = 10
+BLOCK_CHARS, STEP_CHARS = 4_000_000, 500_000
+#: Parts of the documents, by a hash of their text; a part is scored by the model trained on the others' trusted texts.
+FOLDS = 2
 #: Weight of the language's mean score, in characters: short texts are judged with care.
 PRIOR_CHARS = 200
-#: Quantile of the held-out trusted documents' scores up to which a document is kept.
-HIGH = 0.998
-#: Languages with fewer held-out documents take the quantiles of all.
-LEAST_HELD_OUT = 30
+#: Quantiles of the trusted documents' scores between which a document is kept.
+LOW, HIGH = 0.0002, 0.999
+#: Weight of all languages' quantiles in those of a language, in documents: a language with few trusted ones leans on all.
+PRIOR_DOCS = 200
 #: Up to this many trusted ids (16 bytes each) are broadcast; beyond, documents and ids are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 _WEIGHTS = seeds(64, 5000) | np.uint64(1)
@@ -107,25 +108,27 @@ def _blocks(batches: Iterator[pa.RecordBatch], text_at: int) -> Iterator[tuple[i
 
 
 def train_counts(texts: DataFrame, order: int) -> DataFrame:
-    """(gram, c) over all texts, counted block by block before the shuffle."""
+    """(model, gram, c) over all texts of each model, counted block by block before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, _, some in _blocks(batches, 0):
-            counts = gram_counts(some, order)
-            yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["gram", "c"])
+        for _, rows, some in _blocks(batches, 1):
+            models = rows.column(0).to_pylist()
+            for model in sorted(set(models)):
+                counts = gram_counts([t for t, m in zip(some, models) if m == model], order)
+                yield pa.RecordBatch.from_arrays([pa.array([model] * len(counts), pa.int32()), pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["model", "gram", "c"])
         release_memory()
 
-    return in_small_batches(texts.select("text")).mapInArrow(run, "gram string, c long").groupBy("gram").agg(F.sum("c").alias("c"))
+    return in_small_batches(texts.select("model", "text")).mapInArrow(run, "model int, gram string, c long").groupBy("model", "gram").agg(F.sum("c").alias("c"))
 
 
 @dataclass
-class Model:
-    """Tables by order: ``grams[k]`` has (gram, p), ``backoff[k]`` has (context, gamma) for contexts of k-1 characters."""
+class Models:
+    """Tables by order: ``grams[k]`` has (model, gram, p), ``backoff[k]`` has (model, context, gamma) for contexts of k-1 characters; ``unseen`` has (model, unseen)."""
 
     order: int
     grams: dict[int, DataFrame]
     backoff: dict[int, DataFrame]
-    unseen: float
+    unseen: DataFrame
 
 
 def discounts(n: list[int]) -> tuple[float, float, float]:
@@ -138,68 +141,78 @@ def discounts(n: list[int]) -> tuple[float, float, float]:
     return tuple(min(max(d, 0.05), top) for d, top in zip((d1, d2, d3), (0.95, 1.95, 2.95)))
 
 
-def fit(texts: DataFrame, order: int = ORDER) -> Model:
-    """Interpolated modified Kneser-Ney model; lower orders count the distinct characters to the left of a gram."""
+def fit(texts: DataFrame, order: int = ORDER) -> Models:
+    """Interpolated modified Kneser-Ney models of (model, text); lower orders count the distinct characters to the left of a gram."""
+    spark = texts.sparkSession
     counts = {order: materialize(train_counts(texts, order))}
     for k in range(order - 1, 0, -1):
-        counts[k] = materialize(counts[k + 1].groupBy(F.substring("gram", 2, k).alias("gram")).agg(F.count("*").alias("c")))
-    lower = None
+        counts[k] = materialize(counts[k + 1].groupBy("model", F.substring("gram", 2, k).alias("gram")).agg(F.count("*").alias("c")))
+    lower = unseen = None
     grams, backoff = {}, {}
-    unseen = 1.0
     for k in range(1, order + 1):
-        seen = counts[k].agg(*[F.count(F.when(F.col("c") == i, 1)) for i in (1, 2, 3, 4)], F.count("*")).first()
-        d1, d2, d3 = discounts(list(seen)[:4])
-        d = F.when(F.col("c") == 1, d1).when(F.col("c") == 2, d2).otherwise(d3)
-        table = counts[k].withColumns({"d": d, "context": F.substring("gram", 1, k - 1)})
-        sums = table.groupBy("context").agg(F.sum("c").alias("total"), (F.sum("d") / F.sum("c")).alias("gamma"))
+        # A row for each of the FOLDS models.
+        seen = counts[k].groupBy("model").agg(*[F.count(F.when(F.col("c") == i, 1)) for i in (1, 2, 3, 4)], F.count("*")).collect()
+        cuts = F.broadcast(spark.createDataFrame([(r[0], *discounts(list(r)[1:5]), r[5]) for r in seen], "model int, d1 double, d2 double, d3 double, types long"))
+        d = F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))
+        table = counts[k].join(cuts, "model").select("model", "gram", "c", d.alias("d"), F.substring("gram", 1, k - 1).alias("context"), "types")
+        sums = table.groupBy("model", "context").agg(F.sum("c").alias("total"), (F.sum("d") / F.sum("c")).alias("gamma"), F.max("types").alias("types"))
         if k == 1:
-            row = sums.first()
-            total, gamma = (row["total"], row["gamma"]) if row else (1, 1.0)
-            unseen = gamma / (seen[4] + 1)
-            grams[1] = materialize(table.select("gram", ((F.col("c") - F.col("d")) / total + unseen).alias("p")))
+            unseen = materialize(sums.select("model", "total", (F.col("gamma") / (F.col("types") + 1)).alias("unseen")))
+            grams[1] = materialize(table.join(F.broadcast(unseen), "model").select("model", "gram", ((F.col("c") - F.col("d")) / F.col("total") + F.col("unseen")).alias("p")))
         else:
-            backoff[k] = materialize(sums)
-            alpha = table.join(backoff[k], "context").select("gram", ((F.col("c") - F.col("d")) / F.col("total")).alias("alpha"), "gamma")
+            backoff[k] = materialize(sums.drop("types"))
+            alpha = table.join(backoff[k], ["model", "context"]).select("model", "gram", ((F.col("c") - F.col("d")) / F.col("total")).alias("alpha"), "gamma", F.substring("gram", 2, k - 1).alias("suffix"))
             below = lower.withColumnsRenamed({"gram": "suffix", "p": "below"})
-            grams[k] = materialize(alpha.withColumn("suffix", F.substring("gram", 2, k - 1)).join(below, "suffix").select("gram", (F.col("alpha") + F.col("gamma") * F.col("below")).alias("p")))
+            grams[k] = materialize(alpha.join(below, ["model", "suffix"]).select("model", "gram", (F.col("alpha") + F.col("gamma") * F.col("below")).alias("p")))
         lower = grams[k]
     drop_materialized(*counts.values())
-    return Model(order, grams, {k: b.select("context", "gamma") for k, b in backoff.items()}, unseen)
+    return Models(order, grams, {k: b.drop("total") for k, b in backoff.items()}, unseen.select("model", "unseen"))
 
 
-def resolve(grams: DataFrame, model: Model) -> DataFrame:
-    """(gram, logp) for any grams of the model's order: the highest order that has seen the end of the gram, with the back-off weights above it."""
-    open_ = grams.select("gram", F.lit(1.0).alias("w"), F.lit(None).cast("double").alias("p"))
-    for k in range(model.order, 0, -1):
-        end = F.substring("gram", model.order - k + 1, k)
-        found = model.grams[k].withColumnsRenamed({"gram": "_end", "p": "_p"})
-        open_ = open_.withColumn("_end", end).join(found, "_end", "left").withColumn("p", F.coalesce("p", F.col("w") * F.col("_p"))).drop("_end", "_p")
+def resolve(grams: DataFrame, models: Models) -> DataFrame:
+    """(model, gram, logp) for any (model, gram) of the models' order: the highest order that has seen the end of the gram, with the back-off weights above it. A model without any text gives each character one chance in all."""
+    order = models.order
+    open_ = grams.select("model", "gram", F.lit(1.0).alias("w"), F.lit(None).cast("double").alias("p"))
+    for k in range(order, 0, -1):
+        found = models.grams[k].withColumnsRenamed({"gram": "_end", "p": "_p"})
+        open_ = open_.withColumn("_end", F.substring("gram", order - k + 1, k)).join(found, ["model", "_end"], "left").withColumn("p", F.coalesce("p", F.col("w") * F.col("_p"))).drop("_end", "_p")
         if k > 1:
-            open_ = open_.withColumn("_c", F.substring("gram", model.order - k + 1, k - 1)).join(model.backoff[k].withColumnRenamed("context", "_c"), "_c", "left")
+            open_ = open_.withColumn("_c", F.substring("gram", order - k + 1, k - 1)).join(models.backoff[k].withColumnRenamed("context", "_c"), ["model", "_c"], "left")
             open_ = open_.withColumn("w", F.col("w") * F.coalesce("gamma", F.lit(1.0))).drop("_c", "gamma")
-    return open_.select("gram", F.ln(F.coalesce("p", F.col("w") * model.unseen)).alias("logp"))
+    open_ = open_.join(F.broadcast(models.unseen), "model", "left")
+    return open_.select("model", "gram", F.ln(F.coalesce("p", F.col("w") * F.coalesce("unseen", F.lit(1.0)))).alias("logp"))
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """Adds n_scored (characters and the end) and logp (their log probability) to the columns of ``docs`` other than text.
+def score(docs: DataFrame, models: Models) -> DataFrame:
+    """Adds n_scored (characters and the end) and logp (their log probability under the row's ``model``) to the columns of ``docs`` other than text.
 
-    ``docs`` is read twice in the same partitions: once for the n-grams of each block, once to score it.
+    ``docs`` must be read alike each time (a scan or a written table): it is read once for the n-grams of each block and
+    once to score it, in the same partitions. An answer goes to each block that asked; the commonest n-grams, which all
+    blocks ask for, are looked up once and joined by (block, gram), so they gather in no single task.
     """
-    order, at = model.order, docs.schema.names.index("text")
+    order, at, model_at = models.order, docs.schema.names.index("text"), docs.schema.names.index("model")
     rest = [c for c in docs.schema.names if c != "text"]
 
+    def split(table: pa.Table, texts: list[str]) -> Iterator[tuple[int, np.ndarray, list[str]]]:
+        of = np.array(table.column(model_at).to_pylist(), np.int64)
+        for model in np.unique(of):
+            places = np.flatnonzero(of == model)
+            yield int(model), places, [texts[i] for i in places]
+
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, _, texts in _blocks(batches, at):
-            grams = list(gram_counts(texts, order))
-            yield pa.RecordBatch.from_arrays([pa.array([block] * len(grams), pa.int64()), pa.array(grams, pa.string())], ["block", "gram"])
+        for block, rows, texts in _blocks(batches, at):
+            for model, _, some in split(rows, texts):
+                grams = list(gram_counts(some, order))
+                yield pa.RecordBatch.from_arrays([pa.array([block] * len(grams), pa.int64()), pa.array([model] * len(grams), pa.int32()), pa.array(grams, pa.string())], ["block", "model", "gram"])
         release_memory()
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, rows, _ in _blocks(batches, at):
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-                out.write_table(rows)
-            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["block", "payload"])
+        for block, rows, texts in _blocks(batches, at):
+            for model, places, _ in split(rows, texts):
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                    out.write_table(rows.take(pa.array(places)))
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([model], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["block", "model", "payload"])
         release_memory()
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,55 +241,82 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 yield from out.combine_chunks().to_batches()
         release_memory()
 
-    asked = materialize(in_small_batches(docs).mapInArrow(named, "block long, gram string"))
-    answers = resolve(asked.select("gram").distinct(), model)
-    replies = asked.join(answers, "gram").groupBy("block").agg(F.collect_list(F.struct("gram", "logp")).alias("answers"))
-    joined = docs.mapInArrow(packed, "block long, payload binary").join(replies, "block").select("payload", "answers")
+    asked = materialize(in_small_batches(docs).mapInArrow(named, "block long, model int, gram string"))
+    answers = resolve(asked.select("model", "gram").distinct(), models)
+    replies = asked.join(answers, ["model", "gram"]).groupBy("block", "model").agg(F.collect_list(F.struct("gram", "logp")).alias("answers"))
+    joined = docs.mapInArrow(packed, "block long, model int, payload binary").join(replies, ["block", "model"]).select("payload", "answers")
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in rest)
     return joined.mapInArrow(scored, f"{kinds}, n_scored long, logp double")
 
 
-def judge(docs: DataFrame, labels: DataFrame, order: int = ORDER) -> DataFrame:
-    """A row for each row of ``docs``: doc_id, lang, n_chars, perplexity (per character), keep.
-
-    Trusted documents are those whose labels are all quality 1 and toxic 0. A null text counts as empty, and an empty
-    text, which has nothing to judge, is kept; a null language is one of its own. Without any trusted held-out document every row
-    is kept. Repeated rows give a row each; null ids stay null and are never trusted; other columns are not read.
-    """
+def _scored(docs: DataFrame, labels: DataFrame, order: int) -> tuple[DataFrame, DataFrame]:
+    """Rows of (doc_id, lang, h1, h2, n_chars, loss, offset), and the bounds of each language: (lang, low, high) and a row of all."""
     trusted = labels.where("doc_id is not null").groupBy("doc_id").agg(F.min((F.col("quality") == 1) & (F.col("toxic") == 0)).alias("ok")).where("ok").select("doc_id", F.lit(True).alias("trusted"))
-    base = docs.select("doc_id", "lang", F.coalesce("text", F.lit("")).alias("text"))
+    h1, h2 = text_key(F.col("text"))
+    base = docs.select("doc_id", "lang", h1.alias("h1"), h2.alias("h2"), F.coalesce("text", F.lit("")).alias("text"))
     few = labels.count() <= BROADCAST_IDS
     base = base.join(F.broadcast(trusted) if few else trusted, "doc_id", "left")
-    held_out = F.pmod(F.xxhash64("text"), F.lit(FOLDS)) == 0
-    base = base.select("doc_id", "lang", F.length("text").cast("long").alias("n_chars"), F.coalesce("trusted", F.lit(False)).alias("trusted"), held_out.alias("held_out"), "text")
-    if not few:  # a shuffled join may order rows anew on a second pass
+    fold = F.pmod(F.col("h1"), F.lit(FOLDS)).cast("int")
+    base = base.select("doc_id", "lang", "h1", "h2", F.length("text").cast("long").alias("n_chars"), F.coalesce("trusted", F.lit(False)).alias("trusted"), fold.alias("model"), "text")
+    if not few or not _plain_scan(docs):  # a shuffle may order rows anew on a second pass
         base = materialize(base)
-    model = fit(base.where("trusted and not held_out"), order)
-    scored = materialize(score(base, model))
-
-    loss = -F.col("logp") / F.greatest("n_scored", F.lit(1))
-    held = scored.where("trusted and held_out").withColumn("loss", loss)
-    # One row for each language, and one for all.
-    means = {r["lang"]: r for r in held.rollup("lang").agg(F.grouping("lang").alias("all"), F.avg("loss").alias("mean"), F.count("*").alias("n")).collect() if not r["all"]}
-    overall = held.agg(F.avg("loss")).first()[0] or 0.0
-    mean_of = lambda lang: _by_lang(lang, {k: r["mean"] for k, r in means.items()}, overall)
-    shrunk = lambda df: df.withColumn("loss", loss).withColumn("s", (F.col("n_scored") * F.col("loss") + PRIOR_CHARS * mean_of(F.col("lang"))) / (F.col("n_scored") + PRIOR_CHARS))
-    offset = F.col("s") - mean_of(F.col("lang"))
-    bound = F.percentile_approx(offset, HIGH, 100_000)
-    bounds = {r["lang"]: r["b"] for r in shrunk(held.drop("loss")).groupBy("lang").agg(bound.alias("b")).collect() if means[r["lang"]]["n"] >= LEAST_HELD_OUT}
-    most = _by_lang(F.col("lang"), bounds, shrunk(held.drop("loss")).agg(bound.alias("b")).first()["b"])
-    keep = F.coalesce((F.col("n_chars") == 0) | (offset <= most), F.lit(True))
-    return shrunk(scored).select("doc_id", "lang", "n_chars", F.exp("loss").alias("perplexity"), keep.alias("keep"))
-
-
-def _by_lang(lang: Column, values: dict, default: float | None) -> Column:
-    out = F.lit(default).cast("double")
-    for k, v in values.items():
-        out = F.when(lang.eqNullSafe(F.lit(k)), F.lit(float(v))).otherwise(out)
-    return out
+    # Each text trains the models of all folds but its own; with two folds, that of the other.
+    taught = base.where("trusted").withColumn("model", F.explode(F.array_remove(F.array(*map(F.lit, range(FOLDS))), F.col("model"))))
+    scored = materialize(score(base, fit(taught.select("model", "text"), order)))
+
+    loss = F.coalesce(-F.col("logp") / F.greatest("n_scored", F.lit(1)), F.lit(0.0))
+    scored = scored.withColumn("loss", loss)
+    held = scored.where("trusted and n_chars > 0")
+    means = materialize(held.groupBy("lang").agg(F.avg("loss").alias("mean")))
+    overall = held.agg(F.avg("loss").alias("all_mean"))
+    # Languages are as many as the column holds, so they are joined as a table.
+    centred = scored.alias("s").join(means.alias("m"), F.expr("s.lang <=> m.lang"), "left").crossJoin(F.broadcast(overall)).withColumn("centre", F.coalesce("m.mean", "all_mean"))
+    offset = (F.col("n_scored") * F.col("loss") + PRIOR_CHARS * F.col("centre")) / (F.col("n_scored") + PRIOR_CHARS) - F.col("centre")
+    rows = materialize(centred.select("s.doc_id", "s.lang", "h1", "h2", "n_chars", "trusted", "loss", offset.alias("offset")))
+    quantiles = F.percentile_approx("offset", [LOW, HIGH], 100_000)
+    known = rows.where("trusted and n_chars > 0")
+    every = known.agg(quantiles.alias("q")).select(F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
+    own = known.groupBy("lang").agg(F.count("*").alias("n"), quantiles.alias("q"))
+    blend = lambda i, name: ((F.col("n") * F.col("q")[i] + PRIOR_DOCS * F.col(name)) / (F.col("n") + PRIOR_DOCS)).alias(name)
+    return rows, materialize(own.crossJoin(F.broadcast(every)).select("lang", blend(0, "low"), blend(1, "high")).withColumn("any", F.lit(False)).unionByName(every.select(F.lit(None).cast("string").alias("lang"), "low", "high", F.lit(True).alias("any"))))
+
+
+def _plain_scan(docs: DataFrame) -> bool:
+    """Whether the frame is a scan of files with row-wise steps at most, which Spark reads alike each time."""
+    kinds = docs._jdf.queryExecution().optimizedPlan().toString()
+    return all(line.strip("+-:* ").startswith(("Project", "Filter", "Relation")) for line in kinds.splitlines())
+
+
+def _verdicts(docs: DataFrame, labels: DataFrame, order: int) -> DataFrame:
+    rows, bounds = _scored(docs, labels, order)
+    every = F.broadcast(bounds.where("any").select(F.col("low").alias("all_low"), F.col("high").alias("all_high")))
+    judged = rows.alias("r").join(bounds.where("not any").alias("b"), F.expr("r.lang <=> b.lang"), "left").crossJoin(every)
+    within = F.col("offset").between(F.coalesce("b.low", "all_low"), F.coalesce("b.high", "all_high"))
+    return judged.select("r.doc_id", "r.lang", "h1", "h2", "n_chars", F.exp("loss").alias("perplexity"), F.coalesce((F.col("n_chars") == 0) | within, F.lit(True)).alias("keep"))
+
+
+@tidy
+def judge(docs: DataFrame, labels: DataFrame, order: int = ORDER) -> DataFrame:
+    """A row for each row of ``docs``: doc_id, lang, n_chars, perplexity (per character), keep.
+
+    Trusted documents are those whose labels are all quality 1 and toxic 0. A document is kept if its mean loss, leaning
+    on its language's mean with the weight of ``PRIOR_CHARS`` characters, is between the ``LOW`` and the ``HIGH``
+    quantile of its language's trusted documents; those lean on the quantiles of all languages with the weight of
+    ``PRIOR_DOCS`` documents, and a language without trusted documents takes those of all. A null text counts as empty,
+    and an empty text, which has nothing to judge, is kept; a null language is one of its own. Without any trusted text
+    every row is kept. Repeated rows give a row each; null ids stay null and are never trusted; other columns are not
+    read. A very long text is a block of its own and is scored in whole.
+    """
+    return _verdicts(docs, labels, order).drop("h1", "h2")
 
 
+@tidy
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs``, with all columns, that the classifier keeps. A repeated or null id stays if any of its rows does."""
-    verdict = materialize(judge(docs, labels).groupBy("doc_id").agg(F.max("keep").alias("keep")).where("not keep").select("doc_id"))
-    return docs.alias("d").join(verdict.alias("v"), F.expr("d.doc_id <=> v.doc_id"), "left_anti")
+    """The rows of ``docs``, with all columns, that the classifier keeps.
+
+    Rows are told apart by id, language and text: junk under a good row's id, or without an id, goes, and the good row
+    stays. Rows alike in all three share a verdict. Null and empty texts stay, and an empty table gives no rows.
+    """
+    bad = materialize(_verdicts(docs, labels, ORDER).where("not keep").select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang"), F.col("h1").alias("_h1"), F.col("h2").alias("_h2")).distinct())
+    h1, h2 = text_key(F.col("d.text"))
+    return docs.alias("d").join(bad.alias("b"), F.expr("d.doc_id <=> b._id and d.lang <=> b._lang") & (h1 == F.col("b._h1")) & (h2 == F.col("b._h2")), "left_anti")

@@ -310,18 +310,69 @@ def plain_model(texts, order):
     return p
 
 
-def test_model_equals_the_plain_one(spark):
+def test_models_equal_the_plain_one(spark):
     r = random.Random(13)
-    train = ["".join(r.choice("ab c\néx") for _ in range(r.randint(0, 60))) for _ in range(40)]
-    texts = train[:5] + ["", "zzz", "a\x02b\x03", "é🪴 ab", "ab" * 3000]
-    p = plain_model(train, 3)
-    model = quality.fit(spark.createDataFrame([(t,) for t in train], "text string").repartition(3), 3)
-    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string").repartition(2)
-    for x in quality.score(df, model).collect():
+    trains = [["".join(r.choice("ab c\néx") for _ in range(r.randint(0, 60))) for _ in range(40)] for _ in range(2)]
+    texts = trains[0][:5] + ["", "zzz", "a\x02b\x03", "é🪴 ab", "ab" * 3000]
+    models = quality.fit(spark.createDataFrame([(m, t) for m, some in enumerate(trains) for t in some], "model int, text string").repartition(3), 3)
+    df = spark.createDataFrame([(i, m, t) for i, t in enumerate(texts) for m in (0, 1)], "i int, model int, text string").coalesce(1)
+    plain = [plain_model(t, 3) for t in trains]
+    for x in quality.score(df, models).collect():
         s = quality.BEGIN * 2 + texts[x.i] + quality.END
-        logs = [math.log(p(s[k : k + 3])) for k in range(len(s) - 2)]
+        logs = [math.log(plain[x.model](s[k : k + 3])) for k in range(len(s) - 2)]
         assert x.n_scored == len(logs) and x.logp == pytest.approx(sum(logs), rel=1e-9)
-    assert sum(p("ab" + c) for c in "ab c\néx\x03") == pytest.approx(1, abs=0.2)
+    assert sum(plain[0]("ab" + c) for c in "ab c\néx\x03") == pytest.approx(1, abs=0.2)
+
+
+def plain_judge(rows, trusted, folds, order):
+    """The contract of judge by dictionaries: rows are (id, text, lang), folds the half of each row's text."""
+    texts = [t or "" for _, t, _ in rows]
+    good = [i in trusted for i, _, _ in rows]
+    models = [plain_model([t for t, g, f in zip(texts, good, folds) if g and f != k], order) for k in range(2)]
+    loss = []
+    for t, f in zip(texts, folds):
+        s = quality.BEGIN * (order - 1) + t + quality.END
+        n = len(s) - order + 1
+        loss.append(-sum(math.log(models[f](s[k : k + order])) for k in range(n)) / n)
+    own = defaultdict(list)
+    for (_, t, lang), g, x in zip(rows, good, loss):
+        if g and t:
+            own[lang].append(x)
+    every = [x for some in own.values() for x in some]
+    mean = lambda lang: sum(own.get(lang, every)) / len(own.get(lang, every))
+    off = [((len(t) + 1) * x + 200 * mean(lang)) / (len(t) + 201) - mean(lang) for t, x, (_, _, lang) in zip(texts, loss, rows)]
+    pick = lambda some, p: sorted(some)[max(math.ceil(p * len(some)), 1) - 1]
+    held = [(lang, o) for (_, t, lang), g, o in zip(rows, good, off) if g and t]
+    bounds = {}
+    for lang in {x[2] for x in rows}:
+        mine, all_ = [o for k, o in held if k == lang], [o for _, o in held]
+        bounds[lang] = [(len(mine) * (pick(mine, p) if mine else 0) + 200 * pick(all_, p)) / (len(mine) + 200) for p in (quality.LOW, quality.HIGH)]
+    return [not t or bounds[lang][0] <= o <= bounds[lang][1] for t, o, (_, _, lang) in zip(texts, off, rows)], loss
+
+
+def test_verdicts_equal_the_plain_judge(spark, monkeypatch):
+    """Quantiles wide enough to reject many, few trusted documents in one language and none in another; null, empty and long texts; shared and null ids."""
+    monkeypatch.setattr(quality, "LOW", 0.05)
+    monkeypatch.setattr(quality, "HIGH", 0.9)
+    r = random.Random(29)
+    make = lambda letters, n: "".join(r.choice(letters) for _ in range(n))
+    letters = {"en": "abcd e", "de": "efgh i", None: "xyz w", "odd'\\lang": "abxy "}
+    rows = [(i, make(letters[lang], r.randint(3, 90)), lang) for i, lang in enumerate(["en"] * 60 + ["de"] * 25 + [None] * 12 + ["odd'\\lang"] * 6)]
+    rows += [(200, make("#$%! ", 80), "en"), (None, make("#$%! ", 80), "en"), (None, rows[3][1], "en"), (3, make("#$%! ", 80), "en"), (201, None, "en"), (202, "", "de"), (203, "a" * 700, "en"), (204, make(letters["en"], 60_000), "en"), rows[5], rows[5]]
+    trusted = set(range(0, 40)) | {61, 62} | set(range(86, 90))
+    labels = spark.createDataFrame([(i, 1, 0) for i in trusted] + [(200, 0, 0), (None, 1, 0), (4, 0, 0)], "doc_id long, quality int, toxic int")
+    trusted.discard(4)
+    docs = frame(spark, [(i, t) for i, t, _ in rows], [lang for _, _, lang in rows])
+    folds = [x.f for x in docs.coalesce(1).select(F.pmod(F.xxhash64(F.lit(1), "text"), F.lit(2)).alias("f")).collect()]
+    keep, loss = plain_judge(rows, trusted, folds, 3)
+    got = quality.judge(docs, labels, 3).collect()
+    tidy = lambda some: sorted(some, key=repr)
+    assert tidy((x.doc_id, x.lang, x.n_chars, round(math.log(x.perplexity), 6), x.keep) for x in got) == tidy((i, lang, len(t or ""), round(p, 6), k) for (i, t, lang), k, p in zip(rows, keep, loss))
+    assert 5 < sum(not k for k in keep) < len(rows) / 2
+    monkeypatch.setattr(quality, "ORDER", 3)
+    kept = quality.keep_good(docs, labels)
+    assert Counter((x.doc_id, x.text) for x in kept.collect()) == Counter((i, t) for (i, t, _), k in zip(rows, keep) if k)
+    assert kept.columns == docs.columns and quality.keep_good(docs.limit(0), labels).count() == 0
 
 
 def test_blocks_and_steps_do_not_change_scores(spark, monkeypatch):
