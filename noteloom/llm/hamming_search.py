@@ -1,98 +1,139 @@
 """Exact top-k search over binary codes by incremental multi-index hashing.
 
-A code of up to 64 bits is cut into four segments, each with a table of its own. Once segments 0 to j have been probed
-at radius s and the others at s - 1, every code within distance 4*s + j has been met, for a code further off differs
-too much in each. The radii grow segment by segment, and a query is done as soon as its k-th verified distance is
-covered in that sense.
+A code is cut into segments of 16 bits, each with a table of its own: written once, bucketed by the segment's value, so
+that a step shuffles its probes alone and reads one segment. Once segments 0 to j have been probed at radius s and the
+others at s - 1, every code within distance S*s + j has been met (S segments), for a code further off differs too much
+in each. The radii grow segment by segment, and a query is done as soon as its k-th verified distance is covered in that
+sense.
 """
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import drop_materialized, materialize, partitions
+from .common import _delete, drop_materialized, materialize, partitions, shared_dir, tidy
 
-SEGMENTS, SEGMENT_BITS = 4, 16
+SEGMENT_BITS, WORD_BITS = 16, 64
 #: Ranks of one code's rows are taken in this many parts first, so that a repeated vector fills no single task.
 SALT = 64
+#: Codes of one bucket of a segment's table; a task holds one bucket in memory while probes stream past (about 100 bytes a code).
+BUCKET_CODES = 250_000
+#: Radii up to this are probed in the first step, in all segments.
+FIRST_RADIUS = 2
 
 
-def sign_code(vector: Column) -> Column:
-    """64-bit code of a vector of up to 64 numbers: bit i is set where component i is above zero; null for null."""
-    bits = F.transform(vector, lambda x, i: F.when(F.coalesce(x > 0, F.lit(False)), F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")))
-    checked = F.when(F.size(vector) > 64, F.raise_error(F.lit("a code has more than 64 bits"))).otherwise(bits)
-    return F.when(vector.isNotNull(), F.aggregate(checked, F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b)))
+def sign_code(vector: Column, width: int) -> Column:
+    """Code of a vector of up to ``width`` numbers as 64-bit words: bit i is set where component i is above zero, and is not where there is none; null for null."""
+    bit = lambda i: F.when(F.coalesce(F.get(vector, F.lit(i)) > 0, F.lit(False)), F.lit((1 << (i % WORD_BITS)) - (1 << WORD_BITS if i % WORD_BITS == 63 else 0))).otherwise(F.lit(0)).cast("long")
+    words = [reduce(lambda a, b: a.bitwiseOR(b), [bit(i) for i in range(at, min(at + WORD_BITS, width))]) for at in range(0, width, WORD_BITS)]
+    return F.when(vector.isNotNull(), F.array(*words))
 
 
-def _first(df: DataFrame, keys: list[str], order: list[Column], k: int) -> DataFrame:
-    return df.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_rank") <= k)
+def distance(a: Column, b: Column, words: int) -> Column:
+    return reduce(lambda x, y: x + y, [F.bit_count(a[i].bitwiseXOR(b[i])) for i in range(words)]).cast("int")
 
 
-def _segments(code: Column) -> Column:
-    part = lambda j: F.shiftrightunsigned(code, j * SEGMENT_BITS).bitwiseAND(F.lit((1 << SEGMENT_BITS) - 1)).cast("int")
-    return F.array(*[F.struct(F.lit(j).alias("segment"), part(j).alias("key")) for j in range(SEGMENTS)])
+def segment(code: Column, j: int) -> Column:
+    word, shift = divmod(j * SEGMENT_BITS, WORD_BITS)
+    return F.shiftrightunsigned(code[word], shift).bitwiseAND(F.lit((1 << SEGMENT_BITS) - 1)).cast("int")
 
 
-def schedule() -> list[tuple[list[tuple[int, int]], int]]:
+def schedule(segments: int) -> list[tuple[list[tuple[int, int]], int]]:
     """Steps as (probes, covered distance); a probe is (segment, radius). Small radii are probed together, larger ones a segment at a time."""
-    steps = [([(j, s) for s in range(3) for j in range(SEGMENTS)], SEGMENTS * 2 + SEGMENTS - 1)]
-    return steps + [([(j, s)], SEGMENTS * s + j) for s in range(3, SEGMENT_BITS + 1) for j in range(SEGMENTS)]
+    steps = [([(j, s) for j in range(segments) for s in range(FIRST_RADIUS + 1)], segments * FIRST_RADIUS + segments - 1)]
+    return steps + [([(j, s)], segments * s + j) for s in range(FIRST_RADIUS + 1, SEGMENT_BITS + 1) for j in range(segments)]
 
 
-def masks(radius: int) -> Column:
-    """All segment values with exactly ``radius`` bits set, 12,870 at most; a constant of the plan."""
-    return F.filter(F.sequence(F.lit(0), F.lit((1 << SEGMENT_BITS) - 1)), lambda x: F.bit_count(x) == radius)
+def masks(radii: list[int]) -> Column:
+    """All segment values with as many bits set as one of the radii says, 12,870 at most for one; a constant of the plan."""
+    return F.filter(F.sequence(F.lit(0), F.lit((1 << SEGMENT_BITS) - 1)), lambda x: F.bit_count(x).isin(radii))
 
 
+def _first(df: DataFrame, keys: list[str], order: list[Column], k: int) -> DataFrame:
+    return df.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_rank") <= k)
+
+
+def _write_index(codes: DataFrame, segments: int, n: int) -> tuple[str, str]:
+    """Name and folder of the table (segment, key, code, ids), a part for each segment, bucketed by key."""
+    spark = codes.sparkSession
+    name = f"noteloom_{uuid.uuid4().hex}"
+    folder = f"{shared_dir(spark)}/{name}"
+    buckets = max(partitions(codes), -(-n // BUCKET_CODES))
+    keyed = codes.select("code", "ids", F.explode(F.array(*[F.struct(F.lit(j).alias("segment"), segment(F.col("code"), j).alias("key")) for j in range(segments)])).alias("s")).select("s.segment", "s.key", "code", "ids")
+    keyed.repartition(buckets, "key").write.partitionBy("segment").bucketBy(buckets, "key").option("path", folder).saveAsTable(name)
+    return name, folder
+
+
+@tidy
 def nearest(rows: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """The k rows nearest to each query by Hamming distance: query_id, rank, id, distance.
 
-    ``rows`` has id and code, ``queries`` has query_id and code. Equal distances are ordered by id (nulls first). Rows
-    and queries without a code take no part; a repeated query counts once, repeated rows are rows of their own; extra
-    columns are not read. With fewer than k rows all are returned.
+    ``rows`` has id and code, ``queries`` has query_id and code; a code is a long or an array of longs, of one length in
+    both. Equal distances are ordered by id (nulls first). Rows and queries without a code take no part; a repeated
+    query counts once, repeated rows are rows of their own; extra columns are not read. With fewer than k rows all are
+    returned.
     """
-    rows = rows.select("id", "code").where("code is not null")
-    queries = queries.select("query_id", "code").where("code is not null").distinct()
+    spark = rows.sparkSession
+    code = lambda df: (F.col("code") if df.schema["code"].dataType.typeName() == "array" else F.array("code")).alias("code")
+    rows = rows.where("code is not null").select("id", code(rows))
+    queries = queries.where("code is not null").select("query_id", code(queries)).distinct()
     # The k least ids of each distinct code stand for its rows: ranked in salted parts, then together.
     salted = _first(rows.withColumn("_salt", F.pmod(F.xxhash64("id"), F.lit(SALT))), ["code", "_salt"], [F.col("id")], k)
     least = _first(salted.drop("_rank"), ["code"], [F.col("id")], k)
-    index = materialize(least.groupBy("code").agg(F.sort_array(F.collect_list(F.struct("id", "_rank"))).alias("ids")))
-    probed = index.select("code", "ids", F.explode(_segments(F.col("code"))).alias("s")).select(F.col("s.segment").alias("_segment"), F.col("s.key").alias("_key"), "code", "ids")
+    codes = materialize(least.groupBy("code").agg(F.sort_array(F.collect_list(F.struct("id", "_rank"))).alias("ids")))
     wanted = min(k, rows.limit(k).count())
+    if not wanted or queries.isEmpty():
+        kind = rows.schema["id"].dataType.simpleString()
+        return queries.where("false").select("query_id", F.lit(0).alias("rank"), F.lit(None).cast(kind).alias("id"), F.lit(0).alias("distance"))
+    stats = codes.agg(F.count("*"), F.max(F.size("code"))).first()
+    words = stats[1]
+    segments = words * WORD_BITS // SEGMENT_BITS
+    name, folder = _write_index(codes, segments, stats[0])
+
+    asked = materialize(queries.groupBy("code").agg(F.collect_list("query_id").alias("query_ids")).withColumn("q", F.monotonically_increasing_id()))
     # A query's bound is its k-th verified distance so far: what lies further off is dropped in the join itself.
-    active = materialize(queries.select(F.col("code").alias("q"), F.lit(64).alias("bound")).distinct())
+    active = materialize(asked.select("q", F.col("code").alias("at"), F.lit(words * WORD_BITS).alias("bound")))
     best, done = None, []
-    for probe, cover in schedule():
-        if not wanted or active.isEmpty():
+    for probes, cover in schedule(segments):
+        if active.isEmpty():
             break
         spread = active.repartition(partitions(active), "q")
-        flips = F.array(*[F.struct(F.lit(j).alias("segment"), masks(s).alias("flips")) for j, s in probe])
-        probes = spread.select("q", "bound", F.explode(flips).alias("f")).select("q", "bound", "f.segment", F.explode("f.flips").alias("flip"))
-        probes = probes.select("q", "bound", "segment", F.call_function("shiftrightunsigned", "q", F.col("segment") * SEGMENT_BITS).bitwiseAND(F.lit((1 << SEGMENT_BITS) - 1)).cast("int").bitwiseXOR(F.col("flip")).alias("key"))
-        # Spark takes the probes for as few as the queries; a merge join keeps it from broadcasting them.
-        distance = F.bit_count(F.col("q").bitwiseXOR(F.col("code"))).cast("int")
-        agree = (F.col("segment") == F.col("_segment")) & (F.col("key") == F.col("_key")) & (distance <= F.col("bound"))
-        found = probes.join(probed.hint("merge"), agree).select("q", "code", "ids").dropDuplicates(["q", "code"])
-        near = found.select("q", "code", distance.alias("distance"), F.explode("ids").alias("i")).select("q", "code", "distance", "i.id", F.col("i._rank").alias("_copy"))
+        met = []
+        for j in sorted({j for j, _ in probes}):
+            flips = masks([s for i, s in probes if i == j])
+            keyed = spread.select("q", "at", "bound", F.explode(flips).alias("flip")).withColumn("key", segment(F.col("at"), j).bitwiseXOR(F.col("flip")))
+            table = spark.table(name).where(F.col("segment") == j).select("key", "code", "ids").hint("shuffle_hash")
+            apart = distance(F.col("at"), F.col("code"), words)
+            near = keyed.alias("p").join(table.alias("t"), (F.col("p.key") == F.col("t.key")) & (apart <= F.col("bound")))
+            met.append(near.select("q", apart.alias("distance"), "code", F.explode("ids").alias("i")).select("q", "distance", "i.id", "code", F.col("i._rank").alias("_copy")))
         if best is not None:
-            near = near.unionByName(best.join(active, "q", "left_semi").drop("_rank")).distinct()
-        now = materialize(_first(near, ["q"], [F.col("distance"), F.col("id"), F.col("code"), F.col("_copy")], k))
+            met.append(best.join(active.select("q"), "q", "left_semi").drop("_rank"))
+        # Segments meet a code up to once each: equal rows share a rank, and one of them stays. All this needs one exchange by query.
+        order = Window.partitionBy("q").orderBy("distance", "id", "code", "_copy")
+        ranked = reduce(DataFrame.unionByName, met).withColumn("_rank", F.dense_rank().over(order)).where(F.col("_rank") <= k)
+        now = materialize(ranked.dropDuplicates(["q", "_rank"]))
         full = now.where(F.col("_rank") == wanted).select("q", "distance")
-        done.append(now.drop("code").join(full.where(F.col("distance") <= cover), "q", "left_semi"))
+        done.append(now.select("q", "_rank", "id", "distance").join(full.where(F.col("distance") <= cover).select("q"), "q", "left_semi"))
         after = active.join(full, "q", "left").where(F.col("distance").isNull() | (F.col("distance") > cover))
-        after = materialize(after.select("q", F.coalesce("distance", "bound").alias("bound")))
+        after = materialize(after.select("q", "at", F.coalesce("distance", "bound").alias("bound")))
         drop_materialized(active)
         active, best = after, now
-    if not done:
-        return queries.join(rows, F.lit(False)).select("query_id", F.lit(0).alias("rank"), "id", F.lit(0).alias("distance"))
-    result = done[0]
-    for more in done[1:]:
-        result = result.unionByName(more)
-    return queries.join(result, queries["code"] == result["q"]).select("query_id", F.col("_rank").alias("rank"), "id", "distance")
+    result = reduce(DataFrame.unionByName, done)
+    answers = materialize(result.join(asked.select("q", F.explode("query_ids").alias("query_id")), "q").select("query_id", F.col("_rank").alias("rank"), "id", "distance"))
+    spark.sql(f"drop table {name}")
+    _delete(spark, folder)
+    return answers
 
 
 def search_embeddings(embeddings: DataFrame, k: int = 10, every: int = 100, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """Nearest rows by sign code for the stated query set: every row whose id is divisible by ``every``, against all rows."""
-    coded = embeddings.select(F.col(id_col).alias("id"), sign_code(F.col(vector_col)).alias("code"))
+    """Nearest rows by sign code for the stated query set: every row whose id is divisible by ``every``, against all rows.
+
+    Vectors may have any number of components; a shorter one has no bits beyond its end, and null vectors take no part.
+    """
+    width = embeddings.agg(F.max(F.size(vector_col))).first()[0] or 1
+    coded = embeddings.select(F.col(id_col).alias("id"), sign_code(F.col(vector_col), max(width, 1)).alias("code"))
     return nearest(coded, coded.where(F.pmod("id", F.lit(every)) == 0).select(F.col("id").alias("query_id"), "code"), k)
