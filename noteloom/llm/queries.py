@@ -20,9 +20,16 @@ from .url_filter import filter_urls, host_path_rule, pattern_rule
 
 #: Fixed host/path rules of the contract.
 HOST_RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
-#: Patterns of unwanted hosts and paths, tried where no host/path rule fits.
+#: Words of unwanted hosts and paths; the patterns made of them are tried where no host/path rule fits.
 BLOCK_WORDS = ("ads", "adserver", "bets", "betting", "casino", "escort", "jackpot", "payday", "pills", "poker", "porn", "slots", "viagra", "xxx")
-BLOCK_PATTERNS = (*(f"^{w}^" for w in BLOCK_WORDS), "||tracker-*.", "/popunder^")
+#: Numbers that numbered hosts and paths of these words run through.
+BLOCK_NUMBERS = 60
+
+
+def block_patterns() -> list[str]:
+    """About 2,500 patterns with host anchors, wildcards and separators: each word alone, its numbered hosts, and its paths and files that end in a number."""
+    numbered = [p for w in BLOCK_WORDS for n in range(BLOCK_NUMBERS) for p in (f"||{w}{n}.", f"/{w}/*-{n}^", f"^{w}-*{n}.html")]
+    return [*(f"^{w}^" for w in BLOCK_WORDS), "||tracker-*.", "/popunder^", "||spam-*.", *numbered]
 
 
 def op1_hamming_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,7 +41,7 @@ def op2_feistel_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rules = [host_path_rule(v, s) for v, s in HOST_RULES] + [pattern_rule("block", p) for p in BLOCK_PATTERNS]
+    rules = [host_path_rule(v, s) for v, s in HOST_RULES] + [pattern_rule("block", p) for p in block_patterns()]
     return filter_urls(table(spark, sf_dir, "pages"), rules)
 
 
@@ -125,20 +132,28 @@ def _mix_sql(v: str, key: int) -> str:
 
 _HOST = r"coalesce(translate(regexp_extract(u.rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '')"
 _RULES = ", ".join(f"('{v}', '{s}', '{s.split('/', 1)[0]}', '/{s.split('/', 1)[1]}')" for v, s in HOST_RULES)
-_WORDS = "|".join(BLOCK_WORDS)
+_EDGE = "([^A-Za-z0-9]|$)"
 OP3_SQL = rf"""
 with u as (
-  select page_id, case when position('://' in url) > 0 then substr(url, position('://' in url) + 3) else '' end as rest from pages),
-parts as (select page_id, {_HOST} as host, coalesce(regexp_extract(u.rest, '^[^/?#]*([^?#]*)', 1), '') as path from u),
+  select page_id, case when position('://' in url) > 0 then substr(url, position('://' in url) + 3) else '' end as rest, url from pages),
+parts as (select page_id, {_HOST} as host, coalesce(regexp_extract(u.rest, '^[^/?#]*([^?#]*)', 1), '') as path, url from u),
 rules(rule_verdict, rule, rule_host, rule_path) as (values {_RULES}),
 best as (
   select page_id, arg_max(rule, length(rule)) as rule, arg_max(rule_verdict, length(rule)) as rule_verdict
   from parts join rules on (host = rule_host or ends_with(host, '.' || rule_host)) and starts_with(path, rule_path)
   group by page_id),
-spam as (select unnest(['{"', '".join(BLOCK_WORDS)}']) as word),
+words as (select unnest(['{"', '".join(BLOCK_WORDS)}']) as word), numbers as (select unnest(range({BLOCK_NUMBERS})) as n),
+patterns as (
+  select '^' || word || '^' as pattern, word as literal, '(^|[^A-Za-z0-9])' || word || '{_EDGE}' as regex from words
+  union all select '||tracker-*.', 'tracker-', '^([^/]*\.)?tracker-.*\.'
+  union all select '/popunder^', '/popunder', '/popunder{_EDGE}'
+  union all select '||spam-*.', 'spam-', '^([^/]*\.)?spam-.*\.'
+  union all select '||' || word || n || '.', word || n || '.', '^([^/]*\.)?' || word || n || '\.' from words, numbers
+  union all select '/' || word || '/*-' || n || '^', '/' || word || '/', '/' || word || '/.*-' || n || '{_EDGE}' from words, numbers
+  union all select '^' || word || '-*' || n || '.html', word || '-', '(^|[^A-Za-z0-9])' || word || '-.*' || n || '\.html' from words, numbers),
 hits as (
-  select page_id, min('^' || word || '^') as pattern from parts join spam on regexp_matches(host || path, '(^|[^A-Za-z0-9])' || word || '([^A-Za-z0-9]|$)')
-  group by page_id)
+  select page_id, min(pattern) as pattern from (select page_id, host || path as place from parts where url is not null) join patterns on contains(place, literal)
+  where regexp_matches(place, '(?s)' || regex) group by page_id)
 select page_id, host, path, rule, coalesce(rule_verdict, case when pattern is null then 'allow' else 'block' end) as verdict,
   case when rule is null then pattern end as pattern
 from parts left join best using (page_id) left join hits using (page_id)"""
@@ -152,9 +167,12 @@ prefixes as (
   select conv_id, k, n_turns, string_agg(strlen(role) || ':' || role || ':' || strlen(text) || ':' || text, '') over (partition by conv_id order by k) as chain,
     string_agg('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10), '') over (partition by conv_id order by k) as rendered
   from numbered),
-whole as (select chain, rendered, n_turns, min(conv_id) as conv_id, count(*) as n_copies from prefixes where k = n_turns group by all)
-select conv_id, n_turns::int as n_turns, n_copies, rendered from whole
-where chain not in (select chain from prefixes where k < n_turns)"""
+ends as (select conv_id, chain, rendered, n_turns from prefixes where k = n_turns),
+whole as (select chain, rendered, n_turns, min(conv_id) as conv_id, count(*) as n_copies from ends group by all),
+maximal as (select * from whole where chain not in (select chain from prefixes where k < n_turns)),
+absorbed as (
+  select e.conv_id, min(m.conv_id) as kept_id from ends e join prefixes p on p.chain = e.chain and p.k < p.n_turns join maximal m on m.conv_id = p.conv_id group by e.conv_id)
+select conv_id, n_turns::int as n_turns, n_copies, (select count(*) from absorbed where kept_id = maximal.conv_id) as n_snapshots, rendered from maximal"""
 
 OP1_SQL = """
 with pairs as (

@@ -15,6 +15,10 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize, tidy
+
+#: Rows of one URL (or without one) that a task of the last join takes; more are dealt over several.
+ROWS_OF_URL = 100_000
 #: Above this many rules the index is joined by a shuffle on the token; below, it is broadcast (about 200 bytes a rule).
 BROADCAST_RULES = 50_000
 
@@ -60,19 +64,21 @@ def url_parts(url: F.Column) -> tuple[F.Column, F.Column]:
     return host, F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)
 
 
+@tidy
 def filter_urls(pages: DataFrame, rules: list[Rule], default: str = "allow", id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """Verdict for every row of ``pages``: page_id, host, path, rule (that of the longest fitting host/path rule, else null), verdict, pattern (the pattern rule that decided, else null).
 
     Without a fitting host/path rule, a fitting ``allow`` pattern wins over ``block`` patterns, and with neither the
     default holds; so it does for null URLs and those without ``://``. Among patterns of the winning kind the first in
-    the order of text is named. Each distinct URL is judged once; repeated rows, null ids and other columns do no harm.
+    the order of text is named. Each distinct URL is judged once; repeated rows, null ids and other columns do no harm,
+    and rows of one URL, or without any, are dealt over several tasks. An empty table gives no rows.
     """
     spark = pages.sparkSession
+    urls = materialize(pages.groupBy(F.col(url_col).alias("url")).agg(F.count("*").alias("n")))
     host, path = url_parts(F.col("url"))
-    urls = pages.select(F.col(url_col).alias("url")).where("url is not null").distinct().select("url", F.concat(host, path).alias("_at"))
     # The leading dot gives every URL the empty token, which fetches rules that have no literal token.
-    tokens = F.array_distinct(F.split(F.concat(F.lit("."), F.lower("_at")), "[^a-z0-9]+"))
-    seen = urls.select("url", "_at", F.explode(tokens).alias("token"))
+    at = F.concat(host, path)
+    seen = urls.where("url is not null").select("url", at.alias("_at"), F.explode(F.array_distinct(F.split(F.concat(F.lit("."), F.lower(at)), "[^a-z0-9]+"))).alias("token"))
 
     literal = sorted({t for r in rules for t in r.tokens})
     known = spark.createDataFrame([(t,) for t in literal], "token string")
@@ -90,5 +96,7 @@ def filter_urls(pages: DataFrame, rules: list[Rule], default: str = "allow", id_
     judged = fits.groupBy("url").agg(best.alias("_best"), F.min(kind(False, "allow")).alias("_allow"), F.min(kind(False, "block")).alias("_block"))
     named = F.when(F.col("_best").isNull(), F.coalesce("_allow", "_block"))
     verdict = F.coalesce(F.col("_best.verdict"), F.when(F.col("_allow").isNotNull(), F.lit("allow")).when(F.col("_block").isNotNull(), F.lit("block")), F.lit(default))
-    left = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"))
-    return left.join(judged, "url", "left").select("page_id", host.alias("host"), path.alias("path"), F.col("_best.rule").alias("rule"), verdict.alias("verdict"), named.alias("pattern"))
+    parts = -(-(urls.agg(F.max("n")).first()[0] or 1) // ROWS_OF_URL)
+    left = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.pmod(F.spark_partition_id(), F.lit(parts)).alias("_part"))
+    judged = judged.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    return left.join(judged, ["url", "_part"], "left").select("page_id", host.alias("host"), path.alias("path"), F.col("_best.rule").alias("rule"), verdict.alias("verdict"), named.alias("pattern"))

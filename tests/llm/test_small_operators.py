@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from noteloom.llm import chat_format, hamming_search, html_extract, pii, sharding, url_filter
 from noteloom.llm import sentencepiece_bpe as bpe
-from noteloom.llm.queries import ORACLES, tokenizer_path
+from noteloom.llm.queries import ORACLES, block_patterns, tokenizer_path
 
 DOCS = "doc_id long, text string, lang string, shard string, slot int, id string"
 
@@ -78,6 +78,23 @@ def test_url_filter_against_plain_rules(spark):
     assert url_filter.filter_urls(pages.limit(0), rules).count() == 0
 
 
+def test_thousands_of_rules_against_each_rule(spark, monkeypatch):
+    """The registered patterns by every rule's own expression on every URL, with hot URLs dealt over several tasks."""
+    monkeypatch.setattr(url_filter, "ROWS_OF_URL", 40)
+    r = random.Random(6)
+    words = ["casino", "poker", "ads", "casino7", "poker59", "tracker-x", "spam-farm", "xxx3", "plain", "ads-12.html", "popunder"]
+    urls = [f"http://{r.choice(words)}{r.choice(['.', '-'])}{r.choice(words)}.example.net/{r.choice(words)}/{r.choice(words)}{r.choice(['-7', '-59', '/', '.html', '5.html?x=1', ''])}" for _ in range(400)] + [None] * 90 + ["http://casino1.example.net/"] * 90
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string").repartition(8)
+    patterns = block_patterns()
+    rules = [url_filter.pattern_rule("block", p) for p in patterns]
+    assert len(patterns) > 2500 and all(x.tokens for x in rules)
+    one = lambda p: re.compile((r"^(?:[^/]*\.)?" if p[:2] == "||" else "") + "".join({"*": ".*", "^": "(?:^|[^A-Za-z0-9]|$)"}.get(c) or re.escape(c) for c in p.removeprefix("||")), re.S)
+    plain = [(p, one(p)) for p in sorted(patterns)]
+    found = {u: next((p for p, e in plain if e.search(u.split("://")[1].split("?")[0])), None) for u in set(urls) - {None}}
+    got = {x.page_id: x.pattern for x in url_filter.filter_urls(pages, rules).collect()}
+    assert got == {i: found.get(u) for i, u in enumerate(urls)} and len({*got.values()}) > 20
+
+
 def test_rule_tokens():
     assert url_filter.host_path_rule("block", "example.org/en/1").tokens == ("example", "org", "en")
     assert url_filter.pattern_rule("block", "||ads.*/x^").tokens == ("ads", "x")
@@ -100,7 +117,29 @@ def test_chat_snapshots(spark):
     assert chat_format.format_chats(spark.createDataFrame([], CHAT)).count() == 0
     con = duckdb.connect()
     conversations = spark.createDataFrame(data, CHAT).toPandas().astype({"conv_id": "Int64"})  # noqa: F841
-    assert con.execute(ORACLES["op4_chat_format"].replace("from conversations", "from conversations")).fetchdf().shape[0] == 5
+    want = con.execute(ORACLES["op4_chat_format"]).fetchdf()
+    assert rows(got, "conv_id", "n_turns", "n_copies", "n_snapshots", "rendered") == sorted((tuple(x) for x in want[["conv_id", "n_turns", "n_copies", "n_snapshots", "rendered"]].itertuples(index=False)), key=repr)
+    links = chat_format.snapshot_links(spark.createDataFrame(data, CHAT))
+    assert rows(links, "conv_id", "kept_id") == [(1, 3), (2, 3), (3, 3), (4, 3), (5, 5), (6, 6), (7, 7), (8, 8)]
+
+
+def test_long_and_branching_conversations(spark):
+    """Prefix relations by plain comparison, with repeated turn numbers and a conversation of thousands of turns."""
+    r = random.Random(3)
+    convs = {}
+    for c in range(60):
+        base = list(convs[r.randrange(c)][: r.randint(1, 9)]) if c and r.random() < 0.7 else []
+        convs[c] = base + [("user", r.choice("abc")) for _ in range(r.randint(0 if base else 1, 3))]
+    convs[100] = [("user", "x")] * 6000
+    convs[101] = [("user", "x")] * 5999
+    data = [(c, t, role, text, 0, "z") for c, turns in convs.items() for t, (role, text) in enumerate(turns)]
+    got = chat_format.format_chats(spark.createDataFrame(data, CHAT))
+    extends = lambda a, b: len(a) > len(b) and a[: len(b)] == b
+    maximal = {min(k for k, x in convs.items() if x == t): t for t in convs.values() if not any(extends(x, t) for x in convs.values())}
+    kept = {c: min(k for k, x in maximal.items() if x == t or extends(x, t)) for c, t in convs.items()}
+    want = [(k, len(t), sum(x == t for x in convs.values()), sum(kept[c] == k and x != t for c, x in convs.items())) for k, t in maximal.items()]
+    assert rows(got, "conv_id", "n_turns", "n_copies", "n_snapshots") == sorted(want, key=repr)
+    assert rows(chat_format.snapshot_links(spark.createDataFrame(data, CHAT)), "conv_id", "kept_id") == sorted(kept.items(), key=repr)
 
 
 # --- Hamming search
@@ -123,6 +162,22 @@ def test_hamming_topk_is_exact(spark):
     assert few.count() == 3 and hamming_search.search_embeddings(df.limit(0), 10, 100).count() == 0
 
 
+def test_hamming_codes_of_any_width(spark):
+    r = random.Random(17)
+    vectors = [[r.gauss(0, 1) for _ in range(384)] for _ in range(12)]
+    near = lambda v: [x if r.random() < 0.99 else -x for x in v]
+    data = [(i, near(vectors[i % 12])) for i in range(240)] + [(701, vectors[0][:65]), (702, []), (703, None)]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>")
+    code = lambda v: sum(1 << i for i, x in enumerate(v) if x > 0)
+    got = {}
+    for x in hamming_search.search_embeddings(df, 5, 100).collect():
+        got.setdefault(x.query_id, []).append((x.rank, x.distance, x.id))
+    assert set(got) == {0, 100, 200}
+    for q, found in got.items():
+        own = code(dict(data)[q])
+        assert [(d, i) for _, d, i in sorted(found)] == sorted(((own ^ code(v)).bit_count(), i) for i, v in data if v is not None)[:5]
+
+
 # --- HTML
 
 
