@@ -18,14 +18,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_materialized, in_small_batches, materialize, release_memory, text_key, tidy
+from .common import drop_materialized, in_small_batches, materialize, partitions, release_memory, text_key, tidy
 from .text_hash import seeds
 
 ORDER = 4
 #: Padding before a text, and its end.
 BEGIN, END = "\x02", "\x03"
 #: Code points of one block; a longer text is a block of its own. Within a block so many are scored at once.
-BLOCK_CHARS, STEP_CHARS = 4_000_000, 500_000
+BLOCK_CHARS, STEP_CHARS = 16_000_000, 500_000
 #: Parts of the documents, by a hash of their text; a part is scored by the model trained on the others' trusted texts.
 FOLDS = 2
 #: Weight of the language's mean score, in characters: short texts are judged with care.
@@ -34,6 +34,8 @@ PRIOR_CHARS = 200
 LOW, HIGH = 0.0002, 0.999
 #: Weight of all languages' quantiles in those of a language, in documents: a language with few trusted ones leans on all.
 PRIOR_DOCS = 200
+#: Blocks that a task scores, two numbers for each of their n-grams at a time.
+TASK_BLOCKS = 2
 #: Up to this many trusted ids (16 bytes each) are broadcast; beyond, documents and ids are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 _WEIGHTS = seeds(64, 5000) | np.uint64(1)
@@ -107,28 +109,34 @@ def _blocks(batches: Iterator[pa.RecordBatch], text_at: int) -> Iterator[tuple[i
         yield (part << 24) + k, pa.Table.from_batches(held), texts
 
 
+MODELS = range(FOLDS)
+#: Columns of all models, by number.
+_each = lambda make: [make(m) for m in MODELS]
+
+
 def train_counts(texts: DataFrame, order: int) -> DataFrame:
-    """(model, gram, c) over all texts of each model, counted block by block before the shuffle."""
+    """(gram, c0, c1, ...): counts of each model over all texts of ``fold``, which trains every model but its own; counted block by block before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows, some in _blocks(batches, 1):
-            models = rows.column(0).to_pylist()
-            for model in sorted(set(models)):
-                counts = gram_counts([t for t, m in zip(some, models) if m == model], order)
-                yield pa.RecordBatch.from_arrays([pa.array([model] * len(counts), pa.int32()), pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["model", "gram", "c"])
+            folds = rows.column(0).to_pylist()
+            for fold in sorted(set(folds)):
+                counts = gram_counts([t for t, f in zip(some, folds) if f == fold], order)
+                yield pa.RecordBatch.from_arrays([pa.array([fold] * len(counts), pa.int32()), pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["fold", "gram", "c"])
         release_memory()
 
-    return in_small_batches(texts.select("model", "text")).mapInArrow(run, "model int, gram string, c long").groupBy("model", "gram").agg(F.sum("c").alias("c"))
+    counted = in_small_batches(texts.select("fold", "text")).mapInArrow(run, "fold int, gram string, c long")
+    return counted.groupBy("gram").agg(*_each(lambda m: F.sum(F.when(F.col("fold") != m, F.col("c")).otherwise(0)).alias(f"c{m}")))
 
 
 @dataclass
 class Models:
-    """Tables by order: ``grams[k]`` has (model, gram, p), ``backoff[k]`` has (model, context, gamma) for contexts of k-1 characters; ``unseen`` has (model, unseen)."""
+    """Tables by order, with a column for each model: ``grams[k]`` has (gram, p0, ...), ``backoff[k]`` has (context, gamma0, ...) for contexts of k-1 characters; null where a model has not seen it. ``unseen`` is the chance of a character that a model has not seen."""
 
     order: int
     grams: dict[int, DataFrame]
     backoff: dict[int, DataFrame]
-    unseen: DataFrame
+    unseen: list[float]
 
 
 def discounts(n: list[int]) -> tuple[float, float, float]:
@@ -142,77 +150,72 @@ def discounts(n: list[int]) -> tuple[float, float, float]:
 
 
 def fit(texts: DataFrame, order: int = ORDER) -> Models:
-    """Interpolated modified Kneser-Ney models of (model, text); lower orders count the distinct characters to the left of a gram."""
-    spark = texts.sparkSession
+    """Interpolated modified Kneser-Ney models of (fold, text); lower orders count the distinct characters to the left of a gram."""
     counts = {order: materialize(train_counts(texts, order))}
     for k in range(order - 1, 0, -1):
-        counts[k] = materialize(counts[k + 1].groupBy("model", F.substring("gram", 2, k).alias("gram")).agg(F.count("*").alias("c")))
-    lower = unseen = None
+        counts[k] = materialize(counts[k + 1].groupBy(F.substring("gram", 2, k).alias("gram")).agg(*_each(lambda m: F.count_if(F.col(f"c{m}") > 0).alias(f"c{m}"))))
+    lower, unseen = None, [1.0] * FOLDS
     grams, backoff = {}, {}
     for k in range(1, order + 1):
-        # A row for each of the FOLDS models.
-        seen = counts[k].groupBy("model").agg(*[F.count(F.when(F.col("c") == i, 1)) for i in (1, 2, 3, 4)], F.count("*")).collect()
-        cuts = F.broadcast(spark.createDataFrame([(r[0], *discounts(list(r)[1:5]), r[5]) for r in seen], "model int, d1 double, d2 double, d3 double, types long"))
-        d = F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))
-        table = counts[k].join(cuts, "model").select("model", "gram", "c", d.alias("d"), F.substring("gram", 1, k - 1).alias("context"), "types")
-        sums = table.groupBy("model", "context").agg(F.sum("c").alias("total"), (F.sum("d") / F.sum("c")).alias("gamma"), F.max("types").alias("types"))
+        seen = counts[k].agg(*[F.count_if(F.col(f"c{m}") == i).alias(f"n{m}{i}") for m in MODELS for i in (1, 2, 3, 4)], *_each(lambda m: F.count_if(F.col(f"c{m}") > 0).alias(f"types{m}"))).first()
+        table = counts[k].withColumn("context", F.substring("gram", 1, k - 1))
+        for m in MODELS:
+            c, (d1, d2, d3) = F.col(f"c{m}"), discounts([seen[f"n{m}{i}"] for i in (1, 2, 3, 4)])
+            table = table.withColumn(f"d{m}", F.when(c == 0, 0.0).when(c == 1, d1).when(c == 2, d2).otherwise(d3))
+        total = lambda m: F.nullif(F.sum(f"c{m}"), F.lit(0))
+        sums = table.groupBy("context").agg(*_each(lambda m: total(m).alias(f"total{m}")), *_each(lambda m: (F.sum(f"d{m}") / total(m)).alias(f"gamma{m}")))
+        known = lambda m, p: F.when(F.col(f"c{m}") > 0, p).alias(f"p{m}")
+        alpha = lambda m: (F.col(f"c{m}") - F.col(f"d{m}")) / F.col(f"total{m}")
         if k == 1:
-            unseen = materialize(sums.select("model", "total", (F.col("gamma") / (F.col("types") + 1)).alias("unseen")))
-            grams[1] = materialize(table.join(F.broadcast(unseen), "model").select("model", "gram", ((F.col("c") - F.col("d")) / F.col("total") + F.col("unseen")).alias("p")))
+            row = sums.first()
+            unseen = _each(lambda m: row[f"gamma{m}"] / (seen[f"types{m}"] + 1) if row and row[f"total{m}"] else 1.0)
+            grams[1] = materialize(table.crossJoin(F.broadcast(sums.drop("context"))).select("gram", *_each(lambda m: known(m, alpha(m) + unseen[m]))))
         else:
-            backoff[k] = materialize(sums.drop("types"))
-            alpha = table.join(backoff[k], ["model", "context"]).select("model", "gram", ((F.col("c") - F.col("d")) / F.col("total")).alias("alpha"), "gamma", F.substring("gram", 2, k - 1).alias("suffix"))
-            below = lower.withColumnsRenamed({"gram": "suffix", "p": "below"})
-            grams[k] = materialize(alpha.join(below, ["model", "suffix"]).select("model", "gram", (F.col("alpha") + F.col("gamma") * F.col("below")).alias("p")))
+            backoff[k] = materialize(sums)
+            joined = table.join(backoff[k], "context").withColumn("suffix", F.substring("gram", 2, k - 1))
+            below = lower.select(F.col("gram").alias("suffix"), *_each(lambda m: F.col(f"p{m}").alias(f"below{m}")))
+            grams[k] = materialize(joined.join(below, "suffix").select("gram", *_each(lambda m: known(m, alpha(m) + F.col(f"gamma{m}") * F.col(f"below{m}")))))
         lower = grams[k]
     drop_materialized(*counts.values())
-    return Models(order, grams, {k: b.drop("total") for k, b in backoff.items()}, unseen.select("model", "unseen"))
+    return Models(order, grams, {k: b.select("context", *_each(lambda m: f"gamma{m}")) for k, b in backoff.items()}, unseen)
 
 
 def resolve(grams: DataFrame, models: Models) -> DataFrame:
-    """(model, gram, logp) for any (model, gram) of the models' order: the highest order that has seen the end of the gram, with the back-off weights above it. A model without any text gives each character one chance in all."""
+    """(gram, logp0, ...) for any grams of the models' order: the highest order that has seen the end of the gram, with the back-off weights above it. A model without any text gives every character a chance of 1."""
     order = models.order
-    open_ = grams.select("model", "gram", F.lit(1.0).alias("w"), F.lit(None).cast("double").alias("p"))
+    open_ = grams.select("gram", *_each(lambda m: F.lit(1.0).alias(f"w{m}")), *_each(lambda m: F.lit(None).cast("double").alias(f"q{m}")))
     for k in range(order, 0, -1):
-        found = models.grams[k].withColumnsRenamed({"gram": "_end", "p": "_p"})
-        open_ = open_.withColumn("_end", F.substring("gram", order - k + 1, k)).join(found, ["model", "_end"], "left").withColumn("p", F.coalesce("p", F.col("w") * F.col("_p"))).drop("_end", "_p")
+        end = F.substring("gram", order - k + 1, k)
+        found = open_.withColumn("_end", end).join(models.grams[k].withColumnRenamed("gram", "_end"), "_end", "left")
         if k > 1:
-            open_ = open_.withColumn("_c", F.substring("gram", order - k + 1, k - 1)).join(models.backoff[k].withColumnRenamed("context", "_c"), ["model", "_c"], "left")
-            open_ = open_.withColumn("w", F.col("w") * F.coalesce("gamma", F.lit(1.0))).drop("_c", "gamma")
-    open_ = open_.join(F.broadcast(models.unseen), "model", "left")
-    return open_.select("model", "gram", F.ln(F.coalesce("p", F.col("w") * F.coalesce("unseen", F.lit(1.0)))).alias("logp"))
+            found = found.withColumn("_c", F.substring("gram", order - k + 1, k - 1)).join(models.backoff[k].withColumnRenamed("context", "_c"), "_c", "left")
+        weight = lambda m: F.col(f"w{m}") * F.coalesce(f"gamma{m}", F.lit(1.0)) if k > 1 else F.col(f"w{m}")  # noqa: B023, E731
+        open_ = found.select("gram", *_each(lambda m: weight(m).alias(f"w{m}")), *_each(lambda m: F.coalesce(f"q{m}", F.col(f"w{m}") * F.col(f"p{m}")).alias(f"q{m}")))
+    return open_.select("gram", *_each(lambda m: F.ln(F.coalesce(f"q{m}", F.col(f"w{m}") * models.unseen[m])).alias(f"logp{m}")))
 
 
 def score(docs: DataFrame, models: Models) -> DataFrame:
-    """Adds n_scored (characters and the end) and logp (their log probability under the row's ``model``) to the columns of ``docs`` other than text.
+    """Adds n_scored (characters and the end) and logp (their log probability under the model of the row's ``fold``) to the columns of ``docs`` other than text.
 
     ``docs`` must be read alike each time (a scan or a written table): it is read once for the n-grams of each block and
-    once to score it, in the same partitions. An answer goes to each block that asked; the commonest n-grams, which all
-    blocks ask for, are looked up once and joined by (block, gram), so they gather in no single task.
+    once to score it, in the same partitions. Each distinct n-gram is looked up once; its answer goes to every block
+    that asked, by (block, gram), so the commonest gather in no single task.
     """
-    order, at, model_at = models.order, docs.schema.names.index("text"), docs.schema.names.index("model")
+    order, at, fold_at = models.order, docs.schema.names.index("text"), docs.schema.names.index("fold")
     rest = [c for c in docs.schema.names if c != "text"]
 
-    def split(table: pa.Table, texts: list[str]) -> Iterator[tuple[int, np.ndarray, list[str]]]:
-        of = np.array(table.column(model_at).to_pylist(), np.int64)
-        for model in np.unique(of):
-            places = np.flatnonzero(of == model)
-            yield int(model), places, [texts[i] for i in places]
-
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, rows, texts in _blocks(batches, at):
-            for model, _, some in split(rows, texts):
-                grams = list(gram_counts(some, order))
-                yield pa.RecordBatch.from_arrays([pa.array([block] * len(grams), pa.int64()), pa.array([model] * len(grams), pa.int32()), pa.array(grams, pa.string())], ["block", "model", "gram"])
+        for block, _, texts in _blocks(batches, at):
+            grams = list(gram_counts(texts, order))
+            yield pa.RecordBatch.from_arrays([pa.array([block] * len(grams), pa.int64()), pa.array(grams, pa.string())], ["block", "gram"])
         release_memory()
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, rows, texts in _blocks(batches, at):
-            for model, places, _ in split(rows, texts):
-                sink = pa.BufferOutputStream()
-                with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-                    out.write_table(rows.take(pa.array(places)))
-                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([model], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["block", "model", "payload"])
+        for block, rows, _ in _blocks(batches, at):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                out.write_table(rows)
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["block", "payload"])
         release_memory()
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,9 +225,9 @@ def score(docs: DataFrame, models: Models) -> DataFrame:
                 known = answers.field("gram").to_pylist()
                 known_key = _keys(np.frombuffer("".join(known).encode("utf-32-le", "surrogatepass"), np.uint32), order)[::order] if known else np.zeros(0, np.uint64)
                 sort = np.argsort(known_key)
-                known_key, value = known_key[sort], np.asarray(answers.field("logp"))[sort]
+                known_key, value = known_key[sort], np.stack([np.asarray(answers.field(f"logp{m}"))[sort] for m in MODELS])
                 rows = pa.ipc.open_stream(batch.column(0)[i].as_buffer()).read_all()
-                texts = [t or "" for t in rows.column("text").to_pylist()]
+                texts, fold = [t or "" for t in rows.column("text").to_pylist()], np.array(rows.column(fold_at).to_pylist(), np.int64)
                 total, count = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
                 for start, some in _steps(texts):
                     _, code, real = _codes(some, order)
@@ -235,16 +238,18 @@ def score(docs: DataFrame, models: Models) -> DataFrame:
                         raise RuntimeError("a block has an n-gram that its first pass did not name")
                     size = np.fromiter((len(t) + order for t in some), np.int64, len(some))
                     owner = np.searchsorted(np.cumsum(size), pos, side="right")
-                    total[start : start + len(some)] = np.bincount(owner, value[place][group], len(some))
+                    total[start : start + len(some)] = np.bincount(owner, value[fold[start + owner], place[group]], len(some))
                     count[start : start + len(some)] = np.bincount(owner, minlength=len(some))
                 out = rows.drop_columns(["text"]).append_column("n_scored", pa.array(count)).append_column("logp", pa.array(total))
                 yield from out.combine_chunks().to_batches()
         release_memory()
 
-    asked = materialize(in_small_batches(docs).mapInArrow(named, "block long, model int, gram string"))
-    answers = resolve(asked.select("model", "gram").distinct(), models)
-    replies = asked.join(answers, ["model", "gram"]).groupBy("block", "model").agg(F.collect_list(F.struct("gram", "logp")).alias("answers"))
-    joined = docs.mapInArrow(packed, "block long, model int, payload binary").join(replies, ["block", "model"]).select("payload", "answers")
+    asked = materialize(in_small_batches(docs).mapInArrow(named, "block long, gram string"))
+    answers = resolve(asked.select("gram").distinct(), models)
+    # Few blocks to a task, so that a task's share does not grow with the table.
+    tasks = max(partitions(docs), -(-asked.select("block").distinct().count() // TASK_BLOCKS))
+    replies = asked.join(answers, "gram").repartition(tasks, "block").groupBy("block").agg(F.collect_list(F.struct("gram", *_each(lambda m: f"logp{m}"))).alias("answers"))
+    joined = docs.mapInArrow(packed, "block long, payload binary").repartition(tasks, "block").join(replies, "block").select("payload", "answers")
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in rest)
     return joined.mapInArrow(scored, f"{kinds}, n_scored long, logp double")
 
@@ -257,12 +262,10 @@ def _scored(docs: DataFrame, labels: DataFrame, order: int) -> tuple[DataFrame,
     few = labels.count() <= BROADCAST_IDS
     base = base.join(F.broadcast(trusted) if few else trusted, "doc_id", "left")
     fold = F.pmod(F.col("h1"), F.lit(FOLDS)).cast("int")
-    base = base.select("doc_id", "lang", "h1", "h2", F.length("text").cast("long").alias("n_chars"), F.coalesce("trusted", F.lit(False)).alias("trusted"), fold.alias("model"), "text")
+    base = base.select("doc_id", "lang", "h1", "h2", F.length("text").cast("long").alias("n_chars"), F.coalesce("trusted", F.lit(False)).alias("trusted"), fold.alias("fold"), "text")
     if not few or not _plain_scan(docs):  # a shuffle may order rows anew on a second pass
         base = materialize(base)
-    # Each text trains the models of all folds but its own; with two folds, that of the other.
-    taught = base.where("trusted").withColumn("model", F.explode(F.array_remove(F.array(*map(F.lit, range(FOLDS))), F.col("model"))))
-    scored = materialize(score(base, fit(taught.select("model", "text"), order)))
+    scored = materialize(score(base, fit(base.where("trusted").select("fold", "text"), order)))
 
     loss = F.coalesce(-F.col("logp") / F.greatest("n_scored", F.lit(1)), F.lit(0.0))
     scored = scored.withColumn("loss", loss)
