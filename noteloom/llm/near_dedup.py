@@ -34,6 +34,8 @@ VALUES = 1 << 20
 MASK_BITS = 1 << 28
 #: Pairs with one lead that a task verifies together, and for which the lead's text is sent once.
 PAIRS_OF_LEAD = 256
+#: Further leads of a bucket whose members are in different groups, and likeliest mates of a member, before all pairs are compared.
+LEADS, LIKELIEST = 4, 4
 #: Members of a bucket are compared in blocks of about this many, each pair of blocks on its own.
 BLOCK = 1024
 #: Up to this many ids (24 bytes each) are broadcast to pick the texts that need verification.
@@ -224,8 +226,8 @@ def _counted(texts: DataFrame) -> DataFrame:
     return in_small_batches(texts.select("node", "text")).mapInArrow(run, "node long, size long, counts binary")
 
 
-def possible_pairs(node: np.ndarray, part: np.ndarray, size: np.ndarray, counts: np.ndarray, side: np.ndarray, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Pairs of rows of different parts that may be near duplicates, as greater node, lesser node, least distance.
+def possible_pairs(node: np.ndarray, part: np.ndarray, size: np.ndarray, counts: np.ndarray, side: np.ndarray, similarity: float, most: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Pairs of rows of different parts that may be near duplicates, as greater node, lesser node, least distance; with ``most``, the nearest by that distance of each row.
 
     Rows of side 0 meet those of side 1; without a side 1 they meet each other. A word edit changes one count of each
     text by one at most, so the counts that one text has beyond the other bound the distance below; bounding counts to
@@ -248,17 +250,31 @@ def possible_pairs(node: np.ndarray, part: np.ndarray, size: np.ndarray, counts:
         apart = np.maximum(total[j], total[i]) - shared
         ok = apart <= ((1 - similarity) * np.maximum(size[j], size[i]) + 1e-9).astype(np.int64)
         if ok.any():
-            j = j[ok]
-            yield np.maximum(node[j], node[i]), np.minimum(node[j], node[i]), apart[ok]
+            j, apart = j[ok], apart[ok]
+            if most is not None and len(j) > most:
+                least = np.argpartition(apart, most)[:most]
+                j, apart = j[least], apart[least]
+            yield np.maximum(node[j], node[i]), np.minimum(node[j], node[i]), apart
 
 
-def _mates(stars: DataFrame, parts: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (u, v, apart) of all members of a bucket, its least node aside, that are of different parts and may be near duplicates."""
-    members = materialize(_label(stars.select(F.col("u").alias("node"), "key"), parts, "node", "part"))
-    mixed = members.groupBy("key").agg(F.count("*").alias("n"), F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high")
-    mixed = materialize(mixed.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")))
-    rows = members.join(mixed, "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    rows = materialize(rows)
+def _mixed(rows: DataFrame, parts: DataFrame) -> DataFrame:
+    """Those (key, node) whose bucket has members of several parts, as key, node, part."""
+    members = materialize(_label(rows.select("key", "node"), parts, "node", "part"))
+    mixed = members.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("key")
+    return materialize(members.join(mixed, "key", "left_semi"))
+
+
+def _led(rows: DataFrame, turn: int) -> DataFrame:
+    """Pairs (u, v) of a bucket's member drawn by lot, v, with all its mates of other parts; linear in the bucket's size. The lot is the same in all buckets, so buckets with like members agree."""
+    lead = F.min_by(F.struct("node", "part"), F.xxhash64("node", F.lit(turn))).alias("lead")
+    pairs = rows.join(rows.groupBy("key").agg(lead), "key").where(F.col("part") != F.col("lead.part"))
+    return pairs.select(F.col("node").alias("u"), F.col("lead.node").alias("v")).distinct()
+
+
+def _mates(rows: DataFrame, texts: DataFrame, similarity: float, most: int | None) -> DataFrame:
+    """Pairs (u, v, apart) of members (key, node, part) of a bucket that are of different parts and may be near duplicates; of each block's member the ``most`` likeliest, or all."""
+    blocks = materialize(rows.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")))
+    rows = materialize(rows.join(blocks, "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")))
     counted = materialize(_counted(texts.join(rows.select("node").distinct(), "node")))
     # Each member goes to the pairs of its own block with every block of the bucket.
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -268,7 +284,7 @@ def _mates(stars: DataFrame, parts: DataFrame, texts: DataFrame, similarity: flo
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def pairs() -> Iterator[pa.RecordBatch]:
             node, part, size, side, counts = (np.concatenate([h[k] for h in held]) for k in range(5))
-            for u, v, apart in possible_pairs(node, part, size, counts, side, similarity):
+            for u, v, apart in possible_pairs(node, part, size, counts, side, similarity, most):
                 found.append((u, v, apart))
                 if len(found) >= 1024:
                     yield flush()
@@ -336,14 +352,29 @@ def _classes(docs: DataFrame, similarity: float, id_col: str, text_col: str) ->
     edges = materialize(edges.unionByName(_verified(open_pairs, texts, similarity)))
     parts = materialize(connected_components(edges))
 
-    # Members that a bucket's representative left in different groups meet each other, likeliest pair first.
-    mates = materialize(_mates(first, parts, texts, similarity))
-    likely = materialize(mates.groupBy("u").agg(F.min(F.struct("apart", "v")).alias("m")).select("u", F.col("m.v").alias("v")))
-    for again in (lambda: likely, lambda: mates.select("u", "v").join(likely, ["u", "v"], "left_anti")):
-        more = materialize(_verified(_label(_label(again(), parts, "u", "pu"), parts, "v", "pv").where("pu <> pv").select("u", "v"), texts, similarity))
-        if not more.isEmpty():
-            edges = edges.unionByName(more)
+    def link(pairs: DataFrame) -> bool:
+        nonlocal edges, parts
+        open_ = _label(_label(pairs, parts, "u", "pu"), parts, "v", "pv").where("pu <> pv").select("u", "v")
+        more = materialize(_verified(open_, texts, similarity))
+        if found := not more.isEmpty():
+            edges = materialize(edges.unionByName(more))
             parts = materialize(connected_components(edges))
+        return found
+
+    # Members that a bucket's least text left in different groups: further leads first, each a linear step; then the
+    # likeliest mates of each member; and then all pairs of what is still in different groups.
+    rest = _mixed(first.select("key", F.col("u").alias("node")), parts)
+    for turn in range(LEADS):
+        if not rest.isEmpty() and link(_led(rest, turn)):
+            rest = _mixed(rest, parts)
+    for most in (LIKELIEST, None):
+        if rest.isEmpty():
+            break
+        mates = materialize(_mates(rest, texts, similarity, most))
+        likely = materialize(mates.groupBy("u").agg(F.min(F.struct("apart", "v")).alias("m")).select("u", F.col("m.v").alias("v")))
+        linked = link(likely)
+        if link(mates.select("u", "v").join(likely, ["u", "v"], "left_anti")) or linked:
+            rest = _mixed(rest, parts)
 
     named = _label(nodes.select("node", "h1", "h2", "copy_id"), parts, "node", "part")
     heads = materialize(named.groupBy("part").agg(F.min("copy_id").alias("class_id"), F.min("node").alias("head")))
@@ -371,10 +402,11 @@ def keep_one(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     empty table gives no rows.
     """
     rows, classes = _classes(docs, similarity, "doc_id", "text")
-    one = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h1", "h2")).alias("one")
     named = rows.join(classes.select("h1", "h2", "part"), ["h1", "h2"])
     counted = materialize(named.groupBy("part", "id", "h1", "h2").agg(F.count("*").alias("n")))
-    chosen = counted.join(counted.groupBy("part").agg(one), "part").withColumn("stays", F.expr("id <=> one.id and h1 = one.h1 and h2 = one.h2"))
+    one = counted.groupBy("part").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h1", "h2")).alias("one")).select("one.*")
+    # The chosen are found again by their own id and text, not by class: a large class fills no task.
+    chosen = counted.alias("c").join(one.alias("o"), F.expr("c.id <=> o.id and c.h1 = o.h1 and c.h2 = o.h2"), "left").select("c.*", F.col("o.none").isNotNull().alias("stays"))
     # Most rows stay, so those that go are named; rows that stand several times are looked at by themselves.
     marked = materialize(chosen.where("not stays or n > 1").select(F.col("id").alias("_id"), F.col("h1").alias("_h1"), F.col("h2").alias("_h2"), "stays"))
     h1, h2 = text_key(F.col("d.text"))

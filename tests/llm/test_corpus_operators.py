@@ -314,12 +314,12 @@ def test_models_equal_the_plain_one(spark):
     r = random.Random(13)
     trains = [["".join(r.choice("ab c\néx") for _ in range(r.randint(0, 60))) for _ in range(40)] for _ in range(2)]
     texts = trains[0][:5] + ["", "zzz", "a\x02b\x03", "é🪴 ab", "ab" * 3000]
-    models = quality.fit(spark.createDataFrame([(m, t) for m, some in enumerate(trains) for t in some], "model int, text string").repartition(3), 3)
-    df = spark.createDataFrame([(i, m, t) for i, t in enumerate(texts) for m in (0, 1)], "i int, model int, text string").coalesce(1)
+    models = quality.fit(spark.createDataFrame([(1 - m, t) for m, some in enumerate(trains) for t in some], "fold int, text string").repartition(3), 3)
+    df = spark.createDataFrame([(i, m, t) for i, t in enumerate(texts) for m in (0, 1)], "i int, fold int, text string").coalesce(1)
     plain = [plain_model(t, 3) for t in trains]
     for x in quality.score(df, models).collect():
         s = quality.BEGIN * 2 + texts[x.i] + quality.END
-        logs = [math.log(plain[x.model](s[k : k + 3])) for k in range(len(s) - 2)]
+        logs = [math.log(plain[x.fold](s[k : k + 3])) for k in range(len(s) - 2)]
         assert x.n_scored == len(logs) and x.logp == pytest.approx(sum(logs), rel=1e-9)
     assert sum(plain[0]("ab" + c) for c in "ab c\néx\x03") == pytest.approx(1, abs=0.2)
 
