@@ -4,7 +4,7 @@ For each of ``SKETCHES`` hash functions a document gives the two least of its fi
 so that repeats count), kept in text order: sketches agree for texts that agree in content and in order. Documents that
 share a sketch are candidates; they are near duplicates where the word edit distance is at most a fifth of the longer
 text. Equal texts are one class from the start. Groups are the connected components of verified pairs. Bucket mates
-meet the bucket's least text first; all pairs it leaves in different groups are compared by counts of hashed words, a
+meet the bucket's lead first; all pairs that leads leave in different groups are compared by counts of hashed words, a
 lower bound of the distance, and verified unless that bound excludes them.
 """
 
@@ -26,7 +26,7 @@ from .text_hash import mix, run_hashes, seeds, word_hashes
 
 WORDS = 5
 SKETCHES = 32
-#: Words of a text are counted in this many bins (a byte each); the counts of two texts bound their edit distance below.
+#: Words of a text, and pairs of neighbouring words, are each counted in this many bins (a byte each); the counts of two texts bound their edit distance below.
 BINS = 256
 #: Hash values of a text that are held at once, 8 bytes each.
 VALUES = 1 << 20
@@ -34,8 +34,8 @@ VALUES = 1 << 20
 MASK_BITS = 1 << 28
 #: Pairs with one lead that a task verifies together, and for which the lead's text is sent once.
 PAIRS_OF_LEAD = 256
-#: Further leads of a bucket whose members are in different groups, and likeliest mates of a member, before all pairs are compared.
-LEADS, LIKELIEST = 4, 4
+#: Lots by which leads of buckets are drawn, and likeliest mates of a member that are verified before all pairs are compared.
+LOTS, LIKELIEST = 4, 4
 #: Members of a bucket are compared in blocks of about this many, each pair of blocks on its own.
 BLOCK = 1024
 #: Up to this many ids (24 bytes each) are broadcast to pick the texts that need verification.
@@ -202,15 +202,21 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
 
 
 def _stars(rows: DataFrame) -> DataFrame:
-    """Pairs of each member of a bucket with the bucket's least node: (u, v, key), u > v. Linear in the bucket's size."""
-    leads = materialize(rows.groupBy("key").agg(F.min("node").alias("v"), F.max("node").alias("_most")).where("v < _most").drop("_most"))
-    return rows.join(leads, "key").where("node > v").select(F.col("node").alias("u"), "v", "key")
+    """Pairs (u, v, key) of each member of a bucket (node, at, key) with the bucket's lead v; linear in the bucket's size.
+
+    Leads are drawn by lot, one of ``LOTS`` by the sketch's place: the buckets of a large group then have several leads
+    in common, so a member far from one of them meets others, and pairs repeat from bucket to bucket.
+    """
+    lead = F.min_by("node", F.xxhash64("node", F.pmod("at", F.lit(LOTS)))).alias("v")
+    leads = materialize(rows.groupBy("key").agg(lead, F.count("*").alias("n")).where("n > 1").drop("n"))
+    return rows.join(leads, "key").where("node <> v").select(F.col("node").alias("u"), "v", "key")
 
 
 def word_counts(text: str) -> bytes:
-    """Numbers of a text's words by hash, in ``BINS`` bins of a byte each; counts above 255 are 255."""
-    bins = (word_hashes(text.split()) & np.uint64(BINS - 1)).astype(np.int64)
-    return np.minimum(np.bincount(bins, minlength=BINS), 255).astype(np.uint8).tobytes()
+    """Numbers of a text's words and pairs of neighbouring words by hash, each in ``BINS`` bins of a byte; counts above 255 are 255."""
+    words = word_hashes(text.split())
+    binned = [np.bincount((h & np.uint64(BINS - 1)).astype(np.int64), minlength=BINS) for h in (words, run_hashes(words, 2))]
+    return np.minimum(np.concatenate(binned), 255).astype(np.uint8).tobytes()
 
 
 def _counted(texts: DataFrame) -> DataFrame:
@@ -229,13 +235,14 @@ def _counted(texts: DataFrame) -> DataFrame:
 def possible_pairs(node: np.ndarray, part: np.ndarray, size: np.ndarray, counts: np.ndarray, side: np.ndarray, similarity: float, most: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Pairs of rows of different parts that may be near duplicates, as greater node, lesser node, least distance; with ``most``, the nearest by that distance of each row.
 
-    Rows of side 0 meet those of side 1; without a side 1 they meet each other. A word edit changes one count of each
-    text by one at most, so the counts that one text has beyond the other bound the distance below; bounding counts to
-    a byte lowers that bound only.
+    Rows of side 0 meet those of side 1; without a side 1 they meet each other. An edit changes one word and two pairs
+    of neighbours of each text, so the counts that one text has beyond the other, of words or half of those of pairs,
+    bound the distance below; bounding counts to a byte lowers that bound only.
     """
     order = np.argsort(size, kind="stable")
     node, part, size, counts, side = node[order], part[order], size[order], counts[order], side[order]
-    total = counts.sum(axis=1, dtype=np.int64)
+    single, double = np.ascontiguousarray(counts[:, :BINS]), np.ascontiguousarray(counts[:, BINS:])
+    singles, doubles = single.sum(axis=1, dtype=np.int64), double.sum(axis=1, dtype=np.int64)
     alone = not side.any()
     to = np.arange(len(node)) if alone else np.flatnonzero(side == 1)
     to_size, to_part = size[to], part[to]
@@ -246,11 +253,16 @@ def possible_pairs(node: np.ndarray, part: np.ndarray, size: np.ndarray, counts:
         j = to[low:high][to_part[low:high] != part[i]]
         if not len(j):
             continue
-        shared = np.minimum(counts[j], counts[i]).sum(axis=1, dtype=np.int64)
-        apart = np.maximum(total[j], total[i]) - shared
-        ok = apart <= ((1 - similarity) * np.maximum(size[j], size[i]) + 1e-9).astype(np.int64)
-        if ok.any():
+        limit = ((1 - similarity) * np.maximum(size[j], size[i]) + 1e-9).astype(np.int64)
+        apart = np.maximum(singles[j], singles[i]) - np.minimum(single[j], single[i]).sum(axis=1, dtype=np.int64)
+        ok = apart <= limit
+        j, apart, limit = j[ok], apart[ok], limit[ok]
+        if len(j):
+            pairs = np.maximum(doubles[j], doubles[i]) - np.minimum(double[j], double[i]).sum(axis=1, dtype=np.int64)
+            apart = np.maximum(apart, (pairs + 1) // 2)
+            ok = apart <= limit
             j, apart = j[ok], apart[ok]
+        if len(j):
             if most is not None and len(j) > most:
                 least = np.argpartition(apart, most)[:most]
                 j, apart = j[least], apart[least]
@@ -264,13 +276,6 @@ def _mixed(rows: DataFrame, parts: DataFrame) -> DataFrame:
     return materialize(members.join(mixed, "key", "left_semi"))
 
 
-def _led(rows: DataFrame, turn: int) -> DataFrame:
-    """Pairs (u, v) of a bucket's member drawn by lot, v, with all its mates of other parts; linear in the bucket's size. The lot is the same in all buckets, so buckets with like members agree."""
-    lead = F.min_by(F.struct("node", "part"), F.xxhash64("node", F.lit(turn))).alias("lead")
-    pairs = rows.join(rows.groupBy("key").agg(lead), "key").where(F.col("part") != F.col("lead.part"))
-    return pairs.select(F.col("node").alias("u"), F.col("lead.node").alias("v")).distinct()
-
-
 def _mates(rows: DataFrame, texts: DataFrame, similarity: float, most: int | None) -> DataFrame:
     """Pairs (u, v, apart) of members (key, node, part) of a bucket that are of different parts and may be near duplicates; of each block's member the ``most`` likeliest, or all."""
     blocks = materialize(rows.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")))
@@ -300,7 +305,7 @@ def _mates(rows: DataFrame, texts: DataFrame, similarity: float, most: int | Non
             if not batch.num_rows:
                 continue
             key, b0, b1, side, node, part, size = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(7))
-            counts = np.frombuffer(b"".join(batch.column(7).to_pylist()), np.uint8).reshape(-1, BINS)
+            counts = np.frombuffer(b"".join(batch.column(7).to_pylist()), np.uint8).reshape(-1, 2 * BINS)
             starts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (b0[1:] != b0[:-1]) | (b1[1:] != b1[:-1])])
             for start, stop in zip(starts, np.r_[starts[1:], len(key)]):
                 name = (key[start], b0[start], b1[start])
@@ -333,7 +338,7 @@ def _classes(docs: DataFrame, similarity: float, id_col: str, text_col: str) ->
     nodes = materialize(row_numbers(classes, ["copy_id", "h1", "h2"], "node"))
 
     keyed = nodes.where("sketch is not null").select("node", F.posexplode("sketch").alias("at", "key"))
-    first = materialize(_stars(keyed.select("node", "key")))
+    first = materialize(_stars(keyed))
     pairs = first.groupBy("u", "v").agg(F.count("*").alias("shared"))
     best = materialize(pairs.withColumn("_r", F.row_number().over(Window.partitionBy("u").orderBy(F.desc("shared"), "v"))))
 
@@ -361,19 +366,17 @@ def _classes(docs: DataFrame, similarity: float, id_col: str, text_col: str) ->
             parts = materialize(connected_components(edges))
         return found
 
-    # Members that a bucket's least text left in different groups: further leads first, each a linear step; then the
-    # likeliest mates of each member; and then all pairs of what is still in different groups.
+    # Members that their leads left in different groups meet each other: the likeliest mates of each, then all pairs of
+    # what is still in different groups.
     rest = _mixed(first.select("key", F.col("u").alias("node")), parts)
-    for turn in range(LEADS):
-        if not rest.isEmpty() and link(_led(rest, turn)):
-            rest = _mixed(rest, parts)
     for most in (LIKELIEST, None):
         if rest.isEmpty():
             break
         mates = materialize(_mates(rest, texts, similarity, most))
         likely = materialize(mates.groupBy("u").agg(F.min(F.struct("apart", "v")).alias("m")).select("u", F.col("m.v").alias("v")))
         linked = link(likely)
-        if link(mates.select("u", "v").join(likely, ["u", "v"], "left_anti")) or linked:
+        linked = link(mates.select("u", "v").join(likely, ["u", "v"], "left_anti")) or linked
+        if linked and most is not None:
             rest = _mixed(rest, parts)
 
     named = _label(nodes.select("node", "h1", "h2", "copy_id"), parts, "node", "part")
