@@ -34,10 +34,10 @@ VALUES = 1 << 20
 MASK_BITS = 1 << 28
 #: Pairs with one lead that a task verifies together, and for which the lead's text is sent once.
 PAIRS_OF_LEAD = 256
-#: Lots by which leads of buckets are drawn, and likeliest mates of a member that are verified before all pairs are compared.
-LOTS, LIKELIEST = 4, 4
-#: Members of a bucket are compared in blocks of about this many, each pair of blocks on its own.
-BLOCK = 1024
+#: Lots by which leads of buckets are drawn.
+LOTS = 4
+#: Members of a bucket are compared in blocks of about this many members and bytes of text, each pair of blocks on its own.
+BLOCK, BLOCK_BYTES = 1024, 16 << 20
 #: Up to this many ids (24 bytes each) are broadcast to pick the texts that need verification.
 BROADCAST_IDS = 1_000_000
 _SEEDS = seeds(SKETCHES, 3000)[:, None]
@@ -219,21 +219,8 @@ def word_counts(text: str) -> bytes:
     return np.minimum(np.concatenate(binned), 255).astype(np.uint8).tobytes()
 
 
-def _counted(texts: DataFrame) -> DataFrame:
-    """node, size (words), counts of every text."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            size = pa.array([len(t.split()) for t in texts], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), size, pa.array([word_counts(t) for t in texts], pa.binary())], ["node", "size", "counts"])
-        release_memory()
-
-    return in_small_batches(texts.select("node", "text")).mapInArrow(run, "node long, size long, counts binary")
-
-
-def possible_pairs(node: np.ndarray, part: np.ndarray, size: np.ndarray, counts: np.ndarray, side: np.ndarray, similarity: float, most: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Pairs of rows of different parts that may be near duplicates, as greater node, lesser node, least distance; with ``most``, the nearest by that distance of each row.
+def possible_pairs(node: np.ndarray, part: np.ndarray, size: np.ndarray, counts: np.ndarray, side: np.ndarray, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Pairs of rows of different parts that may be near duplicates, as greater node, lesser node, least distance.
 
     Rows of side 0 meet those of side 1; without a side 1 they meet each other. An edit changes one word and two pairs
     of neighbours of each text, so the counts that one text has beyond the other, of words or half of those of pairs,
@@ -263,9 +250,6 @@ def possible_pairs(node: np.ndarray, part: np.ndarray, size: np.ndarray, counts:
             ok = apart <= limit
             j, apart = j[ok], apart[ok]
         if len(j):
-            if most is not None and len(j) > most:
-                least = np.argpartition(apart, most)[:most]
-                j, apart = j[least], apart[least]
             yield np.maximum(node[j], node[i]), np.minimum(node[j], node[i]), apart
 
 
@@ -276,52 +260,70 @@ def _mixed(rows: DataFrame, parts: DataFrame) -> DataFrame:
     return materialize(members.join(mixed, "key", "left_semi"))
 
 
-def _mates(rows: DataFrame, texts: DataFrame, similarity: float, most: int | None) -> DataFrame:
-    """Pairs (u, v, apart) of members (key, node, part) of a bucket that are of different parts and may be near duplicates; of each block's member the ``most`` likeliest, or all."""
-    blocks = materialize(rows.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")))
-    rows = materialize(rows.join(blocks, "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")))
-    counted = materialize(_counted(texts.join(rows.select("node").distinct(), "node")))
+def link_members(part: list[int], side: list[int], keys: list[list[int]], texts: list[str], key: int, similarity: float) -> Iterator[tuple[int, int]]:
+    """Places (i, j) of near duplicates that join different parts, likeliest pair first; as many as joins, at most.
+
+    Members of side 0 meet those of side 1, or each other if there is none. A pair with several buckets in common is
+    compared in that of the least key alone.
+    """
+    n = len(part)
+    words = [t.split() for t in texts]
+    counts = np.frombuffer(b"".join(map(word_counts, texts)), np.uint8).reshape(n, -1)
+    found = list(possible_pairs(np.arange(n), np.array(part), np.array([len(w) for w in words]), counts, np.array(side), similarity))
+    if not found:
+        return
+    one, two, apart = (np.concatenate([f[k] for f in found]) for k in range(3))
+    head: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while (up := head.get(x, x)) != x:
+            head[x] = head.get(up, up)
+            x = up
+        return x
+
+    held = [frozenset(k) for k in keys]
+    for at in np.argsort(apart, kind="stable").tolist():
+        i, j = int(one[at]), int(two[at])
+        a, b = top(part[i]), top(part[j])
+        if a != b and key == min(held[i] & held[j]) and near(words[i], words[j], similarity):
+            head[a] = b
+            yield i, j
+
+
+def _linked(rows: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """Edges (u, v) that join the parts of a bucket's members (key, node, part), all pairs compared.
+
+    A bucket's members are dealt into blocks, bounded in number and in bytes, and each pair of blocks is a task's work:
+    counts of words exclude most pairs, and the others are verified there and then, so only edges leave the task.
+    """
+    sized = materialize(rows.join(texts.select("node", F.octet_length("text").alias("bytes")), "node"))
+    blocks = sized.groupBy("key").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("bytes") / BLOCK_BYTES)).cast("int").alias("blocks"))
+    keys = rows.groupBy("node").agg(F.collect_list("key").alias("keys"))
+    dealt = sized.join(blocks, "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     # Each member goes to the pairs of its own block with every block of the bucket.
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("key", F.least("own", "other").alias("b0"), F.greatest("own", "other").alias("b1"), (F.col("own") > F.col("other")).cast("int").alias("side"), "node", "part")
-    rows = rows.join(counted, "node").select("key", "b0", "b1", "side", "node", "part", "size", "counts")
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("key", F.least("own", "other").alias("b0"), F.greatest("own", "other").alias("b1"), (F.col("own") > F.col("other")).cast("int").alias("side"), "node", "part")
+    dealt = dealt.join(texts.join(keys, "node"), "node").select("key", "b0", "b1", "side", "node", "part", "keys", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def pairs() -> Iterator[pa.RecordBatch]:
-            node, part, size, side, counts = (np.concatenate([h[k] for h in held]) for k in range(5))
-            for u, v, apart in possible_pairs(node, part, size, counts, side, similarity, most):
-                found.append((u, v, apart))
-                if len(found) >= 1024:
-                    yield flush()
-
-        def flush() -> pa.RecordBatch:
-            columns = [np.concatenate([f[k] for f in found]) for k in range(3)]
-            found.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["u", "v", "apart"])
-
-        found: list = []
+        def edges() -> pa.RecordBatch:
+            side, node, part, keys, texts = zip(*held)
+            pairs = [(node[i], node[j]) for i, j in link_members(part, side, keys, texts, group[0], similarity)]
+            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in range(2)], ["u", "v"])
+
         group, held = None, []
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            key, b0, b1, side, node, part, size = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(7))
-            counts = np.frombuffer(b"".join(batch.column(7).to_pylist()), np.uint8).reshape(-1, 2 * BINS)
-            starts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (b0[1:] != b0[:-1]) | (b1[1:] != b1[:-1])])
-            for start, stop in zip(starts, np.r_[starts[1:], len(key)]):
-                name = (key[start], b0[start], b1[start])
-                if name != group:
-                    if held:
-                        yield from pairs()
-                    group, held = name, []
-                held.append((node[start:stop], part[start:stop], size[start:stop], side[start:stop], counts[start:stop]))
-        if held:
-            yield from pairs()
-        if found:
-            yield flush()
+            for key, b0, b1, *member in zip(*(c.to_pylist() for c in batch.columns)):
+                if (key, b0, b1) != group:
+                    if len(held) > 1:
+                        yield edges()
+                    group, held = (key, b0, b1), []
+                held.append(member)
+        if len(held) > 1:
+            yield edges()
         release_memory()
 
-    dealt = rows.repartition(partitions(rows), "key", "b0", "b1").sortWithinPartitions("key", "b0", "b1")
-    return in_small_batches(dealt).mapInArrow(run, "u long, v long, apart long").groupBy("u", "v").agg(F.min("apart").alias("apart"))
+    return in_small_batches(dealt.repartition(partitions(rows), "key", "b0", "b1").sortWithinPartitions("key", "b0", "b1")).mapInArrow(run, "u long, v long")
 
 
 def _label(rows: DataFrame, parts: DataFrame, node: str, name: str) -> DataFrame:
@@ -357,27 +359,11 @@ def _classes(docs: DataFrame, similarity: float, id_col: str, text_col: str) ->
     edges = materialize(edges.unionByName(_verified(open_pairs, texts, similarity)))
     parts = materialize(connected_components(edges))
 
-    def link(pairs: DataFrame) -> bool:
-        nonlocal edges, parts
-        open_ = _label(_label(pairs, parts, "u", "pu"), parts, "v", "pv").where("pu <> pv").select("u", "v")
-        more = materialize(_verified(open_, texts, similarity))
-        if found := not more.isEmpty():
-            edges = materialize(edges.unionByName(more))
-            parts = materialize(connected_components(edges))
-        return found
-
-    # Members that their leads left in different groups meet each other: the likeliest mates of each, then all pairs of
-    # what is still in different groups.
+    # Members that their leads left in different groups are compared among themselves.
     rest = _mixed(first.select("key", F.col("u").alias("node")), parts)
-    for most in (LIKELIEST, None):
-        if rest.isEmpty():
-            break
-        mates = materialize(_mates(rest, texts, similarity, most))
-        likely = materialize(mates.groupBy("u").agg(F.min(F.struct("apart", "v")).alias("m")).select("u", F.col("m.v").alias("v")))
-        linked = link(likely)
-        linked = link(mates.select("u", "v").join(likely, ["u", "v"], "left_anti")) or linked
-        if linked and most is not None:
-            rest = _mixed(rest, parts)
+    if not rest.isEmpty():
+        edges = materialize(edges.unionByName(_linked(rest, texts, similarity)))
+        parts = materialize(connected_components(edges))
 
     named = _label(nodes.select("node", "h1", "h2", "copy_id"), parts, "node", "part")
     heads = materialize(named.groupBy("part").agg(F.min("copy_id").alias("class_id"), F.min("node").alias("head")))
