@@ -110,14 +110,38 @@ def canonical_json_text(value: pd.Series) -> pd.Series:
     return value.map(lambda s: None if s is None else canonical_json(json.loads(s)))
 
 
+def property_map(json_text: Column) -> Column:
+    """The properties of a note as a map from key to JSON value; whatever characters a key has, it is no path."""
+    return F.from_json(json_text, "map<string,variant>")
+
+
 def explode_properties(notes: DataFrame, id_col: str, json_col: str) -> DataFrame:
-    """A row for each property: id, key, key_hex, value (JSON), kind, physical_name; kind is null for null and []."""
-    keyed = notes.select(id_col, F.col(json_col).alias("json"), F.explode(F.json_object_keys(json_col)).alias("key"))
-    value = F.to_json(F.variant_get(F.parse_json("json"), F.concat(F.lit("$['"), F.col("key"), F.lit("']")), "variant"))
-    typed = keyed.select(id_col, "key", hex_key(F.col("key")).alias("key_hex"), value.alias("value"))
+    """A row for each property: id, key, key_hex, value (JSON), kind, physical_name; kind is null for null and []. A note without properties has no row."""
+    keyed = notes.select(id_col, F.explode(property_map(F.col(json_col))))
+    typed = keyed.select(id_col, "key", hex_key(F.col("key")).alias("key_hex"), F.to_json("value").alias("value"))
     return typed.withColumn("kind", property_kind(F.col("value"))).withColumn("physical_name", physical_name(F.col("key"), F.col("kind")))
 
 
+def typed_columns(notes: DataFrame, json_col: str, fields: list[tuple[str, str, str]]) -> DataFrame:
+    """``notes`` with one typed column for each registered field (key, kind, physical name), and the three key arrays.
+
+    Row by row, without a shuffle; a note without a property, or without any, has null there and stays.
+    """
+    properties = notes.withColumn("_map", F.coalesce(property_map(F.col(json_col)), F.create_map().cast("map<string,variant>")))
+    texts = properties.withColumn("_json", F.transform_values("_map", lambda _, v: F.to_json(v)))
+    keys = {key for key, _, _ in fields}
+    kinds = texts.withColumn("_kinds", F.struct(*[property_kind(F.col("_json")[key]).alias(key.encode().hex() or "_") for key in sorted(keys)])) if keys else texts
+    kind_of = lambda key: F.col("_kinds")[key.encode().hex() or "_"]
+    typed = {name: F.when(kind_of(key) == kind, _value(F.col("_json")[key], kind)) for key, kind, name in fields}
+    named = lambda test: F.sort_array(F.transform(F.map_keys(F.map_filter("_json", test)), hex_key))
+    arrays = {
+        "property_keys": named(lambda k, v: F.lit(True)),
+        "null_property_keys": named(lambda k, v: v == "null"),
+        "empty_list_property_keys": named(lambda k, v: v == "[]"),
+    }
+    return kinds.withColumns(typed | arrays).drop("_map", "_json", "_kinds")
+
+
 def registry(properties: DataFrame) -> DataFrame:
     """Distinct (key, kind) with their physical names; two keys under one name are an error."""
     found = properties.where("kind is not null").select("key", "kind", "physical_name").distinct()
@@ -135,19 +159,25 @@ def key_arrays(properties: DataFrame, id_col: str) -> DataFrame:
     )
 
 
+def _value(value_json: Column, kind: str) -> Column:
+    """A property's value by its kind, from its JSON."""
+    v = F.try_parse_json(value_json)
+    text = F.try_variant_get(v, "$", "string")
+    if kind == "date":
+        return date_value(text)
+    if kind == "dateArray":
+        return F.transform(F.from_json(value_json, "array<string>"), date_value)
+    if kind in ("json", "text"):
+        return value_json if kind == "json" else text
+    if kind.endswith("Array"):
+        return F.from_json(value_json, KIND_TYPE[kind].simpleString())
+    return F.try_variant_get(v, "$", KIND_TYPE[kind].simpleString())
+
+
 def wide_properties(properties: DataFrame, fields: list[tuple[str, str, str]], id_col: str) -> DataFrame:
-    """One typed column for each registered field (key, kind, physical name): one pass, one shuffle."""
-
-    def value(kind: str) -> Column:
-        v = F.col("value")
-        text = F.variant_get(F.parse_json(v), F.lit("$"), "string")
-        if kind == "date":
-            return date_value(text)
-        if kind == "dateArray":
-            return F.transform(F.from_json(v, "array<string>"), date_value)
-        return v if kind == "json" else text if kind == "text" else F.from_json(v, KIND_TYPE[kind].simpleString()) if kind.endswith("Array") else F.variant_get(F.parse_json(v), F.lit("$"), KIND_TYPE[kind].simpleString())
-
-    picks = [F.max_by(F.when((F.col("key") == key) & (F.col("kind") == kind), value(kind)), F.when((F.col("key") == key) & (F.col("kind") == kind), 1)).alias(name) for key, kind, name in fields]
+    """One typed column for each registered field (key, kind, physical name), from exploded properties: one pass, one shuffle. From whole notes, ``typed_columns`` needs none."""
+    of = lambda key, kind: (F.col("key") == key) & (F.col("kind") == kind)
+    picks = [F.max_by(F.when(of(key, kind), _value(F.col("value"), kind)), F.when(of(key, kind), 1)).alias(name) for key, kind, name in fields]
     return properties.groupBy(id_col).agg(*picks)
 
 

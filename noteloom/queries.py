@@ -431,8 +431,8 @@ _WIDE = [("k", "number", "k_n"), ("k", "text", "k_t"), ("flag", "boolean", "flag
 
 
 def _wide(spark: SparkSession, d: str) -> DataFrame:
-    props = P.explode_properties(_front(spark, d), "event_id", "json")
-    return P.wide_properties(props, _WIDE, "event_id").join(P.key_arrays(props, "event_id"), "event_id")
+    """Every event, with those without a property too."""
+    return P.typed_columns(_front(spark, d), "json", _WIDE)
 
 
 def _filter_query(name: str, f: P.PropertyFilter, sql: str) -> None:
