@@ -18,6 +18,7 @@ from .text import hex_key
 
 DATE_SHAPE = r"^\d{4}-\d{2}-\d{2}(T([01]\d|2[0-3]):[0-5]\d(:[0-5]\d(\.\d+)?)?(Z|[+-]([01]\d|2[0-3]):[0-5]\d))?$"
 SAFE_INTEGER = 2**53 - 1
+KEY_ARRAYS = ("property_keys", "null_property_keys", "empty_list_property_keys")
 
 
 def date_value(text: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Tags that keep a note, and notes under them, out.
@@ -122,3 +122,11 @@ def passage_label(file: Column, heading: Column, first_line: Column, last_line:
 def words(text: Column) -> Column:
     """Search terms: runs of letters and digits in lower case."""
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+
+
+def line_spans(passages: DataFrame, note: str, index: str, text: str) -> DataFrame:
+    """note, index, start_offset, start_line and end_line of consecutive passages: running sums of lengths and newlines."""
+    before = Window.partitionBy(note).orderBy(index).rowsBetween(Window.unboundedPreceding, -1)
+    sized = passages.select(note, index, F.length(text).alias("n"), newlines(F.col(text)).alias("nl"))
+    so_far = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0))
+    return sized.select(note, index, so_far("n").alias("start_offset"), so_far("nl").alias("start_line"), (so_far("nl") + F.col("nl")).alias("end_line"))

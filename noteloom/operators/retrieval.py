@@ -159,3 +159,8 @@ def group_hits(hits: DataFrame, note: str, passage: str) -> DataFrame:
     ordered = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), F.col(passage).alias("p"))))
     once = F.when(F.count(passage) == F.count_distinct(passage), ordered).otherwise(F.raise_error(F.lit("a passage appears twice")))
     return hits.groupBy(note).agg(F.max("score").alias("score"), F.transform(once, lambda x: x["p"]).alias("passages"))
+
+
+def candidate_count(passages: DataFrame, note: str) -> DataFrame:
+    """One row: candidate passages and the notes that they are of."""
+    return passages.agg(F.count("*").alias("candidates"), F.count_distinct(note).alias("notes"))

@@ -7,14 +7,19 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.properties import explode_properties, key_arrays, registry
+from ..functions.properties import KEY_ARRAYS, explode_properties, registry, typed_columns
 from ..functions.text import object_id, passage_id, snapshot_id, tag_ancestors
+from ..lineage import cut
 from ..operators.admission import PathPolicy, admission
 from ..operators.chunking import chunk_notes
 from ..operators.embedding import Embedder, embed_late, embed_notes, embed_passages
 from ..sources.notes import parse_notes, read_markdown
+from ..schema import PASSAGE_SCHEMA
 from ..sources.store import SnapshotStore
 
+#: Columns of a passage that depend on its note's body alone.
+PASSAGE_COLUMNS = (*PASSAGE_SCHEMA.names, "vector")
+
 
 def index_actions(current: DataFrame, manifest: DataFrame, fingerprint: str) -> DataFrame:
     """Adds ``action``: ``noop`` for the same snapshot, ``metadata`` for the same body, else ``embed``.
@@ -63,26 +68,49 @@ class IndexResult:
     rejected: DataFrame
 
 
-def build_index(spark: SparkSession, root: str, embedder: Embedder, policy: PathPolicy = PathPolicy(), vault: str = "vault", generation: int = 1, late: bool = False) -> IndexResult:
-    """Plan of a full index: admitted notes and their passages with vectors, and the notes that were kept out with reasons."""
+def _admitted(spark: SparkSession, root: str, policy: PathPolicy, vault: str, generation: int) -> tuple[DataFrame, DataFrame]:
+    """Admitted notes with their identities, and all notes with the admission's verdict."""
     judged = admission(parse_notes(read_markdown(spark, root)), policy)
     admitted = judged.where("admitted").withColumn("body_hash", F.sha2("canonical", 256))
     snapshot = snapshot_id(F.col("body_hash"), F.col("properties_json"), F.col("tags"), F.col("path"), F.lit(generation))
-    notes = admitted.withColumns({"note_id": F.sha2(F.concat(F.lit(vault), F.lit("\0"), F.col("path")), 256), "snapshot_id": snapshot, "tag_ancestors": tag_ancestors(F.col("tags"))})
-    keys = key_arrays(explode_properties(notes, "note_id", "properties_json"), "note_id")
-    vectors = embed_notes(notes, "note_id", "canonical", embedder)
-    whole = notes.join(vectors, "note_id").join(keys, "note_id", "left")
+    return admitted.withColumns({"note_id": F.sha2(F.concat(F.lit(vault), F.lit("\0"), F.col("path")), 256), "snapshot_id": snapshot, "tag_ancestors": tag_ancestors(F.col("tags"))}), judged
+
+
+def _note_rows(notes: DataFrame, fields: list[tuple[str, str, str]], scope: dict) -> DataFrame:
+    """Stored notes: identity, vector, tags, key arrays and a typed column for each registered property."""
+    held = typed_columns(notes, "properties_json", fields).withColumns(scope)
+    own = ["note_id", "snapshot_id", "path", "title", "body_hash", "mode", "vector", "properties_json", *KEY_ARRAYS, "tags", "tag_ancestors", *scope, *(f[2] for f in fields)]
+    return held.select(own)
+
+
+def _passage_rows(passages: DataFrame, notes: DataFrame, fields: list[tuple[str, str, str]], vault: str) -> DataFrame:
+    """Stored passages: their own columns with identity, tags and properties of their note, so a filtered search reads one table."""
+    of_note = ["note_id", "snapshot_id", "path", "title", "tags", "tag_ancestors", *KEY_ARRAYS, "vault_id", "generation", "fingerprint", *(f[2] for f in fields)]
+    joined = passages.select("note_id", "frontmatter_lines", *[c for c in PASSAGE_COLUMNS if c != "note_id"]).join(notes.select(of_note), "note_id")
+    return joined.withColumn("object_id", object_id(F.concat_ws("\0", F.lit(vault), F.lit("passage"), "snapshot_id", F.concat_ws("|", "note_id", "passage_id"))))
+
+
+def _embedded(notes: DataFrame, embedder: Embedder, late: bool) -> tuple[DataFrame, DataFrame]:
+    """Notes with their vectors, and their passages with vectors and the notes' frontmatter_lines."""
+    whole = notes.join(embed_notes(notes, "note_id", "canonical", embedder), "note_id")
     passages = chunk_notes(notes, "note_id", "canonical", embedder.context_limit, embedder.count, embedder.encode if late else None, late)
-    if late:
-        held = passages.join(embed_late(notes, passages, "note_id", "canonical", embedder), ["note_id", "passage_index"])
-    else:
-        held = embed_passages(passages, embedder)
-    own = notes.select("note_id", "snapshot_id", "path", "title", "frontmatter_lines")
+    held = passages.join(embed_late(notes, passages, "note_id", "canonical", embedder), ["note_id", "passage_index"]) if late else embed_passages(passages, embedder)
+    return whole, held.join(notes.select("note_id", "frontmatter_lines"), "note_id")
+
+
+def _fields(notes: DataFrame) -> list[tuple[str, str, str]]:
+    """Registered properties: a row for each key and kind, as many as the columns they become."""
+    return sorted((r["key"], r["kind"], r["physical_name"]) for r in property_registry(notes).collect())
+
+
+def build_index(spark: SparkSession, root: str, embedder: Embedder, policy: PathPolicy = PathPolicy(), vault: str = "vault", generation: int = 1, late: bool = False) -> IndexResult:
+    """Plan of a full index: admitted notes and their passages with vectors, and the notes that were kept out with reasons."""
+    notes, judged = _admitted(spark, root, policy, vault, generation)
     scope = {"vault_id": F.lit(vault), "generation": F.lit(generation), "fingerprint": F.lit(embedder.fingerprint)}
-    full = held.join(own, "note_id").withColumns(scope | {"object_id": object_id(F.concat_ws("\0", F.lit(vault), F.lit("passage"), "snapshot_id", F.concat_ws("|", "note_id", "passage_id")))})
-    return IndexResult(
-        whole.select("note_id", "snapshot_id", "path", "title", "body_hash", "mode", "vector", "properties_json", "property_keys", "null_property_keys", "empty_list_property_keys", "tags", "tag_ancestors").withColumns(scope), full, judged.where("not admitted").select("path", "reason", "deferred")
-    )
+    fields = _fields(notes)
+    whole, passages = _embedded(notes, embedder, late)
+    rows = _note_rows(whole, fields, scope)
+    return IndexResult(rows, _passage_rows(passages, rows.drop("vector"), fields, vault), judged.where("not admitted").select("path", "reason", "deferred"))
 
 
 def index_vault(spark: SparkSession, root: str, store: SnapshotStore, embedder: Embedder, **options) -> IndexResult:
@@ -92,6 +120,34 @@ def index_vault(spark: SparkSession, root: str, store: SnapshotStore, embedder:
     return result
 
 
+def reconcile(spark: SparkSession, root: str, store: SnapshotStore, embedder: Embedder, policy: PathPolicy = PathPolicy(), vault: str = "vault", generation: int = 1, late: bool = False) -> dict[str, int]:
+    """Bring a served generation up to date with a folder: number of notes by action.
+
+    Notes whose snapshot is served are left alone; those whose body is, but not their path, tags or properties, keep
+    their vectors and passages under the new snapshot; others are embedded; notes that are no longer admitted go. Only
+    changed notes are written. An unknown generation is built in whole.
+    """
+    if generation not in store.generations():
+        index_vault(spark, root, store, embedder, policy=policy, vault=vault, generation=generation, late=late)
+        return {"embed": store.read("notes", generation).count()}
+    notes, _ = _admitted(spark, root, policy, vault, generation)
+    served, old_passages = store.read("notes", generation), store.read("passages", generation)
+    acted = cut(index_actions(notes, served.select("note_id", "snapshot_id", "body_hash", "fingerprint", F.lit(True).alias("committed")), embedder.fingerprint))
+    purge = served.select("note_id").join(acted.select("note_id"), "note_id", "left_anti")
+    counts = {r["action"]: r["n"] for r in acted.groupBy("action").agg(F.count("*").alias("n")).collect()} | {"purge": purge.count()}
+    fields = _fields(acted)
+    scope = {"vault_id": F.lit(vault), "generation": F.lit(generation), "fingerprint": F.lit(embedder.fingerprint)}
+    moved = acted.where("action = 'metadata'")
+    new_rows, new_passages = _embedded(acted.where("action = 'embed'"), embedder, late)
+    kept_rows = moved.join(served.select("note_id", "mode", "vector"), "note_id")
+    kept_passages = old_passages.select(*PASSAGE_COLUMNS).join(moved.select("note_id", "frontmatter_lines"), "note_id")
+    rows = _note_rows(new_rows.unionByName(kept_rows), fields, scope)
+    passages = _passage_rows(new_passages.select("frontmatter_lines", *PASSAGE_COLUMNS).unionByName(kept_passages.select("frontmatter_lines", *PASSAGE_COLUMNS)), rows.drop("vector"), fields, vault)
+    if counts.get("embed") or counts.get("metadata") or counts["purge"]:
+        store.upsert(generation, rows, passages, purge)
+    return counts
+
+
 def property_registry(notes: DataFrame) -> DataFrame:
     """Registry of all properties of the notes: (key, kind, physical_name)."""
     return registry(explode_properties(notes, "note_id", "properties_json"))

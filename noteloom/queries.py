@@ -253,8 +253,7 @@ def hybrid_grouped_notes(spark: SparkSession, d: str) -> DataFrame:
 
 @query("with hits as (select conv_id || ':' || turn as passage_id from conversations) select count(*) as candidates, count(distinct split_part(passage_id, ':', 1)) as notes from hits")
 def candidate_count(spark: SparkSession, d: str) -> DataFrame:
-    grouped = _passages(spark, d).groupBy("note_id").agg(F.collect_list("passage_id").alias("passages"))
-    return grouped.agg(F.sum(F.size("passages")).alias("candidates"), F.count("*").alias("notes"))
+    return R.candidate_count(_passages(spark, d), "note_id")
 
 
 # --- Passage tables.
@@ -262,13 +261,12 @@ def candidate_count(spark: SparkSession, d: str) -> DataFrame:
 
 @query("select turn as passage_index, role as heading, text as body from conversations where conv_id = 3")
 def passage_list_ordered(spark: SparkSession, d: str) -> DataFrame:
-    return _t(spark, d, "conversations").where("conv_id = 3").orderBy("turn").select(F.col("turn").alias("passage_index"), F.col("role").alias("heading"), F.col("text").alias("body"))
+    return S.ordered_passages(_t(spark, d, "conversations"), {"conv_id": 3}, "turn").select(F.col("turn").alias("passage_index"), F.col("role").alias("heading"), F.col("text").alias("body"))
 
 
 @query("select conv_id, turn, text from conversations where conv_id >= 0 order by conv_id, turn limit 64 offset 64")
 def passage_page(spark: SparkSession, d: str) -> DataFrame:
-    ordered = _t(spark, d, "conversations").select("conv_id", "turn", "text")
-    return ordered.orderBy("conv_id", "turn").offset(64).limit(64)
+    return S.page(_t(spark, d, "conversations").select("conv_id", "turn", "text"), ["conv_id", "turn"], 1)
 
 
 @query("select conv_id, count(*) as n, min(turn) = 0 and max(turn) = count(*) - 1 and count(distinct turn) = count(*) as contiguous from conversations group by conv_id")
@@ -281,10 +279,7 @@ with lens as (select conv_id, turn, length(text) as n, length(text) - length(rep
 select conv_id, turn, coalesce(sum(n) over w, 0)::bigint as start_offset, coalesce(sum(nl) over w, 0)::bigint as start_line, (coalesce(sum(nl) over w, 0) + nl)::bigint as end_line
 from lens window w as (partition by conv_id order by turn rows between unbounded preceding and 1 preceding)""")
 def line_numbers(spark: SparkSession, d: str) -> DataFrame:
-    before = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
-    c = _t(spark, d, "conversations").select("conv_id", "turn", F.length("text").alias("n"), X.newlines(F.col("text")).alias("nl"))
-    start = F.coalesce(F.sum("nl").over(before), F.lit(0))
-    return c.select("conv_id", "turn", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start_offset"), start.alias("start_line"), (start + F.col("nl")).alias("end_line"))
+    return X.line_spans(_t(spark, d, "conversations"), "conv_id", "turn", "text")
 
 
 @query("""
@@ -520,8 +515,8 @@ def current_results_semi(spark: SparkSession, d: str) -> DataFrame:
 
 @query("select doc_id as note_id from documents where doc_id not in (select doc_id from labels where toxic = 1)")
 def purge_anti(spark: SparkSession, d: str) -> DataFrame:
-    purges = _t(spark, d, "labels").where("toxic = 1").select(F.col("doc_id").alias("note_id")).distinct()
-    return _t(spark, d, "documents").select(F.col("doc_id").alias("note_id")).join(purges, "note_id", "left_anti")
+    purges = _t(spark, d, "labels").where("toxic = 1").select(F.col("doc_id").alias("note_id"))
+    return C.purged(_t(spark, d, "documents").select(F.col("doc_id").alias("note_id")), purges, "note_id")
 
 
 @query("select 'doc-' || doc_id || '.md' as path, doc_id % 4 = 0 as forget from documents where doc_id % 2 = 0")
@@ -570,6 +565,31 @@ def latest_revision_tombstones(spark: SparkSession, d: str) -> DataFrame:
     return C.live_rows(rows, "user_id", "event_id", F.col("event_type") == "error")
 
 
+@query("""
+with p as (select doc_id, doc_id % 7 as k from documents)
+select case k when 0 then 'twice-' when 2 then 'once-' when 3 then 'doc-' when 4 then 'doc-' when 6 then 'swapped-' else 'doc-' end || doc_id || '.md' as path,
+  case when k = 4 then -doc_id else doc_id end as note_id from p where k <> 1
+union all select 'new-' || doc_id || '.md', -doc_id from p where k = 3""")
+def path_changes(spark: SparkSession, d: str) -> DataFrame:
+    """Paths after renames of renames, deletions of renamed notes, edits, new notes, notes replaced and names exchanged."""
+    docs = _t(spark, d, "documents").select("doc_id", (F.col("doc_id") % 7).alias("k"))
+    name = lambda prefix: F.concat(F.lit(f"{prefix}-"), F.col("doc_id").cast("string"), F.lit(".md"))
+    steps = {
+        0: [("rename", "once", "doc"), ("rename", "twice", "once")],
+        1: [("rename", "once", "doc"), ("delete", "once", "")],
+        2: [("rename", "once", "doc"), ("modify", "once", "")],
+        3: [("create", "new", ""), ("modify", "new", "")],
+        4: [("delete", "doc", ""), ("create", "doc", "")],
+        6: [("rename", "x", "doc"), ("rename", "swapped", "x"), ("create", "x", ""), ("delete", "x", "")],
+    }
+    changes = None
+    for k, some in steps.items():
+        for revision, (op, path, old) in enumerate(some):
+            one = docs.where(F.col("k") == k).select(name(path).alias("path"), F.lit(op).alias("op"), (name(old) if old else F.lit(None).cast("string")).alias("old_path"), F.lit(revision).alias("revision"), (-F.col("doc_id")).alias("note_id"))
+            changes = one if changes is None else changes.unionByName(one)
+    return C.apply_changes(docs.select(name("doc").alias("path"), F.col("doc_id").alias("note_id")), changes)
+
+
 @query("select e.event_id, e.user_id from events e where e.event_id >= (select max(event_id) - 500 from events s where s.user_id = e.user_id)")
 def fenced_work(spark: SparkSession, d: str) -> DataFrame:
     events = _t(spark, d, "events").select("event_id", "user_id")

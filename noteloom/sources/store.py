@@ -1,18 +1,28 @@
-"""Versioned note and passage tables as Parquet, with a manifest that names what is served.
+"""Versioned note and passage tables as Parquet, with manifests that name what is served.
 
-Data are written under ``<kind>/generation=<n>/commit=<id>`` first; a small manifest file is then swapped in, so readers
-see either the old commit or the new one. A lost job leaves at most an unnamed folder behind.
+A generation is a list of commits: the first holds its tables, later ones the notes that changed, and the ids of those
+that they replace or drop. Data are written first; a new manifest is then put in place under the next number, which
+fails if another writer was faster. Readers see a whole manifest or the one before. A lost job leaves at most unnamed
+folders behind.
 """
 
 from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Callable
+from functools import reduce
+from operator import and_
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Commits of a generation before it is rewritten as one, manifests kept for slow readers, and tries of a writer among others.
+MOST_COMMITS, KEPT_MANIFESTS, ATTEMPTS = 16, 4, 20
+
+
 class SnapshotError(RuntimeError):
     """Stored rows do not match what was to be stored."""
 
@@ -28,57 +38,107 @@ class SnapshotStore:
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
-    def _manifest(self) -> dict:
-        at = self._path(f"{self.root}/manifest.json")
-        if not self._fs.exists(at):
-            return {}
-        return json.loads("\n".join(r.value for r in self.spark.read.text(at.toString()).collect()))
-
-    def _swap(self, manifest: dict) -> None:
-        """Write beside the manifest, then rename over it."""
-        new, at = self._path(f"{self.root}/manifest.{uuid.uuid4().hex}"), self._path(f"{self.root}/manifest.json")
-        out = self._fs.create(new, True)
-        out.write(bytearray(json.dumps(manifest, sort_keys=True).encode()))
-        out.close()
-        if not self._fs.rename(new, at):
-            self._fs.delete(at, False)
-            if not self._fs.rename(new, at):
-                raise SnapshotError("the manifest could not be swapped")
+    def _versions(self) -> list[int]:
+        root = self._path(self.root)
+        if not self._fs.exists(root):
+            return []
+        names = (f.getPath().getName() for f in self._fs.listStatus(root))
+        return sorted(int(n[9:-5]) for n in names if n.startswith("manifest-") and n.endswith(".json"))
+
+    def _manifest(self) -> tuple[int, dict]:
+        """Number of the newest manifest and, by generation, its commits, oldest first."""
+        versions = self._versions()
+        if not versions:
+            return 0, {}
+        text = self.spark.read.text(f"{self.root}/manifest-{versions[-1]}.json", wholetext=True).first()[0]
+        return versions[-1], json.loads(text)
+
+    def _change(self, change: Callable[[dict], dict]) -> None:
+        """Put a changed manifest in place; if another writer was faster, change that one's instead."""
+        jvm = self.spark.sparkContext._jvm
+        files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._path(self.root).toUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
+        never = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+        for _ in range(ATTEMPTS):
+            version, held = self._manifest()
+            new = self._path(f"{self.root}/new-{uuid.uuid4().hex}")
+            out = self._fs.create(new, True)
+            out.write(bytearray(json.dumps(change(held), sort_keys=True).encode()))
+            out.close()
+            try:
+                files.rename(files.makeQualified(new), files.makeQualified(self._path(f"{self.root}/manifest-{version + 1}.json")), never)
+                for old in self._versions()[:-KEPT_MANIFESTS]:
+                    self._fs.delete(self._path(f"{self.root}/manifest-{old}.json"), False)
+                return
+            except Py4JJavaError as e:
+                self._fs.delete(new, False)
+                if "FileAlreadyExists" not in str(e.java_exception):
+                    raise
+        raise SnapshotError("other writers kept changing the manifest")
 
     def generations(self) -> list[int]:
-        return sorted(map(int, self._manifest()))
+        return sorted(map(int, self._manifest()[1]))
 
-    def read(self, kind: str, generation: int) -> DataFrame:
-        """One generation's table; partition pruning is by the folder."""
-        held = self._manifest().get(str(generation))
+    def _commits(self, generation: int) -> list[str]:
+        held = self._manifest()[1].get(str(generation))
         if held is None:
             raise SnapshotError(f"generation {generation} does not exist")
-        return self.spark.read.parquet(f"{self.root}/{kind}/generation={generation}/commit={held}")
+        return held
 
-    def publish(self, generation: int, notes: DataFrame, passages: DataFrame) -> None:
-        """Replace a generation's tables as a pair; the written rows are verified before they are served."""
+    def _at(self, kind: str, generation: int, commit: str) -> str:
+        return f"{self.root}/{kind}/generation={generation}/commit={commit}"
+
+    def read(self, kind: str, generation: int) -> DataFrame:
+        """One generation's table; partition pruning is by the folder. A row counts unless a later commit replaces or drops its note."""
+        commits = self._commits(generation)
+        parts = [self.spark.read.parquet(self._at(kind, generation, commits[-1]))]
+        gone = None
+        for older, newer in zip(commits[-2::-1], commits[:0:-1]):
+            ids = self.spark.read.parquet(self._at("gone", generation, newer))
+            gone = ids if gone is None else gone.unionByName(ids).distinct()
+            parts.append(self.spark.read.parquet(self._at(kind, generation, older)).join(gone, "note_id", "left_anti"))
+        return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+    def _write(self, generation: int, notes: DataFrame, passages: DataFrame) -> str:
         commit = uuid.uuid4().hex
-        paths = {}
         for kind, df in zip(self.KINDS, (notes, passages)):
-            paths[kind] = f"{self.root}/{kind}/generation={generation}/commit={commit}"
-            df.write.parquet(paths[kind])
-        verify_snapshot(self.spark.read.parquet(paths["notes"]), self.spark.read.parquet(paths["passages"]))
-        self._swap(self._manifest() | {str(generation): commit})
+            df.write.parquet(self._at(kind, generation, commit))
+        verify_snapshot(*(self.spark.read.parquet(self._at(k, generation, commit)) for k in self.KINDS))
+        return commit
+
+    def publish(self, generation: int, notes: DataFrame, passages: DataFrame) -> None:
+        """Replace a generation's tables as a pair; the written rows are verified before they are served."""
+        commit = self._write(generation, notes, passages)
+        self._change(lambda held: held | {str(generation): [commit]})
 
     def upsert(self, generation: int, notes: DataFrame, passages: DataFrame, purge: DataFrame | None = None) -> None:
-        """Replace the snapshots of the given notes and drop those in ``purge`` (note_id)."""
-        gone = notes.select("note_id") if purge is None else notes.select("note_id").unionByName(purge.select("note_id"))
-        if generation in self.generations():
-            old = [self.read(k, generation).join(gone.distinct(), "note_id", "left_anti") for k in self.KINDS]
-            notes, passages = (o.unionByName(n, allowMissingColumns=True) for o, n in zip(old, (notes, passages)))
-        self.publish(generation, notes, passages)
+        """Replace the snapshots of the given notes and drop those in ``purge`` (note_id), writing these notes alone."""
+        if generation not in self.generations():
+            return self.publish(generation, notes, passages)
+        commit = self._write(generation, notes, passages)
+        gone = self.spark.read.parquet(self._at("notes", generation, commit)).select("note_id")
+        (gone if purge is None else gone.unionByName(purge.select("note_id"))).distinct().write.parquet(self._at("gone", generation, commit))
+        self._change(lambda held: held | {str(generation): [*held[str(generation)], commit]})
+        if len(self._commits(generation)) > MOST_COMMITS:
+            self.compact(generation)
+
+    def compact(self, generation: int) -> None:
+        """Rewrite a generation as one commit; commits that others have added meanwhile stay on top. Old files are kept for readers until the generation is dropped."""
+        commits = self._commits(generation)
+        whole = self._write(generation, *(self.read(k, generation) for k in self.KINDS))
+
+        def change(held: dict) -> dict:
+            now = held[str(generation)]
+            if now[: len(commits)] != commits:
+                raise SnapshotError("the generation was replaced while it was compacted")
+            return held | {str(generation): [whole, *now[len(commits) :]]}
+
+        self._change(change)
 
     def drop(self, generation: int) -> None:
         """Forget a generation, then delete its files; an unknown one is no error."""
-        manifest = self._manifest()
-        if manifest.pop(str(generation), None) is not None:
-            self._swap(manifest)
-        for kind in self.KINDS:
+        if generation in self.generations():
+            self._change(lambda held: {g: c for g, c in held.items() if g != str(generation)})
+        for kind in (*self.KINDS, "gone"):
             self._fs.delete(self._path(f"{self.root}/{kind}/generation={generation}"), True)
 
     def vectors(self, generation: int, keys: list[tuple[str, str]]) -> DataFrame:
@@ -94,13 +154,17 @@ class SnapshotStore:
         return found.orderBy("position")
 
     def passages_of(self, generation: int, note_id: str, snapshot_id: str) -> DataFrame:
-        rows = self.read("passages", generation).where((F.col("note_id") == note_id) & (F.col("snapshot_id") == snapshot_id))
-        return rows.orderBy("passage_index")
+        return ordered_passages(self.read("passages", generation), {"note_id": note_id, "snapshot_id": snapshot_id}, "passage_index")
+
+
+def ordered_passages(passages: DataFrame, scope: dict, index: str) -> DataFrame:
+    """Passages whose columns have the given values, in the order of their index."""
+    return passages.where(reduce(and_, (F.col(c) == v for c, v in scope.items()))).orderBy(index)
 
 
-def page(df: DataFrame, order: str, number: int, size: int = 64) -> DataFrame:
+def page(df: DataFrame, order: str | list[str], number: int, size: int = 64) -> DataFrame:
     """One page of an ordered table."""
-    return df.orderBy(order).offset(number * size).limit(size)
+    return df.orderBy(*([order] if isinstance(order, str) else order)).offset(number * size).limit(size)
 
 
 def contiguity(passages: DataFrame, keys: list[str], index: str) -> DataFrame:

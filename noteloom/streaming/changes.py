@@ -5,17 +5,18 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..lineage import cut
 from ..schema import DEBOUNCE_SECONDS, EVENT_TEXT_CAP
 
 
 def last_write_wins(changes: DataFrame, key: str, revision: str, columns: list[str]) -> DataFrame:
-    """The row of the greatest revision for each key; combined before the shuffle."""
-    newest = F.max_by(F.struct(*columns), F.col(revision))
-    return changes.groupBy(key).agg(F.max(revision).alias(revision), newest.alias("_row")).select(key, revision, *[F.col(f"_row.{c}").alias(c) for c in columns])
+    """The row of the greatest revision for each key, of equal revisions that of the greatest values; combined before the shuffle."""
+    newest = F.max(F.struct(revision, *columns)).alias("_row")
+    return changes.groupBy(key).agg(newest).select(key, *[F.col(f"_row.{c}").alias(c) for c in (revision, *columns)])
 
 
 def retained_text(text: str) -> F.Column:
@@ -24,11 +25,11 @@ def retained_text(text: str) -> F.Column:
 
 
 def debounce_sessions(changes: DataFrame, key: str, ts: str, gap_seconds: int = DEBOUNCE_SECONDS, payload: str | None = None) -> DataFrame:
-    """One row for each burst of changes of a key: its first and last change, its size, and the last payload.
+    """One row for each burst of changes of a key: its first and last change, its size, and the last payload (the greatest of equal times).
 
     On a stream, put a watermark on ``ts`` first; a burst comes out once the watermark passes its quiet time.
     """
-    last = [F.max_by(payload, ts).alias(payload)] if payload else []
+    last = [F.max_by(payload, F.struct(ts, payload)).alias(payload)] if payload else []
     bursts = changes.groupBy(key, F.session_window(ts, f"{gap_seconds} seconds").alias("w")).agg(F.max(ts).alias("last_change"), F.count("*").alias("changes"), *last)
     return bursts.select(key, F.col("w.start").alias("first_change"), "last_change", "changes", *([payload] if payload else []))
 
@@ -49,7 +50,7 @@ def debounce_stream(changes: DataFrame, key: str, ts: str, payload: str, gap_sec
             state.remove()
             yield pd.DataFrame([(group[0], pd.Timestamp(at, unit="us"), held)], columns=names)
             return
-        rows = pd.concat(list(frames)).sort_values(ts)
+        rows = pd.concat(list(frames)).sort_values([ts, payload])
         at, held = state.get if state.exists else (None, None)
         out = []
         for row in rows.to_dict("records"):
@@ -77,16 +78,41 @@ def live_rows(changes: DataFrame, key: str, revision: str, deleted: F.Column) ->
 
 
 def apply_changes(path_map: DataFrame, changes: DataFrame) -> DataFrame:
-    """Path-to-note mapping after the newest change of each path: a rename keeps the note's id, a delete drops the mapping.
+    """Path-to-note mapping (path, note_id) after all changes in the order of their revisions.
 
-    ``changes`` has path, op (create, modify, rename, delete), old_path, revision and note_id for created notes.
+    ``changes`` has path, op (create, modify, rename, delete), old_path, revision and note_id for created notes. A
+    rename carries the note of its old path to the new one, whose former note goes; a delete drops the mapping; a
+    modification leaves it. Equal revisions are taken in the order of op, path and old path.
+
+    The last change at a path says what is there: nothing, a created note, or what a rename brought. A rename points to
+    the change that came before it at its old path, and pointers are followed in doubling steps.
     """
-    newest = last_write_wins(changes, "path", "revision", ["op", "old_path", "note_id"])
-    gone = newest.where("op = 'delete'").select("path").unionByName(newest.where("op = 'rename'").select(F.col("old_path").alias("path")))
-    moved = newest.where("op = 'rename'").join(path_map.select(F.col("path").alias("old_path"), F.col("note_id").alias("_id")), "old_path").select("path", F.col("_id").alias("note_id"))
-    created = newest.where("op = 'create'").select("path", "note_id")
-    kept = path_map.join(gone, "path", "left_anti").join(moved.unionByName(created).select("path"), "path", "left_anti")
-    return kept.select("path", "note_id").unionByName(moved).unionByName(created)
+    own = changes.where("op in ('create', 'rename', 'delete') and not (op = 'rename' and old_path <=> path)").dropDuplicates(["revision", "op", "path", "old_path"])
+    own = own.withColumn("at", F.struct("revision", "op", "path", "old_path"))
+    kind = F.when(F.col("op") == "create", "note").when(F.col("op") == "rename", "move").otherwise("none")
+    here = own.select("path", "at", kind.alias("kind"), F.when(F.col("op") == "create", F.col("note_id")).alias("note_id"))
+    left = own.where("op = 'rename'").select(F.col("old_path").alias("path"), "at", F.lit("left").alias("kind"), F.lit(None).cast(path_map.schema["note_id"].dataType).alias("note_id"))
+    touches = here.unionByName(left)
+    before = F.lag(F.struct("kind", "note_id", "at")).over(Window.partitionBy("path").orderBy("at"))
+    moves = touches.withColumn("before", before).where("kind = 'left'")
+    first = path_map.select("path", F.col("note_id").alias("first"))
+    moves = moves.join(first, "path", "left").select(
+        "at", F.when(F.col("before").isNull(), F.col("first")).when(F.col("before.kind") == "note", F.col("before.note_id")).alias("note_id"), F.when(F.col("before.kind") == "move", F.col("before.at")).alias("next")
+    )
+    moves = cut(moves)
+    while not moves.where("next is not null").isEmpty():
+        further = moves.select(F.col("at").alias("next"), F.col("note_id").alias("found"), F.col("next").alias("after"))
+        joined = moves.alias("m").join(further.alias("f"), F.expr("m.next = f.next"), "left")
+        moves = cut(joined.select("m.at", F.coalesce("m.note_id", "f.found").alias("note_id"), F.col("f.after").alias("next")))
+    last = touches.groupBy("path").agg(F.max_by(F.struct("kind", "note_id", "at"), "at").alias("last"))
+    brought = last.join(moves.select("at", F.col("note_id").alias("brought")), F.col("last.at") == F.col("at"), "left")
+    changed = brought.select("path", F.when(F.col("last.kind") == "note", F.col("last.note_id")).when(F.col("last.kind") == "move", F.col("brought")).alias("note_id"))
+    return path_map.select("path", "note_id").join(last.select("path"), "path", "left_anti").unionByName(changed.where("note_id is not null"))
+
+
+def purged(rows: DataFrame, purges: DataFrame, key: str) -> DataFrame:
+    """Rows whose key no purge names."""
+    return rows.join(purges.select(key).distinct(), key, "left_anti")
 
 
 def fenced(results: DataFrame, state: DataFrame, key: str, revision: str) -> DataFrame:

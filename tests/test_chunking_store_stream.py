@@ -139,6 +139,81 @@ def test_path_map_changes(spark):
     assert {(r.path, r.note_id) for r in C.apply_changes(paths, changes).collect()} == {("d.md", "1"), ("c.md", "3"), ("e.md", "9")}
 
 
+def test_path_maps_of_random_sequences(spark):
+    """A thousand sequences of creations, edits, renames and deletions against a dictionary."""
+    r = random.Random(41)
+    first, changes, want = [], [], set()
+    for n in range(1000):
+        names = [f"{n}/{c}.md" for c in "abcde"]
+        held = {p: f"{n}-{i}" for i, p in enumerate(names[: r.randint(0, 3)])}
+        first += held.items()
+        for revision in range(r.randint(0, 9)):
+            op, path, old = r.choice(["create", "modify", "rename", "rename", "delete"]), r.choice(names), r.choice(names)
+            changes.append((path, op, old if op == "rename" else None, revision, f"{n}-new{revision}" if op == "create" else None))
+            if op == "create":
+                held[path] = f"{n}-new{revision}"
+            elif op == "delete":
+                held.pop(path, None)
+            elif op == "rename" and old != path:
+                note = held.pop(old, None)
+                held.pop(path, None)
+                if note:
+                    held[path] = note
+        want |= set(held.items())
+    r.shuffle(changes)
+    paths = spark.createDataFrame(first, "path string, note_id string")
+    got = C.apply_changes(paths, spark.createDataFrame(changes, "path string, op string, old_path string, revision int, note_id string"))
+    assert {(x.path, x.note_id) for x in got.collect()} == want
+    assert C.apply_changes(paths, spark.createDataFrame([], "path string, op string, old_path string, revision int, note_id string")).count() == len(first)
+
+
+def test_a_store_writes_changed_notes_alone(spark, tmp_path, monkeypatch):
+    from noteloom.sources import store as module
+
+    store, other = (SnapshotStore(spark, str(tmp_path / "store")) for _ in range(2))
+    store.publish(1, *rows(spark, [(f"n{i}", "s0", 2) for i in range(20)]))
+    for k in range(3):
+        (store, other)[k % 2].upsert(1, *rows(spark, [(f"n{k}", f"s{k + 1}", 3)]), spark.createDataFrame([(f"n{10 + k}",)], "note_id string"))
+    held = {x.note_id: x.snapshot_id for x in store.read("notes", 1).collect()}
+    assert held == {f"n{i}": f"s{i + 1}" if i < 3 else "s0" for i in range(20) if i not in (10, 11, 12)}
+    assert store.read("passages", 1).count() == 3 * 3 + 14 * 2
+    newest = store._commits(1)[-1]
+    assert spark.read.parquet(store._at("notes", 1, newest)).count() == 1
+    store.upsert(1, *rows(spark, [("n10", "back", 1)]))
+    assert store.read("notes", 1).count() == 18
+    before = sorted(map(str, store.read("notes", 1).collect()))
+    store.compact(1)
+    assert len(store._commits(1)) == 1 and sorted(map(str, store.read("notes", 1).collect())) == before
+    monkeypatch.setattr(module, "MOST_COMMITS", 1)
+    store.upsert(1, *rows(spark, [("n11", "back", 1)]))
+    assert len(other._commits(1)) == 1 and other.read("notes", 1).count() == 19
+
+
+def test_reconcile_embeds_what_changed(spark, tmp_path):
+    from noteloom.functions.properties import PropertyFilter, compile_filters
+
+    vault = tmp_path / "vault"
+    vault.mkdir()
+    for i in range(12):
+        (vault / f"n{i}.md").write_text(f"---\npriority: {i}\nit's: x\n---\n# Note {i}\n\nBody of note {i}.\n")
+    store, e = SnapshotStore(spark, str(tmp_path / "store")), HashingEmbedder(dims=8)
+    assert I.reconcile(spark, str(vault), store, e) == {"embed": 12}
+    assert I.reconcile(spark, str(vault), store, e) == {"noop": 12, "purge": 0}
+    before = {x.path: x for x in store.read("notes", 1).collect()}
+    (vault / "n3.md").write_text("---\npriority: 3\n---\n# Note 3\n\nAnother body.\n")
+    (vault / "n4.md").write_text("---\npriority: 40\ndue: 2024-02-29\n---\n# Note 4\n\nBody of note 4.\n")
+    (vault / "n5.md").unlink()
+    assert I.reconcile(spark, str(vault), store, e) == {"noop": 9, "embed": 1, "metadata": 1, "purge": 1}
+    after = {x.path: x for x in store.read("notes", 1).collect()}
+    assert set(after) == set(before) - {"n5.md"} and after["n4.md"].vector == before["n4.md"].vector and after["n3.md"].vector != before["n3.md"].vector
+    assert store.read("passages", 1).where("path = 'n4.md' and snapshot_id = '" + after["n4.md"].snapshot_id + "'").count() == 1
+    fields = {(k, kind): name for k, kind, name in I._fields(store.read("notes", 1))}
+    some = compile_filters([PropertyFilter("priority", "number", "gte", 9), PropertyFilter("due", "date", "ne", "2024-02-28")], fields)
+    for kind in ("notes", "passages"):
+        assert {x.path for x in store.read(kind, 1).where(some).collect()} == {"n4.md", "n9.md", "n10.md", "n11.md"}
+    assert {x.path for x in store.read("passages", 1).where(compile_filters([PropertyFilter("it's", "text", "eq", "x")], fields)).collect()} == {f"n{i}.md" for i in (0, 1, 2, 6, 7, 8, 9, 10, 11)}
+
+
 def test_debounce_stream(spark, tmp_path):
     source = tmp_path / "in"
     source.mkdir()
