@@ -16,27 +16,27 @@ from noteloom.llm.sentencepiece_bpe import encode_documents
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go."""
+    """Rows that the classifier rejects go, by id, language and text; null and empty texts stay, and an empty table gives no rows."""
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays: that with the least id."""
+    """Exactly one row of each group of near duplicates stays: that with the least id, nulls last; null texts are one group."""
     return near_dedup.keep_one(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a test item go."""
+    """Rows whose own text holds a test item go, whatever their id; null and empty texts stay."""
     return decontaminate.remove_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data in the texts are replaced by the names of their kinds; n_chars follows the new text."""
+    """Personal data in the texts are replaced by the names of their kinds; n_chars follows the new text. Null texts stay null; every row stays."""
     return pii.redact(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and hashes of ids and decoded text."""
+    """Token counts and hashes of ids and decoded text, a row for each row; a null text counts as empty."""
     return encode_documents(docs, tokenizer_path("piece_bpe_32k.model"))
 
 
