@@ -106,6 +106,15 @@ def drop_materialized(*frames: DataFrame) -> None:
                 _delete(df.sparkSession, folder)
 
 
+#: Up to this many rows of keys (about 60 bytes each) are broadcast to the documents that they pick out.
+BROADCAST_KEYS = 500_000
+
+
+def keys_beside(keys: DataFrame) -> DataFrame:
+    """A written table of keys, broadcast if its counted rows are few; beyond, the join that it enters shuffles the documents once."""
+    return F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
+
+
 def text_key(text: Column) -> tuple[Column, Column]:
     """Two 64-bit hashes that stand for a text (null has its own): rows of one text share them, whatever their ids."""
     return F.xxhash64(F.lit(1), text), F.xxhash64(F.lit(2), text)

@@ -15,7 +15,7 @@ from math import comb
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, text_key, tidy
+from .common import keys_beside, materialize, text_key, tidy
 
 WORDS = 5
 #: Hashes of a signature; an item of fewer shingles has them all.
@@ -148,4 +148,4 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float
     """
     found = materialize(_search(docs, benchmark, threshold, "text", "item_id", "text").select(F.col("h1").alias("_h1"), F.col("h2").alias("_h2")).distinct())
     h1, h2 = text_key(F.col("d.text"))
-    return docs.alias("d").join(found.alias("f"), (h1 == F.col("f._h1")) & (h2 == F.col("f._h2")), "left_anti")
+    return docs.alias("d").join(keys_beside(found).alias("f"), (h1 == F.col("f._h1")) & (h2 == F.col("f._h2")), "left_anti")

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import in_small_batches, materialize, partitions, release_memory, text_key, tidy
+from .common import in_small_batches, keys_beside, materialize, partitions, release_memory, text_key, tidy
 from .components import connected_components
 from .sharding import row_numbers
 from .text_hash import mix, run_hashes, seeds, word_hashes
@@ -400,9 +400,9 @@ def keep_one(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     marked = materialize(chosen.where("not stays or n > 1").select(F.col("id").alias("_id"), F.col("h1").alias("_h1"), F.col("h2").alias("_h2"), "stays"))
     h1, h2 = text_key(F.col("d.text"))
     same = F.expr("d.doc_id <=> m._id") & (h1 == F.col("m._h1")) & (h2 == F.col("m._h2"))
-    single = docs.alias("d").join(marked.alias("m"), same, "left_anti")
-    repeated = marked.where("stays")
+    single = docs.alias("d").join(keys_beside(marked).alias("m"), same, "left_anti")
+    repeated = materialize(marked.where("stays"))
     if repeated.isEmpty():
         return single
-    several = docs.alias("d").join(repeated.alias("m"), same).select(F.struct("d.*").alias("row"), "m._id", "m._h1", "m._h2", F.xxhash64("d.*").alias("_at"))
+    several = docs.alias("d").join(keys_beside(repeated).alias("m"), same).select(F.struct("d.*").alias("row"), "m._id", "m._h1", "m._h2", F.xxhash64("d.*").alias("_at"))
     return single.unionByName(several.groupBy("_id", "_h1", "_h2").agg(F.min_by("row", "_at").alias("row")).select("row.*"))
