@@ -245,3 +245,22 @@ def parse_filter_value(text: str, kind: str):
     if kind.endswith("Array"):
         return [one(x.strip(), kind.removesuffix("Array")) for x in text.split(",") if x.strip()]
     return one(text.strip() if kind != "text" else text, kind)
+
+
+def presets_to_json(presets: dict[str, list[PropertyFilter]]) -> str:
+    """Named filter lists as JSON, sorted by name; times are written as ISO texts."""
+    if any(not name.strip() for name in presets):
+        raise ValueError("a preset needs a name")
+    return json.dumps({n: [[f.key, f.kind, f.operator, f.value] for f in fs] for n, fs in presets.items()}, sort_keys=True, default=lambda t: {"at": t.isoformat()})
+
+
+def presets_from_json(text: str) -> dict[str, list[PropertyFilter]]:
+    """Filter lists as ``presets_to_json`` wrote them; an unknown kind, or an operator that its kind does not allow, is an error."""
+    from datetime import datetime
+
+    found = json.loads(text, object_hook=lambda o: datetime.fromisoformat(o["at"]) if set(o) == {"at"} and isinstance(o["at"], str) else o)
+    presets = {name: [PropertyFilter(*f) for f in filters] for name, filters in found.items()}
+    for f in (f for filters in presets.values() for f in filters):
+        if f.operator not in KIND_OPERATORS.get(f.kind, ()):
+            raise ValueError(f"{f.operator} does not apply to {f.kind}")
+    return presets

@@ -70,3 +70,20 @@ def strongest_pairs(edges: DataFrame) -> DataFrame:
     ends = edges.select(F.col("source").alias("note"), F.col("target").alias("other"), "cosine", *order).unionByName(edges.select(F.col("target").alias("note"), F.col("source").alias("other"), "cosine", *order))
     w = Window.partitionBy("note").orderBy(F.desc("cosine"), *order)
     return ends.withColumn("_r", F.row_number().over(w)).where("_r = 1").select("note", "other", "cosine")
+
+
+def placed_edges(edges: DataFrame, places: DataFrame, note: str, anchor=None) -> DataFrame:
+    """Edges with the places of both ends (x1, y1, x2, y2); the anchor stands in the centre, and an end without a place is an error.
+
+    Places are the thirty listed notes at most, which is checked, so both joins broadcast them.
+    """
+    _listed(places, note)
+    at = places.select(F.col(note).alias("_note"), "x", "y")
+    if anchor is not None:
+        centre = at.sparkSession.range(1).select(F.lit(anchor).alias("_note"), F.lit(CENTRE_X).alias("x"), F.lit(CENTRE_Y).alias("y"))
+        at = at.where(F.col("_note") != F.lit(anchor)).unionByName(centre)
+    placed = edges
+    for end, i in (("source", 1), ("target", 2)):
+        own = F.broadcast(at.select(F.col("_note").alias(end), F.col("x").alias(f"x{i}"), F.col("y").alias(f"y{i}")))
+        placed = placed.join(own, end, "left").withColumn(f"x{i}", F.coalesce(f"x{i}", F.raise_error(F.lit("an edge ends at a note without a place")).cast("double")))
+    return placed.select(*edges.columns, "x1", "y1", "x2", "y2")

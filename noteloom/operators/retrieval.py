@@ -164,3 +164,14 @@ def group_hits(hits: DataFrame, note: str, passage: str) -> DataFrame:
 def candidate_count(passages: DataFrame, note: str) -> DataFrame:
     """One row: candidate passages and the notes that they are of."""
     return passages.agg(F.count("*").alias("candidates"), F.count_distinct(note).alias("notes"))
+
+
+def fresh_titles(results: DataFrame, files: DataFrame, note: str, title: str) -> DataFrame:
+    """Listed results under the titles that their files have now; a note without a file keeps the title it was stored with.
+
+    Results are at most thirty, which is checked, so they go to the files and the files are not shuffled.
+    """
+    if results.count() > RESULT_CAP:
+        raise ValueError("at most thirty results are listed")
+    now = files.join(F.broadcast(results.select(note)), note, "left_semi").groupBy(note).agg(F.max(title).alias("_now"))
+    return results.join(now, note, "left").withColumn(title, F.coalesce("_now", title)).select(results.columns)

@@ -16,6 +16,7 @@ from .operators import graph as G
 from .operators import retrieval as R
 from .operators.admission import IgnoreFile, PathPolicy, admission, manual_exclusion, path_reason
 from .operators.chunking import chunk_notes
+from .operators.coverage import span_coverage as covered
 from .operators.embedding import HashingEmbedder, embed_late, reuse_vectors
 from .plans import indexing as I
 from .sources import store as S
@@ -146,6 +147,29 @@ def ring_layout(spark: SparkSession, d: str) -> DataFrame:
     return G.ring_layout(_listed(spark, d), "vec_id").select("vec_id", "rank", rounded("x", 3).alias("x"), rounded("y", 3).alias("y"))
 
 
+@query(f"""
+with {_EDGES}, n as (select count(*) as n from listed),
+placed as (
+  select vec_id, rank, case when n <= 10 then 105.0 when rank <= 10 then 60.0 else 116.0 end as r,
+    -pi() / 2 + (case when rank <= 10 then rank - 1 else rank - 11 end) * 2 * pi() / (case when rank <= 10 then least(n, 10) else greatest(1, n - 10) end) as t
+  from listed, n),
+spots as (select vec_id, 180 + cos(t) * r as x, 140 + sin(t) * r as y from placed)
+select source, target, round(a.x, 3) + 0.0 as x1, round(a.y, 3) + 0.0 as y1, round(b.x, 3) + 0.0 as x2, round(b.y, 3) + 0.0 as y2
+from edges join spots a on a.vec_id = source join spots b on b.vec_id = target""")
+def placed_edges(spark: SparkSession, d: str) -> DataFrame:
+    placed = G.placed_edges(_edges(spark, d), G.ring_layout(_listed(spark, d), "vec_id"), "vec_id")
+    return placed.select("source", "target", *[rounded(c, 3).alias(c) for c in ("x1", "y1", "x2", "y2")])
+
+
+@query(f"""
+with {_LISTED}
+select vec_id, rank, coalesce('doc-' || doc_id, 'stored-' || vec_id) as title from listed left join documents on doc_id = vec_id""")
+def fresh_titles(spark: SparkSession, d: str) -> DataFrame:
+    listed = _listed(spark, d).select("vec_id", "rank", F.concat(F.lit("stored-"), F.col("vec_id").cast("string")).alias("title"))
+    files = _t(spark, d, "documents").select(F.col("doc_id").alias("vec_id"), F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("title"))
+    return R.fresh_titles(listed, files, "vec_id", "title")
+
+
 @query(f"""
 with {_EDGES}, ends as (
   select source as note, target as other, cosine, sr, tr from edges union all select target, source, cosine, sr, tr from edges)
@@ -597,6 +621,20 @@ def fenced_work(spark: SparkSession, d: str) -> DataFrame:
     return C.fenced(done, events.withColumnRenamed("event_id", "revision"), "user_id", "revision").select("event_id", "user_id")
 
 
+@query(f"select count(*) as waiting, epoch_us(min(due)) as deadline_us from (select max(ts) + interval '{_GAP} seconds' as due from events group by user_id)")
+def next_deadline(spark: SparkSession, d: str) -> DataFrame:
+    events = _t(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    due = events.groupBy("user_id").agg((F.max("ts") + F.expr(f"interval {_GAP} seconds")).alias("due"))
+    return C.next_deadline(due, "due").select("waiting", F.unix_micros("deadline").alias("deadline_us"))
+
+
+@query("select event_id, user_id from events where event_id > (select coalesce(max(event_id), -1) from events where user_id = 3)")
+def invalidated_work(spark: SparkSession, d: str) -> DataFrame:
+    """Work begun after everything was invalidated, here by each event of one user."""
+    events = _t(spark, d, "events").select("event_id", "user_id")
+    return C.after_invalidation(events, events.where("user_id = 3"), "event_id")
+
+
 # --- Chunking and embedding: pure functions over whole notes, beyond SQL.
 
 
@@ -612,6 +650,14 @@ def chunk_documents(spark: SparkSession, d: str) -> DataFrame:
     return chunk_notes(_t(spark, d, "documents"), "doc_id", "text", e.context_limit, e.count)
 
 
+@query("""
+select doc_id::varchar as note_id, true as contiguous, true as complete, true as lines from documents""")
+def span_coverage(spark: SparkSession, d: str) -> DataFrame:
+    e = HashingEmbedder()
+    docs = _t(spark, d, "documents")
+    return covered(chunk_notes(docs, "doc_id", "text", e.context_limit, e.count), docs, "doc_id", "text").drop("spans")
+
+
 @query()
 def markdown_sections(spark: SparkSession, d: str) -> DataFrame:
     e = HashingEmbedder(context_limit=512)

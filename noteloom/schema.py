@@ -18,6 +18,13 @@ EVENT_TEXT_CAP = 512 * 1024
 CONNECTION_BUDGETS = (90, 300, 1200)
 SEARCH_BUDGETS = (300, 600, 1200)
 
+#: Embedding models by public name: dimensions, context limit in tokens, pooling, contextual token states.
+MODEL_PROFILES = (
+    ("onnx-community/granite-embedding-97m-multilingual-r2-ONNX", 384, 32768, "cls", False),
+    ("Xenova/all-MiniLM-L6-v2", 384, 256, "mean", False),
+    ("jinaai/jina-embeddings-v2-small-en", 512, 3584, "mean", True),
+)
+
 #: Property kinds and the suffixes of their physical columns.
 KIND_SUFFIX = {"text": "t", "number": "n", "boolean": "b", "date": "d", "textArray": "ta", "numberArray": "na", "booleanArray": "ba", "dateArray": "da", "json": "j"}
 KIND_TYPE = {

@@ -119,3 +119,18 @@ def fenced(results: DataFrame, state: DataFrame, key: str, revision: str) -> Dat
     """Finished work whose revision is still the newest; older work is stale and dropped at commit."""
     newest = state.groupBy(key).agg(F.max(revision).alias("_newest"))
     return results.join(newest, key, "left").where(F.col("_newest").isNull() | (F.col(revision) >= F.col("_newest"))).drop("_newest")
+
+
+def next_deadline(pending: DataFrame, due: str, purges: DataFrame | None = None) -> DataFrame:
+    """One row (waiting, deadline): when the queue must be looked at next. Purges wait for nothing, so with any the deadline is null and ``waiting`` counts them too; an empty queue has neither."""
+    queue = pending.agg(F.count("*").alias("waiting"), F.min(due).alias("deadline"))
+    if purges is None:
+        return queue
+    urgent = F.broadcast(purges.agg(F.count("*").alias("_urgent")))
+    return queue.crossJoin(urgent).select((F.col("waiting") + F.col("_urgent")).alias("waiting"), F.when(F.col("_urgent") == 0, F.col("deadline")).alias("deadline"))
+
+
+def after_invalidation(work: DataFrame, invalidations: DataFrame, revision: str) -> DataFrame:
+    """Work begun after the last invalidation of everything; without any, all work."""
+    fence = F.broadcast(invalidations.agg(F.max(revision).alias("_fence")))
+    return work.crossJoin(fence).where(F.col("_fence").isNull() | (F.col(revision) > F.col("_fence"))).drop("_fence")
