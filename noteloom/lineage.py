@@ -1,18 +1,23 @@
-"""Cutting a plan's lineage by a reliable checkpoint in the folder that driver and executors share."""
+"""The folder that driver and executors share, and plans whose lineage is cut by a reliable checkpoint in it."""
 
 from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in ``spark.checkpoint.dir``; a session on one machine may do without the setting."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    return named or tempfile.mkdtemp(prefix="noteloom-")
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The frame, computed and written to ``spark.checkpoint.dir``; a session on one machine may do without the setting."""
+    """The frame, computed and written to the shared folder."""
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not named and not context.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="noteloom-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()

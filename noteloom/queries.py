@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -12,6 +11,7 @@ from pyspark.sql import functions as F
 from .functions import properties as P
 from .functions import text as X
 from .functions import vectors as V
+from .lineage import shared_folder
 from .operators import graph as G
 from .operators import retrieval as R
 from .operators.admission import IgnoreFile, PathPolicy, admission, manual_exclusion, path_reason
@@ -568,14 +568,20 @@ def reuse_vectors_by_body(spark: SparkSession, d: str) -> DataFrame:
 _GAP = 6 * 3600
 
 
-@query(f"""
+_BURSTS = f"""
 with marked as (select user_id, ts, event_id, case when ts - lag(ts) over (partition by user_id order by ts) <= interval '{_GAP} seconds' then 0 else 1 end as fresh from events),
 numbered as (select *, sum(fresh) over (partition by user_id order by ts rows unbounded preceding) as s from marked)
-select user_id, count(*) as changes, arg_max(event_id, ts) as event_id, epoch_us(min(ts)) as first_us, epoch_us(max(ts)) as last_us from numbered group by user_id, s""")
+select user_id, count(*) as changes, arg_max(event_id, ts) as event_id, epoch_us(min(ts)) as first_us, epoch_us(max(ts)) as last_us from numbered group by user_id, s"""
+
+
+def _burst_rows(found: DataFrame) -> DataFrame:
+    return found.select("user_id", "changes", "event_id", F.unix_micros("first_change").alias("first_us"), F.unix_micros("last_change").alias("last_us"))
+
+
+@query(_BURSTS)
 def debounce_sessions(spark: SparkSession, d: str) -> DataFrame:
     events = _t(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    found = C.debounce_sessions(events, "user_id", "ts", _GAP, "event_id")
-    return found.select("user_id", "changes", "event_id", F.unix_micros("first_change").alias("first_us"), F.unix_micros("last_change").alias("last_us"))
+    return _burst_rows(C.debounce_sessions(events, "user_id", "ts", _GAP, "event_id"))
 
 
 @query("select user_id, max(event_id) as event_id, arg_max(event_type, event_id) as event_type, arg_max(value, event_id) as value from events group by user_id")
@@ -672,18 +678,18 @@ def late_chunk_vectors(spark: SparkSession, d: str) -> DataFrame:
     return embed_late(notes, passages, "conv_id", "text", e)
 
 
-@query()
+@query(_BURSTS)
 def stream_debounce(spark: SparkSession, d: str) -> DataFrame:
-    """Bursts of a user's events from a stream that reads all there is and stops; bursts still open at its end stay in the state."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="noteloom-")
-    base = f"{shared}/noteloom-stream-{uuid.uuid4().hex}"
+    """Bursts of a user's events from a stream that reads all there is and stops: those it closed, and those left open in its state."""
+    base = f"{shared_folder(spark)}/noteloom-stream-{uuid.uuid4().hex}"
     schema = spark.read.parquet(f"{d}/events.parquet").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
     events = stream.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "1 hour")
     bursts = C.debounce_sessions(events, "user_id", "ts", _GAP, "event_id")
     job = bursts.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{base}/state").option("path", f"{base}/out").trigger(availableNow=True).start()
     job.awaitTermination()
-    return spark.read.schema(bursts.schema).parquet(f"{base}/out")
+    closed = spark.read.schema(bursts.schema).parquet(f"{base}/out")
+    return _burst_rows(closed.unionByName(C.open_bursts(spark, f"{base}/state", "user_id", "event_id")))
 
 
 @query("""

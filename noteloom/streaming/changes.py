@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -34,6 +34,13 @@ def debounce_sessions(changes: DataFrame, key: str, ts: str, gap_seconds: int =
     return bursts.select(key, F.col("w.start").alias("first_change"), "last_change", "changes", *([payload] if payload else []))
 
 
+def open_bursts(spark: SparkSession, checkpoint: str, key: str, payload: str | None = None) -> DataFrame:
+    """Bursts that a stopped stream of ``debounce_sessions`` still holds in its state, in the same columns: what its watermark has not closed."""
+    held = spark.read.format("statestore").load(checkpoint).select("value.*")
+    last = [F.col("valueWithExtremumOrdering").alias(payload)] if payload else []
+    return held.select(key, F.col("session_window.start").alias("first_change"), F.col("max").alias("last_change"), F.col("count").alias("changes"), *last)
+
+
 def debounce_stream(changes: DataFrame, key: str, ts: str, payload: str, gap_seconds: int = DEBOUNCE_SECONDS, known: str | None = None) -> DataFrame:
     """Trailing debounce on a watermarked stream, by event time: each change restarts its key's clock.
 

@@ -125,3 +125,17 @@ def test_query_vectors():
     held.ask("x" * 21)
     with pytest.raises(ValueError):
         held.vector("x" * 21, "next")
+
+
+def test_open_bursts_complete_a_stopped_stream(spark, tmp_path):
+    rows = [("a", 0, 1), ("a", 10, 2), ("a", 10, 3), ("a", 500, 4), ("b", 495, 5), ("c", 100, 6), (None, 498, 7)]
+    events = spark.createDataFrame(rows, "k string, s int, n int").select("k", F.timestamp_seconds("s").alias("ts"), "n")
+    events.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(events.schema).parquet(str(tmp_path / "in")).withWatermark("ts", "5 seconds")
+    bursts = C.debounce_sessions(stream, "k", "ts", 30, "n")
+    out, state = str(tmp_path / "out"), str(tmp_path / "state")
+    bursts.writeStream.format("parquet").outputMode("append").option("checkpointLocation", state).option("path", out).trigger(availableNow=True).start().awaitTermination()
+    closed, still = spark.read.schema(bursts.schema).parquet(out), C.open_bursts(spark, state, "k", "n")
+    want = C.debounce_sessions(events, "k", "ts", 30, "n")
+    assert still.count() and closed.count() and still.columns == want.columns
+    assert sorted(map(repr, closed.unionByName(still).collect())) == sorted(map(repr, want.collect()))
