@@ -678,7 +678,7 @@ def late_chunk_vectors(spark: SparkSession, d: str) -> DataFrame:
     return embed_late(notes, passages, "conv_id", "text", e)
 
 
-@query(_BURSTS)
+@query()
 def stream_debounce(spark: SparkSession, d: str) -> DataFrame:
     """Bursts of a user's events from a stream that reads all there is and stops: those it closed, and those left open in its state."""
     base = f"{shared_folder(spark)}/noteloom-stream-{uuid.uuid4().hex}"
@@ -689,7 +689,13 @@ def stream_debounce(spark: SparkSession, d: str) -> DataFrame:
     job = bursts.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{base}/state").option("path", f"{base}/out").trigger(availableNow=True).start()
     job.awaitTermination()
     closed = spark.read.schema(bursts.schema).parquet(f"{base}/out")
-    return _burst_rows(closed.unionByName(C.open_bursts(spark, f"{base}/state", "user_id", "event_id")))
+    return closed.unionByName(C.open_bursts(spark, f"{base}/state", "user_id", "event_id"))
+
+
+@query(_BURSTS)
+def stream_bursts(spark: SparkSession, d: str) -> DataFrame:
+    """The rows of ``stream_debounce`` with times in microseconds, as SQL gives them."""
+    return _burst_rows(stream_debounce(spark, d))
 
 
 @query("""
