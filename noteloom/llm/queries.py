@@ -17,6 +17,7 @@ from .pii import find_pii
 from .quality import judge
 from .sentencepiece_bpe import encode_documents
 from .url_filter import filter_urls, host_path_rule, pattern_rule
+from .whitening import whiten
 
 #: Fixed host/path rules of the contract.
 HOST_RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
@@ -73,6 +74,10 @@ def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).drop("copy_id")
 
 
+def op11_svd_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings"), k=8)
+
+
 def tokenizer_path(name: str) -> str:
     """Place of a public tokenizer's file on this machine."""
     import public_tokenizers
@@ -91,6 +96,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontamination": op8_decontamination,
     "op9_pii": op9_pii,
     "op10_order_minhash": op10_order_minhash,
+    "op11_svd_whitening": op11_svd_whitening,
 }
 
 
