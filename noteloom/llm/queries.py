@@ -13,6 +13,7 @@ from .decontaminate import find_contamination
 from .hamming_search import search_embeddings
 from .html_extract import extract_pages
 from .near_dedup import near_duplicates
+from .phrases import mine_phrases
 from .pii import find_pii
 from .quality import judge
 from .sentencepiece_bpe import encode_documents
@@ -78,6 +79,10 @@ def op11_svd_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whiten(table(spark, sf_dir, "embeddings"), k=8)
 
 
+def op13_phrase_growth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mine_phrases(table(spark, sf_dir, "documents"), support=100, top=2000)
+
+
 def tokenizer_path(name: str) -> str:
     """Place of a public tokenizer's file on this machine."""
     import public_tokenizers
@@ -97,6 +102,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_pii": op9_pii,
     "op10_order_minhash": op10_order_minhash,
     "op11_svd_whitening": op11_svd_whitening,
+    "op13_phrase_growth": op13_phrase_growth,
 }
 
 
@@ -200,10 +206,35 @@ select doc_id, item_id, count(*) / any_value(n) as containment
 from held join items using (shingle) join counts using (item_id)
 group by doc_id, item_id having count(*) >= 0.8 * any_value(n) - 1e-9"""
 
+OP13_SQL = r"""
+with pieces as (
+  select coalesce(lang, 'und') as lang,
+    unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece
+  from documents),
+words as (select lang, list_filter(regexp_split_to_array(piece, '[ \x09]+'), lambda w: w <> '') as ws from pieces),
+totals as (select lang, sum(len(ws))::bigint as n from words group by lang),
+counts as (
+  select lang, ws[i:i + m - 1] as phrase, count(*) as f from words, range(1, 6) s(m), unnest(range(1, len(ws) - m + 2)) r(i)
+  where len(ws) >= m group by all having count(*) >= 100),
+cands as (select lang, phrase, f as a from counts where len(phrase) > 1),
+longer as (
+  select lang, phrase[i:i + m - 1] as phrase, max(a) as b from cands, range(2, 5) s(m), unnest(range(1, len(phrase) - m + 2)) r(i)
+  where len(phrase) > m group by all),
+kept as (select c.lang, c.phrase, a from cands c left join longer g on c.lang = g.lang and c.phrase = g.phrase where b is null or 100 * b < 100 * a),
+cuts as (
+  select k.lang, k.phrase, k.a, c as cut, x.f as l, y.f as r, n, (1000::hugeint * k.a * n) // (x.f::hugeint * y.f) as score
+  from kept k, range(1, 5) s(c), counts x, counts y, totals t
+  where c < len(k.phrase) and x.lang = k.lang and x.phrase = k.phrase[1:c] and y.lang = k.lang and y.phrase = k.phrase[c + 1:] and t.lang = k.lang),
+least as (select * from cuts qualify row_number() over (partition by lang, phrase order by score, cut) = 1),
+named as (select lang, array_to_string(phrase, ' ') as phrase, a, l, r, n, score::bigint as score from least)
+select lang, row_number() over (partition by lang order by score desc, a desc, phrase) as rank, phrase, a, l, r, n, score from named
+qualify rank <= 2000"""
+
 ORACLES: dict[str, str] = {
     "op1_hamming_topk": OP1_SQL,
     "op2_feistel_sharding": _op2_sql(),
     "op3_url_filter": OP3_SQL,
     "op4_chat_format": OP4_SQL,
     "op8_decontamination": OP8_SQL,
+    "op13_phrase_growth": OP13_SQL,
 }
