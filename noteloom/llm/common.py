@@ -58,14 +58,14 @@ def _delete(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def materialize(df: DataFrame) -> DataFrame:
+def materialize(df: DataFrame, **options: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage is cut, and a lost executor loses no data.
 
     Spark also learns the table's true size, so later joins are planned on a measured figure.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/noteloom-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     if _written:
         _written[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import sharding
 from .chat_format import format_chats
@@ -13,6 +14,7 @@ from .decontaminate import find_contamination
 from .hamming_search import search_embeddings
 from .html_extract import extract_pages
 from .near_dedup import near_duplicates
+from .packing import pack_documents
 from .phrases import mine_phrases
 from .pii import find_pii
 from .quality import judge
@@ -79,6 +81,11 @@ def op11_svd_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whiten(table(spark, sf_dir, "embeddings"), k=8)
 
 
+def op12_nnls_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), window=1024, end_id=0)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def op13_phrase_growth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mine_phrases(table(spark, sf_dir, "documents"), support=100, top=2000)
 
@@ -102,6 +109,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_pii": op9_pii,
     "op10_order_minhash": op10_order_minhash,
     "op11_svd_whitening": op11_svd_whitening,
+    "op12_nnls_packing": op12_nnls_packing,
     "op13_phrase_growth": op13_phrase_growth,
 }
 
