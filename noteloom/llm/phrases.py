@@ -303,7 +303,7 @@ def mine_phrases(docs: DataFrame, support: int = 100, absorbed: int = 100, scale
     """
     sizes, words, phrases = count_phrases(docs, support)
     # The candidates hold their words as an array, which tells any two phrases apart; NULs come back here.
-    as_words = F.transform(F.split(F.col("phrase").cast("string"), "\\x00"), lambda w: F.translate(w, NUL_AS.decode(), "\x00"))
+    as_words = F.transform(F.split(F.col("phrase").cast("string"), "\\x00"), lambda w: F.replace(w, F.lit(NUL_AS.decode()), F.lit("\x00")))
     counted = words.unionByName(phrases).select("lang", as_words.alias("words"), "f")
     candidates = materialize(phrases.select("lang", as_words.alias("words"), F.col("f").alias("a")))
     longer = candidates.where(F.size("words") > 2).select("lang", F.explode(_within(F.col("words"), LONGEST)).alias("words"), "a")
