@@ -42,6 +42,8 @@ BLOCK_BYTES = 4 << 20
 TASK_POINTERS = 1_000_000
 #: Words that a task may remember counts of before it gives them out.
 HELD_WORDS = 400_000
+#: Pairs of words, likewise (each block's distinct ones count).
+HELD_PAIRS = 3_000_000
 #: A language's candidates are ranked in this many parts first.
 RANK_PARTS = 64
 
@@ -149,15 +151,43 @@ def _pairs(lang: str, block: bytes, frequent: np.ndarray) -> tuple[list[bytes],
     return words, ids, hashes, together
 
 
+class _PairCounts:
+    """Counts of a task's pairs of one language over many blocks: words have one number in all of them."""
+
+    def __init__(self, lang: str) -> None:
+        self.lang, self.numbers, self.pairs, self.counts = lang, _Numbers(), [], []
+        self.held = 0
+
+    def add(self, words: list[bytes], first: np.ndarray, second: np.ndarray) -> None:
+        found, counts = np.unique(first * len(words) + second, return_counts=True)
+        known = np.unique(np.concatenate([found // len(words), found % len(words)]))
+        number = np.zeros(len(words), np.int64)
+        number[known] = [self.numbers[words[i]] for i in known.tolist()]
+        self.pairs.append(number[found // len(words)] << 32 | number[found % len(words)])
+        self.counts.append(counts)
+        self.held += len(found)
+
+    def rows(self) -> pa.RecordBatch:
+        found, at = np.unique(np.concatenate(self.pairs), return_inverse=True)
+        counts = np.bincount(at, weights=np.concatenate(self.counts)).astype(np.int64)  # below 2^53 within a task
+        words = list(self.numbers)
+        return _rows(self.lang, [words[i] + JOIN + words[j] for i, j in zip((found >> 32).tolist(), (found & 0xFFFFFFFF).tolist())], counts)
+
+
 def count_pairs(batches: Iterator[pa.RecordBatch], frequent: bytes) -> Iterator[pa.RecordBatch]:
-    """Pairs of neighbouring words that are both in the map, with their counts by block."""
+    """Pairs of neighbouring words that are both in the map, with their counts, given out each time that many are held."""
     frequent = np.frombuffer(frequent, np.uint64)
+    held: dict[str, _PairCounts] = {}
     for lang, block in chain.from_iterable(map(_blocks, batches)):
         words, ids, _, together = _pairs(lang, block, frequent)
         at = np.flatnonzero(together)
-        found, counts = np.unique(ids[at] * len(words) + ids[at + 1], return_counts=True)
-        if len(found):
-            yield _rows(lang, [words[i] + JOIN + words[j] for i, j in zip((found // len(words)).tolist(), (found % len(words)).tolist())], counts)
+        if not len(at):
+            continue
+        held.setdefault(lang, _PairCounts(lang)).add(words, ids[at], ids[at + 1])
+        if sum(h.held for h in held.values()) > HELD_PAIRS:
+            yield from (h.rows() for h in held.values())
+            held = {}
+    yield from (h.rows() for h in held.values())
     release_memory()
 
 
