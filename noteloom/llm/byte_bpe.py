@@ -15,6 +15,8 @@ import numpy as np
 
 #: Words that a worker remembers before it starts anew (some 200 bytes each), and bytes of text cut at a time.
 REMEMBERED, GROUP_BYTES = 500_000, 2 << 20
+#: A word that was met more often than this outlives that.
+USES = 2
 #: Bytes of new words that are encoded together.
 ENCODED_BYTES = 256 << 10
 
@@ -37,6 +39,12 @@ class _Numbers(dict):
         return n
 
 
+def _gathered(flat: np.ndarray, start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The runs flat[start:start+count], one after the other."""
+    at = np.repeat(start - (np.cumsum(count) - count), count)
+    return flat[at + np.arange(len(at))]
+
+
 class Encoder:
     """Ids of whole texts, each followed by one end id."""
 
@@ -63,34 +71,50 @@ class Encoder:
         self.numbers = _Numbers()
         self.numbers[b""] = 0  # the end of a text
         self.flat, self.start, self.count = np.array([self.end_id], np.uint32), np.zeros(1, np.int64), np.ones(1, np.int64)
+        self.uses = np.zeros(1, np.int64)
+
+    def _trim(self) -> None:
+        """Keep the words that were met several times, if they leave room for others; forget all else."""
+        self.uses[0] = USES + 1
+        kept = np.flatnonzero(self.uses > USES)
+        if len(kept) > REMEMBERED // 2:
+            return self._forget()
+        words, numbers = list(self.numbers), _Numbers()
+        numbers.update((words[i], n) for n, i in enumerate(kept.tolist()))
+        self.flat = _gathered(self.flat, self.start[kept], self.count[kept])
+        self.numbers, self.count = numbers, self.count[kept]
+        self.start, self.uses = np.cumsum(self.count) - self.count, np.zeros(len(kept), np.int64)
 
     def _learn(self, words: list[bytes]) -> None:
         """Encode new words and remember their ids."""
-        joined = [w for w in words if w[:1] == b" " and len(w) > 1 and _VISIBLE[w[1]]]
-        alone = [w for w in words if not (w[:1] == b" " and len(w) > 1 and _VISIBLE[w[1]])]
-        known: dict[bytes, np.ndarray] = {}
+        begins = np.array([w[0] == 0x20 and len(w) > 1 and _VISIBLE[w[1]] for w in words])
+        start, count = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        parts, size = [self.flat], len(self.flat)
+        alone = np.flatnonzero(~begins)
         for i in range(0, len(alone), 1000):
-            for word, e in zip(alone[i : i + 1000], self.tokenizer.encode_batch_fast([w.decode() for w in alone[i : i + 1000]], add_special_tokens=False)):
-                known[word] = np.array(e.ids, np.uint32)
-        at = 0
-        while at < len(joined):
-            last, size = at, 0
-            while last < len(joined) and size < ENCODED_BYTES:
-                size += len(joined[last])
-                last += 1
-            group = joined[at:last]
-            (encoded,) = self.tokenizer.encode_batch_fast([b"".join(group).decode()], add_special_tokens=False)
+            at = alone[i : i + 1000]
+            for n, e in zip(at.tolist(), self.tokenizer.encode_batch_fast([words[n].decode() for n in at.tolist()], add_special_tokens=False)):
+                parts.append(np.array(e.ids, np.uint32))
+                start[n], count[n] = size, len(e.ids)
+                size += len(e.ids)
+        joined = np.flatnonzero(begins)
+        lengths = np.array([len(words[n]) for n in joined.tolist()], np.int64)
+        groups_of = (np.cumsum(lengths) - lengths) // ENCODED_BYTES
+        for at, length in zip(*(np.split(v, np.flatnonzero(np.diff(groups_of)) + 1) for v in (joined, lengths))):
+            if not len(at):
+                continue
+            (encoded,) = self.tokenizer.encode_batch_fast([b"".join([words[n] for n in at.tolist()]).decode()], add_special_tokens=False)
             ids = np.array(encoded.ids, np.uint32)
-            reached, ends = np.cumsum(self.width[ids]), np.cumsum([len(w) for w in group])
+            reached, ends = np.cumsum(self.width[ids]), np.cumsum(length)
             cut = np.searchsorted(reached, ends)
             if cut[-1] >= len(reached) or (reached[cut] != ends).any():
                 raise ValueError("a token reaches over the start of a word: this tokenizer's pattern is another")
-            known |= zip(group, np.split(ids, cut[:-1] + 1))
-            at = last
-        counts = np.array([len(known[w]) for w in words], np.int64)
-        self.start = np.append(self.start, len(self.flat) + np.cumsum(counts) - counts)
-        self.count = np.append(self.count, counts)
-        self.flat = np.concatenate([self.flat, *[known[w] for w in words]])
+            parts.append(ids)
+            count[at] = np.diff(cut, prepend=-1)
+            start[at] = size + np.append(0, cut[:-1] + 1)
+            size += len(ids)
+        self.flat = np.concatenate(parts)
+        self.start, self.count, self.uses = np.append(self.start, start), np.append(self.count, count), np.append(self.uses, np.zeros(len(words), np.int64))
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, one text after the other, and how many are each text's (its end id included)."""
@@ -103,15 +127,15 @@ class Encoder:
             words.append(b"")
             sizes.append(max(len(bounds) - 1, 0) + 1)
         if len(self.numbers) > REMEMBERED:
-            self._forget()
+            self._trim()
         ids = np.fromiter(map(self.numbers.__getitem__, words), np.int64, len(words))
         if self.numbers.fresh:
             self._learn(self.numbers.fresh)
             self.numbers.fresh = []
+        self.uses += np.bincount(ids, minlength=len(self.uses))
         counts = self.count[ids]
-        first = np.repeat(self.start[ids] - (np.cumsum(counts) - counts), counts)
         total = np.add.reduceat(counts, np.append(0, np.cumsum(sizes)[:-1])) if sizes else np.zeros(0, np.int64)
-        return self.flat[first + np.arange(len(first))], total
+        return _gathered(self.flat, self.start[ids], counts), total
 
 
 @lru_cache(maxsize=2)
