@@ -95,7 +95,7 @@ def keyword_scores(passages: DataFrame, query: str, fields: dict[str, float] | N
     Collection statistics are one aggregate over the whole table, a row of bounded width; the scores need no shuffle.
     """
     fields = fields or FIELD_WEIGHTS
-    terms = list(dict.fromkeys(w for w in _split(query) if w))
+    terms = query_terms(query)
     if not terms:
         return passages.withColumn("score", F.lit(0.0)).limit(0)
     tokens = passages.withColumns({f"_w_{f}": words(F.col(f)) for f in fields})
@@ -112,6 +112,11 @@ def keyword_scores(passages: DataFrame, query: str, fields: dict[str, float] | N
     return counted.withColumn("score", score).where("score > 0").select(*passages.columns, "score")
 
 
+def query_terms(query: str) -> list[str]:
+    """Distinct words of a query, in order."""
+    return list(dict.fromkeys(w for w in _split(query) if w))
+
+
 def _is(term: str):
     return lambda w: w == term
 

@@ -18,6 +18,8 @@ from .operators.admission import IgnoreFile, PathPolicy, admission, manual_exclu
 from .operators.chunking import chunk_notes
 from .operators.coverage import span_coverage as covered
 from .operators.embedding import HashingEmbedder, embed_late, reuse_vectors
+from .operators.keyword_index import KeywordIndex
+from .operators.vector_index import VectorIndex
 from .plans import indexing as I
 from .sources import store as S
 from .streaming import changes as C
@@ -243,6 +245,38 @@ def bm25f_topk(spark: SparkSession, d: str) -> DataFrame:
     return R.ranked(R.keyword_scores(_passages(spark, d), _QUERY), ["passage_id"], 300).select("passage_id", rounded("score").alias("score"))
 
 
+def _vault_store(spark: SparkSession, d: str, passages: DataFrame, notes: DataFrame) -> S.SnapshotStore:
+    """A store of two commits: all notes without those of odd ids and with stale texts of the others' thirds, then what sets both right."""
+    store = S.SnapshotStore(spark, f"{shared_folder(spark)}/noteloom-store-{uuid.uuid4().hex}")
+    for stale in (True, False):
+        some = F.pmod("note_id", F.lit(2)) == 0 if stale else (F.pmod("note_id", F.lit(2)) == 1) | (F.pmod("note_id", F.lit(3)) == 0)
+        mark = lambda df: df.where(some).withColumn("snapshot_id", F.lit("old" if stale else "new"))
+        kept = mark(passages)
+        if stale:
+            kept = kept.withColumn("body", F.when(F.pmod("note_id", F.lit(3)) == 0, F.concat(F.lit("stale the then "), "body")).otherwise(F.col("body")))
+        store.upsert(1, mark(notes), kept)
+    return store
+
+
+@query(f"with {_BM25} select passage_id, round(score, 6) as score from keyword order by keyword.score desc, passage_id limit 300")
+def bm25f_indexed(spark: SparkSession, d: str) -> DataFrame:
+    """``bm25f_topk`` from the stored inverted index of a vault whose second commit replaces some notes."""
+    passages = _passages(spark, d).withColumn("passage_index", (F.row_number().over(Window.partitionBy("note_id").orderBy("turn")) - 1).cast("int"))
+    store = _vault_store(spark, d, passages, passages.select("note_id").distinct())
+    found = KeywordIndex(store, 1).search(_QUERY, 300, tie=["passage_id"])
+    return found.hits.select("passage_id", rounded("score").alias("score"))
+
+
+@query(f"select vec_id, round(list_cosine_similarity(embedding::double[], {_LITERAL}::double[]), 6) as score from embeddings order by list_cosine_similarity(embedding::double[], {_LITERAL}::double[]) desc, vec_id limit 90")
+def near_vector_pruned(spark: SparkSession, d: str) -> DataFrame:
+    """``near_vector`` from the pivot layout of a vault whose second commit replaces some notes."""
+    e = _t(spark, d, "embeddings")
+    notes = e.select(F.col("vec_id").alias("note_id"), F.col("embedding").alias("vector"))
+    passages = e.select(F.col("vec_id").alias("note_id"), F.lit(0).alias("passage_index"), F.lit("p").alias("passage_id"), F.lit("").alias("body"))
+    found = VectorIndex(_vault_store(spark, d, passages, notes), 1).nearest(_LITERAL, 90)
+    return found.hits.select(F.col("note_id").alias("vec_id"), rounded("score").alias("score"))
+
+
 _HYBRID = f"""{_BM25},
 kw as (select * from keyword order by score desc, passage_id limit 300),
 vec as (

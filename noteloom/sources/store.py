@@ -75,6 +75,29 @@ class SnapshotStore:
                     raise
         raise SnapshotError("other writers kept changing the manifest")
 
+    def place(self, built: str, name: str) -> bool:
+        """Give a finished folder its name; if another writer was faster, the folder is deleted and the answer is false."""
+        jvm = self.spark.sparkContext._jvm
+        files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._path(self.root).toUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
+        try:
+            files.rename(files.makeQualified(self._path(built)), files.makeQualified(self._path(name)), self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0))
+            return True
+        except Py4JJavaError as e:
+            self._fs.delete(self._path(built), True)
+            if "FileAlreadyExists" not in str(e.java_exception):
+                raise
+            return False
+
+    def exists(self, folder: str) -> bool:
+        return self._fs.exists(self._path(folder))
+
+    def delete(self, folder: str) -> None:
+        self._fs.delete(self._path(folder), True)
+
+    def names(self, folder: str) -> list[str]:
+        """Names in a folder; none if there is no such folder."""
+        return [f.getPath().getName() for f in self._fs.listStatus(self._path(folder))] if self.exists(folder) else []
+
     def generations(self) -> list[int]:
         return sorted(map(int, self._manifest()[1]))
 
@@ -89,11 +112,22 @@ class SnapshotStore:
 
     def read(self, kind: str, generation: int) -> DataFrame:
         """One generation's table; partition pruning is by the folder. A row counts unless a later commit replaces or drops its note."""
-        commits = self._commits(generation)
+        return self.read_at(kind, generation, self._commits(generation))
+
+    def commits(self, generation: int) -> list[str]:
+        """Names of a generation's commits, oldest first: a snapshot that ``read_at`` reads whatever others write meanwhile."""
+        return list(self._commits(generation))
+
+    def gone(self, generation: int, commit: str) -> DataFrame:
+        """Ids of the notes that a commit replaces or drops; the first commit has no such table."""
+        return self.spark.read.parquet(self._at("gone", generation, commit))
+
+    def read_at(self, kind: str, generation: int, commits: list[str]) -> DataFrame:
+        """A generation's table as it was after the last of these commits."""
         parts = [self.spark.read.parquet(self._at(kind, generation, commits[-1]))]
         gone = None
         for older, newer in zip(commits[-2::-1], commits[:0:-1]):
-            ids = self.spark.read.parquet(self._at("gone", generation, newer))
+            ids = self.gone(generation, newer)
             gone = ids if gone is None else gone.unionByName(ids).distinct()
             parts.append(self.spark.read.parquet(self._at(kind, generation, older)).join(gone, "note_id", "left_anti"))
         return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
