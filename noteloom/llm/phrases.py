@@ -18,6 +18,7 @@ from functools import partial
 from itertools import chain
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
@@ -106,9 +107,10 @@ def _hashes(lang: str, words: list[bytes]) -> np.ndarray:
     return np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in words), np.uint64, len(words))
 
 
-def _pair_hash(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+def _pair_key(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """A key of 40 bits for a pair of words, by their hashes. Pairs that share one are counted as one here, so a map may let a rare pair through."""
     mixed = (first ^ (first >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + second
-    return mixed ^ (mixed >> np.uint64(32))
+    return (mixed ^ (mixed >> np.uint64(32))) & np.uint64((1 << 40) - 1)
 
 
 def _held(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
@@ -151,43 +153,28 @@ def _pairs(lang: str, block: bytes, frequent: np.ndarray) -> tuple[list[bytes],
     return words, ids, hashes, together
 
 
-class _PairCounts:
-    """Counts of a task's pairs of one language over many blocks: words have one number in all of them."""
-
-    def __init__(self, lang: str) -> None:
-        self.lang, self.numbers, self.pairs, self.counts = lang, _Numbers(), [], []
-        self.held = 0
-
-    def add(self, words: list[bytes], first: np.ndarray, second: np.ndarray) -> None:
-        found, counts = np.unique(first * len(words) + second, return_counts=True)
-        known = np.unique(np.concatenate([found // len(words), found % len(words)]))
-        number = np.zeros(len(words), np.int64)
-        number[known] = [self.numbers[words[i]] for i in known.tolist()]
-        self.pairs.append(number[found // len(words)] << 32 | number[found % len(words)])
-        self.counts.append(counts)
-        self.held += len(found)
-
-    def rows(self) -> pa.RecordBatch:
-        found, at = np.unique(np.concatenate(self.pairs), return_inverse=True)
-        counts = np.bincount(at, weights=np.concatenate(self.counts)).astype(np.int64)  # below 2^53 within a task
-        words = list(self.numbers)
-        return _rows(self.lang, [words[i] + JOIN + words[j] for i, j in zip((found >> 32).tolist(), (found & 0xFFFFFFFF).tolist())], counts)
-
-
 def count_pairs(batches: Iterator[pa.RecordBatch], frequent: bytes) -> Iterator[pa.RecordBatch]:
-    """Pairs of neighbouring words that are both in the map, with their counts, given out each time that many are held."""
+    """Keys of pairs of neighbouring words that are both in the map, with their counts, given out each time that many are held."""
     frequent = np.frombuffer(frequent, np.uint64)
-    held: dict[str, _PairCounts] = {}
+    keys, counts, held = [], [], 0
+
+    def rows() -> pa.RecordBatch:
+        found, at = np.unique(np.concatenate(keys), return_inverse=True)
+        total = np.bincount(at, weights=np.concatenate(counts)).astype(np.int64)  # below 2^53 within a task
+        return pa.RecordBatch.from_arrays([pa.array(found.astype(np.int64)), pa.array(total)], ["key", "f"])
+
     for lang, block in chain.from_iterable(map(_blocks, batches)):
-        words, ids, _, together = _pairs(lang, block, frequent)
+        _, ids, hashes, together = _pairs(lang, block, frequent)
         at = np.flatnonzero(together)
-        if not len(at):
-            continue
-        held.setdefault(lang, _PairCounts(lang)).add(words, ids[at], ids[at + 1])
-        if sum(h.held for h in held.values()) > HELD_PAIRS:
-            yield from (h.rows() for h in held.values())
-            held = {}
-    yield from (h.rows() for h in held.values())
+        found, n = np.unique(_pair_key(hashes[ids[at]], hashes[ids[at + 1]]), return_counts=True)
+        keys.append(found)
+        counts.append(n)
+        held += len(found)
+        if held > HELD_PAIRS:
+            yield rows()
+            keys, counts, held = [], [], 0
+    if held:
+        yield rows()
     release_memory()
 
 
@@ -197,7 +184,7 @@ def project(batches: Iterator[pa.RecordBatch], frequent: bytes, frequent_pairs:
     for lang, block in chain.from_iterable(map(_blocks, batches)):
         words, ids, hashes, together = _pairs(lang, block, frequent)
         at = np.flatnonzero(together)
-        together[at] = _held(frequent_pairs, _pair_hash(hashes[ids[at]], hashes[ids[at + 1]]))
+        together[at] = _held(frequent_pairs, _pair_key(hashes[ids[at]], hashes[ids[at + 1]]))
         at = np.flatnonzero(together)
         if not len(at):
             continue
@@ -265,20 +252,13 @@ def grow(batches: Iterator[pa.RecordBatch], support: int) -> Iterator[pa.RecordB
     release_memory()
 
 
-def _bit_map(phrases: DataFrame, pairs: bool) -> bytes:
-    """Map of the hashes of (lang, phrase): as many 64-bit words as MAP_BITS allows, whatever the number of phrases."""
-
-    @pandas_udf("long")
-    def bit(langs, names):
-        import pandas as pd
-
-        def one(lang: str, name: bytes) -> int:
-            h = _hashes(lang, name.split(JOIN))
-            return int((_pair_hash(h[:1], h[1:]) if pairs else h)[0] % np.uint64(MAP_BITS))
+def _word_keys(langs: pd.Series, words: pd.Series) -> pd.Series:
+    return pd.Series([int(_hashes(lang, [word])[0] % np.uint64(MAP_BITS)) for lang, word in zip(langs, words)], dtype="int64")
 
-        return pd.Series([one(lang, name) for lang, name in zip(langs, names)], dtype="int64")
 
-    at = phrases.select(bit("lang", "phrase").alias("at"))
+def _bit_map(keys: DataFrame) -> bytes:
+    """Map of one column of keys: as many 64-bit words as MAP_BITS allows, whatever the number of keys."""
+    at = keys.select(F.pmod(F.col(keys.columns[0]), F.lit(MAP_BITS)).alias("at"))
     parts = at.groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits"))
     bits = np.zeros(MAP_BITS // WORD_OF_MAP, np.int64)
     for chunk in parts.toArrow().to_batches():  # at most MAP_BITS / 64 rows
@@ -310,9 +290,9 @@ def count_phrases(docs: DataFrame, support: int) -> tuple[DataFrame, DataFrame,
     counted = materialize(_total(texts.mapInArrow(count_words, _ROWS)))
     sizes = materialize(counted.groupBy("lang").agg(F.sum("f").alias("n")))
     words = materialize(counted.where(F.col("f") >= support))
-    known = _bit_map(words, pairs=False)
-    pairs = materialize(_total(texts.mapInArrow(partial(count_pairs, frequent=known), _ROWS)).where(F.col("f") >= support))
-    pointers = materialize(texts.mapInArrow(partial(project, frequent=known, frequent_pairs=_bit_map(pairs, pairs=True)), _ROWS))
+    known = _bit_map(words.select(pandas_udf(_word_keys, "long")("lang", "phrase")))
+    pairs = texts.mapInArrow(partial(count_pairs, frequent=known), "key long, f long").groupBy("key").agg(F.sum("f").alias("f")).where(F.col("f") >= support)
+    pointers = materialize(texts.mapInArrow(partial(project, frequent=known, frequent_pairs=_bit_map(pairs.select("key"))), _ROWS))
     # Equal pointers of different blocks may be many: the salt lets a range end between them.
     tasks = partitions(pointers, -(-pointers.count() // TASK_POINTERS))
     dealt = pointers.withColumn("salt", F.monotonically_increasing_id()).repartitionByRange(tasks, "lang", "phrase", "salt").sortWithinPartitions("lang", "phrase")
