@@ -41,9 +41,9 @@ WORD_OF_MAP = 64
 BLOCK_BYTES = 4 << 20
 #: Pointers of one task of the growth, which holds them in memory (about 200 bytes each).
 TASK_POINTERS = 1_000_000
-#: Words that a task may remember counts of before it gives them out.
-HELD_WORDS = 400_000
-#: Pairs of words, likewise (each block's distinct ones count).
+#: Words or pointers that a task may hold counts of before it gives them out.
+HELD_PHRASES = 400_000
+#: Keys of pairs of words, likewise (each block's distinct ones count).
 HELD_PAIRS = 3_000_000
 #: A language's candidates are ranked in this many parts first.
 RANK_PARTS = 64
@@ -125,20 +125,32 @@ def _rows(lang: str, phrases: list[bytes], counts: np.ndarray) -> pa.RecordBatch
 _ROWS = "lang string, phrase binary, f long"
 
 
+class _Held:
+    """Counts of phrases by language over a task's blocks, given out each time that many are held."""
+
+    def __init__(self) -> None:
+        self.counts: dict[str, dict[bytes, int]] = {}
+
+    def add(self, lang: str, phrases: list[bytes], counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        known = self.counts.setdefault(lang, {})
+        for phrase, n in zip(phrases, counts.tolist()):
+            known[phrase] = known.get(phrase, 0) + n
+        if sum(map(len, self.counts.values())) > HELD_PHRASES:
+            yield from self.rest()
+
+    def rest(self) -> Iterator[pa.RecordBatch]:
+        for lang, known in self.counts.items():
+            yield _rows(lang, list(known), np.fromiter(known.values(), np.int64, len(known)))
+        self.counts = {}
+
+
 def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Words of a task's texts with their counts, given out each time that many are held."""
-    held: dict[str, dict[bytes, int]] = {}
+    """Words of a task's texts with their counts."""
+    held = _Held()
     for lang, block in chain.from_iterable(map(_blocks, batches)):
         words, ids = _numbered(block)
-        counts = held.setdefault(lang, {})
-        for word, n in zip(words, np.bincount(ids, minlength=len(words)).tolist()):
-            counts[word] = counts.get(word, 0) + n
-        if sum(map(len, held.values())) > HELD_WORDS:
-            for name, known in held.items():
-                yield _rows(name, list(known), np.fromiter(known.values(), np.int64, len(known)))
-            held = {}
-    for name, known in held.items():
-        yield _rows(name, list(known), np.fromiter(known.values(), np.int64, len(known)))
+        yield from held.add(lang, words, np.bincount(ids, minlength=len(words)))
+    yield from held.rest()
     release_memory()
 
 
@@ -179,8 +191,9 @@ def count_pairs(batches: Iterator[pa.RecordBatch], frequent: bytes) -> Iterator[
 
 
 def project(batches: Iterator[pa.RecordBatch], frequent: bytes, frequent_pairs: bytes) -> Iterator[pa.RecordBatch]:
-    """Pointers of a task's texts: for each place, the longest run of frequent pairs from there, up to five words; equal ones of a block together."""
+    """Pointers of a task's texts: for each place, the longest run of frequent pairs from there, up to five words; equal ones together."""
     frequent, frequent_pairs = np.frombuffer(frequent, np.uint64), np.frombuffer(frequent_pairs, np.uint64)
+    held = _Held()
     for lang, block in chain.from_iterable(map(_blocks, batches)):
         words, ids, hashes, together = _pairs(lang, block, frequent)
         at = np.flatnonzero(together)
@@ -201,7 +214,8 @@ def project(batches: Iterator[pa.RecordBatch], frequent: bytes, frequent_pairs:
         names = np.array(words, dtype=object)
         columns = [names[padded[start + i]].tolist() for i in range(LONGEST)]
         phrases = [JOIN.join(p[:n]) for p, n in zip(zip(*columns), length.tolist())]
-        yield _rows(lang, phrases, counts)
+        yield from held.add(lang, phrases, counts)
+    yield from held.rest()
     release_memory()
 
 
