@@ -54,7 +54,8 @@ def property_kind(value_json: Column) -> Column:
     items = F.from_json(value_json, "array<string>")
     element = F.regexp_extract(shape, r"^ARRAY<(.*)>$", 1)
     listed = (
-        F.when((element == "STRING") & F.forall(items, is_date), "dateArray")
+        F.when(F.exists(items, F.isnull), "textArray")
+        .when((element == "STRING") & F.forall(items, is_date), "dateArray")
         .when(element == "STRING", "textArray")
         .when(element.rlike(number), "numberArray")
         .when(element == "BOOLEAN", "booleanArray")
@@ -111,6 +112,12 @@ def canonical_json_text(value: pd.Series) -> pd.Series:
     return value.map(lambda s: None if s is None else canonical_json(json.loads(s)))
 
 
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def json_items(value: pd.Series) -> pd.Series:
+    """Items of JSON lists as canonical text each; a null item is the text ``null``, a text keeps its quotes."""
+    return value.map(lambda s: None if s is None else [canonical_json(x) for x in json.loads(s)])
+
+
 def property_map(json_text: Column) -> Column:
     """The properties of a note as a map from key to JSON value; whatever characters a key has, it is no path."""
     return F.from_json(json_text, "map<string,variant>")
@@ -170,6 +177,10 @@ def _value(value_json: Column, kind: str) -> Column:
         return F.transform(F.from_json(value_json, "array<string>"), date_value)
     if kind in ("json", "text"):
         return value_json if kind == "json" else text
+    if kind == "textArray":
+        items = F.from_json(value_json, "array<string>")
+        plain = (F.regexp_extract(F.schema_of_variant(v), r"^ARRAY<(.*)>$", 1) == "STRING") & ~F.exists(items, F.isnull)
+        return F.when(plain, items).otherwise(json_items(F.when(~plain, value_json)))
     if kind.endswith("Array"):
         return F.from_json(value_json, KIND_TYPE[kind].simpleString())
     return F.try_variant_get(v, "$", KIND_TYPE[kind].simpleString())

@@ -15,7 +15,7 @@ from ..operators.chunking import chunk_notes
 from ..operators.embedding import Embedder, embed_late, embed_notes, embed_passages
 from ..sources.notes import parse_notes, read_markdown
 from ..schema import PASSAGE_SCHEMA
-from ..sources.store import SnapshotStore
+from ..sources.store import Fence, SnapshotStore
 
 #: Columns of a passage that depend on its note's body alone.
 PASSAGE_COLUMNS = (*PASSAGE_SCHEMA.names, "vector")
@@ -90,12 +90,17 @@ def _passage_rows(passages: DataFrame, notes: DataFrame, fields: list[tuple[str,
     return joined.withColumn("object_id", object_id(F.concat_ws("\0", F.lit(vault), F.lit("passage"), "snapshot_id", F.concat_ws("|", "note_id", "passage_id"))))
 
 
-def _embedded(notes: DataFrame, embedder: Embedder, late: bool) -> tuple[DataFrame, DataFrame]:
-    """Notes with their vectors, and their passages with vectors and the notes' frontmatter_lines."""
-    whole = notes.join(embed_notes(notes, "note_id", "canonical", embedder), "note_id")
-    passages = chunk_notes(notes, "note_id", "canonical", embedder.context_limit, embedder.count, embedder.encode if late else None, late)
-    held = passages.join(embed_late(notes, passages, "note_id", "canonical", embedder), ["note_id", "passage_index"]) if late else embed_passages(passages, embedder)
-    return whole, held.join(notes.select("note_id", "frontmatter_lines"), "note_id")
+def _embedded(notes: DataFrame, embedder: Embedder, late: bool, old: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Notes with their vectors, and their passages with vectors and the notes' frontmatter_lines.
+
+    Both are written before they are used, so that each note meets the model once and is cut once. ``old`` passages of
+    the same notes and model lend their vectors to unchanged bodies; in late mode a vector depends on its whole window,
+    so none is reused.
+    """
+    whole = cut(notes.join(embed_notes(notes, "note_id", "canonical", embedder), "note_id"))
+    passages = cut(chunk_notes(notes, "note_id", "canonical", embedder.context_limit, embedder.count, embedder.encode if late else None, late))
+    held = passages.join(embed_late(notes, passages, "note_id", "canonical", embedder), ["note_id", "passage_index"]) if late else embed_passages(passages, embedder, old)
+    return whole, cut(held).join(notes.select("note_id", "frontmatter_lines"), "note_id")
 
 
 def _fields(notes: DataFrame) -> list[tuple[str, str, str]]:
@@ -106,6 +111,7 @@ def _fields(notes: DataFrame) -> list[tuple[str, str, str]]:
 def build_index(spark: SparkSession, root: str, embedder: Embedder, policy: PathPolicy = PathPolicy(), vault: str = "vault", generation: int = 1, late: bool = False) -> IndexResult:
     """Plan of a full index: admitted notes and their passages with vectors, and the notes that were kept out with reasons."""
     notes, judged = _admitted(spark, root, policy, vault, generation)
+    notes = cut(notes)
     scope = {"vault_id": F.lit(vault), "generation": F.lit(generation), "fingerprint": F.lit(embedder.fingerprint)}
     fields = _fields(notes)
     whole, passages = _embedded(notes, embedder, late)
@@ -113,22 +119,23 @@ def build_index(spark: SparkSession, root: str, embedder: Embedder, policy: Path
     return IndexResult(rows, _passage_rows(passages, rows.drop("vector"), fields, vault), judged.where("not admitted").select("path", "reason", "deferred"))
 
 
-def index_vault(spark: SparkSession, root: str, store: SnapshotStore, embedder: Embedder, **options) -> IndexResult:
+def index_vault(spark: SparkSession, root: str, store: SnapshotStore, embedder: Embedder, fence: Fence | None = None, **options) -> IndexResult:
     """Build and publish in one go."""
     result = build_index(spark, root, embedder, **options)
-    store.publish(options.get("generation", 1), result.notes, result.passages)
+    store.publish(options.get("generation", 1), result.notes, result.passages, fence)
     return result
 
 
-def reconcile(spark: SparkSession, root: str, store: SnapshotStore, embedder: Embedder, policy: PathPolicy = PathPolicy(), vault: str = "vault", generation: int = 1, late: bool = False) -> dict[str, int]:
+def reconcile(spark: SparkSession, root: str, store: SnapshotStore, embedder: Embedder, policy: PathPolicy = PathPolicy(), vault: str = "vault", generation: int = 1, late: bool = False, fence: Fence | None = None) -> dict[str, int]:
     """Bring a served generation up to date with a folder: number of notes by action.
 
     Notes whose snapshot is served are left alone; those whose body is, but not their path, tags or properties, keep
-    their vectors and passages under the new snapshot; others are embedded; notes that are no longer admitted go. Only
-    changed notes are written. An unknown generation is built in whole.
+    their vectors and passages under the new snapshot; others are embedded, but for passages whose body they had before;
+    notes that are no longer admitted go. Only changed notes are written. An unknown generation is built in whole. With
+    a fence, work that became stale meanwhile is refused as it is stored.
     """
     if generation not in store.generations():
-        index_vault(spark, root, store, embedder, policy=policy, vault=vault, generation=generation, late=late)
+        index_vault(spark, root, store, embedder, fence, policy=policy, vault=vault, generation=generation, late=late)
         return {"embed": store.read("notes", generation).count()}
     notes, _ = _admitted(spark, root, policy, vault, generation)
     served, old_passages = store.read("notes", generation), store.read("passages", generation)
@@ -138,13 +145,15 @@ def reconcile(spark: SparkSession, root: str, store: SnapshotStore, embedder: Em
     fields = _fields(acted)
     scope = {"vault_id": F.lit(vault), "generation": F.lit(generation), "fingerprint": F.lit(embedder.fingerprint)}
     moved = acted.where("action = 'metadata'")
-    new_rows, new_passages = _embedded(acted.where("action = 'embed'"), embedder, late)
+    changed = acted.where("action = 'embed'")
+    siblings = old_passages.where(F.col("fingerprint") == embedder.fingerprint).join(changed.select("note_id"), "note_id", "left_semi")
+    new_rows, new_passages = _embedded(changed, embedder, late, siblings.select("body", "vector", "passage_index"))
     kept_rows = moved.join(served.select("note_id", "mode", "vector"), "note_id")
     kept_passages = old_passages.select(*PASSAGE_COLUMNS).join(moved.select("note_id", "frontmatter_lines"), "note_id")
     rows = _note_rows(new_rows.unionByName(kept_rows), fields, scope)
     passages = _passage_rows(new_passages.select("frontmatter_lines", *PASSAGE_COLUMNS).unionByName(kept_passages.select("frontmatter_lines", *PASSAGE_COLUMNS)), rows.drop("vector"), fields, vault)
     if counts.get("embed") or counts.get("metadata") or counts["purge"]:
-        store.upsert(generation, rows, passages, purge)
+        store.upsert(generation, rows, passages, purge, fence)
     return counts
 
 

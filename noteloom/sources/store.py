@@ -11,6 +11,7 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Callable
+from dataclasses import dataclass
 from functools import reduce
 from operator import and_
 
@@ -21,12 +22,26 @@ from pyspark.sql import functions as F
 
 #: Commits of a generation before it is rewritten as one, manifests kept for slow readers, and tries of a writer among others.
 MOST_COMMITS, KEPT_MANIFESTS, ATTEMPTS = 16, 4, 20
+#: The manifest's entry for fences, beside the generations.
+FENCES = "fences"
 
 
 class SnapshotError(RuntimeError):
     """Stored rows do not match what was to be stored."""
 
 
+class StaleWork(RuntimeError):
+    """Work was begun before everything was invalidated, or is no newer than what is stored: it must not be stored."""
+
+
+@dataclass(frozen=True)
+class Fence:
+    """What a writer knew when it began: the generation's epoch, and the revision of its own work. Revisions of an epoch only rise."""
+
+    epoch: int
+    revision: int
+
+
 class SnapshotStore:
     """Tables ``notes`` and ``passages`` for each generation below a folder that all executors share."""
 
@@ -99,7 +114,42 @@ class SnapshotStore:
         return [f.getPath().getName() for f in self._fs.listStatus(self._path(folder))] if self.exists(folder) else []
 
     def generations(self) -> list[int]:
-        return sorted(map(int, self._manifest()[1]))
+        return sorted(int(g) for g in self._manifest()[1] if g != FENCES)
+
+    def fence(self, generation: int) -> Fence:
+        """The generation's epoch and the revision stored last in it (-1: none)."""
+        return Fence(*self._manifest()[1].get(FENCES, {}).get(str(generation), [0, -1]))
+
+    def invalidate(self, generation: int) -> int:
+        """Begin a new epoch: fenced work that was begun before is refused at its commit. Returns the epoch."""
+
+        def change(held: dict) -> dict:
+            epoch, _ = held.get(FENCES, {}).get(str(generation), [0, -1])
+            return held | {FENCES: held.get(FENCES, {}) | {str(generation): [epoch + 1, -1]}}
+
+        self._change(change)
+        return self.fence(generation).epoch
+
+    def _commit(self, generation: int, commit: str, fence: Fence | None, change: Callable[[dict], dict]) -> None:
+        """Name a written commit in the manifest if its fence still stands there; else its files go, and the work is stale.
+
+        The fence is compared in the same exchange of manifests that names the commit, so no older writer comes between.
+        """
+
+        def fenced(held: dict) -> dict:
+            if fence is None:
+                return change(held)
+            epoch, revision = held.get(FENCES, {}).get(str(generation), [0, -1])
+            if fence.epoch != epoch or fence.revision <= revision:
+                raise StaleWork(f"epoch {fence.epoch}, revision {fence.revision} came after epoch {epoch}, revision {revision}")
+            return change(held) | {FENCES: held.get(FENCES, {}) | {str(generation): [fence.epoch, fence.revision]}}
+
+        try:
+            self._change(fenced)
+        except StaleWork:
+            for kind in (*self.KINDS, "gone"):
+                self.delete(self._at(kind, generation, commit))
+            raise
 
     def _commits(self, generation: int) -> list[str]:
         held = self._manifest()[1].get(str(generation))
@@ -139,19 +189,19 @@ class SnapshotStore:
         verify_snapshot(*(self.spark.read.parquet(self._at(k, generation, commit)) for k in self.KINDS))
         return commit
 
-    def publish(self, generation: int, notes: DataFrame, passages: DataFrame) -> None:
-        """Replace a generation's tables as a pair; the written rows are verified before they are served."""
+    def publish(self, generation: int, notes: DataFrame, passages: DataFrame, fence: Fence | None = None) -> None:
+        """Replace a generation's tables as a pair; the written rows are verified before they are served. ``StaleWork`` if the fence has fallen."""
         commit = self._write(generation, notes, passages)
-        self._change(lambda held: held | {str(generation): [commit]})
+        self._commit(generation, commit, fence, lambda held: held | {str(generation): [commit]})
 
-    def upsert(self, generation: int, notes: DataFrame, passages: DataFrame, purge: DataFrame | None = None) -> None:
-        """Replace the snapshots of the given notes and drop those in ``purge`` (note_id), writing these notes alone."""
+    def upsert(self, generation: int, notes: DataFrame, passages: DataFrame, purge: DataFrame | None = None, fence: Fence | None = None) -> None:
+        """Replace the snapshots of the given notes and drop those in ``purge`` (note_id), writing these notes alone. ``StaleWork`` if the fence has fallen."""
         if generation not in self.generations():
-            return self.publish(generation, notes, passages)
+            return self.publish(generation, notes, passages, fence)
         commit = self._write(generation, notes, passages)
         gone = self.spark.read.parquet(self._at("notes", generation, commit)).select("note_id")
         (gone if purge is None else gone.unionByName(purge.select("note_id"))).distinct().write.parquet(self._at("gone", generation, commit))
-        self._change(lambda held: held | {str(generation): [*held[str(generation)], commit]})
+        self._commit(generation, commit, fence, lambda held: held | {str(generation): [*held[str(generation)], commit]})
         if len(self._commits(generation)) > MOST_COMMITS:
             self.compact(generation)
 
