@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 MOST_COMMITS, KEPT_MANIFESTS, ATTEMPTS = 16, 4, 20
 #: The manifest's entry for fences, beside the generations.
 FENCES = "fences"
+#: Folders of the indexes that follow a generation's commits.
+INDEXES = ("keywords", "vectors/notes", "vectors/passages")
 
 
 class SnapshotError(RuntimeError):
@@ -218,11 +220,44 @@ class SnapshotStore:
 
         self._change(change)
 
+    def purge(self, generation: int, ids: DataFrame, fence: Fence | None = None) -> int:
+        """Remove notes for good: they are no longer served, their rows are in no file, and the number of notes removed is returned.
+
+        The generation is rewritten without them and read back; only then files of replaced commits go, and with them
+        the search indexes' segments of these. A reader that began before and still reads the old files fails, and may
+        begin anew; nothing that it could still show is left. Unknown ids (note_id) are no error.
+        """
+        named = ids.select("note_id").distinct()
+        served = self.read("notes", generation).join(named, "note_id", "left_semi").count()
+        none = [self.read(kind, generation).limit(0) for kind in self.KINDS]
+        self.upsert(generation, *none, purge=named, fence=fence)
+        self.compact(generation)
+        for kind in self.KINDS:
+            if not self.read(kind, generation).join(named, "note_id", "left_semi").isEmpty():
+                raise SnapshotError(f"purged rows are still among the {kind}")
+        self.sweep(generation)
+        return served
+
+    def sweep(self, generation: int) -> list[str]:
+        """Delete the files of commits that the newest manifest does not name; returns these commits. Work that is being written is not named yet: sweep when no writer is at work."""
+        named, swept = set(self.commits(generation)), set()
+        for kind in (*self.KINDS, "gone"):
+            folder = f"{self.root}/{kind}/generation={generation}"
+            for name in self.names(folder):
+                if name.removeprefix("commit=") not in named:
+                    self.delete(f"{folder}/{name}")
+                    swept.add(name.removeprefix("commit="))
+        for index in INDEXES:
+            folder = f"{self.root}/{index}/generation={generation}"
+            for name in set(self.names(folder)) - named:
+                self.delete(f"{folder}/{name}")
+        return sorted(swept)
+
     def drop(self, generation: int) -> None:
         """Forget a generation, then delete its files; an unknown one is no error."""
         if generation in self.generations():
             self._change(lambda held: {g: c for g, c in held.items() if g != str(generation)})
-        for kind in (*self.KINDS, "gone"):
+        for kind in (*self.KINDS, "gone", *INDEXES):
             self._fs.delete(self._path(f"{self.root}/{kind}/generation={generation}"), True)
 
     def vectors(self, generation: int, keys: list[tuple[str, str]]) -> DataFrame:

@@ -88,6 +88,27 @@ def test_reconcile_calls_the_model_once_a_text_and_not_for_unchanged_passages(sp
     assert len(note) == 1 and sorted(t for t in again if t not in note) == sorted(set(bodies) - kept)
 
 
+def test_purge_leaves_no_file_with_a_purged_body(spark, tmp_path):
+    from noteloom.operators.keyword_index import KeywordIndex
+
+    store = SnapshotStore(spark, str(tmp_path))
+    notes = lambda *ids: spark.createDataFrame([(i, "s") for i in ids], NOTES)
+    passages = lambda *ids: spark.createDataFrame([(i, "s", 0, "p", f"secret {i}", "", f"secret{i}") for i in ids], f"{PASSAGES[: PASSAGES.index('body')]}passage_id string, body string, heading string, title string")
+    store.upsert(1, notes("a", "b"), passages("a", "b"))
+    store.upsert(1, notes("b", "c"), passages("b", "c"))
+    index = KeywordIndex(store, 1)
+    assert index.search("secretb", 5).hits.count() == 1
+    assert store.purge(1, spark.createDataFrame([("b",), ("unknown",)], "note_id string")) == 1
+    assert served(store) == [("a", "s"), ("c", "s")] and len(store.commits(1)) == 1
+    assert index.search("secretb", 5).hits.count() == 0 and index.search("secretc", 5).hits.count() == 1
+    tables = [t for kind in ("notes", "passages") for t in (tmp_path / kind / "generation=1").iterdir()]
+    assert len(tables) == 2 and len(list((tmp_path / "keywords/generation=1").iterdir())) == 1
+    assert spark.read.parquet(*map(str, tables)).where("note_id = 'b'").isEmpty()
+    assert index.table("blocks", index.refresh()).where("term = 'secretb'").isEmpty()
+    store.drop(1)
+    assert not (tmp_path / "keywords/generation=1").exists()
+
+
 def test_mixed_lists_hold_canonical_json(spark):
     text = '{"m": [1, "x", {"b": 1, "a": 2.50}, null], "n": [1, null], "s": ["a", null], "t": ["a", "b"], "k": [1, 2], "z": [null]}'
     notes = spark.createDataFrame([(1, text), (2, '{"m": ["plain", "text"]}'), (3, "{}")], "id long, j string")
