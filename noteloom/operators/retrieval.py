@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 from functools import reduce
 from operator import add
 
@@ -10,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import words
 from ..functions.vectors import checked_similarity, cosine_to
-from ..schema import CANDIDATE_CAP, RESULT_CAP
+from ..schema import CANDIDATE_CAP, RESULT_CAP, SEARCH_BUDGETS
 
 #: BM25F parameters of the public literature, and the weights of the fields.
 K1, B = 1.2, 0.75
@@ -89,6 +91,38 @@ def current(candidates: DataFrame, manifest: DataFrame, keys: list[str], purges:
     return candidates.join(manifest.where("servable").select(*keys), keys, "left_semi").join(purges.select(note), note, "left_anti")
 
 
+@dataclass(frozen=True)
+class Escalated:
+    """Admitted rows, how many candidates were taken, and whether there was nothing more to take."""
+
+    hits: DataFrame
+    taken: int
+    exhausted: bool
+
+
+def escalating(scored: DataFrame, key: str, admit: Callable[[DataFrame], DataFrame], budgets: Sequence[int] = SEARCH_BUDGETS, wanted: int = RESULT_CAP) -> Escalated:
+    """The best admitted rows where admission can't be joined before the top-k, as when it asks something outside.
+
+    ``scored`` has a unique key and finite scores; ``admit`` keeps some of the rows it is given. Each budget takes the
+    candidates below the last (score, key) taken, so no candidate is scored into a result twice; it ends when enough are
+    admitted, when there are no more, or at the last budget, which bounds what the driver holds.
+    """
+    spark, order = scored.sparkSession, [F.desc("score"), F.col(key)]
+    kept, taken, last, exhausted = [], 0, None, False
+    for budget in budgets:
+        below = scored if last is None else scored.where((F.col("score") < F.lit(last["score"])) | (F.col("score") == F.lit(last["score"])) & (F.col(key) > F.lit(last[key])))
+        window = below.orderBy(*order).limit(candidate_limit(budget) - taken).collect()
+        exhausted = len(window) < candidate_limit(budget) - taken
+        taken += len(window)
+        if window:
+            kept += admit(spark.createDataFrame(window, scored.schema)).select(scored.columns).collect()
+            last = window[-1]
+        if exhausted or len(kept) >= wanted:
+            break
+    best = spark.createDataFrame(kept, scored.schema).orderBy(*order).limit(wanted)
+    return Escalated(best, taken, exhausted)
+
+
 def keyword_scores(passages: DataFrame, query: str, fields: dict[str, float] | None = None) -> DataFrame:
     """Adds ``score``: BM25F of the query's distinct terms over the weighted fields; rows without a term are dropped.
 

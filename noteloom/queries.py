@@ -22,6 +22,7 @@ from .operators.keyword_index import KeywordIndex
 from .operators.vector_index import VectorIndex
 from .plans import indexing as I
 from .sources import store as S
+from .sources import validation as N
 from .streaming import changes as C
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -89,6 +90,35 @@ def near_vector(spark: SparkSession, d: str) -> DataFrame:
     return R.ranked(R.nearest(_t(spark, d, "embeddings"), _LITERAL, "embedding").select("vec_id", "score"), ["vec_id"], 90).select("vec_id", rounded("score").alias("score"))
 
 
+@query(f"""
+with top as (
+  select vec_id, label, list_cosine_similarity(embedding::double[], {_LITERAL}::double[]) as s from embeddings order by s desc, vec_id limit 1200)
+select vec_id, round(s, 6) as score from top where label = 3 order by s desc, vec_id limit 30""")
+def escalating_results(spark: SparkSession, d: str) -> DataFrame:
+    """The best thirty notes that an outside admission keeps (here: one label), found by growing budgets."""
+    e = _t(spark, d, "embeddings").select("vec_id", "label", "embedding")
+    scored = R.nearest(e, _LITERAL, "embedding").select("vec_id", "label", "score")
+    return R.escalating(scored, "vec_id", lambda rows: rows.where("label = 3")).hits.select("vec_id", rounded("score").alias("score"))
+
+
+@query("""
+with rows as (
+  select case when doc_id % 11 = 0 then repeat('x', 513) when doc_id % 13 = 0 then '' else doc_id::varchar end as note_id, case when doc_id % 5 = 0 then null else text end as body,
+    case when doc_id % 7 = 0 then n_chars + 1 else 0 end as s, n_chars as e from documents),
+faults as (
+  select unnest(list_filter([case when length(note_id) not between 1 and 512 then 'note_id' end, case when body is null then 'body' end, case when e < s then 'characters' end], lambda f: f is not null)) as fault from rows)
+select fault, count(*) as rows from faults group by fault""")
+def row_faults(spark: SparkSession, d: str) -> DataFrame:
+    """How many rows break which rule, over documents as passages with faults put in."""
+    every = lambda n: F.pmod("doc_id", F.lit(n)) == 0
+    name = F.when(every(11), F.repeat(F.lit("x"), 513)).when(every(13), F.lit("")).otherwise(F.col("doc_id").cast("string"))
+    rows = _t(spark, d, "documents").select(
+        name.alias("note_id"), F.lit("s").alias("snapshot_id"), F.lit(0).alias("passage_index"), F.when(~every(5), F.col("text")).alias("body"),
+        F.when(every(7), F.col("n_chars") + 1).otherwise(F.lit(0)).alias("start"), F.col("n_chars").alias("end"), F.lit(0).alias("start_line"), F.lit(0).alias("end_line"), F.lit(None).cast("int").alias("start_token"), F.lit(None).cast("int").alias("end_token"),
+    )
+    return N.fault_counts(N.with_faults(rows, N.passage_rules()))
+
+
 @query(f"select a.vec_id as source, b.vec_id as target, round({_COS}, 6) as cosine from embeddings a join embeddings b on b.vec_id = a.vec_id + 1")
 def cosine_pairs(spark: SparkSession, d: str) -> DataFrame:
     e = _t(spark, d, "embeddings")
