@@ -545,24 +545,20 @@ for _name, _f, _sql in (
     _filter_query(_name, _f, _sql)
 
 
-_DATES = (
-    ("2024-02-29", "2024-02-29T00:00:00.000Z"),
-    ("2026-02-30", None),
-    ("2026-99-01", None),
-    ("2026-2-3", None),
-    ("2026-02-28T23:59:59+02:00", "2026-02-28T21:59:59.000Z"),
-    ("2026-02-28T10:20Z", "2026-02-28T10:20:00.000Z"),
-    ("2026-02-28T10:20:30.1239-01:30", "2026-02-28T11:50:30.123Z"),
-    ("2026-02-28T10:20:30", None),
-    ("2026-02-28T24:00:00Z", None),
-    ("2026-02-30T12:00:00Z", None),
-    ("x", None),
-)
-
-
-@query("select * from (values " + ", ".join(f"('{a}', {'null' if b is None else repr(b)})" for a, b in _DATES) + ") t(value, iso)")
+@query("""
+with e as (select event_id, event_id % 6 as k, date_trunc('second', ts) as ts from events)
+select event_id,
+  strftime(ts, '%Y-%m-') || case when k = 5 then '32' else strftime(ts, '%d') end || case k when 0 then '' when 5 then '' else strftime(ts, 'T%H:%M:%S') end
+    || case k when 1 then 'Z' when 2 then '+02:30' when 3 then '.5-01:00' else '' end as value,
+  case when k < 4 then strftime(case k when 0 then date_trunc('day', ts) when 1 then ts when 2 then ts - interval 150 minute else ts + interval 60 minute end, '%Y-%m-%dT%H:%M:%S') || case when k = 3 then '.500Z' else '.000Z' end end as iso
+from e""")
 def date_normalize(spark: SparkSession, d: str) -> DataFrame:
-    return spark.createDataFrame([(a,) for a, _ in _DATES], "value string").select("value", P.date_text(F.col("value")).alias("iso"))
+    """Times of events as dates, zoned timestamps, timestamps without a zone and days that don't exist, normalised."""
+    ts, k = F.col("ts").cast("timestamp"), F.pmod("event_id", F.lit(6))
+    clock = F.when(k.isin(0, 5), "").otherwise(F.date_format(ts, "'T'HH:mm:ss"))
+    zone = F.when(k == 1, "Z").when(k == 2, "+02:30").when(k == 3, ".5-01:00").otherwise("")
+    value = F.concat(F.date_format(ts, "yyyy-MM-"), F.when(k == 5, "32").otherwise(F.date_format(ts, "dd")), clock, zone)
+    return _t(spark, d, "events").select("event_id", value.alias("value")).withColumn("iso", P.date_text(F.col("value")))
 
 
 # --- Admission, currency and incremental maintenance.

@@ -82,3 +82,25 @@ def test_admission_order(spark):
     got = admission(df, PathPolicy()).orderBy("i").collect()
     assert [(r.admitted, r.deferred) for r in got] == [(False, False), (False, True), (False, False), (False, False), (True, False)]
     assert got[3].reason == "Blocked tag status/inbox"
+
+
+DATES = (
+    ("2024-02-29", "2024-02-29T00:00:00.000Z"),
+    ("2026-02-30", None),
+    ("2026-99-01", None),
+    ("2026-2-3", None),
+    ("2026-02-28T23:59:59+02:00", "2026-02-28T21:59:59.000Z"),
+    ("2026-02-28T10:20Z", "2026-02-28T10:20:00.000Z"),
+    ("2026-02-28T10:20:30.1239-01:30", "2026-02-28T11:50:30.123Z"),
+    ("2026-02-28T10:20:30", None),
+    ("2026-02-28T24:00:00Z", None),
+    ("2026-02-30T12:00:00Z", None),
+    ("x", None),
+)
+
+
+def test_dates_that_exist_are_normalised(spark):
+    from noteloom.functions.properties import date_text
+
+    got = spark.createDataFrame([(a,) for a, _ in DATES], "value string").select("value", date_text(F.col("value"))).collect()
+    assert [tuple(r) for r in got] == list(DATES)
