@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import DataStreamWriter
 
 from ..operators.admission import PathPolicy
 from ..operators.embedding import Embedder
 from ..plans.indexing import reconcile
 from ..sources.store import Fence, SnapshotStore, StaleWork
+from .changes import apply_changes
+
+PATHS = "path string, note_id string"
 
 
 def maintain(notices: DataFrame, root: str, store: SnapshotStore, embedder: Embedder, checkpoint: str, policy: PathPolicy = PathPolicy(), vault: str = "vault", generation: int = 1, late: bool = False) -> DataStreamWriter:
@@ -34,3 +39,40 @@ def maintain(notices: DataFrame, root: str, store: SnapshotStore, embedder: Embe
 
     return notices.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
 
+
+class PathMap:
+    """Which note stands at which path, kept from a stream of changes: one table for each batch, below ``root``.
+
+    A batch's table is written under another name and then renamed to the batch's number. A batch that comes again after
+    a crash finds its table and changes nothing. Tables before the last two are deleted.
+    """
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, root.rstrip("/")
+        self._files = SnapshotStore(spark, self.root)
+
+    def batches(self) -> list[int]:
+        return sorted(int(n[6:]) for n in self._files.names(self.root) if n.startswith("batch-"))
+
+    def _at(self, number: int) -> str:
+        return f"{self.root}/batch-{number:010d}"
+
+    def read(self) -> DataFrame:
+        """(path, note_id) after the last batch."""
+        held = self.batches()
+        return self.spark.read.schema(PATHS).parquet(self._at(held[-1])) if held else self.spark.createDataFrame([], PATHS)
+
+    def apply(self, changes: DataFrame, number: int) -> None:
+        """Take in one batch, unless its table is there already."""
+        held = self.batches()
+        if held and held[-1] >= number:
+            return
+        new = f"{self.root}/new-{uuid.uuid4().hex}"
+        apply_changes(self.read(), changes).write.parquet(new)
+        self._files.place(new, self._at(number))
+        for old in held[:-1]:
+            self._files.delete(self._at(old))
+
+    def follow(self, changes: DataFrame, checkpoint: str) -> DataStreamWriter:
+        """A writer that applies each batch of a stream of changes, such as ``FolderWatch.stream``."""
+        return changes.writeStream.foreachBatch(self.apply).option("checkpointLocation", checkpoint)
