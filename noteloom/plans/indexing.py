@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,7 +15,7 @@ from ..operators.chunking import chunk_notes
 from ..operators.embedding import Embedder, embed_late, embed_notes, embed_passages
 from ..sources.notes import parse_notes, read_markdown
 from ..schema import PASSAGE_SCHEMA
-from ..sources.store import Fence, SnapshotStore
+from ..sources.store import Fence, SnapshotError, SnapshotStore, StaleWork, in_scope
 
 #: Columns of a passage that depend on its note's body alone.
 PASSAGE_COLUMNS = (*PASSAGE_SCHEMA.names, "vector")
@@ -46,11 +46,13 @@ def complete(admitted: DataFrame, manifest: DataFrame, generation: int, fingerpr
 
 @dataclass
 class IndexState:
-    """The small state that outlives a run."""
+    """The small state that outlives a run: the generation that is served, all numbers ever given, and a generation that is being built for another model."""
 
     active: int = 1
     known: list[int] = field(default_factory=lambda: [1])
     fingerprint: str = ""
+    building: int | None = None
+    building_fingerprint: str = ""
 
     def migrated(self, fingerprint: str) -> IndexState:
         """The state for a model: a new generation above all known ones if the model changed; the same state if not."""
@@ -60,6 +62,33 @@ class IndexState:
         new = known[-1] + 1
         return IndexState(new, [*known, new], fingerprint)
 
+    def begun(self, fingerprint: str) -> IndexState:
+        """The state while a generation for this model is built beside the served one. One begun for the same model goes on; one for another model is given up, and so is any if the served model is asked for again."""
+        if fingerprint == self.fingerprint:
+            return IndexState(self.active, self.known, self.fingerprint)
+        if self.building and fingerprint == self.building_fingerprint:
+            return self
+        new = self.migrated(fingerprint)
+        return IndexState(self.active, new.known, self.fingerprint, new.active, fingerprint)
+
+    def switched(self) -> IndexState:
+        """The state once the generation that was built is served."""
+        return IndexState(self.building, self.known, self.building_fingerprint)
+
+
+def stored_state(store: SnapshotStore) -> IndexState:
+    """The state in the store's manifest; without one, the newest generation under its rows' model, or a fresh state."""
+    held = store.state()
+    return IndexState(**held) if held else _first_state(store)
+
+
+def _first_state(store: SnapshotStore) -> IndexState:
+    generations = store.generations()
+    if not generations:
+        return IndexState()
+    row = store.read("notes", generations[-1]).select("fingerprint").first()
+    return IndexState(generations[-1], generations, row[0] if row else "")
+
 
 @dataclass(frozen=True)
 class IndexResult:
@@ -157,6 +186,59 @@ def reconcile(spark: SparkSession, root: str, store: SnapshotStore, embedder: Em
     return counts
 
 
+def update_index(spark: SparkSession, root: str, store: SnapshotStore, embedder: Embedder, policy: PathPolicy = PathPolicy(), vault: str = "vault", late: bool = False) -> IndexState:
+    """Bring the store up to date with folder and model, and return its state.
+
+    With the model that is served, the served generation is reconciled. With another one, a new generation is built
+    while the old one is served; it is reconciled once more, for what changed meanwhile, and then served by one exchange
+    of manifests, after which all other generations are dropped. The state lies in the manifest. After a crash at any
+    step some whole generation is served, and the same call goes on: what was built is kept, and leftovers are dropped.
+    ``StaleWork`` if the generation was invalidated meanwhile, or another model was asked for.
+    """
+    first = _first_state(store)
+    state = IndexState(**store.change_state(lambda held: asdict((IndexState(**held) if held else first).begun(embedder.fingerprint))))
+    number = state.building or state.active
+
+    def bring() -> None:
+        fence = store.fence(number)
+        reconcile(spark, root, store, embedder, policy, vault, number, late, Fence(fence.epoch, fence.revision + 1))
+
+    bring()
+    if state.building:
+        bring()
+
+        def switch(held: dict) -> dict:
+            now = IndexState(**held)
+            if now.building != number:
+                raise StaleWork(f"generation {number} is no longer the one to build")
+            return asdict(now.switched())
+
+        state = IndexState(**store.change_state(switch))
+    for other in store.generations():
+        if other != state.active:
+            store.drop(other)
+    return state
+
+
+def served(store: SnapshotStore, kind: str, vault: str, fingerprint: str) -> DataFrame:
+    """Rows of the served generation, for searches with a model; an error if another model is served, whose vectors say nothing beside this one's."""
+    state = stored_state(store)
+    if state.fingerprint != fingerprint:
+        raise SnapshotError(f"served is the model {state.fingerprint!r}, asked is {fingerprint!r}")
+    return store.read(kind, state.active).where(in_scope(vault, state.active, fingerprint))
+
+
+def purge_everywhere(store: SnapshotStore, ids: DataFrame) -> dict[int, int]:
+    """Remove notes (note_id) for good from every generation: number removed by generation.
+
+    Work that was begun before, on any generation or the one being built, is refused at its commit, so it can't bring
+    the notes back; what is begun later reads the folder, where they are gone or kept out.
+    """
+    for number in {*stored_state(store).known, *store.generations()}:
+        store.invalidate(number)
+    return {number: store.purge(number, ids) for number in store.generations()}
+
+
 def property_registry(notes: DataFrame) -> DataFrame:
     """Registry of all properties of the notes: (key, kind, physical_name)."""
     return registry(explode_properties(notes, "note_id", "properties_json"))

@@ -21,6 +21,7 @@ from .operators.embedding import HashingEmbedder, embed_late, reuse_vectors
 from .operators.keyword_index import KeywordIndex
 from .operators.vector_index import VectorIndex
 from .plans import indexing as I
+from .sources import folder_watch as L
 from .sources import store as S
 from .sources import validation as N
 from .streaming import changes as C
@@ -701,6 +702,45 @@ def invalidated_work(spark: SparkSession, d: str) -> DataFrame:
     return C.after_invalidation(events, events.where("user_id = 3"), "event_id")
 
 
+_FILED = """
+before as (select source || '/' || doc_id || '.md' as path, sha256(coalesce(text, '')) as was from documents),
+poor as (select distinct doc_id from labels where quality = 0),
+toxic as (select distinct doc_id from labels where toxic = 1),
+after as (
+  select coalesce(lang, 'und') || '/' || doc_id || '.md' as path, sha256(coalesce(text, '')) as now from documents anti join poor using (doc_id) anti join toxic using (doc_id)
+  union all select source || '/' || doc_id || '.md', sha256(coalesce(text, '') || '#') from documents semi join toxic using (doc_id) anti join poor using (doc_id)
+  union all select 'chats/' || conv_id || '.md', sha256(min_by(text, turn)) from conversations group by conv_id),
+differ as (select path, was, now from before full join after using (path) where was is distinct from now),
+numbered as (
+  select *, row_number() over (partition by digest, side order by left(md5(name), 3), left(md5(path), 1), md5(name), path) as place
+  from (select path, was as digest, 'left' as side, split_part(path, '/', -1) as name from differ where was is not null
+        union all select path, now, 'came', split_part(path, '/', -1) from differ where now is not null)),
+pairs as (select a.path as old_path, b.path from numbered a join numbered b on a.digest = b.digest and a.place = b.place and a.side = 'left' and b.side = 'came'),
+told as (select d.*, came.old_path, gone.path as new_path from differ d left join pairs came on came.path = d.path left join pairs gone on gone.old_path = d.path)"""
+
+
+@query(f"""
+with {_FILED}
+select path, 'rename' as op, old_path, 2::bigint as revision, now as digest from told where old_path is not null and was is null
+union all select '.held/' || path, 'rename', old_path, 2, now from told where old_path is not null and was is not null
+union all select path, 'rename', '.held/' || path, 3, now from told where old_path is not null and was is not null
+union all select path, 'create', null, 3, now from told where old_path is null and now is not null and (was is null or new_path is not null)
+union all select path, 'modify', null, 2, now from told where old_path is null and now is not null and was is not null and new_path is null
+union all select path, 'delete', null, 2, null from told where now is null and new_path is null""")
+def listing_changes(spark: SparkSession, d: str) -> DataFrame:
+    """What happens to the documents' files when they are filed by language and not by source: those of quality 0 go, toxic ones are edited where they are, and conversations come as new files."""
+    docs, labels = _t(spark, d, "documents"), _t(spark, d, "labels")
+    at = lambda folder, key: F.concat(folder, F.lit("/"), F.col(key).cast("string"), F.lit(".md")).alias("path")
+    digest = lambda text: F.sha2(text, 256).alias("digest")
+    text, poor, toxic = F.coalesce("text", F.lit("")), labels.where("quality = 0").select("doc_id"), labels.where("toxic = 1").select("doc_id")
+    kept = docs.join(poor, "doc_id", "left_anti")
+    moved = kept.join(toxic, "doc_id", "left_anti").select(at(F.coalesce("lang", F.lit("und")), "doc_id"), digest(text))
+    edited = kept.join(toxic, "doc_id", "left_semi").select(at(F.col("source"), "doc_id"), digest(F.concat(text, F.lit("#"))))
+    chats = _t(spark, d, "conversations").groupBy("conv_id").agg(F.min_by("text", "turn").alias("text")).select(at(F.lit("chats"), "conv_id"), digest(F.col("text")))
+    before = docs.select(at(F.col("source"), "doc_id"), digest(text))
+    return L.listing_changes(before, moved.unionByName(edited).unionByName(chats), 1).drop("note_id")
+
+
 # --- Chunking and embedding: pure functions over whole notes, beyond SQL.
 
 

@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 
 #: Commits of a generation before it is rewritten as one, manifests kept for slow readers, and tries of a writer among others.
 MOST_COMMITS, KEPT_MANIFESTS, ATTEMPTS = 16, 4, 20
-#: The manifest's entry for fences, beside the generations.
-FENCES = "fences"
+#: The manifest's entries for fences and for the index's state, beside the generations.
+FENCES, STATE = "fences", "state"
 #: Folders of the indexes that follow a generation's commits.
 INDEXES = ("keywords", "vectors/notes", "vectors/passages")
 
@@ -116,7 +116,25 @@ class SnapshotStore:
         return [f.getPath().getName() for f in self._fs.listStatus(self._path(folder))] if self.exists(folder) else []
 
     def generations(self) -> list[int]:
-        return sorted(int(g) for g in self._manifest()[1] if g != FENCES)
+        return sorted(int(g) for g in self._manifest()[1] if g not in (FENCES, STATE))
+
+    def state(self) -> dict:
+        """The small state that is kept in the manifest; empty before the first is stored."""
+        return self._manifest()[1].get(STATE, {})
+
+    def change_state(self, change: Callable[[dict], dict]) -> dict:
+        """Store a changed state and return it. If another writer was faster, the change is made to that one's state; an error in ``change`` stores nothing."""
+        stored: dict = {}
+
+        def within(held: dict) -> dict:
+            nonlocal stored
+            stored = change(held.get(STATE, {}))
+            return held | {STATE: stored}
+
+        if not self.exists(self.root):
+            self._fs.mkdirs(self._path(self.root))
+        self._change(within)
+        return stored
 
     def fence(self, generation: int) -> Fence:
         """The generation's epoch and the revision stored last in it (-1: none)."""
