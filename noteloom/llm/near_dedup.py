@@ -387,7 +387,7 @@ def keep_one(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     """Exactly one row of each class of near duplicates, with all columns: that of the least id, nulls last.
 
     Rows are told apart by id and text, not by id alone, so a text under another's id stays. Of several rows with the
-    same id and text one stays, by a hash of its other columns. Null texts are one class, and so are empty ones. An
+    same id and text one stays, by a hash of their JSON, so columns may be maps too. Null texts are one class, and so are empty ones. An
     empty table gives no rows.
     """
     rows, classes = _classes(docs, similarity, "doc_id", "text")
@@ -404,5 +404,5 @@ def keep_one(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     repeated = materialize(marked.where("stays"))
     if repeated.isEmpty():
         return single
-    several = docs.alias("d").join(keys_beside(repeated).alias("m"), same).select(F.struct("d.*").alias("row"), "m._id", "m._h1", "m._h2", F.xxhash64("d.*").alias("_at"))
+    several = docs.alias("d").join(keys_beside(repeated).alias("m"), same).select(F.struct("d.*").alias("row"), "m._id", "m._h1", "m._h2", F.xxhash64(F.to_json(F.struct("d.*"))).alias("_at"))
     return single.unionByName(several.groupBy("_id", "_h1", "_h2").agg(F.min_by("row", "_at").alias("row")).select("row.*"))

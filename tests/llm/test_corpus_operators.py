@@ -427,3 +427,13 @@ def test_pipeline_equals_its_parts(spark, tmp_path):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, sf).columns == docs.columns
+
+
+def test_keep_one_takes_repeated_rows_with_maps(spark):
+    """Of repeated rows one stays whole, whatever the types of the other columns."""
+    text = "one two three four five six seven eight nine ten"
+    rows = [(1, text, {"a": 1}, [{"k": None}]), (1, text, {"a": 2}, None), (1, text, None, []), (2, text, {}, None), (3, "other words", None, None), (3, "other words", None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, m map<string,int>, l array<map<string,string>>")
+    kept = near_dedup.keep_one(docs).collect()
+    assert sorted(r["doc_id"] for r in kept) == [1, 3] and all((r["doc_id"], r["text"], r["m"], r["l"]) in rows for r in kept)
+    assert near_dedup.keep_one(docs.limit(0)).count() == 0
