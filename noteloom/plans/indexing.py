@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.properties import KEY_ARRAYS, explode_properties, registry, typed_columns
 from ..functions.text import object_id, passage_id, snapshot_id, tag_ancestors
 from ..lineage import cut
-from ..operators.admission import PathPolicy, admission
+from ..operators.admission import PathPolicy, admission, affected, below
 from ..operators.chunking import chunk_notes
 from ..operators.embedding import Embedder, embed_late, embed_notes, embed_passages
 from ..sources.notes import parse_notes, read_markdown
@@ -97,9 +97,10 @@ class IndexResult:
     rejected: DataFrame
 
 
-def _admitted(spark: SparkSession, root: str, policy: PathPolicy, vault: str, generation: int) -> tuple[DataFrame, DataFrame]:
-    """Admitted notes with their identities, and all notes with the admission's verdict."""
-    judged = admission(parse_notes(read_markdown(spark, root)), policy)
+def _admitted(spark: SparkSession, root: str, policy: PathPolicy, vault: str, generation: int, within: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Admitted notes with their identities, and all notes with the admission's verdict; only notes below some directories if these are named."""
+    files = read_markdown(spark, root)
+    judged = admission(parse_notes(files if within is None else files.where(below(F.col("path"), within))), policy)
     admitted = judged.where("admitted").withColumn("body_hash", F.sha2("canonical", 256))
     snapshot = snapshot_id(F.col("body_hash"), F.col("properties_json"), F.col("tags"), F.col("path"), F.lit(generation))
     return admitted.withColumns({"note_id": F.sha2(F.concat(F.lit(vault), F.lit("\0"), F.col("path")), 256), "snapshot_id": snapshot, "tag_ancestors": tag_ancestors(F.col("tags"))}), judged
@@ -155,19 +156,22 @@ def index_vault(spark: SparkSession, root: str, store: SnapshotStore, embedder:
     return result
 
 
-def reconcile(spark: SparkSession, root: str, store: SnapshotStore, embedder: Embedder, policy: PathPolicy = PathPolicy(), vault: str = "vault", generation: int = 1, late: bool = False, fence: Fence | None = None) -> dict[str, int]:
+def reconcile(spark: SparkSession, root: str, store: SnapshotStore, embedder: Embedder, policy: PathPolicy = PathPolicy(), vault: str = "vault", generation: int = 1, late: bool = False, fence: Fence | None = None, within: list[str] | None = None) -> dict[str, int]:
     """Bring a served generation up to date with a folder: number of notes by action.
 
     Notes whose snapshot is served are left alone; those whose body is, but not their path, tags or properties, keep
     their vectors and passages under the new snapshot; others are embedded, but for passages whose body they had before;
     notes that are no longer admitted go. Only changed notes are written. An unknown generation is built in whole. With
-    a fence, work that became stale meanwhile is refused as it is stored.
+    a fence, work that became stale meanwhile is refused as it is stored. With ``within`` only notes at or below these
+    paths are looked at, and no other file is read.
     """
     if generation not in store.generations():
         index_vault(spark, root, store, embedder, fence, policy=policy, vault=vault, generation=generation, late=late)
         return {"embed": store.read("notes", generation).count()}
-    notes, _ = _admitted(spark, root, policy, vault, generation)
+    notes, _ = _admitted(spark, root, policy, vault, generation, within)
     served, old_passages = store.read("notes", generation), store.read("passages", generation)
+    if within is not None:
+        served = served.where(below(F.col("path"), within))
     acted = cut(index_actions(notes, served.select("note_id", "snapshot_id", "body_hash", "fingerprint", F.lit(True).alias("committed")), embedder.fingerprint))
     purge = served.select("note_id").join(acted.select("note_id"), "note_id", "left_anti")
     counts = {r["action"]: r["n"] for r in acted.groupBy("action").agg(F.count("*").alias("n")).collect()} | {"purge": purge.count()}
@@ -220,6 +224,17 @@ def update_index(spark: SparkSession, root: str, store: SnapshotStore, embedder:
     return state
 
 
+def follow_policy(spark: SparkSession, root: str, store: SnapshotStore, embedder: Embedder, before: PathPolicy, after: PathPolicy, vault: str = "vault", late: bool = False, fence: Fence | None = None) -> dict[str, int]:
+    """Bring the served generation under a changed policy: number of notes by action. Only notes that the change may concern are read.
+
+    ``vault_policy`` reads the policy of now. A policy that could not be read (``valid`` false) closes everything.
+    """
+    where = affected(before, after)
+    if not where:
+        return {}
+    return reconcile(spark, root, store, embedder, after, vault, stored_state(store).active, late, fence, where)
+
+
 def served(store: SnapshotStore, kind: str, vault: str, fingerprint: str) -> DataFrame:
     """Rows of the served generation, for searches with a model; an error if another model is served, whose vectors say nothing beside this one's."""
     state = stored_state(store)

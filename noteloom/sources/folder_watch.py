@@ -8,7 +8,6 @@ started again goes on where it was.
 
 from __future__ import annotations
 
-import hashlib
 import re
 import uuid
 from collections.abc import Iterator
@@ -18,30 +17,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
+from .files import file_digest
 from .store import SnapshotStore
 
 LISTING = "path string, length long, modified timestamp, digest string"
 CHANGES = "path string, op string, old_path string, revision long, note_id string, digest string"
 #: Where a file stands between two renames when files change places.
 HELD = ".held/"
-#: Bytes of a file that are in memory at a time.
-HASH_BLOCK = 8 * 1024 * 1024
-
-
-def file_digest(uri: str) -> str | None:
-    """SHA-256 of a file; null if it is gone or can't be read."""
-    from pyarrow import fs
-
-    scheme, authority, path = re.fullmatch(r"(?:([a-z][a-z0-9+.-]*):(?://([^/]*))?)?/*(.*)", uri, re.S).groups()
-    files, base = (fs.LocalFileSystem(), "") if scheme in (None, "file") else fs.FileSystem.from_uri(f"{scheme}://{authority or ''}/")
-    digest = hashlib.sha256()
-    try:
-        with files.open_input_stream(f"{base.rstrip('/')}/{path}") as f:
-            while block := f.read(HASH_BLOCK):
-                digest.update(block)
-    except OSError:
-        return None
-    return digest.hexdigest()
 
 
 def _hashed(files: DataFrame) -> DataFrame:
