@@ -14,7 +14,7 @@ from .functions import vectors as V
 from .lineage import shared_folder
 from .operators import graph as G
 from .operators import retrieval as R
-from .operators.admission import IgnoreFile, PathPolicy, admission, manual_exclusion, path_reason
+from .operators.admission import IgnoreFile, PathPolicy, admission, manual_exclusion, path_reason, readmit
 from .operators.chunking import chunk_notes
 from .operators.coverage import span_coverage as covered
 from .operators.embedding import HashingEmbedder, embed_late, reuse_vectors
@@ -702,6 +702,21 @@ def invalidated_work(spark: SparkSession, d: str) -> DataFrame:
     return C.after_invalidation(events, events.where("user_id = 3"), "event_id")
 
 
+@query("""
+with paths as (select doc_id, source || '/' || doc_id || '.md' as path from documents),
+judged as (
+  select path, case when starts_with(path, 'src2/') then 'Excluded by folder exclusion src2'
+                    when starts_with(path, 'src3/') and doc_id::varchar not like '1%' then 'Excluded by src3/.gitignore (*.md)' end as reason from paths)
+select path, reason is null as admitted, false as deferred, reason from judged""")
+def policy_change(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as notes under a changed policy: one folder is let in, one is shut out, and one's ignore file changes. Only these three are judged again."""
+    path = F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path")
+    notes = _t(spark, d, "documents").select(path, F.lit(True).alias("metadata_ready"), F.lit(None).cast("boolean").alias("ai_index"), F.array().cast("array<string>").alias("tags"))
+    control = lambda *lines: (IgnoreFile("src3", "src3/.gitignore", lines),)
+    before, after = PathPolicy(("src1",), controls=control("1*.md")), PathPolicy(("src2",), controls=control("*.md", "!1*.md"))
+    return readmit(admission(notes, before), before, after).select("path", "admitted", "deferred", "reason")
+
+
 _FILED = """
 before as (select source || '/' || doc_id || '.md' as path, sha256(coalesce(text, '')) as was from documents),
 poor as (select distinct doc_id from labels where quality = 0),
@@ -798,6 +813,17 @@ def stream_bursts(spark: SparkSession, d: str) -> DataFrame:
     return _burst_rows(stream_debounce(spark, d))
 
 
+@query("select user_id, max(event_id) as event_id, arg_max(ts::varchar, event_id) as at from events group by user_id")
+def stream_held(spark: SparkSession, d: str) -> DataFrame:
+    """The change that a debounce by the clock holds for each user when its stream has read all there is: nothing is due before the gap."""
+    base = f"{shared_folder(spark)}/noteloom-stream-{uuid.uuid4().hex}"
+    schema = spark.read.parquet(f"{d}/events.parquet").schema
+    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d).select("user_id", "event_id", F.col("ts").cast("string").alias("at"))
+    out = C.debounce_arrivals(events, "user_id", "event_id", "at", 24 * 3600)
+    out.writeStream.format("parquet").option("checkpointLocation", f"{base}/state").option("path", f"{base}/out").trigger(once=True).start().awaitTermination()
+    return C.held_arrivals(spark, f"{base}/state", "user_id", "event_id", "at")
+
+
 @query("""
 select conv_id::varchar as note_id, (sum(length(text) + length(role) + 7) + length('# conv-' || conv_id) + 2)::bigint as chars, count(*) + 1 as headings from conversations group by conv_id""")
 def heading_ancestry(spark: SparkSession, d: str) -> DataFrame:

@@ -78,6 +78,44 @@ def debounce_stream(changes: DataFrame, key: str, ts: str, payload: str, gap_sec
     return changes.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, at timestamp, {payload} string", "at long, held string", "append", GroupStateTimeout.EventTimeTimeout)
 
 
+def debounce_arrivals(changes: DataFrame, key: str, order: str, payload: str, gap_seconds: float = DEBOUNCE_SECONDS, known: str | None = None) -> DataFrame:
+    """Trailing debounce on a stream by the clock: a key's newest change comes out once none has arrived for the gap.
+
+    ``order`` (a whole number, such as a revision) says which of a key's changes is the newest; an older one that arrives
+    late restarts the clock but is not kept. With ``known`` (a boolean column) the first change of an unknown key that
+    nothing is held for comes out at once. The stream wakes by itself: as long as it runs, each trigger lets out what is
+    due, with or without new changes; so under ``availableNow`` it would never end, and ``once`` takes in what is there
+    and lets out what is due. State holds one change for each key, so a payload should be short: see
+    ``retained_text``. After a restart, what was held is let out when its time has come.
+    """
+    kinds = {c: changes.schema[c].dataType.simpleString() for c in (key, order, payload)}
+    names = [key, order, payload]
+
+    def step(group: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            held = state.get
+            state.remove()
+            yield pd.DataFrame([(group[0], *held)], columns=names)
+            return
+        rows = pd.concat(list(frames)).sort_values([order, payload])
+        at_once = known and not state.exists and not rows[known].iloc[0]
+        waiting = [(int(o), p) for o, p in zip(rows[order], rows[payload])][1 if at_once else 0 :]
+        if state.exists:
+            waiting.append(tuple(state.get))
+        if waiting:
+            state.update(max(waiting, key=lambda w: w[0]))
+            state.setTimeoutDuration(int(gap_seconds * 1000))
+        yield rows.iloc[:1][names] if at_once else pd.DataFrame([], columns=names)
+
+    return changes.groupBy(key).applyInPandasWithState(step, ", ".join(f"{n} {k}" for n, k in kinds.items()), f"newest long, held {kinds[payload]}", "append", GroupStateTimeout.ProcessingTimeTimeout)
+
+
+def held_arrivals(spark: SparkSession, checkpoint: str, key: str, order: str, payload: str) -> DataFrame:
+    """What a stopped stream of ``debounce_arrivals`` still holds, in its columns."""
+    held = spark.read.format("statestore").load(checkpoint).select("key.*", "value.groupState.*")
+    return held.select(F.col(held.columns[0]).alias(key), F.col("newest").alias(order), F.col("held").alias(payload)).where(f"{order} is not null")
+
+
 def live_rows(changes: DataFrame, key: str, revision: str, deleted: F.Column) -> DataFrame:
     """The newest row of each key that is no tombstone."""
     columns = [c for c in changes.columns if c not in (key, revision)]
