@@ -33,15 +33,18 @@ _written: list[list[str]] = []
 
 
 def tidy(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
-    """Deletes the tables that an operator has written, at its end, save those that its result still reads."""
+    """Deletes the tables that an operator has written, at its end, save those that its result still reads; all of them if it fails."""
 
     @wraps(operator)
     def run(*args, **kwargs) -> DataFrame:
         _written.append([])
         try:
             result = operator(*args, **kwargs)
-        finally:
-            folders = _written.pop()
+        except BaseException:
+            for folder in _written.pop():
+                _delete(SparkSession.active(), folder)
+            raise
+        folders = _written.pop()
         needed = {f.rsplit("/", 2)[1] for f in result.inputFiles()}
         for folder in folders:
             if folder.rsplit("/", 1)[1] not in needed:
@@ -115,6 +118,52 @@ def keys_beside(keys: DataFrame) -> DataFrame:
     return F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
 
 
+#: Slots of a bit map for each hash, and bounds of its size in bits (64 kB, 2 MB as a constant of the plan).
+SLOTS, LEAST_BITS, MOST_BITS = 64, 1 << 19, 1 << 24
+
+
+def bit_map(hashes: DataFrame, n: int) -> tuple[Column, int]:
+    """A constant array of 64-bit words with a bit for each value of ``hash``, and its number of bits; its size is bounded, whatever their number ``n``."""
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (max(n, 1) * SLOTS).bit_length()))
+    slot = F.pmod("hash", F.lit(bits))
+    rows = hashes.select(F.shiftright(slot, 6).cast("int").alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(slot, F.lit(64)).cast("int")).alias("bit"))
+    words = [0] * (bits // 64)
+    for r in rows.groupBy("word").agg(F.bit_or("bit").alias("bits")).collect():  # MOST_BITS / 64 rows at most
+        words[r["word"]] = r["bits"]
+    return F.split(F.lit(",".join(map(str, words))), ",").cast("array<long>"), bits
+
+
+def in_bit_map(hash_: Column, words: Column, bits: int) -> Column:
+    """Whether a hash's bit is set: true for every hash in the map, and for few others while it is sparse."""
+    slot = hash_.bitwiseAND(F.lit(bits - 1))
+    word = F.get(words, F.shiftright(slot, 6).cast("int"))
+    return F.call_function("shiftright", word, slot.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1
+
+
+def rows_without(docs: DataFrame, gone: DataFrame, own: dict[str, Column]) -> DataFrame:
+    """The rows of ``docs``, all columns, whose key is not in ``gone``, a written table of distinct keys; nulls equal nulls.
+
+    ``own`` gives the documents' expression, under the alias ``d``, for each key column of ``gone``. A bit map of the
+    keys, with two bits a key and of bounded size, lets nearly all rows that stay pass. The keys of the others meet
+    ``gone`` exactly, and those that are not in it are spared by name. So the plan is one at every size, the documents
+    are not shuffled, and keys are shuffled only of rows that go and of some few others; where the map is too small for
+    the keys, of all rows. ``docs`` is read twice and must give the same rows each time.
+    """
+    probes = [lambda *key, p=p: F.xxhash64(F.lit(p), *key) for p in (11, 12)]
+    hashes = gone.select(F.explode(F.array(*[p(*own) for p in probes])).alias("hash"))
+    words, bits = bit_map(hashes, 2 * gone.count())
+    hit = in_bit_map(probes[0](*own.values()), words, bits) & in_bit_map(probes[1](*own.values()), words, bits)
+    rows = docs.alias("d")
+    same = lambda here, there: F.expr(" and ".join(f"{here}.{k} <=> {there}.{k}" for k in own))
+    hits = rows.where(hit).select(*[c.alias(k) for k, c in own.items()])
+    spared = materialize(hits.alias("h").join(gone.alias("g"), same("h", "g"), "left_anti").distinct().withColumn("spared", F.lit(True)))
+    own_key = F.lit(True)
+    for k, c in own.items():
+        own_key = own_key & c.eqNullSafe(F.col(f"s.{k}"))
+    joined = rows.join(keys_beside(spared).alias("s"), hit & own_key, "left").where(~hit | F.col("s.spared").isNotNull())
+    return joined.select(*[F.col(f"d.`{c.replace('`', '``')}`") for c in docs.columns])
+
+
 def text_key(text: Column) -> tuple[Column, Column]:
     """Two 64-bit hashes that stand for a text (null has its own): rows of one text share them, whatever their ids."""
     return F.xxhash64(F.lit(1), text), F.xxhash64(F.lit(2), text)

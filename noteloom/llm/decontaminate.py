@@ -15,15 +15,13 @@ from math import comb
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import keys_beside, materialize, text_key, tidy
+from .common import bit_map, in_bit_map, materialize, rows_without, text_key, tidy
 
 WORDS = 5
 #: Hashes of a signature; an item of fewer shingles has them all.
 SIGNATURE = 32
 #: Chance that a pair of the required containment shares too few hashes of its signatures.
 MISS = 1e-9
-#: Slots of the bit map of signature hashes for each hash, and bounds of its size in bits (64 kB, 2 MB as a constant of the plan).
-SLOTS, LEAST_BITS, MOST_BITS = 64, 1 << 19, 1 << 24
 #: Up to this many signature hashes (24 bytes each) are broadcast; beyond, the join is shuffled by hash.
 BROADCAST_HASHES = 200_000
 
@@ -78,23 +76,6 @@ def signatures(items: DataFrame, threshold: float) -> DataFrame:
     return sized.select("item", F.explode(F.slice("hashes", 1, SIGNATURE)).alias("hash"), need.alias("need"))
 
 
-def _bit_map(hashes: DataFrame, n: int) -> tuple[Column, int]:
-    """A constant array of 64-bit words with a bit for each hash, and its number of bits; its size is bounded, whatever the number of hashes."""
-    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (max(n, 1) * SLOTS).bit_length()))
-    slot = F.pmod("hash", F.lit(bits))
-    rows = hashes.select(F.shiftright(slot, 6).cast("int").alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(slot, F.lit(64)).cast("int")).alias("bit"))
-    words = [0] * (bits // 64)
-    for r in rows.groupBy("word").agg(F.bit_or("bit").alias("bits")).collect():  # MOST_BITS / 64 rows at most
-        words[r["word"]] = r["bits"]
-    return F.split(F.lit(",".join(map(str, words))), ",").cast("array<long>"), bits
-
-
-def _held(hash_: Column, bit_map: Column, bits: int) -> Column:
-    slot = hash_.bitwiseAND(F.lit(bits - 1))
-    word = F.get(bit_map, F.shiftright(slot, 6).cast("int"))
-    return F.call_function("shiftright", word, slot.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1
-
-
 def _search(docs: DataFrame, benchmark: DataFrame, threshold: float, text_col: str, item_col: str, item_text_col: str) -> DataFrame:
     """h1, h2, item_id, containment for the texts of ``docs``, each distinct text once."""
     words = item_words(F.col(item_text_col))
@@ -105,12 +86,12 @@ def _search(docs: DataFrame, benchmark: DataFrame, threshold: float, text_col: s
     sizes = sorted(r["size"] for r in items.select("size").distinct().collect()) or [WORDS]  # five rows at most
     signed = materialize(signatures(items, threshold))
     n = signed.count()
-    bit_map, bits = _bit_map(signed, n)
+    sieve, bits = bit_map(signed, n)
 
     h1, h2 = text_key(F.col(text_col))
     source = docs.select(h1.alias("h1"), h2.alias("h2"), F.col(text_col).alias("text"))
     # An inner explode would compute the array a second time, to test its size.
-    kept = F.array_distinct(F.filter(shingles(item_words(F.col("text")), sizes, F.xxhash64), lambda h: _held(h, bit_map, bits)))
+    kept = F.array_distinct(F.filter(shingles(item_words(F.col("text")), sizes, F.xxhash64), lambda h: in_bit_map(h, sieve, bits)))
     met = source.select("h1", "h2", F.explode_outer(kept).alias("hash")).join(F.broadcast(signed) if n <= BROADCAST_HASHES else signed, "hash")
     shared = met.groupBy("h1", "h2", "item").agg(F.count_distinct("hash").alias("shared"), F.first("need").alias("need"))
     pairs = materialize(shared.where("shared >= need").select("h1", "h2", "item"))
@@ -146,6 +127,5 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float
     Rows are judged by their text: a clean row stays even under the id of a contaminated one, and each repeat of a
     contaminated text goes. Null and empty texts stay. An empty benchmark removes nothing.
     """
-    found = materialize(_search(docs, benchmark, threshold, "text", "item_id", "text").select(F.col("h1").alias("_h1"), F.col("h2").alias("_h2")).distinct())
-    h1, h2 = text_key(F.col("d.text"))
-    return docs.alias("d").join(keys_beside(found).alias("f"), (h1 == F.col("f._h1")) & (h2 == F.col("f._h2")), "left_anti")
+    found = materialize(_search(docs, benchmark, threshold, "text", "item_id", "text").select("h1", "h2").distinct())
+    return rows_without(docs, found, dict(zip(("h1", "h2"), text_key(F.col("d.text")))))

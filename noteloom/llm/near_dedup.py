@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import in_small_batches, keys_beside, materialize, partitions, release_memory, text_key, tidy
+from .common import in_small_batches, keys_beside, materialize, partitions, release_memory, rows_without, text_key, tidy
 from .components import connected_components
 from .sharding import row_numbers
 from .text_hash import mix, run_hashes, seeds, word_hashes
@@ -194,6 +194,8 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
     pairs = materialize(pairs)
     leads = pairs.groupBy("v").agg(F.ceil(F.count("*") / PAIRS_OF_LEAD).cast("int").alias("groups"))
     members = pairs.join(leads, "v").select("v", F.pmod(F.xxhash64("u"), F.col("groups")).cast("int").alias("group"), "u")
+    # Few pairs would be broadcast, many not: the texts are dealt by node at every size.
+    texts = texts.hint("merge")
     members = members.join(texts, members["u"] == texts["node"]).select("v", "group", "u", "text")
     heads = leads.select("v", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("group"), F.lit(None).cast("long").alias("u"))
     heads = heads.join(texts, heads["v"] == texts["node"]).select("v", "group", "u", "text")
@@ -399,10 +401,10 @@ def keep_one(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     # Most rows stay, so those that go are named; rows that stand several times are looked at by themselves.
     marked = materialize(chosen.where("not stays or n > 1").select(F.col("id").alias("_id"), F.col("h1").alias("_h1"), F.col("h2").alias("_h2"), "stays"))
     h1, h2 = text_key(F.col("d.text"))
-    same = F.expr("d.doc_id <=> m._id") & (h1 == F.col("m._h1")) & (h2 == F.col("m._h2"))
-    single = docs.alias("d").join(keys_beside(marked).alias("m"), same, "left_anti")
+    single = rows_without(docs, marked.drop("stays"), {"_id": F.col("d.doc_id"), "_h1": h1, "_h2": h2})
     repeated = materialize(marked.where("stays"))
     if repeated.isEmpty():
         return single
+    same = F.expr("d.doc_id <=> m._id") & (h1 == F.col("m._h1")) & (h2 == F.col("m._h2"))
     several = docs.alias("d").join(keys_beside(repeated).alias("m"), same).select(F.struct("d.*").alias("row"), "m._id", "m._h1", "m._h2", F.xxhash64(F.to_json(F.struct("d.*"))).alias("_at"))
     return single.unionByName(several.groupBy("_id", "_h1", "_h2").agg(F.min_by("row", "_at").alias("row")).select("row.*"))

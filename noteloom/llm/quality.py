@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_materialized, in_small_batches, keys_beside, materialize, partitions, release_memory, text_key, tidy
+from .common import drop_materialized, in_small_batches, materialize, partitions, release_memory, rows_without, text_key, tidy
 from .text_hash import seeds
 
 ORDER = 4
@@ -320,6 +320,6 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     Rows are told apart by id, language and text: junk under a good row's id, or without an id, goes, and the good row
     stays. Rows alike in all three share a verdict. Null and empty texts stay, and an empty table gives no rows.
     """
-    bad = materialize(_verdicts(docs, labels, ORDER).where("not keep").select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang"), F.col("h1").alias("_h1"), F.col("h2").alias("_h2")).distinct())
+    bad = materialize(_verdicts(docs, labels, ORDER).where("not keep").select("doc_id", "lang", "h1", "h2").distinct())
     h1, h2 = text_key(F.col("d.text"))
-    return docs.alias("d").join(keys_beside(bad).alias("b"), F.expr("d.doc_id <=> b._id and d.lang <=> b._lang") & (h1 == F.col("b._h1")) & (h2 == F.col("b._h2")), "left_anti")
+    return rows_without(docs, bad, {"doc_id": F.col("d.doc_id"), "lang": F.col("d.lang"), "h1": h1, "h2": h2})

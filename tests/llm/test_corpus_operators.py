@@ -1,4 +1,5 @@
 import math
+import os
 import random
 import re
 from collections import Counter, defaultdict
@@ -7,7 +8,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from noteloom.llm import components, decontaminate, near_dedup, quality, text_hash
+from noteloom.llm import common, components, decontaminate, near_dedup, quality, text_hash
+from noteloom.llm.common import text_key
 
 WORDS = [f"w{i}" for i in range(400)]
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, class_id string, keep int"
@@ -437,3 +439,36 @@ def test_keep_one_takes_repeated_rows_with_maps(spark):
     kept = near_dedup.keep_one(docs).collect()
     assert sorted(r["doc_id"] for r in kept) == [1, 3] and all((r["doc_id"], r["text"], r["m"], r["l"]) in rows for r in kept)
     assert near_dedup.keep_one(docs.limit(0)).count() == 0
+
+
+def test_rows_without_is_exact_though_its_bit_map_is_full(spark, monkeypatch):
+    """Rows go by their exact key, nulls among them, also where most bits of the map are set; columns of any name stay."""
+    rows = [(i % 300 if i % 7 else None, f"text {i % 90}" if i % 11 else None, {"d": i}, i) for i in range(1200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, d struct<d:long>, `spared.x` long")
+    keys = {(r[0], r[1]) for r in rows[::5]}
+    h1, h2 = text_key(F.col("text"))
+    gone = spark.createDataFrame(sorted(keys, key=str), "doc_id long, text string").select("doc_id", h1.alias("h1"), h2.alias("h2"))
+    own = dict(zip(("h1", "h2"), text_key(F.col("d.text")))) | {"doc_id": F.col("d.doc_id")}
+    expected = sorted(r[3] for r in rows if (r[0], r[1]) not in keys)
+    for least, most, broadcast in ((1 << 19, 1 << 24, 500_000), (64, 64, 500_000), (256, 512, 1)):
+        monkeypatch.setattr(common, "LEAST_BITS", least)
+        monkeypatch.setattr(common, "MOST_BITS", most)
+        monkeypatch.setattr(common, "BROADCAST_KEYS", broadcast)
+        kept = common.rows_without(docs, common.materialize(gone), own)
+        assert kept.columns == docs.columns and sorted(r["spared.x"] for r in kept.collect()) == expected
+    assert common.rows_without(docs, gone.limit(0), own).count() == len(rows)
+    assert common.rows_without(docs.limit(0), gone, own).count() == 0
+
+
+def test_a_failed_operator_leaves_no_tables(spark):
+    folder = common.shared_dir(spark)
+
+    @common.tidy
+    def failing():
+        common.materialize(spark.range(3))
+        raise ValueError("stop")
+
+    before = set(os.listdir(folder))
+    with pytest.raises(ValueError):
+        failing()
+    assert set(os.listdir(folder)) == before
