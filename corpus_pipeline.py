@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from noteloom.llm import decontaminate, near_dedup, pii, quality
-from noteloom.llm.common import materialize, table
+from noteloom.llm.common import drop_materialized, materialize, table, tidy
 from noteloom.llm.queries import tokenizer_path
 from noteloom.llm.sentencepiece_bpe import encode_documents
 
@@ -52,9 +52,16 @@ STAGES = [
 ORACLE_SQL = None
 
 
+@tidy
+def _written(stage, spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A stage's result as a table; the tables that its operators read for it go."""
+    return materialize(stage(spark, docs, sf_dir))
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written as Parquet and read again."""
+    """All stages over ``documents``, each written as Parquet and read again; a stage's table goes once the next one's is there."""
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir))
+        before, docs = docs, _written(stage, spark, docs, sf_dir)
+        drop_materialized(before)
     return docs
