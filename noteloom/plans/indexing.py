@@ -152,7 +152,7 @@ def build_index(spark: SparkSession, root: str, embedder: Embedder, policy: Path
 def index_vault(spark: SparkSession, root: str, store: SnapshotStore, embedder: Embedder, fence: Fence | None = None, **options) -> IndexResult:
     """Build and publish in one go."""
     result = build_index(spark, root, embedder, **options)
-    store.publish(options.get("generation", 1), result.notes, result.passages, fence)
+    store.publish(options.get("generation", 1), result.notes, result.passages, fence, embedder.dims)
     return result
 
 
@@ -186,7 +186,7 @@ def reconcile(spark: SparkSession, root: str, store: SnapshotStore, embedder: Em
     rows = _note_rows(new_rows.unionByName(kept_rows), fields, scope)
     passages = _passage_rows(new_passages.select("frontmatter_lines", *PASSAGE_COLUMNS).unionByName(kept_passages.select("frontmatter_lines", *PASSAGE_COLUMNS)), rows.drop("vector"), fields, vault)
     if counts.get("embed") or counts.get("metadata") or counts["purge"]:
-        store.upsert(generation, rows, passages, purge, fence)
+        store.upsert(generation, rows, passages, purge, fence, embedder.dims)
     return counts
 
 

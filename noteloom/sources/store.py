@@ -9,8 +9,10 @@ folders behind.
 from __future__ import annotations
 
 import json
+import time
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 from functools import reduce
 from operator import and_
@@ -19,11 +21,16 @@ from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .validation import note_rules, passage_rules, whole_notes, with_faults
 
 #: Commits of a generation before it is rewritten as one, manifests kept for slow readers, and tries of a writer among others.
 MOST_COMMITS, KEPT_MANIFESTS, ATTEMPTS = 16, 4, 20
 #: The manifest's entries for fences and for the index's state, beside the generations.
 FENCES, STATE = "fences", "state"
+#: Folders beside the tables: readers' leases, rows that broke a rule, notes to be removed for good.
+LEASES, QUARANTINE, TOMBSTONES = "leases", "quarantine", "tombstones"
+#: Seconds that a lease lasts unless it is renewed, and that pass between two looks at the leases.
+LEASE_SECONDS, LEASE_POLL = 600.0, 0.2
 #: Folders of the indexes that follow a generation's commits.
 INDEXES = ("keywords", "vectors/notes", "vectors/passages")
 
@@ -36,6 +43,45 @@ class StaleWork(RuntimeError):
     """Work was begun before everything was invalidated, or is no newer than what is stored: it must not be stored."""
 
 
+class ReadersRemain(SnapshotError):
+    """What was purged is served no more, but readers still hold files of replaced commits; sweep later."""
+
+
+class Lease:
+    """A reader's hold on a generation's commits: their files stay until it ends or runs out."""
+
+    def __init__(self, store: SnapshotStore, generation: int, seconds: float):
+        self.store, self.generation, self.seconds, self._name = store, generation, seconds, None
+        for _ in range(ATTEMPTS):
+            self.commits = store.commits(generation)
+            self._put()
+            # Whoever replaces commits looks for leases after the exchange of manifests, so a lease that was there before is seen.
+            if store.commits(generation) == self.commits:
+                return
+            self.end()
+        raise SnapshotError("other writers kept changing the manifest")
+
+    def _put(self) -> None:
+        old, self.until = self._name, time.time() + self.seconds
+        self._name = f"{self.store._leases(self.generation)}/{uuid.uuid4().hex}.json"
+        self.store.put(self._name, json.dumps({"until": self.until, "commits": self.commits}))
+        if old:
+            self.store.delete(old)
+
+    def renew(self) -> None:
+        """Hold on for another term; an error if this one has run out, as files may be gone."""
+        if time.time() >= self.until:
+            raise SnapshotError("the lease has run out")
+        self._put()
+
+    def end(self) -> None:
+        self.store.delete(self._name)
+
+    def read(self, kind: str) -> DataFrame:
+        """The generation's table as it was when the lease began."""
+        return self.store.read_at(kind, self.generation, self.commits)
+
+
 @dataclass(frozen=True)
 class Fence:
     """What a writer knew when it began: the generation's epoch, and the revision of its own work. Revisions of an epoch only rise."""
@@ -77,10 +123,9 @@ class SnapshotStore:
         never = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
         for _ in range(ATTEMPTS):
             version, held = self._manifest()
-            new = self._path(f"{self.root}/new-{uuid.uuid4().hex}")
-            out = self._fs.create(new, True)
-            out.write(bytearray(json.dumps(change(held), sort_keys=True).encode()))
-            out.close()
+            name = f"{self.root}/new-{uuid.uuid4().hex}"
+            self.put(name, json.dumps(change(held), sort_keys=True))
+            new = self._path(name)
             try:
                 files.rename(files.makeQualified(new), files.makeQualified(self._path(f"{self.root}/manifest-{version + 1}.json")), never)
                 for old in self._versions()[:-KEPT_MANIFESTS]:
@@ -105,6 +150,15 @@ class SnapshotStore:
                 raise
             return False
 
+    def put(self, name: str, text: str) -> None:
+        """Write a small file."""
+        out = self._fs.create(self._path(name), True)
+        out.write(bytearray(text.encode()))
+        out.close()
+
+    def make(self, folder: str) -> None:
+        self._fs.mkdirs(self._path(folder))
+
     def exists(self, folder: str) -> bool:
         return self._fs.exists(self._path(folder))
 
@@ -132,7 +186,7 @@ class SnapshotStore:
             return held | {STATE: stored}
 
         if not self.exists(self.root):
-            self._fs.mkdirs(self._path(self.root))
+            self.make(self.root)
         self._change(within)
         return stored
 
@@ -202,23 +256,67 @@ class SnapshotStore:
             parts.append(self.spark.read.parquet(self._at(kind, generation, older)).join(gone, "note_id", "left_anti"))
         return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
-    def _write(self, generation: int, notes: DataFrame, passages: DataFrame) -> str:
+    def _buried(self) -> DataFrame | None:
+        """Ids of notes that are to be removed for good; none as a rule."""
+        batches = self.names(f"{self.root}/{TOMBSTONES}")
+        return self.spark.read.schema("note_id string").parquet(*(f"{self.root}/{TOMBSTONES}/{b}" for b in batches)).distinct() if batches else None
+
+    def _put_tables(self, generation: int, notes: DataFrame, passages: DataFrame) -> tuple[str, list[DataFrame]]:
         commit = uuid.uuid4().hex
         for kind, df in zip(self.KINDS, (notes, passages)):
             df.write.parquet(self._at(kind, generation, commit))
-        verify_snapshot(*(self.spark.read.parquet(self._at(k, generation, commit)) for k in self.KINDS))
+        return commit, [self.spark.read.parquet(self._at(k, generation, commit)) for k in self.KINDS]
+
+    def _write(self, generation: int, notes: DataFrame, passages: DataFrame, dims: int | None = None) -> str:
+        if (buried := self._buried()) is not None:
+            notes, passages = (df.join(buried, "note_id", "left_anti") for df in (notes, passages))
+        commit, tables = self._put_tables(generation, notes, passages)
+        if dims is not None:
+            commit, tables = self._held_to_rules(generation, commit, tables, dims)
+        verify_snapshot(*tables)
         return commit
 
-    def publish(self, generation: int, notes: DataFrame, passages: DataFrame, fence: Fence | None = None) -> None:
-        """Replace a generation's tables as a pair; the written rows are verified before they are served. ``StaleWork`` if the fence has fallen."""
-        commit = self._write(generation, notes, passages)
+    def _held_to_rules(self, generation: int, commit: str, tables: list[DataFrame], dims: int) -> tuple[str, list[DataFrame]]:
+        """The written commit if no row breaks a rule; else one of the whole notes alone, with all rows of the others in quarantine."""
+        judged = [with_faults(df, {n: r for n, r in rules.items() if n not in ("path", "vector") or n in df.columns}) for df, rules in zip(tables, (note_rules(dims), passage_rules(dims)))]
+        bad = [df.where(F.size("faults") > 0).select("note_id") for df in judged]
+        if all(df.isEmpty() for df in bad):
+            return commit, tables
+        named = bad[0].unionByName(bad[1]).distinct()
+        good, kept = self._put_tables(generation, *whole_notes(*judged))
+        for kind, df in zip(self.KINDS, judged):
+            df.alias("r").join(named.alias("b"), F.expr("r.note_id <=> b.note_id"), "left_semi").write.parquet(f"{self._quarantine(kind, generation)}/commit={good}")
+        for kind in self.KINDS:
+            self.delete(self._at(kind, generation, commit))
+        return good, kept
+
+    def _quarantine(self, kind: str, generation: int) -> str:
+        return f"{self.root}/{QUARANTINE}/{kind}/generation={generation}"
+
+    def quarantined(self, kind: str, generation: int) -> DataFrame | None:
+        """Rows that are not served because they, or others of their note, broke a rule, with ``faults``; None if there never were any."""
+        folder = self._quarantine(kind, generation)
+        parts = [self.spark.read.parquet(f"{folder}/{n}") for n in self.names(folder)]
+        return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts) if parts else None
+
+    def publish(self, generation: int, notes: DataFrame, passages: DataFrame, fence: Fence | None = None, dims: int | None = None) -> None:
+        """Replace a generation's tables as a pair; the written rows are verified before they are served. ``StaleWork`` if the fence has fallen.
+
+        With ``dims``, the width of the vectors, rows are held to the rules of ``validation``: notes of which a row
+        breaks one are not served, and all their rows go to the quarantine with the names of the rules. Notes that wait
+        to be removed for good (``Tombstones``) are not written.
+        """
+        commit = self._write(generation, notes, passages, dims)
         self._commit(generation, commit, fence, lambda held: held | {str(generation): [commit]})
 
-    def upsert(self, generation: int, notes: DataFrame, passages: DataFrame, purge: DataFrame | None = None, fence: Fence | None = None) -> None:
-        """Replace the snapshots of the given notes and drop those in ``purge`` (note_id), writing these notes alone. ``StaleWork`` if the fence has fallen."""
+    def upsert(self, generation: int, notes: DataFrame, passages: DataFrame, purge: DataFrame | None = None, fence: Fence | None = None, dims: int | None = None) -> None:
+        """Replace the snapshots of the given notes and drop those in ``purge`` (note_id), writing these notes alone. ``StaleWork`` if the fence has fallen.
+
+        ``dims`` is as in ``publish``; of a note that broke a rule the snapshot before is still served.
+        """
         if generation not in self.generations():
-            return self.publish(generation, notes, passages, fence)
-        commit = self._write(generation, notes, passages)
+            return self.publish(generation, notes, passages, fence, dims)
+        commit = self._write(generation, notes, passages, dims)
         gone = self.spark.read.parquet(self._at("notes", generation, commit)).select("note_id")
         (gone if purge is None else gone.unionByName(purge.select("note_id"))).distinct().write.parquet(self._at("gone", generation, commit))
         self._commit(generation, commit, fence, lambda held: held | {str(generation): [*held[str(generation)], commit]})
@@ -238,12 +336,13 @@ class SnapshotStore:
 
         self._change(change)
 
-    def purge(self, generation: int, ids: DataFrame, fence: Fence | None = None) -> int:
+    def purge(self, generation: int, ids: DataFrame, fence: Fence | None = None, wait: float | None = None) -> int:
         """Remove notes for good: they are no longer served, their rows are in no file, and the number of notes removed is returned.
 
         The generation is rewritten without them and read back; only then files of replaced commits go, and with them
-        the search indexes' segments of these. A reader that began before and still reads the old files fails, and may
-        begin anew; nothing that it could still show is left. Unknown ids (note_id) are no error.
+        the search indexes' segments of these, and the notes' rows in quarantine. Readers with a lease (``reading``) are
+        waited for, up to ``wait`` seconds (by default as long as a lease lasts); then ``ReadersRemain``. A reader
+        without a lease that still reads the old files fails, and may begin anew. Unknown ids (note_id) are no error.
         """
         named = ids.select("note_id").distinct()
         served = self.read("notes", generation).join(named, "note_id", "left_semi").count()
@@ -253,12 +352,55 @@ class SnapshotStore:
         for kind in self.KINDS:
             if not self.read(kind, generation).join(named, "note_id", "left_semi").isEmpty():
                 raise SnapshotError(f"purged rows are still among the {kind}")
+            folder = self._quarantine(kind, generation)
+            if old := self.names(folder):
+                self.quarantined(kind, generation).join(named, "note_id", "left_anti").write.parquet(f"{folder}/commit={uuid.uuid4().hex}")
+                for name in old:
+                    self.delete(f"{folder}/{name}")
+        end = time.time() + (LEASE_SECONDS if wait is None else wait)
+        while self.leased(generation) - set(self.commits(generation)):
+            if time.time() >= end:
+                raise ReadersRemain(f"readers hold replaced commits of generation {generation}")
+            time.sleep(LEASE_POLL)
         self.sweep(generation)
         return served
 
+    def holds(self, generation: int, ids: DataFrame) -> bool:
+        """Whether any file of a generation holds rows of these notes (note_id), served or not."""
+        named = ids.select("note_id").distinct()
+        folders = [f"{folder}/{n}" for kind in self.KINDS for folder in (f"{self.root}/{kind}/generation={generation}", self._quarantine(kind, generation)) for n in self.names(folder)]
+        rows = [self.spark.read.parquet(f).select("note_id") for f in folders]
+        return bool(rows) and not reduce(DataFrame.unionByName, rows).join(named, "note_id", "left_semi").isEmpty()
+
+    def _leases(self, generation: int) -> str:
+        return f"{self.root}/{LEASES}/generation={generation}"
+
+    @contextmanager
+    def reading(self, generation: int, seconds: float = LEASE_SECONDS) -> Iterator[Lease]:
+        """A lease on the generation's commits: a purge or sweep leaves their files until the block ends, or the time runs out without ``renew``. Clocks of the machines should agree within a few seconds."""
+        lease = Lease(self, generation, seconds)
+        try:
+            yield lease
+        finally:
+            lease.end()
+
+    def leased(self, generation: int) -> set[str]:
+        """Commits that readers hold; leases that have run out are deleted."""
+        folder, held = self._leases(generation), set()
+        names = [n for n in self.names(folder) if n.endswith(".json")]
+        if not names:
+            return held
+        files = self.spark.read.schema("until double, commits array<string>").option("ignoreMissingFiles", True).json([f"{folder}/{n}" for n in names])
+        for row in files.select("until", "commits", F.input_file_name().alias("at")).collect():  # one small row a reader
+            if row["until"] <= time.time():
+                self.delete(f"{folder}/{row['at'].rsplit('/', 1)[1]}")
+            else:
+                held.update(row["commits"])
+        return held
+
     def sweep(self, generation: int) -> list[str]:
-        """Delete the files of commits that the newest manifest does not name; returns these commits. Work that is being written is not named yet: sweep when no writer is at work."""
-        named, swept = set(self.commits(generation)), set()
+        """Delete the files of commits that neither the newest manifest nor a reader's lease names; returns these commits. Work that is being written is not named yet: sweep when no writer is at work."""
+        named, swept = set(self.commits(generation)) | self.leased(generation), set()
         for kind in (*self.KINDS, "gone"):
             folder = f"{self.root}/{kind}/generation={generation}"
             for name in self.names(folder):
@@ -275,8 +417,8 @@ class SnapshotStore:
         """Forget a generation, then delete its files; an unknown one is no error."""
         if generation in self.generations():
             self._change(lambda held: {g: c for g, c in held.items() if g != str(generation)})
-        for kind in (*self.KINDS, "gone", *INDEXES):
-            self._fs.delete(self._path(f"{self.root}/{kind}/generation={generation}"), True)
+        for kind in (*self.KINDS, "gone", *INDEXES, *(f"{QUARANTINE}/{k}" for k in self.KINDS)):
+            self.delete(f"{self.root}/{kind}/generation={generation}")
 
     def vectors(self, generation: int, keys: list[tuple[str, str]]) -> DataFrame:
         """Vectors of 1 to 31 (note_id, snapshot_id) keys with their request position; each must exist once."""

@@ -127,12 +127,13 @@ def apply_changes(path_map: DataFrame, changes: DataFrame) -> DataFrame:
 
     ``changes`` has path, op (create, modify, rename, delete), old_path, revision and note_id for created notes. A
     rename carries the note of its old path to the new one, whose former note goes; a delete drops the mapping; a
-    modification leaves it. Equal revisions are taken in the order of op, path and old path.
+    modification leaves it. Equal revisions are taken in the order of op, path and old path; of
+    creates alike in all of these the least note_id counts.
 
     The last change at a path says what is there: nothing, a created note, or what a rename brought. A rename points to
     the change that came before it at its old path, and pointers are followed in doubling steps.
     """
-    own = changes.where("op in ('create', 'rename', 'delete') and not (op = 'rename' and old_path <=> path)").dropDuplicates(["revision", "op", "path", "old_path"])
+    own = changes.where("op in ('create', 'rename', 'delete') and not (op = 'rename' and old_path <=> path)").groupBy("revision", "op", "path", "old_path").agg(F.min("note_id").alias("note_id"))
     own = own.withColumn("at", F.struct("revision", "op", "path", "old_path"))
     kind = F.when(F.col("op") == "create", "note").when(F.col("op") == "rename", "move").otherwise("none")
     here = own.select("path", "at", kind.alias("kind"), F.when(F.col("op") == "create", F.col("note_id")).alias("note_id"))

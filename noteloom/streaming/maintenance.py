@@ -11,25 +11,28 @@ from ..operators.admission import PathPolicy
 from ..operators.embedding import Embedder
 from ..plans.indexing import reconcile, stored_state
 from ..sources.store import Fence, SnapshotStore, StaleWork
+from ..sources.tombstones import Tombstones
 from .changes import apply_changes
 
 PATHS = "path string, note_id string"
 
 
-def maintain(notices: DataFrame, root: str, store: SnapshotStore, embedder: Embedder, checkpoint: str, policy: PathPolicy = PathPolicy(), vault: str = "vault", generation: int | None = 1, late: bool = False) -> DataStreamWriter:
+def maintain(notices: DataFrame, root: str, store: SnapshotStore, embedder: Embedder, checkpoint: str, policy: PathPolicy = PathPolicy(), vault: str = "vault", generation: int | None = 1, late: bool = False, wait: float | None = None) -> DataStreamWriter:
     """A writer that reconciles the store with the folder at each batch of notices; start it with the trigger of your choice.
 
     The rows of ``notices`` only say that something changed; what did is told by comparing the folder with the store,
     so a lost, repeated or late notice does no harm. A batch's number is its revision in the store's fence: a batch that
     is repeated after a crash finds its revision stored and is refused at the commit, and so is work that was begun
     before the generation was invalidated (``SnapshotStore.invalidate``); the next batch then finds what is still to do.
-    Numbers rise within one checkpoint. With a new checkpoint, invalidate the generation first. Without a generation,
+    Notes buried in the store's ``Tombstones`` are removed from all generations before anything else; readers' leases
+    are waited for up to ``wait`` seconds. Numbers rise within one checkpoint. With a new checkpoint, invalidate the generation first. Without a generation,
     each batch goes to the one that is served then.
     """
 
     def step(batch: DataFrame, number: int) -> None:
         if batch.isEmpty():
             return
+        Tombstones(store).settle(wait)
         target = stored_state(store).active if generation is None else generation
         fence = store.fence(target)
         if number <= fence.revision:
