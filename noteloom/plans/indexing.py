@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.properties import KEY_ARRAYS, explode_properties, registry, typed_columns
 from ..functions.text import object_id, passage_id, snapshot_id, tag_ancestors
 from ..lineage import cut
-from ..operators.admission import PathPolicy, admission, affected, below
+from ..operators.admission import IgnoreFile, PathPolicy, admission, affected, below
 from ..operators.chunking import chunk_notes
 from ..operators.embedding import Embedder, embed_late, embed_notes, embed_passages
 from ..sources.notes import parse_notes, read_markdown
@@ -235,6 +235,46 @@ def follow_policy(spark: SparkSession, root: str, store: SnapshotStore, embedder
     return reconcile(spark, root, store, embedder, after, vault, stored_state(store).active, late, fence, where)
 
 
+def _policy(held: dict | None) -> PathPolicy | None:
+    if held is None:
+        return None
+    controls = tuple(IgnoreFile(c["directory"], c["source"], tuple(c["lines"])) for c in held["controls"])
+    return PathPolicy(tuple(held["folders"]), tuple(held["files"]), controls, tuple(held["failed"]), held["valid"])
+
+
+def stored_policy(store: SnapshotStore) -> PathPolicy | None:
+    """The policy that the store's index is under, or is being brought under; None before the first."""
+    return _policy(store.policy().get("current"))
+
+
+def adopt_policy(spark: SparkSession, root: str, store: SnapshotStore, embedder: Embedder, policy: PathPolicy, vault: str = "vault", late: bool = False) -> dict[str, int]:
+    """Make a policy the store's own and bring the served generation under it: number of notes by action.
+
+    The policy is stored first, together with the one before and a new epoch, so work begun under the old policy can't
+    be stored any more. Then only notes that the change may concern are read; the first policy concerns all. After a
+    crash the next call, whatever its policy, first ends the change that was begun. The policy that is there already
+    changes nothing.
+    """
+    counts: dict[str, int] = {}
+
+    def follow() -> None:
+        held, number = store.policy(), stored_state(store).active
+        fence = store.fence(number)
+        before, after = _policy(held["before"]), _policy(held["current"])
+        where = None if before is None else affected(before, after)
+        if where is None or where:
+            done = reconcile(spark, root, store, embedder, after, vault, number, late, Fence(fence.epoch, fence.revision + 1), where)
+            counts.update({k: counts.get(k, 0) + n for k, n in done.items()})
+        store.change_policy(lambda now: {k: v for k, v in now.items() if k != "before"} if now == held else now)
+
+    if "before" in store.policy():
+        follow()
+    if stored_policy(store) != policy:
+        store.change_policy(lambda now: {"current": asdict(policy), "before": now.get("before", now.get("current"))}, stored_state(store).active)
+        follow()
+    return counts
+
+
 def served(store: SnapshotStore, kind: str, vault: str, fingerprint: str) -> DataFrame:
     """Rows of the served generation, for searches with a model; an error if another model is served, whose vectors say nothing beside this one's."""
     state = stored_state(store)

@@ -24,6 +24,7 @@ from .plans import indexing as I
 from .sources import folder_watch as L
 from .sources import store as S
 from .sources import validation as N
+from .sources.tombstones import Tombstones
 from .streaming import changes as C
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -756,6 +757,47 @@ def listing_changes(spark: SparkSession, d: str) -> DataFrame:
     return L.listing_changes(before, moved.unionByName(edited).unionByName(chats), 1).drop("note_id")
 
 
+@query("""
+with c as (select conv_id, count(*) as passages from conversations where conv_id is not null group by conv_id)
+select g::int as generation, conv_id::varchar as note_id, passages from c, (values (1), (2)) t(g) where passages <= 4""")
+def buried_conversations(spark: SparkSession, d: str) -> DataFrame:
+    """Conversations as notes of two generations, after those of more than four turns were buried and removed from both, with their passages."""
+    turns = _t(spark, d, "conversations").where("conv_id is not null")
+    place = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text")) - 1
+    passages = turns.select(F.col("conv_id").cast("string").alias("note_id"), F.lit("s").alias("snapshot_id"), place.alias("passage_index"), F.coalesce("text", F.lit("")).alias("body"))
+    counted = passages.groupBy("note_id").agg(F.count("*").alias("turns"))
+    store = S.SnapshotStore(spark, f"{shared_folder(spark)}/noteloom-store-{uuid.uuid4().hex}")
+    for generation in (1, 2):
+        store.publish(generation, counted.select("note_id", F.lit("s").alias("snapshot_id")), passages)
+    stones = Tombstones(store)
+    stones.bury(counted.where("turns > 4"))
+    stones.settle()
+    held = lambda g: store.read("notes", g).join(store.read("passages", g), "note_id").groupBy("note_id").agg(F.count("*").alias("passages")).select(F.lit(g).alias("generation"), "note_id", "passages")
+    return held(1).unionByName(held(2))
+
+
+@query("""
+with e as (select vec_id::varchar as note_id, label, sqrt(list_sum(list_transform(embedding::double[], x -> x * x))) as size from embeddings),
+judged as (select note_id, label, coalesce(label = 3 and abs(size - 1) > 1e-4, false) as off from e)
+select note_id, case when off then 'vector' else '' end as faults, not off and label <> 5 as served from judged""")
+def quarantined_notes(spark: SparkSession, d: str) -> DataFrame:
+    """Embeddings as notes of one passage each, some with vectors of any length and some whose passage has no body: which are served and which are in quarantine, with the note's own faults."""
+    e = _t(spark, d, "embeddings").select(F.col("vec_id").cast("string").alias("note_id"), F.lit("s").alias("snapshot_id"), "label", V.doubles(F.col("embedding")).alias("raw"))
+    dims = e.select(F.size("raw")).first()
+    unit = F.transform("raw", lambda x: F.try_divide(x, F.col("size")))
+    notes = e.withColumn("size", V.norm(F.col("raw"))).select("note_id", "snapshot_id", F.when(F.col("label") == 3, F.col("raw")).otherwise(unit).alias("vector"))
+    none = F.lit(0)
+    passages = e.select(
+        "note_id", "snapshot_id", none.alias("passage_index"), F.when(F.col("label") != 5, F.lit("text")).alias("body"), none.alias("start"), F.lit(4).alias("end"), none.alias("start_line"), none.alias("end_line"),
+        F.lit(None).cast("int").alias("start_token"), F.lit(None).cast("int").alias("end_token"),
+    )
+    store = S.SnapshotStore(spark, f"{shared_folder(spark)}/noteloom-store-{uuid.uuid4().hex}")
+    store.publish(1, notes, passages, dims=dims[0] if dims else 0)
+    served, aside = store.read("notes", 1), store.quarantined("notes", 1)
+    rows = served.select("note_id", F.lit("").alias("faults"), F.lit(True).alias("served"))
+    return rows if aside is None else rows.unionByName(aside.select("note_id", F.array_join("faults", ",").alias("faults"), F.lit(False).alias("served")))
+
+
 # --- Chunking and embedding: pure functions over whole notes, beyond SQL.
 
 

@@ -25,8 +25,8 @@ from .validation import note_rules, passage_rules, whole_notes, with_faults
 
 #: Commits of a generation before it is rewritten as one, manifests kept for slow readers, and tries of a writer among others.
 MOST_COMMITS, KEPT_MANIFESTS, ATTEMPTS = 16, 4, 20
-#: The manifest's entries for fences and for the index's state, beside the generations.
-FENCES, STATE = "fences", "state"
+#: The manifest's entries for fences, for the index's state and for the policy, beside the generations.
+FENCES, STATE, POLICY = "fences", "state", "policy"
 #: Folders beside the tables: readers' leases, rows that broke a rule, notes to be removed for good.
 LEASES, QUARANTINE, TOMBSTONES = "leases", "quarantine", "tombstones"
 #: Seconds that a lease lasts unless it is renewed, and that pass between two looks at the leases.
@@ -90,6 +90,12 @@ class Fence:
     revision: int
 
 
+def _next_epoch(held: dict, generation: int, revision: int = -1) -> dict:
+    """The manifest with a new epoch for a generation, in which nothing above ``revision`` is stored yet."""
+    epoch, _ = held.get(FENCES, {}).get(str(generation), [0, -1])
+    return held | {FENCES: held.get(FENCES, {}) | {str(generation): [epoch + 1, revision]}}
+
+
 class SnapshotStore:
     """Tables ``notes`` and ``passages`` for each generation below a folder that all executors share."""
 
@@ -170,7 +176,7 @@ class SnapshotStore:
         return [f.getPath().getName() for f in self._fs.listStatus(self._path(folder))] if self.exists(folder) else []
 
     def generations(self) -> list[int]:
-        return sorted(int(g) for g in self._manifest()[1] if g not in (FENCES, STATE))
+        return sorted(int(g) for g in self._manifest()[1] if g not in (FENCES, STATE, POLICY))
 
     def state(self) -> dict:
         """The small state that is kept in the manifest; empty before the first is stored."""
@@ -190,18 +196,28 @@ class SnapshotStore:
         self._change(within)
         return stored
 
+    def policy(self) -> dict:
+        """The policy that is kept in the manifest; empty before the first is stored."""
+        return self._manifest()[1].get(POLICY, {})
+
+    def change_policy(self, change: Callable[[dict], dict], stop: int | None = None) -> None:
+        """Store a changed policy. In the same exchange a new epoch begins for the generation ``stop``, so fenced work that was begun under the policy before is refused. It leaves revision -1 to the policy's own work, before a stream's batch 0."""
+
+        def within(held: dict) -> dict:
+            new = held | {POLICY: change(held.get(POLICY, {}))}
+            return new if stop is None else _next_epoch(new, stop, -2)
+
+        if not self.exists(self.root):
+            self.make(self.root)
+        self._change(within)
+
     def fence(self, generation: int) -> Fence:
         """The generation's epoch and the revision stored last in it (-1: none)."""
         return Fence(*self._manifest()[1].get(FENCES, {}).get(str(generation), [0, -1]))
 
     def invalidate(self, generation: int) -> int:
         """Begin a new epoch: fenced work that was begun before is refused at its commit. Returns the epoch."""
-
-        def change(held: dict) -> dict:
-            epoch, _ = held.get(FENCES, {}).get(str(generation), [0, -1])
-            return held | {FENCES: held.get(FENCES, {}) | {str(generation): [epoch + 1, -1]}}
-
-        self._change(change)
+        self._change(lambda held: _next_epoch(held, generation))
         return self.fence(generation).epoch
 
     def _commit(self, generation: int, commit: str, fence: Fence | None, change: Callable[[dict], dict]) -> None:

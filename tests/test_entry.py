@@ -35,7 +35,7 @@ def test_import_without_the_optional_parts(tmp_path):
     subprocess.run([sys.executable, "-c", textwrap.dedent(code), root, str(tmp_path)], check=True, cwd=tmp_path)
 
 
-@pytest.mark.parametrize("name", ["note_connections", "passage_connections_maxsim", "hybrid_grouped_notes", "property_registry", "admission_reason", "debounce_sessions", "heading_ancestry"])
+@pytest.mark.parametrize("name", ["note_connections", "passage_connections_maxsim", "hybrid_grouped_notes", "property_registry", "admission_reason", "debounce_sessions", "heading_ancestry", "buried_conversations", "quarantined_notes"])
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
     for t in ("embeddings", "conversations", "events", "documents", "labels"):

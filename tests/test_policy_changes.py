@@ -5,12 +5,16 @@ from __future__ import annotations
 import os
 import random
 
+import pytest
+from pyspark.errors import StreamingQueryException
+
 from noteloom.operators import admission as A
 from noteloom.operators.admission import IgnoreFile, PathPolicy, affected, readmit
 from noteloom.operators.embedding import HashingEmbedder
 from noteloom.plans import indexing as I
 from noteloom.sources import notes as N
-from noteloom.sources.store import SnapshotStore
+from noteloom.sources.store import Fence, SnapshotStore, StaleWork
+from noteloom.streaming.maintenance import watch_policy
 
 
 def policy(controls=(), **more):
@@ -84,3 +88,49 @@ def test_changed_ignore_file_reaches_the_store_and_reads_only_its_folder(spark,
     assert I.follow_policy(spark, str(vault), store, e, after, N.vault_policy(spark, str(vault))) == {"noop": 1, "embed": 1, "purge": 0}
     assert paths() == ["a/one.md", "a/two.md", "b/three.md"]
     assert I.follow_policy(spark, str(vault), store, e, after, PathPolicy(valid=False))["purge"] == 3 and paths() == []
+
+
+def test_watched_ignore_files_reach_the_store_through_a_crash_and_stop_older_work(spark, tmp_path, monkeypatch):
+    vault, notices = tmp_path / "vault", tmp_path / "notices"
+    notices.mkdir()
+    for p in ("a/one.md", "a/two.md", "b/three.md"):
+        (vault / p).parent.mkdir(parents=True, exist_ok=True)
+        (vault / p).write_text(p)
+    store, e = SnapshotStore(spark, str(tmp_path / "store")), HashingEmbedder(dims=8)
+    paths = lambda: sorted(r["path"] for r in store.read("notes", 1).select("path").collect())
+
+    def run(number, broken=False):
+        (notices / f"{number}.txt").write_text("look\n")
+        job = watch_policy(spark.readStream.text(str(notices)), str(vault), store, e, str(tmp_path / "seen"), ["priv"]).trigger(availableNow=True).start()
+        if broken:
+            with pytest.raises(StreamingQueryException):
+                job.awaitTermination()
+        else:
+            job.awaitTermination()
+
+    assert I.stored_policy(store) is None
+    run(0)
+    assert paths() == ["a/one.md", "a/two.md", "b/three.md"] and I.stored_policy(store).folders == ("priv",)
+    early, commits = store.fence(1), store.commits(1)
+    run(1)
+    assert store.commits(1) == commits and store.fence(1) == early  # nothing changed
+    (vault / "a/.gitignore").write_text("two.md\n")
+    reconcile = I.reconcile
+
+    def lost(*args, **kwargs):
+        raise RuntimeError("lost")
+
+    monkeypatch.setattr(I, "reconcile", lost)
+    run(2, broken=True)
+    monkeypatch.setattr(I, "reconcile", reconcile)
+    # The new policy is stored, so no work from before it can be; the change itself is still to be made.
+    assert "before" in store.policy() and len(paths()) == 3
+    with pytest.raises(StaleWork):
+        (vault / "b/three.md").write_text("edited")
+        I.reconcile(spark, str(vault), store, e, PathPolicy(), fence=Fence(early.epoch, early.revision + 1))
+    run(3)
+    assert paths() == ["a/one.md", "b/three.md"] and "before" not in store.policy()
+    os.unlink(vault / "a/.gitignore")
+    assert I.adopt_policy(spark, str(vault), store, e, N.vault_policy(spark, str(vault), ["priv"])) == {"noop": 1, "embed": 1, "purge": 0}
+    assert I.adopt_policy(spark, str(vault), store, e, PathPolicy(valid=False))["purge"] == 3 and paths() == []
+    assert store.generations() == [1] and I.stored_policy(store) == PathPolicy(valid=False)
