@@ -777,7 +777,7 @@ def buried_conversations(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-with e as (select vec_id::varchar as note_id, label, sqrt(list_sum(list_transform(embedding::double[], x -> x * x))) as size from embeddings),
+with e as (select vec_id::varchar as note_id, label, sqrt(list_sum(list_transform(embedding::double[], lambda x: x * x))) as size from embeddings),
 judged as (select note_id, label, coalesce(label = 3 and abs(size - 1) > 1e-4, false) as off from e)
 select note_id, case when off then 'vector' else '' end as faults, not off and label <> 5 as served from judged""")
 def quarantined_notes(spark: SparkSession, d: str) -> DataFrame:
