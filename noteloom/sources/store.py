@@ -283,28 +283,29 @@ class SnapshotStore:
             df.write.parquet(self._at(kind, generation, commit))
         return commit, [self.spark.read.parquet(self._at(k, generation, commit)) for k in self.KINDS]
 
-    def _write(self, generation: int, notes: DataFrame, passages: DataFrame, dims: int | None = None) -> str:
+    def _write(self, generation: int, notes: DataFrame, passages: DataFrame) -> str:
         if (buried := self._buried()) is not None:
             notes, passages = (df.join(buried, "note_id", "left_anti") for df in (notes, passages))
         commit, tables = self._put_tables(generation, notes, passages)
-        if dims is not None:
-            commit, tables = self._held_to_rules(generation, commit, tables, dims)
         verify_snapshot(*tables)
         return commit
 
-    def _held_to_rules(self, generation: int, commit: str, tables: list[DataFrame], dims: int) -> tuple[str, list[DataFrame]]:
-        """The written commit if no row breaks a rule; else one of the whole notes alone, with all rows of the others in quarantine."""
+    def _held_to_rules(self, generation: int, commit: str, dims: int | None) -> str:
+        """The written commit if no row breaks a rule, or none are asked for; else one of the whole notes alone, with all rows of the others in quarantine."""
+        if dims is None:
+            return commit
+        tables = [self.spark.read.parquet(self._at(k, generation, commit)) for k in self.KINDS]
         judged = [with_faults(df, {n: r for n, r in rules.items() if n not in ("path", "vector") or n in df.columns}) for df, rules in zip(tables, (note_rules(dims), passage_rules(dims)))]
         bad = [df.where(F.size("faults") > 0).select("note_id") for df in judged]
         if all(df.isEmpty() for df in bad):
-            return commit, tables
+            return commit
         named = bad[0].unionByName(bad[1]).distinct()
-        good, kept = self._put_tables(generation, *whole_notes(*judged))
+        good, _ = self._put_tables(generation, *whole_notes(*judged))
         for kind, df in zip(self.KINDS, judged):
             df.alias("r").join(named.alias("b"), F.expr("r.note_id <=> b.note_id"), "left_semi").write.parquet(f"{self._quarantine(kind, generation)}/commit={good}")
         for kind in self.KINDS:
             self.delete(self._at(kind, generation, commit))
-        return good, kept
+        return good
 
     def _quarantine(self, kind: str, generation: int) -> str:
         return f"{self.root}/{QUARANTINE}/{kind}/generation={generation}"
@@ -319,10 +320,11 @@ class SnapshotStore:
         """Replace a generation's tables as a pair; the written rows are verified before they are served. ``StaleWork`` if the fence has fallen.
 
         With ``dims``, the width of the vectors, rows are held to the rules of ``validation``: notes of which a row
-        breaks one are not served, and all their rows go to the quarantine with the names of the rules. Notes that wait
+        breaks one are not served, and all their rows go to the quarantine with the names of the rules. Rows that do not
+        match as a pair, such as those without a note_id, are an error as ever. Notes that wait
         to be removed for good (``Tombstones``) are not written.
         """
-        commit = self._write(generation, notes, passages, dims)
+        commit = self._held_to_rules(generation, self._write(generation, notes, passages), dims)
         self._commit(generation, commit, fence, lambda held: held | {str(generation): [commit]})
 
     def upsert(self, generation: int, notes: DataFrame, passages: DataFrame, purge: DataFrame | None = None, fence: Fence | None = None, dims: int | None = None) -> None:
@@ -332,7 +334,7 @@ class SnapshotStore:
         """
         if generation not in self.generations():
             return self.publish(generation, notes, passages, fence, dims)
-        commit = self._write(generation, notes, passages, dims)
+        commit = self._held_to_rules(generation, self._write(generation, notes, passages), dims)
         gone = self.spark.read.parquet(self._at("notes", generation, commit)).select("note_id")
         (gone if purge is None else gone.unionByName(purge.select("note_id"))).distinct().write.parquet(self._at("gone", generation, commit))
         self._commit(generation, commit, fence, lambda held: held | {str(generation): [*held[str(generation)], commit]})
