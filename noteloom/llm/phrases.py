@@ -332,14 +332,15 @@ def mine_phrases(docs: DataFrame, support: int = 100, absorbed: int = 100, scale
     candidates = materialize(phrases.select("lang", as_words.alias("words"), F.col("f").alias("a")))
     longer = candidates.where(F.size("words") > 2).select("lang", F.explode(_within(F.col("words"), LONGEST)).alias("words"), "a")
     absorbers = longer.groupBy("lang", "words").agg(F.max("a").alias("longer"))
-    kept = candidates.join(absorbers, ["lang", "words"], "left").where(F.col("longer").isNull() | (100 * F.col("longer") < absorbed * F.col("a"))).drop("longer")
+    # Written tables look small beside their rows in memory: none of these joins may gather a side at the driver.
+    kept = candidates.join(absorbers.hint("merge"), ["lang", "words"], "left").where(F.col("longer").isNull() | (100 * F.col("longer") < absorbed * F.col("a"))).drop("longer")
 
     cuts = kept.select("lang", "words", "a", F.explode(_parts(F.col("words"), LONGEST)).alias("cut")).select("lang", "words", "a", "cut.*")
     # A common word is a part of many phrases: its rows are dealt over as many keys as there are salts.
     salts = 16
     salt = F.pmod(F.xxhash64("words"), F.lit(salts)).cast("int")
     sides = counted.select("lang", F.col("words").alias("part"), "f", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-    left, right = (sides.select("lang", F.col("part").alias(part), "salt", F.col("f").alias(name)) for part, name in (("first", "l"), ("rest", "r")))
+    left, right = (sides.select("lang", F.col("part").alias(part), "salt", F.col("f").alias(name)).hint("merge") for part, name in (("first", "l"), ("rest", "r")))
     scored = cuts.withColumn("salt", salt).join(left, ["lang", "first", "salt"]).join(right, ["lang", "rest", "salt"]).drop("salt")
     scored = scored.join(sizes, "lang")
     long = lambda c: F.col(c).cast("decimal(19,0)")

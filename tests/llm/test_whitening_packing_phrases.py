@@ -259,3 +259,10 @@ def test_phrases_of_long_pieces_and_no_texts(spark, monkeypatch):
 def phrases_end(block: bytes) -> bytes:
     """The block, if it ends where a piece does."""
     return block if block[-1:] in (b".", b",", b"\n") else b""
+
+
+def test_phrases_join_no_counts_through_the_driver(spark, capsys):
+    """However small the written tables look, only the languages' sizes are broadcast."""
+    mine_phrases(spark.createDataFrame([("en", "a b c. " * 40)], "lang string, text string"), support=2).explain()
+    plan = capsys.readouterr().out
+    assert plan.count("BroadcastHashJoin") <= 1 and plan.count("SortMergeJoin") >= 3
