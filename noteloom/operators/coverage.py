@@ -13,12 +13,12 @@ def utf16_units(text: Column) -> Column:
     return F.length(text) + F.regexp_count(text, F.lit(r"[\x{10000}-\x{10FFFF}]"))
 
 
-def span_coverage(passages: DataFrame, notes: DataFrame, note: str, text: str) -> DataFrame:
+def span_coverage(passages: DataFrame, notes: DataFrame, note: str, text: str, most: int | None = MAX_SEGMENTS) -> DataFrame:
     """(note_id, spans, contiguous, complete, lines) for every note: a span begins where the last one ended and is as
     long as its body, the bodies joined are the text, and lines are counted from 0 by line feeds.
 
     A blank text needs no passage, any other without one is not complete; a null text counts as empty. More passages
-    than a note may have are not complete either. A note's bodies are joined in one row, bounded as its text is.
+    than ``most``, those that a note may have, are not complete either; without it any number may be. A note's bodies are joined in one row, bounded as its text is.
     """
     w = Window.partitionBy("note_id").orderBy("passage_index")
     breaks = F.regexp_count("body", F.lit("\n"))
@@ -31,10 +31,11 @@ def span_coverage(passages: DataFrame, notes: DataFrame, note: str, text: str) -
     texts = notes.select(F.col(note).cast("string").alias("note_id"), whole.alias("_text"))
     blank = F.col("spans").isNull() & (F.regexp_replace("_text", r"(?U)\s", "") == "")
     yes = F.lit(True)
+    few = yes if most is None else F.col("spans") <= most
     return texts.join(held, "note_id", "left").select(
         "note_id",
         F.coalesce("spans", F.lit(0)).alias("spans"),
         F.coalesce("joins", yes).alias("contiguous"),
-        (blank | F.coalesce((F.col("body") == F.col("_text")) & (F.col("spans") <= MAX_SEGMENTS), F.lit(False))).alias("complete"),
+        (blank | F.coalesce((F.col("body") == F.col("_text")) & few, F.lit(False))).alias("complete"),
         F.coalesce("told", yes).alias("lines"),
     )

@@ -810,7 +810,7 @@ def _markdown(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def chunk_documents(spark: SparkSession, d: str) -> DataFrame:
     e = HashingEmbedder()
-    return chunk_notes(_t(spark, d, "documents"), "doc_id", "text", e.context_limit, e.count)
+    return chunk_notes(_t(spark, d, "documents"), "doc_id", "text", e.context_limit, e.count, whole=True)
 
 
 @query("""
@@ -818,7 +818,7 @@ select doc_id::varchar as note_id, true as contiguous, true as complete, true as
 def span_coverage(spark: SparkSession, d: str) -> DataFrame:
     e = HashingEmbedder()
     docs = _t(spark, d, "documents")
-    return covered(chunk_notes(docs, "doc_id", "text", e.context_limit, e.count), docs, "doc_id", "text").drop("spans")
+    return covered(chunk_notes(docs, "doc_id", "text", e.context_limit, e.count, whole=True), docs, "doc_id", "text", most=None).drop("spans")
 
 
 @query()

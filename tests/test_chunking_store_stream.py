@@ -232,3 +232,29 @@ def test_debounce_stream(spark, tmp_path):
 def test_debounce_batch(spark):
     events = spark.createDataFrame([("a", 0, "1"), ("a", 12, "2"), ("a", 26, "3"), ("a", 40, "4")], "k string, s int, d string").withColumn("ts", F.timestamp_seconds(F.col("s") + 1_700_000_000))
     assert sorted((r.changes, r.d) for r in C.debounce_sessions(events, "k", "ts", 13, "d").collect()) == [(1, "3"), (1, "4"), (2, "2")]
+
+
+def test_documents_of_any_length_are_chunked_whole(spark):
+    """A null text, more than four MiB, more than 4,096 passages, and blanks longer than a passage: no job fails, nothing is lost."""
+    from noteloom.operators.chunking import chunk_notes
+    from noteloom.operators.coverage import span_coverage
+
+    e = HashingEmbedder()
+    texts = [None, "", "word " * (1 << 20) + "end", "a" + " " * 3000 + "b", "\n" * 3000 + "# a\n" + "\n" * 3000, " " * 3000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    passages = chunk_notes(docs, "id", "text", e.context_limit, e.count, whole=True)
+    found = {r.note_id: r for r in span_coverage(passages, docs, "id", "text", most=None).collect()}
+    assert len(found) == len(texts) and all(r.contiguous and r.complete and r.lines for r in found.values())
+    assert found["2"].spans > 4096 and found["0"].spans == found["1"].spans == found["5"].spans == 0
+    assert passages.where("length(body) > 1022").count() == 0
+    with pytest.raises(K.PreparationError):
+        K.prepare_note("a" + " " * 3000 + "b", e.context_limit, e.count)
+
+
+def test_passages_are_given_out_in_bounded_batches():
+    import pyarrow as pa
+
+    schema = pa.schema([("n", pa.int32()), ("text", pa.string())])
+    out = list(K.given_out(((i, "x" * (K.HELD_CHARACTERS // 4)) for i in range(10)), schema, lambda row: len(row[1])))
+    assert [b.num_rows for b in out] == [4, 4, 2] and [n for b in out for n in b.column(0).to_pylist()] == list(range(10))
+    assert max(b.num_rows for b in K.given_out(((i, "") for i in range(5000)), schema)) == K.HELD_ROWS
