@@ -9,10 +9,11 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chunking import batches
+from .chunking import batches, bisect_spans, given_out, real, rows_of, units
 
 
 class Embedder(Protocol):
@@ -121,12 +122,11 @@ def embed_late(notes: DataFrame, passages: DataFrame, note: str, text: str, embe
     plan = passages.groupBy("note_id").agg(F.sort_array(F.collect_list(F.struct("passage_index", "window", "start_token", "end_token", "start", "end"))).alias("plan"))
     joined = notes.select(F.col(note).cast("string").alias("note_id"), F.col(text).alias("text")).join(plan, "note_id")
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from .chunking import bisect_spans, real, units
+    schema = pa.schema([("note_id", pa.string()), ("passage_index", pa.int32()), ("vector", pa.list_(pa.float64()))])
 
-        for part in parts:
-            rows = []
-            for key, body, plan in part.itertuples(index=False):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def vectors() -> Iterator[tuple]:
+            for key, body, plan in rows_of(batches):
                 held = units(body)
                 windows = bisect_spans(held, embedder.context_limit, embedder.count)
                 states: dict[int, np.ndarray] = {}
@@ -134,18 +134,17 @@ def embed_late(notes: DataFrame, passages: DataFrame, note: str, text: str, embe
                     k = p["window"]
                     if k not in states:
                         states = {k: np.array(embedder.states(real(held[windows[k][0] : windows[k][1]])))}
-                    rows.append((key, p["passage_index"], pool(states[k], p["start_token"], p["end_token"]).tolist()))
-            yield pd.DataFrame(rows, columns=["note_id", "passage_index", "vector"])
+                    yield key, p["passage_index"], pool(states[k], p["start_token"], p["end_token"])
 
-    return joined.mapInPandas(run, "note_id string, passage_index int, vector array<double>")
+        yield from given_out(vectors(), schema, lambda row: len(row[2]))
+
+    return joined.mapInArrow(run, "note_id string, passage_index int, vector array<double>")
 
 
 def embed_notes(notes: DataFrame, note: str, text: str, embedder: Embedder) -> DataFrame:
     """(note_id, mode, vector): the one window's vector, or the unit sum of all windows' vectors."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from .chunking import bisect_spans, real, units
-
         for part in parts:
             rows = []
             for key, body in part.itertuples(index=False):
