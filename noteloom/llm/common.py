@@ -7,6 +7,8 @@ import uuid
 from collections.abc import Callable
 from functools import lru_cache, wraps
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -122,15 +124,29 @@ def keys_beside(keys: DataFrame) -> DataFrame:
 SLOTS, LEAST_BITS, MOST_BITS = 64, 1 << 19, 1 << 24
 
 
-def bit_map(hashes: DataFrame, n: int) -> tuple[Column, int]:
-    """A constant array of 64-bit words with a bit for each value of ``hash``, and its number of bits; its size is bounded, whatever their number ``n``."""
+def _bit_words(hashes: DataFrame, n: int) -> np.ndarray:
+    """64-bit words with a bit for each value of ``hash``; their number is bounded, whatever the number ``n`` of values."""
     bits = min(MOST_BITS, max(LEAST_BITS, 1 << (max(n, 1) * SLOTS).bit_length()))
     slot = F.pmod("hash", F.lit(bits))
     rows = hashes.select(F.shiftright(slot, 6).cast("int").alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(slot, F.lit(64)).cast("int")).alias("bit"))
-    words = [0] * (bits // 64)
-    for r in rows.groupBy("word").agg(F.bit_or("bit").alias("bits")).collect():  # MOST_BITS / 64 rows at most
-        words[r["word"]] = r["bits"]
-    return F.split(F.lit(",".join(map(str, words))), ",").cast("array<long>"), bits
+    words = np.zeros(bits // 64, np.int64)
+    for batch in rows.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow().to_batches():  # MOST_BITS / 64 rows at most
+        words[batch.column("word").to_numpy()] = batch.column("bits").to_numpy()
+    return words
+
+
+def bit_map(hashes: DataFrame, n: int) -> tuple[Column, int]:
+    """A constant array of 64-bit words with a bit for each value of ``hash``, and its number of bits."""
+    words = _bit_words(hashes, n)
+    return F.split(F.lit(",".join(map(str, words.tolist()))), ",").cast("array<long>"), 64 * len(words)
+
+
+def bit_map_row(hashes: DataFrame, n: int) -> tuple[Column, int]:
+    """The same as the only value of a table, which a plan reads once, so that neither the plan nor what Spark tells of it
+    at every step spells the words out. It may not stand in a lambda."""
+    words = _bit_words(hashes, n)
+    row = pa.table({"words": pa.array([words], pa.list_(pa.int64()))})
+    return hashes.sparkSession.createDataFrame(row).scalar(), 64 * len(words)
 
 
 def in_bit_map(hash_: Column, words: Column, bits: int) -> Column:
@@ -151,7 +167,7 @@ def rows_without(docs: DataFrame, gone: DataFrame, own: dict[str, Column]) -> Da
     """
     probes = [lambda *key, p=p: F.xxhash64(F.lit(p), *key) for p in (11, 12)]
     hashes = gone.select(F.explode(F.array(*[p(*own) for p in probes])).alias("hash"))
-    words, bits = bit_map(hashes, 2 * gone.count())
+    words, bits = bit_map_row(hashes, 2 * gone.count())
     hit = in_bit_map(probes[0](*own.values()), words, bits) & in_bit_map(probes[1](*own.values()), words, bits)
     rows = docs.alias("d")
     same = lambda here, there: F.expr(" and ".join(f"{here}.{k} <=> {there}.{k}" for k in own))

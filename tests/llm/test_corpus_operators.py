@@ -472,3 +472,13 @@ def test_a_failed_operator_leaves_no_tables(spark):
     with pytest.raises(ValueError):
         failing()
     assert set(os.listdir(folder)) == before
+
+
+def test_plans_do_not_spell_out_bit_maps(spark, capsys):
+    """Spark keeps the text of every plan at the driver: a map of all keys must not be in it."""
+    docs = spark.range(5000).selectExpr("id as doc_id")
+    gone = common.materialize(spark.range(0, 5000, 7).selectExpr("id as k"))
+    left = common.rows_without(docs, gone, {"k": F.col("d.doc_id")})
+    left.explain(True)
+    assert len(capsys.readouterr().out) < 50_000
+    assert left.count() == 5000 - 715 and left.where("doc_id % 7 = 0").count() == 0
