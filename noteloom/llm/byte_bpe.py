@@ -2,7 +2,9 @@
 
 The library cuts a text into words by a pattern in which a space that a visible character follows always begins a word.
 So a text may be cut before such spaces, each distinct cut encoded once, and the ids laid side by side: they are the ids
-of the whole text. New cuts are encoded together, and parted again by the bytes that each token stands for.
+of the whole text. It may also be cut between a letter and a mark, for no word of the pattern goes on from letters to
+marks, and around a line end that stands alone. So far fewer distinct cuts are met than with marks left at the words.
+New cuts are encoded together, and parted again by the bytes that each token stands for.
 """
 
 from __future__ import annotations
@@ -24,6 +26,25 @@ ENCODED_BYTES = 256 << 10
 #: which Unicode has white space (U+0085, U+00A0, U+1680, U+2000 and on, U+3000).
 _VISIBLE = np.ones(256, bool)
 _VISIBLE[list(range(0x21)) + [0x7F, 0xC2, 0xE1, 0xE2, 0xE3]] = False
+#: ASCII letters; ASCII marks but the apostrophe, which may begin a word of letters; the second bytes of the letters that begin with C3.
+_LETTER, _MARK, _LETTER_AFTER_C3 = np.zeros(256, bool), np.zeros(256, bool), np.zeros(256, bool)
+_LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
+_MARK[[*range(0x21, 0x27), *range(0x28, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]] = True
+_LETTER_AFTER_C3[[x for x in range(0x80, 0xC0) if x not in (0x97, 0xB7)]] = True
+
+
+def _cuts(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of some bytes before which a space begins a word, and those where letters, marks and lone line ends part."""
+    if len(a) < 2:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    spaces = np.flatnonzero((a[:-1] == 0x20) & _VISIBLE[a[1:]])
+    letter = _LETTER[a]
+    letter[1:] |= (a[:-1] == 0xC3) & _LETTER_AFTER_C3[a[1:]]
+    marks = np.flatnonzero(letter[:-1] & _MARK[a[1:]]) + 1
+    lines = np.flatnonzero(a == 0x0A)
+    lines = lines[(lines > 0) & (lines < len(a) - 1)]
+    lines = lines[(letter[lines - 1] | _MARK[a[lines - 1]]) & _VISIBLE[a[lines + 1]]]
+    return spaces, np.concatenate([marks, lines, lines + 1])
 
 
 class _Numbers(dict):
@@ -61,6 +82,7 @@ class Encoder:
             raise ValueError("added tokens must hold no spaces and take none")
         self.tokenizer, self.end_id = Tokenizer.from_file(path), end_id
         added = {t["id"]: len(t["content"].encode()) for t in spec["added_tokens"]}
+        self.added = [t["content"].encode() for t in spec["added_tokens"]]
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.width = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for token, i in vocabulary.items():
@@ -118,14 +140,23 @@ class Encoder:
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, one text after the other, and how many are each text's (its end id included)."""
-        words, sizes = [], []
-        for text in texts:
-            a = np.frombuffer(text, np.uint8)
-            at = (np.flatnonzero((a[:-1] == 0x20) & _VISIBLE[a[1:]])).tolist() if len(a) else []
-            bounds = [0, *at[at[:1] == [0] :], len(a)] if len(a) else []
-            words += [text[i:j] for i, j in zip(bounds, bounds[1:])]
-            words.append(b"")
-            sizes.append(max(len(bounds) - 1, 0) + 1)
+        # The texts lie side by side, each with a NUL behind it, which no cut looks beyond.
+        whole = b"\x00".join(texts) + b"\x00"
+        ends = np.cumsum(np.array([len(t) + 1 for t in texts], np.int64)) - 1
+        spaces, fine = _cuts(np.frombuffer(whole, np.uint8))
+        for i, text in enumerate(texts) if any(t in whole for t in self.added) else ():
+            if any(t in text for t in self.added):  # such a token may hold letters and marks
+                fine = fine[(fine < ends[i] - len(text)) | (fine > ends[i])]
+        begins = np.zeros(len(whole) + 1, bool)
+        for at in (spaces, fine, ends, ends + 1, 0):
+            begins[at] = True
+        bounds = np.flatnonzero(begins)
+        at = np.searchsorted(bounds, ends)
+        bounds = bounds.tolist()
+        words = [whole[i:j] for i, j in zip(bounds, bounds[1:])]
+        for i in at.tolist():
+            words[i] = b""
+        sizes = np.diff(at, prepend=-1)
         if len(self.numbers) > REMEMBERED:
             self._trim()
         ids = np.fromiter(map(self.numbers.__getitem__, words), np.int64, len(words))
@@ -134,7 +165,7 @@ class Encoder:
             self.numbers.fresh = []
         self.uses += np.bincount(ids, minlength=len(self.uses))
         counts = self.count[ids]
-        total = np.add.reduceat(counts, np.append(0, np.cumsum(sizes)[:-1])) if sizes else np.zeros(0, np.int64)
+        total = np.add.reduceat(counts, np.append(0, np.cumsum(sizes)[:-1])) if len(sizes) else np.zeros(0, np.int64)
         return _gathered(self.flat, self.start[ids], counts), total
 
 

@@ -266,3 +266,24 @@ def test_phrases_join_no_counts_through_the_driver(spark, capsys):
     mine_phrases(spark.createDataFrame([("en", "a b c. " * 40)], "lang string, text string"), support=2).explain()
     plan = capsys.readouterr().out
     assert plan.count("BroadcastHashJoin") <= 1 and plan.count("SortMergeJoin") >= 3
+
+
+def test_word_memory_cuts_at_marks_and_line_ends_and_gives_the_ids_of_whole_texts():
+    import random
+
+    from tokenizers import Tokenizer
+
+    r, path = random.Random(7), tokenizer_path(BPE)
+    library, known = Tokenizer.from_file(path), Encoder(path, 0)
+    parts = ["word", " word", "é", "×", "÷", "ß", ".", "...", "###", "'s", "'", "\n", "\n\n", "\r\n", " ", "  ", "\t", " ", "　", "\x00", "7", "´", "́", "日本", "😀", "<|endoftext|>", "Ma", " la", "-"]
+    texts = ["".join(r.choices(parts, k=r.randint(0, 12))) for _ in range(5000)]
+    ids, counts = known.encode([t.encode() for t in texts])
+    wanted = [e.ids + [0] for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert counts.tolist() == [len(w) for w in wanted] and ids.tolist() == [i for w in wanted for i in w]
+
+
+def test_marks_at_words_are_no_new_words_of_the_memory():
+    """Eight words with five marks each, and lines that begin with them: the memory holds words and marks, not each word with each mark."""
+    known = Encoder(tokenizer_path(BPE), 0)
+    known.encode([" ".join(f"w{a}x{m}" for a in "abcdefgh" for m in (".", ",", "###", "&&&", ".\nNext")).encode()])
+    assert len(known.numbers) <= 16
