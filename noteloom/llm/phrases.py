@@ -1,14 +1,16 @@
 """Phrase collocations by contiguous pattern growth.
 
 Every occurrence of a frequent pair of words projects a pointer: the occurrence with the words that follow it, as far as
-all pairs on the way are frequent. Sorted pointers are dealt over tasks by range, so the pointers of a prefix are one run
-and a task grows its prefixes depth-first: the run of a prefix falls apart into the runs of its right extensions. A prefix
-whose run lies within one task is counted there and abandoned below the support; one whose run goes on in the next task
-is counted in parts, which are added up. So a common prefix is cut over tasks as the data asks for, and no task holds
-more than its share.
-
-Which words and pairs are frequent is told to tasks by two bit maps of fixed size. They let a few rare ones through and
-lose none; every count that is used is exact.
+all pairs on the way are frequent and the phrase itself may be. Sorted pointers are dealt over tasks by range, so the
+pointers of a prefix are one run and a task grows its prefixes depth-first: the run of a prefix falls apart into the runs of
+its right extensions. A prefix whose run lies within one task is counted there and abandoned below the support; one whose
+run goes on in the next task is counted in parts, which are added up. So a common prefix is cut over tasks as the data asks
+for, and no task holds more than its share.
+
+Which words and pairs are frequent is told to tasks by two bit maps of fixed size, and which longer phrases may be by a
+third, made of hashed counts whose number is bounded too. They let a few rare ones through and lose none; every count that
+is used is exact. So pointers are made of phrases that are frequent, nearly all, and not of all runs of frequent pairs,
+which a fixed support lets grow much faster than the text.
 """
 
 from __future__ import annotations
@@ -37,6 +39,9 @@ JOIN, NUL_AS = b"\x00", b","
 #: Bits of the maps of frequent words and pairs: 8 MB each.
 MAP_BITS = 1 << 26
 WORD_OF_MAP = 64
+#: Hashed counts of longer phrases that a task holds: about one for each occurrence of a frequent pair in all texts, within
+#: these bounds (64 MB at a byte each); so many go into a row.
+LEAST_SLOTS, MOST_SLOTS, SLOTS_OF_ROW = 1 << 16, 1 << 26, 1 << 16
 #: Bytes of text that a task counts at a time; a piece that is longer is taken whole.
 BLOCK_BYTES = 4 << 20
 #: Pointers of one task of the growth, which holds them in memory (about 200 bytes each).
@@ -107,14 +112,18 @@ def _hashes(lang: str, words: list[bytes]) -> np.ndarray:
     return np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in words), np.uint64, len(words))
 
 
+def _mixed(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    mixed = (first ^ (first >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + second
+    return mixed ^ (mixed >> np.uint64(32))
+
+
 def _pair_key(first: np.ndarray, second: np.ndarray) -> np.ndarray:
     """A key of 40 bits for a pair of words, by their hashes. Pairs that share one are counted as one here, so a map may let a rare pair through."""
-    mixed = (first ^ (first >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + second
-    return (mixed ^ (mixed >> np.uint64(32))) & np.uint64((1 << 40) - 1)
+    return _mixed(first, second) & np.uint64((1 << 40) - 1)
 
 
 def _held(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    at = hashes % np.uint64(MAP_BITS)
+    at = hashes % np.uint64(len(bits) * WORD_OF_MAP)
     return (bits[(at // np.uint64(WORD_OF_MAP)).astype(np.int64)] >> (at % np.uint64(WORD_OF_MAP))) & np.uint64(1) == 1
 
 
@@ -190,30 +199,86 @@ def count_pairs(batches: Iterator[pa.RecordBatch], frequent: bytes) -> Iterator[
     release_memory()
 
 
-def project(batches: Iterator[pa.RecordBatch], frequent: bytes, frequent_pairs: bytes) -> Iterator[pa.RecordBatch]:
-    """Pointers of a task's texts: for each place, the longest run of frequent pairs from there, up to five words; equal ones together."""
+def _places(lang: str, block: bytes, frequent: np.ndarray, frequent_pairs: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words, their numbers in the block, their hashes, whether word i and the next are a pair in the map, and where they are."""
+    words, ids, hashes, together = _pairs(lang, block, frequent)
+    at = np.flatnonzero(together)
+    together[at] = _held(frequent_pairs, _pair_key(hashes[ids[at]], hashes[ids[at + 1]]))
+    return words, ids, hashes, together, np.flatnonzero(together)
+
+
+def _longer(ids: np.ndarray, hashes: np.ndarray, together: np.ndarray, at: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For three words and each more, whether pairs in the map lead that far from the places, and keys of the phrases there."""
+    padded, going = np.append(ids, np.zeros(LONGEST, np.int64)), np.append(together, np.zeros(LONGEST, bool))
+    key = _mixed(hashes[ids[at]], hashes[ids[at + 1]])
+    goes = np.ones(len(at), bool)
+    for n in range(3, LONGEST + 1):
+        goes = goes & going[at + n - 2]
+        key = _mixed(key, hashes[padded[at + n - 1]])
+        yield goes, key
+
+
+def count_longer(batches: Iterator[pa.RecordBatch], frequent: bytes, frequent_pairs: bytes, slots: int, support: int) -> Iterator[pa.RecordBatch]:
+    """Occurrences of phrases of three words or more whose pairs are in the map, by slots of their hashes, each up to the support."""
     frequent, frequent_pairs = np.frombuffer(frequent, np.uint64), np.frombuffer(frequent_pairs, np.uint64)
+    counts = np.zeros(slots, np.min_scalar_type(support))
+    for lang, block in chain.from_iterable(map(_blocks, batches)):
+        _, ids, hashes, together, at = _places(lang, block, frequent, frequent_pairs)
+        if len(at):
+            keys = np.concatenate([key[goes] for goes, key in _longer(ids, hashes, together, at)])
+            found, n = np.unique((keys % np.uint64(slots)).astype(np.int64), return_counts=True)
+            counts[found] = np.minimum(counts[found] + n, support)
+    for row, part in enumerate(np.split(counts, -(-slots // SLOTS_OF_ROW))):
+        if part.any():
+            yield pa.RecordBatch.from_arrays([pa.array([row], pa.int32()), pa.array([part.tobytes()], pa.binary())], ["row", "counts"])
+    del counts
+    release_memory()
+
+
+def _supported(rows: pa.Table, support: int) -> pa.Table:
+    """Bits of the slots of one row that have the support over all tasks."""
+    total = 0
+    for counts in rows["counts"]:
+        total = total + np.frombuffer(counts.as_buffer(), np.min_scalar_type(support)).astype(np.int64)
+    return pa.table([rows["row"][:1], pa.array([np.packbits(total >= support, bitorder="little").tobytes()], pa.binary())], ["row", "bits"])
+
+
+def _longer_map(texts: DataFrame, maps: dict[str, bytes], places: int, support: int) -> bytes:
+    """Map of the phrases of three words or more that may have the support, by their keys."""
+    slots = min(MOST_SLOTS, max(LEAST_SLOTS, 1 << places.bit_length()))
+    support = max(support, 1)  # a slot without an occurrence is not told apart from none
+    counts = texts.mapInArrow(partial(count_longer, slots=slots, support=support, **maps), "row int, counts binary")
+    # A group has one row of each task.
+    parts = counts.groupBy("row").applyInArrow(lambda rows: _supported(rows, support), "row int, bits binary")
+    bits = np.zeros((-(-slots // SLOTS_OF_ROW), min(slots, SLOTS_OF_ROW) // 8), np.uint8)
+    for chunk in parts.toArrow().to_batches():  # MOST_SLOTS / 8 bytes at most
+        for row, part in zip(chunk.column("row").to_pylist(), chunk.column("bits").to_pylist()):
+            bits[row] = np.frombuffer(part, np.uint8)
+    return bits.tobytes()
+
+
+def project(batches: Iterator[pa.RecordBatch], frequent: bytes, frequent_pairs: bytes, longer: bytes) -> Iterator[pa.RecordBatch]:
+    """Pointers of a task's texts: for each place of a frequent pair, the longest phrase from there that the maps hold, up to five words; equal ones together."""
+    frequent, frequent_pairs, longer = (np.frombuffer(m, np.uint64) for m in (frequent, frequent_pairs, longer))
     held = _Held()
     for lang, block in chain.from_iterable(map(_blocks, batches)):
-        words, ids, hashes, together = _pairs(lang, block, frequent)
-        at = np.flatnonzero(together)
-        together[at] = _held(frequent_pairs, _pair_key(hashes[ids[at]], hashes[ids[at + 1]]))
-        at = np.flatnonzero(together)
+        words, ids, hashes, together, at = _places(lang, block, frequent, frequent_pairs)
         if not len(at):
             continue
         # Pointers are told apart a word at a time: code of the words so far, times the words there are, plus the next.
-        padded, going = np.append(ids, np.full(LONGEST, -1)), np.append(together, np.zeros(LONGEST, bool))
-        _, code = np.unique(ids[at], return_inverse=True)
-        goes = np.ones(len(at), bool)
-        for step in range(1, LONGEST):
-            goes = goes & going[at + step - 1]
-            _, code = np.unique(code * (len(words) + 1) + np.where(goes, padded[at + step] + 1, 0), return_inverse=True)
+        padded = np.append(ids, np.full(LONGEST, -1))
+        _, code = np.unique(ids[at] * len(words) + ids[at + 1], return_inverse=True)
+        goes, length = np.ones(len(at), bool), np.full(len(at), 2)
+        for n, (leads, key) in enumerate(_longer(ids, hashes, together, at), 3):
+            goes = goes & leads
+            goes[goes] = _held(longer, key[goes])
+            length += goes
+            _, code = np.unique(code * (len(words) + 1) + np.where(goes, padded[at + n - 1] + 1, 0), return_inverse=True)
         _, first, counts = np.unique(code, return_index=True, return_counts=True)
         start = at[first]
-        length = 1 + np.cumprod(np.stack([going[start + i] for i in range(LONGEST - 1)]), axis=0).sum(axis=0)
         names = np.array(words, dtype=object)
         columns = [names[padded[start + i]].tolist() for i in range(LONGEST)]
-        phrases = [JOIN.join(p[:n]) for p, n in zip(zip(*columns), length.tolist())]
+        phrases = [JOIN.join(p[:n]) for p, n in zip(zip(*columns), length[first].tolist())]
         yield from held.add(lang, phrases, counts)
     yield from held.rest()
     release_memory()
@@ -305,8 +370,13 @@ def count_phrases(docs: DataFrame, support: int) -> tuple[DataFrame, DataFrame,
     sizes = materialize(counted.groupBy("lang").agg(F.sum("f").alias("n")))
     words = materialize(counted.where(F.col("f") >= support))
     known = _bit_map(words.select(pandas_udf(_word_keys, "long")("lang", "phrase")))
-    pairs = texts.mapInArrow(partial(count_pairs, frequent=known), "key long, f long").groupBy("key").agg(F.sum("f").alias("f")).where(F.col("f") >= support)
-    pointers = materialize(texts.mapInArrow(partial(project, frequent=known, frequent_pairs=_bit_map(pairs.select("key"))), _ROWS))
+    pairs = texts.mapInArrow(partial(count_pairs, frequent=known), "key long, f long").groupBy("key").agg(F.sum("f").alias("f"))
+    pairs = materialize(pairs.where(F.col("f") >= support))
+    maps = {"frequent": known, "frequent_pairs": _bit_map(pairs.select("key"))}
+    # One task a core: what a task gives out from here on is by phrase, so more tasks would give each phrase more often.
+    shares = texts.coalesce(docs.sparkSession.sparkContext.defaultParallelism)
+    longer = _longer_map(shares, maps, pairs.agg(F.sum("f")).first()[0] or 0, support)
+    pointers = materialize(shares.mapInArrow(partial(project, longer=longer, **maps), _ROWS))
     # Equal pointers of different blocks may be many: the salt lets a range end between them.
     tasks = partitions(pointers, -(-pointers.count() // TASK_POINTERS))
     dealt = pointers.withColumn("salt", F.monotonically_increasing_id()).repartitionByRange(tasks, "lang", "phrase", "salt").sortWithinPartitions("lang", "phrase")

@@ -268,6 +268,42 @@ def test_phrases_join_no_counts_through_the_driver(spark, capsys):
     assert plan.count("BroadcastHashJoin") <= 1 and plan.count("SortMergeJoin") >= 3
 
 
+def test_pointers_are_phrases_with_the_support_and_not_all_runs_of_frequent_pairs(spark, monkeypatch):
+    """Random words: all pairs are frequent, hardly any longer phrase is. Twice the texts in twice the files give no more pointers."""
+    import random
+
+    from noteloom.llm import phrases
+
+    tables, write = [], phrases.materialize
+    monkeypatch.setattr(phrases, "materialize", lambda df: tables.append(write(df)) or tables[-1])
+    rng = random.Random(5)
+    docs = [("en", " ".join(rng.choices("abcdefghijklmnopqrst", k=300)) + ". so it goes on here") for _ in range(120)]
+    made = []
+    for times, parts in ((1, 40), (2, 80)):
+        tables.clear()
+        df = spark.createDataFrame(docs, "lang string, text string")
+        for _ in range(times - 1):
+            df = df.union(spark.createDataFrame([("en", "so it goes on here")] * 120, "lang string, text string"))
+        _, _, frequent = phrases.count_phrases(df.repartition(parts), 25)
+        pointers = [t for t in tables if t.columns == ["lang", "phrase", "f"]][-2]
+        made.append((pointers.count(), frequent.count()))
+    tasks = spark.sparkContext.defaultParallelism
+    assert all(rows <= 1.2 * found * tasks for rows, found in made)
+    assert made[1][0] <= 1.2 * made[0][0]
+
+
+def test_hashed_counts_of_longer_phrases_lose_none(spark, monkeypatch):
+    """With fewer slots than phrases, and supports of one and two bytes, the map still lets every frequent phrase through."""
+    from noteloom.llm import phrases
+
+    monkeypatch.setattr(phrases, "MOST_SLOTS", 64)
+    monkeypatch.setattr(phrases, "LEAST_SLOTS", 64)
+    docs = [("en", f"a b c d e{i % 9} f. x{i % 5} y{i % 3} z w") for i in range(400)] + [(None, "a b c d. " * 300)] * 2
+    df = spark.createDataFrame(docs, "lang string, text string").repartition(9)
+    for support in (0, 30, 300):
+        assert got_phrases(df, support=support) == plain_phrases(docs, support, 2000)
+
+
 def test_word_memory_cuts_at_marks_and_line_ends_and_gives_the_ids_of_whole_texts():
     import random
 
